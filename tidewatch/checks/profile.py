@@ -290,10 +290,11 @@ def g55(spark, d):
     return pick(x, "change_rate", "mean_abs_change", "max_abs_change", "std_of_diff", "mean_rolling_std", "median_abs_change", "p95_abs_change", keep=["feature", "steps"], places=6)
 
 
-@query("G56_column_groups", """WITH c AS (SELECT column_name AS n FROM (DESCRIBE lineitem))
+@query("G56_column_groups", """WITH c AS (SELECT p_type || '_' || replace(p_name, ' ', '_') || p_size AS n FROM part)
 SELECT split_part(n, '_', 1) AS process, regexp_replace(split_part(n, '_', -1), '[0-9]+$', '') AS tag_type, count(*) AS columns FROM c GROUP BY 1, 2""")
 def g56(spark, d):
-    return p.column_groups(table(spark, d, "lineitem"))
+    n = F.concat("p_type", F.lit("_"), F.replace("p_name", F.lit(" "), F.lit("_")), F.col("p_size").cast("string"))
+    return p.column_groups(table(spark, d, "part").select(n.alias("name")), "name")
 
 
 @query("S16_inventory", """SELECT 'lineitem' AS dataset, count(*) AS rows, 11::INTEGER AS columns, 0::BIGINT AS missing, 0::BIGINT AS nan_values, 0::BIGINT AS infinite,

@@ -156,15 +156,15 @@ def w18(spark, d):
     return w.streaks(e, by_user(), F.col("event_type").isin("error", "view")).select("event_id", "streak")
 
 
-@query("W19_row_readiness", f"""WITH {TAGS_HOURLY}, h AS (SELECT hour, coalesce(error, 0) AS error, view FROM tags WHERE click IS NOT NULL),
+@query("W19_row_readiness", f"""WITH {TAGS_HOURLY}, h AS (SELECT hour, error, view FROM tags WHERE click IS NOT NULL),
 s AS (SELECT *, CASE WHEN epoch_us(hour) - lag(epoch_us(hour)) OVER (ORDER BY hour) = 3600000000 THEN 1 ELSE 0 END AS ok,
-        (view IS NOT NULL)::INTEGER AS fin, row_number() OVER (ORDER BY hour) AS n FROM h),
+        (view IS NOT NULL AND error IS NOT NULL)::INTEGER AS fin, row_number() OVER (ORDER BY hour) AS n FROM h),
 t AS (SELECT *, min(ok) OVER (ORDER BY hour ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS steps,
-        min(fin) OVER (ORDER BY hour ROWS BETWEEN 10 PRECEDING AND CURRENT ROW) AS vals FROM s)
+        (fin = 1 AND lag(error, 1) OVER (ORDER BY hour) IS NOT NULL AND lag(error, 2) OVER (ORDER BY hour) IS NOT NULL AND lag(error, 5) OVER (ORDER BY hour) IS NOT NULL AND lag(error, 10) OVER (ORDER BY hour) IS NOT NULL)::INT AS vals FROM s)
 SELECT hour, CASE WHEN n <= 10 THEN 'WARMUP_INCOMPLETE' WHEN steps = 0 OR vals = 0 THEN 'BLOCKED' ELSE 'READY' END AS row_status FROM t""")
 def w19(spark, d):
-    h = tags_hourly(spark, d).filter(F.col("click").isNotNull()).select("hour", F.coalesce("error", F.lit(0.0)).alias("error"), "view")
-    return w.readiness(h, Series([], ["hour"]), 3600.0, ["error", "view"]).select("hour", "row_status")
+    h = tags_hourly(spark, d).filter(F.col("click").isNotNull()).select("hour", "error", "view")
+    return w.readiness(h, Series([], ["hour"]), 3600.0, ["error", "view"], ["error"]).select("hour", "row_status")
 
 
 @query("W20_ramp", f"SELECT event_id, round(value - lag(value) {U}, 6) + 0 AS ramp, round(abs(value - lag(value) {U}), 6) AS abs_ramp FROM events")

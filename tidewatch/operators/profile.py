@@ -208,13 +208,8 @@ def family_summary(df: DataFrame, family: str, value: str) -> DataFrame:
     return base.join(exact_quantiles(df, [family], value, {"median": 0.5}), family, "left")
 
 
-def column_groups(df: DataFrame) -> DataFrame:
-    """Column names grouped by their prefix (process) and remaining tag type."""
-    from tidewatch.sources.tables import schema_table
-
-    parts = F.split("column_name", "_")
+def column_groups(names: DataFrame, name: str) -> DataFrame:
+    """Column names grouped by their prefix (process) and the kind of tag at their end."""
+    parts = F.split(name, "_")
     kind = F.regexp_replace(F.element_at(parts, -1), r"[0-9]+$", "")
-    return (
-        schema_table(df).select(F.element_at(parts, 1).alias("process"), kind.alias("tag_type"))
-        .groupBy("process", "tag_type").agg(F.count(F.lit(1)).alias("columns"))
-    )
+    return names.groupBy(F.element_at(parts, 1).alias("process"), kind.alias("tag_type")).agg(F.count(F.lit(1)).alias("columns"))

@@ -211,29 +211,38 @@ def streaks(df: DataFrame, series: Series, hit: Column, name: str = "streak") ->
     return out.rows().drop("_hit", "_hits", "_misses", "_base", "_at", "_top")
 
 
-def readiness(df: DataFrame, series: Series, cadence_seconds: float, cols: list[str], history: int = 10, name: str = "row_status") -> DataFrame:
-    """WARMUP_INCOMPLETE / BLOCKED / READY per row from position, cadence and finiteness."""
+def readiness(
+    df: DataFrame, series: Series, cadence_seconds: float, cols: list[str], lagged: list[str] = (),
+    steps: tuple[int, ...] = (1, 2, 5, 10), name: str = "row_status",
+) -> DataFrame:
+    """WARMUP_INCOMPLETE / BLOCKED / READY per row.
+
+    A row needs as many prior rows as the longest lag; then the last intervals must all be on
+    the cadence and the row's values and the lags of the `lagged` columns finite.
+    """
+    history = max(steps)
     fr = series.frame(df, before=history + 1)
     ts = series.order[0]
     w = fr.window()
-    dt = seconds_between(F.lag(ts).over(w), F.col(ts))
-    finite = F.lit(True)
+
+    def finite(v: Column) -> Column:
+        return F.coalesce(~F.isnan(v) & (F.abs(v) != float("inf")), F.lit(False))
+
+    good = F.lit(True)
     for c in cols:
-        v = F.col(c)
-        finite = finite & F.coalesce(~F.isnan(v) & (F.abs(v) != float("inf")), F.lit(False))
-    fr = fr.with_columns({"_ok": F.when(dt == cadence_seconds, 1).otherwise(0), "_fin": F.when(finite, 1).otherwise(0)})
-    last = fr.window().rowsBetween(-(history - 1), 0)
-    values = fr.window().rowsBetween(-history, 0)
-    fr = fr.with_columns({
-        "_steps": F.min("_ok").over(last), "_values": F.min("_fin").over(values),
-        "_seen": F.count(F.lit(1)).over(values),
-    })
+        good = good & finite(F.col(c))
+    for c in lagged:
+        for k in steps:
+            good = good & finite(F.lag(c, k).over(w))
+    dt = seconds_between(F.lag(ts).over(w), F.col(ts))
+    fr = fr.with_columns({"_ok": F.when(dt == cadence_seconds, 1).otherwise(0), "_good": good})
+    last, values = w.rowsBetween(-(history - 1), 0), w.rowsBetween(-history, 0)
+    fr = fr.with_columns({"_steps": F.min("_ok").over(last), "_seen": F.count(F.lit(1)).over(values)})
     status = (
         F.when(F.col("_seen") <= history, "WARMUP_INCOMPLETE")
-        .when((F.col("_steps") == 0) | (F.col("_values") == 0), "BLOCKED")
-        .otherwise("READY")
+        .when((F.col("_steps") == 0) | ~F.col("_good"), "BLOCKED").otherwise("READY")
     )
-    return fr.with_columns({name: status}).rows().drop("_ok", "_fin", "_steps", "_values", "_seen")
+    return fr.with_columns({name: status}).rows().drop("_ok", "_good", "_steps", "_seen")
 
 
 def extreme_changes(df: DataFrame, series: Series, cols: list[str], gap_seconds: float, k: int = 20) -> DataFrame:
