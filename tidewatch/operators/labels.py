@@ -65,9 +65,9 @@ def coverage(df: DataFrame, split: str, splits: list[str], labels: list[str]) ->
     return out.withColumn("status", status)
 
 
-def incidence(catalogue: DataFrame, scenario: str, codes: str) -> DataFrame:
-    """Scenario and code pairs with the number of scenarios that carry the code."""
-    pairs = catalogue.select(scenario, F.explode(codes).alias("code")).distinct()
+def incidence(pairs: DataFrame, scenario: str, code: str) -> DataFrame:
+    """Distinct scenario and code pairs with the number of scenarios that carry the code."""
+    pairs = pairs.select(scenario, F.col(code).alias("code")).distinct()
     freq = pairs.groupBy("code").agg(F.count(F.lit(1)).alias("scenarios"))
     return pairs.join(freq, "code")
 

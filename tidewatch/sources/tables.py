@@ -110,3 +110,8 @@ def inventory(df: DataFrame, name: str) -> DataFrame:
         "missing", "nan_values", "infinite", "duplicates",
         F.when(bad == 0, "PASS").otherwise("REVIEW").alias("status"),
     )
+
+
+def scan_jdbc(spark: SparkSession, url: str, name: str, column: str, lower: int, upper: int, parts: int, **properties) -> DataFrame:
+    """Relational source read in parallel ranges of a numeric column; filters are pushed to it."""
+    return spark.read.jdbc(url, name, column=column, lowerBound=lower, upperBound=upper, numPartitions=parts, properties=properties)
