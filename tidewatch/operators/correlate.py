@@ -140,10 +140,11 @@ def score_association(df: DataFrame, cols: list[str], score: str) -> DataFrame:
     feature's rows, and the moments use the folded (feature, value, score) counts.
     """
     pearson = pearson_of(df, [(c, score) for c in cols]).select(F.col("feature_1").alias("feature"), F.col("pair_rows").alias("rows"), F.col("correlation").alias("pearson_r"))
-    tall = unpivot(df.filter(F.col(score).isNotNull()), [score], cols).filter(F.col("value").isNotNull())
+    scored = df.filter(F.col(score).isNotNull()).withColumn("_score", F.col(score).cast("double"))
+    tall = unpivot(scored, ["_score"], cols).filter(F.col("value").isNotNull())
     rx = average_ranks(tall, ["feature"], "value").withColumnRenamed("rank", "_rx")
-    ry = average_ranks(tall, ["feature"], score).withColumnRenamed("rank", "_ry")
-    ranked = tall.join(rx, ["feature", "value"]).join(ry, ["feature", score])
+    ry = average_ranks(tall, ["feature"], "_score").withColumnRenamed("rank", "_ry")
+    ranked = tall.join(rx, ["feature", "value"]).join(ry, ["feature", "_score"])
     spearman = ranked.groupBy("feature").agg(
         _pearson(F.count("_rx"), F.covar_pop("_rx", "_ry"), F.var_pop("_rx"), F.var_pop("_ry")).alias("spearman_r")
     )

@@ -146,6 +146,20 @@ class Frame:
         )
         return self.map(lambda _: joined)
 
+    def running_max(self, name: str, value: Column, inclusive: bool = True) -> "Frame":
+        """Largest non-null value so far along the series (call on a core frame)."""
+        end = 0 if inclusive else -1
+        keys = self.series.keys
+        out = self.df.withColumn(name, F.max(value).over(self.window().rowsBetween(Window.unboundedPreceding, end)))
+        if self.chunks is None:
+            return self.map(lambda _: out)
+        earlier = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+        tops = self.df.filter(F.col(CHUNK) > 0).groupBy(*keys, CHUNK).agg(F.max(value).alias("_m"))
+        carry = tops.select(*keys, CHUNK, F.max("_m").over(earlier).alias("_carry"))
+        joined = out.join(carry, eq_null_safe(out, carry, [*keys, CHUNK]), "left").select(
+            *[out[c] for c in out.columns if c != name], F.greatest(out[name], carry["_carry"]).alias(name))
+        return self.map(lambda _: joined)
+
     def _carry(self, totals: DataFrame, col: str) -> DataFrame:
         earlier = Window.partitionBy(*self.series.keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
         return totals.select(*self.series.keys, CHUNK, F.coalesce(F.sum(col).over(earlier), F.lit(0)).alias("_carry"))

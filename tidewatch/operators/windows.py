@@ -6,7 +6,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.operators.series import CHUNK, HALO, Frame, Series
+from tidewatch.operators.series import Frame, Series
 
 
 def seconds_between(earlier: Column, later: Column) -> Column:
@@ -194,21 +194,15 @@ def seconds_in_minute(df: DataFrame, series: Series, ordinal: str) -> DataFrame:
 
 
 def streaks(df: DataFrame, series: Series, hit: Column, name: str = "streak") -> DataFrame:
-    """Length of the current run of `hit` rows; any other row resets it to 0."""
-    fr = series.frame(df, before=0).with_columns({"_hit": hit.cast("int")})
-    fr = fr.with_columns({"_hit": F.coalesce(F.col("_hit"), F.lit(0))})
-    fr = fr.running_sum("_hits", F.col("_hit")).running_sum("_misses", 1 - F.col("_hit"))
-    # rows between two misses form a group; hits so far minus hits at its start = the streak.
-    base = fr.with_columns({"_base": F.when(F.col("_hit") == 0, F.col("_hits"))})
-    upto = base.window().rowsBetween(Window.unboundedPreceding, 0)
-    base = base.with_columns({"_at": F.max("_base").over(upto)})
-    if base.chunks is not None:
-        tops = base.df.filter(F.col(CHUNK) > 0).groupBy(*series.keys, CHUNK).agg(F.max("_base").alias("_top"))
-        earlier = Window.partitionBy(*series.keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-        tops = tops.withColumn("_top", F.max("_top").over(earlier))
-        base = base.map(lambda d: d.join(tops, [*series.keys, CHUNK], "left").withColumn("_at", F.coalesce("_at", "_top")))
-    out = base.with_columns({name: (F.col("_hits") - F.coalesce(F.col("_at"), F.lit(0))).cast("long")})
-    return out.rows().drop("_hit", "_hits", "_misses", "_base", "_at", "_top")
+    """Length of the current run of `hit` rows; any other row resets it to 0.
+
+    It is the hits so far minus the hits so far at the last miss, both of which carry over
+    chunk borders.
+    """
+    fr = series.frame(df).with_columns({"_hit": F.coalesce(hit.cast("int"), F.lit(0))})
+    fr = fr.running_sum("_hits", F.col("_hit")).running_max("_base", F.when(F.col("_hit") == 0, F.col("_hits")))
+    out = fr.with_columns({name: (F.col("_hits") - F.coalesce("_base", F.lit(0))).cast("long")})
+    return out.rows().drop("_hit", "_hits", "_base")
 
 
 def readiness(
