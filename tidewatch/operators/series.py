@@ -21,6 +21,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.sources.tables import pin
+
 CHUNK, HALO, CELL, START, SIZE, POS = "_chunk", "_halo", "_cell", "_start", "_size", "_pos"
 
 # A table below this estimate cannot hold a group too large for one task.
@@ -48,10 +50,18 @@ class Series:
         self.keys, self.order = list(keys), list(order)
         self.cell = cell if cell is not None else F.date_trunc("hour", F.col(self.order[0]))
         self.target_rows, self.small_bytes = target_rows, small_bytes
+        self._known: tuple[DataFrame | None] | None = None
+
+    def measured(self, df: DataFrame) -> "Series":
+        """This series with its hot groups looked up once, for several frames over tables
+        that hold the same rows (columns may be added)."""
+        out = Series(self.keys, self.order, self.cell, self.target_rows, self.small_bytes)
+        out._known = (out._hot_cells(df),)
+        return out
 
     def frame(self, df: DataFrame, before: int = 0, after: int = 0) -> "Frame":
         """Open a frame whose windows may look `before` rows back and `after` rows ahead."""
-        cells = self._hot_cells(df)
+        cells = self._known[0] if self._known else self._hot_cells(df)
         if cells is None:
             return Frame(self, df.withColumn(CHUNK, F.lit(0)).withColumn(HALO, F.lit(False)), None)
         at = cells.select(*self.keys, CELL, CHUNK)
@@ -82,6 +92,9 @@ class Series:
             .withColumn(CHUNK, (F.floor(F.col(START) / F.lit(self.target_rows)) + 1).cast("int"))
             .drop("_all")
         )
+        # Small: hot groups only. Written once, so every use agrees on it and Spark knows its
+        # size when it chooses between broadcast and shuffle for the join with the rows.
+        cells = pin(cells)
         return None if cells.isEmpty() else cells
 
     def _halo(self, rows: DataFrame, chunks: DataFrame, k: int, back: bool) -> DataFrame:
@@ -115,9 +128,9 @@ class Frame:
     def __init__(self, series: Series, df: DataFrame, chunks: DataFrame | None):
         self.series, self.df, self.chunks = series, df, chunks
 
-    def window(self, *extra: str) -> Window:
-        """Ordered window; `extra` columns subdivide a chunk without a further exchange."""
-        return Window.partitionBy(*self.series.keys, CHUNK, *extra).orderBy(*self.series.order)
+    def window(self) -> Window:
+        """Ordered window over a series or, for a hot one, over a chunk of it."""
+        return Window.partitionBy(*self.series.keys, CHUNK).orderBy(*self.series.order)
 
     def map(self, fn) -> "Frame":
         return Frame(self.series, fn(self.df), self.chunks)

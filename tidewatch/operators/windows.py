@@ -70,26 +70,31 @@ def temporal_features(
     Rolling values need a full window (as many null warm-up rows as `window - 1`).
     """
     fr = series.frame(df, before=max(window - 1, 2))
-    extra: list[str] = []
+    w = fr.window()
     if gap_seconds is not None:
         fr = fr.with_columns({"_restart": _restart_flag(series, fr, gap_seconds, exact=False)})
-        upto = fr.window().rowsBetween(Window.unboundedPreceding, 0)
-        fr = fr.with_columns({"_segment": F.sum("_restart").over(upto)})
-        extra = ["_segment"]
-    w = fr.window(*extra)
+        fr = fr.with_columns({"_segment": F.sum("_restart").over(w.rowsBetween(Window.unboundedPreceding, 0))})
+
+    def joined(k: int, v: Column) -> Column:
+        # Segments only grow along the series, so equal ends mean one segment in between:
+        # no second sort by segment is needed.
+        if gap_seconds is None:
+            return v
+        return F.when(F.lag("_segment", k).over(w) == F.col("_segment"), v)
+
     full = w.rowsBetween(-(window - 1), 0)
     new: dict[str, Column] = {}
     for c in cols:
         v = F.col(c)
         ready = F.count(v).over(full) == window
-        mean = F.when(ready, F.avg(v).over(full))
-        diff = v - F.lag(v).over(w)
+        mean = joined(window - 1, F.when(ready, F.avg(v).over(full)))
+        diff = joined(1, v - F.lag(v).over(w))
         made = {
             "diff": diff,
             "abs_diff": F.abs(diff),
-            "diff2": v - 2 * F.lag(v, 1).over(w) + F.lag(v, 2).over(w),
+            "diff2": joined(2, v - 2 * F.lag(v, 1).over(w) + F.lag(v, 2).over(w)),
             "mean": mean,
-            "std": F.when(ready, F.stddev_samp(v).over(full)),
+            "std": joined(window - 1, F.when(ready, F.stddev_samp(v).over(full))),
             "deviation": v - mean,
         }
         new |= {f"{c}__{k}": made[k] for k in kinds}

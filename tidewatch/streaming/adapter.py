@@ -48,7 +48,7 @@ def _feature_columns(names: list[str]) -> list[str]:
 def adapt_batch(parsed: DataFrame, names: list[str], cadence_seconds: float = 120.0, **series_options) -> DataFrame:
     """Statuses and features for stored messages, ordered by `step` within a source."""
     opts = {"cell": F.floor(F.col("step") / 65536), **series_options}
-    order = Series(["source"], ["step"], **opts)
+    order = Series(["source"], ["step"], **opts).measured(parsed)
     fr = order.frame(parsed).running_sum("_era", F.col("ts").isNull().cast("int"))
     era = fr.rows()
     by_era = Series(["source", "_era"], ["step"], **opts)

@@ -87,13 +87,13 @@ class _Streak(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable")
         carried = int(self.state.get()[0]) if self.state.exists() else 0
-        hit = pdf["_hit"].to_numpy(dtype=bool)
+        hit = pdf["is_hit"].to_numpy(dtype=bool)
         place = np.arange(len(hit))
         last_miss = np.maximum.accumulate(np.where(hit, -1, place))
         streak = np.where(last_miss < 0, carried + place + 1, place - last_miss)
         streak = np.where(hit, streak, 0)
         self.state.update((int(streak[-1]),))
-        yield pdf.drop(columns=["_hit"]).assign(streak=streak.astype("int64"))
+        yield pdf.drop(columns=["is_hit"]).assign(streak=streak.astype("int64"))
 
     def close(self) -> None:
         pass
@@ -103,7 +103,7 @@ def stream_decisions(stream: DataFrame, key: str, order: list[str], state: str,
     """Running count of consecutive anomalies per key and the decision level."""
     types = dict(stream.dtypes)
     schema = ", ".join([*[f"`{c}` {types[c]}" for c in stream.columns], "streak BIGINT"])
-    hits = stream.withColumn("_hit", F.coalesce(F.upper(state) == "ANOMALY", F.lit(False)))
+    hits = stream.withColumn("is_hit", F.coalesce(F.upper(state) == "ANOMALY", F.lit(False)))
     out = hits.groupBy(key).transformWithStateInPandas(
         statefulProcessor=_Streak(order, key), outputStructType=schema, outputMode="Append", timeMode="None")
     level = rules.decision_level(F.col(state), F.col("streak"), threshold)
