@@ -10,7 +10,7 @@ from tidewatch.checks.windows import U
 from tidewatch.operators import columns as co, correlate as c, splits as sp, windows as w
 from tidewatch.operators.series import Series
 from tidewatch.plans import classifier as cl, detector as dt, forecast as fc
-from tidewatch.sources.tables import table
+from tidewatch.sources.tables import small_table, table
 
 C = F.col
 TARGETS = {2: "target_2", 10: "target_10", 30: "target_30"}
@@ -143,7 +143,7 @@ def _associations(spark, d):
 
 @query("A19_reduced_candidates")
 def a19(spark, d):
-    originals = spark.createDataFrame([("value",), ("k",)], "feature STRING")
+    originals = small_table(spark, [("value",), ("k",)], "feature STRING")
     recipe = {"A": (0, 1, 1), "B": (0, 2, 2), "D": (1, 1, 1)}
     return dt.reduced_candidates(_associations(spark, d), originals, "family", ["abs_spearman_r", "abs_pearson_r"], ["diff", "abs_diff", "std"], recipe)
 

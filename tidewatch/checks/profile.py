@@ -122,7 +122,7 @@ FROM a JOIN b USING (feature) JOIN o USING (feature))"""
 @query("G11_drift", f"""WITH {SHIFTS} SELECT feature, round(mean_shift, 6) AS mean_shift, round(median_shift, 6) AS median_shift,
 round(below_pct, 6) AS below_pct, round(above_pct, 6) AS above_pct, coalesce(mean_shift >= 2, false) AS shift_flag, below_pct + above_pct > 1 AS range_flag FROM s""")
 def g11(spark, d):
-    x = p.drift(sample_a(spark, d), sample_b(spark, d), STEADY)
+    x = p.drift(sample_a(spark, d), {"b": sample_b(spark, d)}, STEADY)
     return pick(x, "mean_shift", "median_shift", "below_pct", "above_pct", keep=["feature", "shift_flag", "range_flag"], places=6)
 
 
@@ -133,10 +133,9 @@ t AS (SELECT s.feature, greatest(coalesce(s.mean_shift, 0), coalesce(s.median_sh
  FROM s JOIN a USING (feature) JOIN c USING (feature))
 SELECT feature, round(max_shift, 6) AS max_shift, round(o, 6) AS max_outside_pct, row_number() OVER (ORDER BY max_shift DESC, o DESC, feature)::INTEGER AS priority_rank FROM t""")
 def g12(spark, d):
-    a = sample_a(spark, d)
-    ds = {"b": p.drift(a, sample_b(spark, d), STEADY, zero_std_as_zero=True),
-          "r": p.drift(a, measures(spark, d).filter("l_returnflag = 'R'"), STEADY, zero_std_as_zero=True)}
-    return pick(p.drift_priority(ds), "max_shift", "max_outside_pct", keep=["feature", "priority_rank"], places=6)
+    others = {"b": sample_b(spark, d), "r": measures(spark, d).filter("l_returnflag = 'R'")}
+    x = p.drift(sample_a(spark, d), others, STEADY, zero_std_as_zero=True)
+    return pick(p.drift_priority(x), "max_shift", "max_outside_pct", keep=["feature", "priority_rank"], places=6)
 
 
 def corr_sql(a, b):

@@ -11,7 +11,7 @@ from tidewatch.operators import profile as p, windows as w
 from tidewatch.operators.joins import lookup
 from tidewatch.operators.quantiles import unpivot
 from tidewatch.operators.topk import category_order
-from tidewatch.sources.tables import table
+from tidewatch.sources.tables import small_table, table
 
 ROLES = ["Process Measurement", "Setpoint", "Status / Switch", "Control / Assignment", "Equipment Condition", "Vibration / Equipment Condition",
          "Equipment / Pump Signal", "Derived / Calculated", "Requires Documentation", "Valve Position Command", "Valve Current Position",
@@ -65,7 +65,7 @@ x AS (SELECT p_partkey AS id, p_name AS name FROM part)
 SELECT name, coalesce(category, 'Uncategorised') AS category, 'data' AS side, count(*) AS features FROM x LEFT JOIN c USING (name) GROUP BY 1, 2
 UNION ALL SELECT name, category, 'map_only', 0 FROM c WHERE name NOT IN (SELECT name FROM x)""")
 def r02(spark, d):
-    cats = spark.createDataFrame(CATS, "raw STRING, category STRING").select(n.display_name(C("raw")).alias("name"), "category")
+    cats = small_table(spark, CATS, "raw STRING, category STRING").select(n.display_name(C("raw")).alias("name"), "category")
     # headers carry units and line breaks in the source; normalising brings both sides together
     data = table(spark, d, "part").select(n.display_name(F.concat(F.upper("p_name"), F.lit("\n（MW）"))).alias("name"))
     counted = lookup(data.groupBy("name").agg(F.count(F.lit(1)).alias("features")), "name", cats, "category", "Uncategorised")
@@ -246,7 +246,7 @@ def r20(spark, d):
 @query("R21_acquisition_lookup", """SELECT p_partkey AS id, coalesce(cls, 'REQUIRES_DOCUMENTATION') AS acquisition_class, CASE WHEN cls IS NULL THEN 'DOCUMENTATION_REVIEW' ELSE 'HISTORICAL_READY' END AS runtime_status
 FROM part LEFT JOIN (VALUES ('ECONOMY', 'HISTORICAL_RUNTIME'), ('PROMO', 'HISTORICAL_RUNTIME'), ('SMALL', 'HARDWARE')) t(p_type, cls) USING (p_type)""")
 def r21(spark, d):
-    known = spark.createDataFrame([("ECONOMY", "HISTORICAL_RUNTIME"), ("PROMO", "HISTORICAL_RUNTIME"), ("SMALL", "HARDWARE")], "p_type STRING, acquisition_class STRING")
+    known = {"ECONOMY": "HISTORICAL_RUNTIME", "PROMO": "HISTORICAL_RUNTIME", "SMALL": "HARDWARE"}
     x = lookup(table(spark, d, "part").select("p_partkey", "p_type"), "p_type", known, "acquisition_class", "REQUIRES_DOCUMENTATION")
     return x.select(C("p_partkey").alias("id"), "acquisition_class", F.when(C("acquisition_class") == "REQUIRES_DOCUMENTATION", "DOCUMENTATION_REVIEW").otherwise("HISTORICAL_READY").alias("runtime_status"))
 
@@ -265,7 +265,7 @@ SELECT id, p_name AS signal, unit, coalesce(t.param, '') AS parameter, CASE WHEN
 CASE WHEN t.param IS NULL THEN 'NOT_ESTABLISHED' ELSE conf END AS mapping_confidence, t.param IS NULL AS requires_new_parameter
 FROM h LEFT JOIN (VALUES ('blue anvil', 'power_output', 'STRONG_CANDIDATE'), ('red bolt', 'steam_pressure', 'LOW_CONFIDENCE')) t(p_name, param, conf) USING (p_name)""")
 def r23(spark, d):
-    known = spark.createDataFrame([("blue anvil", "power_output", "STRONG_CANDIDATE"), ("red bolt", "steam_pressure", "LOW_CONFIDENCE")], "signal STRING, parameter STRING, confidence STRING")
+    known = small_table(spark, [("blue anvil", "power_output", "STRONG_CANDIDATE"), ("red bolt", "steam_pressure", "LOW_CONFIDENCE")], "signal STRING, parameter STRING, confidence STRING")
     s = C("p_size") % 3
     header = F.concat("p_name", F.when(s == 0, "\n（MW）").when(s == 1, " (t/h)").otherwise(""))
     x = table(spark, d, "part").select(C("p_partkey").alias("id"), header.alias("header"))
@@ -279,7 +279,7 @@ FROM v LEFT JOIN (VALUES ('blue anvil', 'ECONOMY'), ('red bolt', 'NOWHERE'), ('h
 def r24(spark, d):
     pt = table(spark, d, "part")
     cat = pt.select(C("p_type").alias("name")).union(pt.filter("p_size = 1").select("p_name")).distinct()
-    mapped = spark.createDataFrame([("blue anvil", "ECONOMY"), ("red bolt", "NOWHERE"), ("hot gear", "PROMO")], "name STRING, target STRING")
+    mapped = small_table(spark, [("blue anvil", "ECONOMY"), ("red bolt", "NOWHERE"), ("hot gear", "PROMO")], "name STRING, target STRING")
     x = pt.select(C("p_name").alias("name")).distinct().join(mapped, "name", "left").join(cat.withColumn("exact", F.lit(True)), "name", "left")
     x = x.join(cat.select(C("name").alias("target"), F.lit(True).alias("via")), "target", "left")
     return x.select("name", ru.coverage_status(F.coalesce("exact", F.lit(False)), F.coalesce("via", F.lit(False))).alias("status"))

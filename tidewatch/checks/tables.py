@@ -13,7 +13,7 @@ from tidewatch.functions import names as n, times as tm
 from tidewatch.operators import columns as co, contracts as ct, correlate as c, joins as j, metrics as m, profile as p, topk as k, windows as w
 from tidewatch.operators.series import Series
 from tidewatch.sources import messages as ms, sinks, tables as t
-from tidewatch.sources.tables import shared_dir, table
+from tidewatch.sources.tables import small_table, shared_dir, table
 
 C = F.col
 
@@ -266,8 +266,7 @@ def j05(spark, d):
 
 @query("J06_lookup_default", "SELECT event_id, CASE event_type WHEN 'error' THEN 'fault' WHEN 'view' THEN 'read' ELSE 'other' END AS meaning FROM events")
 def j06(spark, d):
-    known = spark.createDataFrame([("error", "fault"), ("view", "read")], "event_type STRING, meaning STRING")
-    return j.lookup(events(spark, d).select("event_id", "event_type"), "event_type", known, "meaning", "other").select("event_id", "meaning")
+    return j.lookup(events(spark, d).select("event_id", "event_type"), "event_type", {"error": "fault", "view": "read"}, "meaning", "other").select("event_id", "meaning")
 
 
 @query("J11_key_differences", """SELECT o_orderkey AS k, 'missing' AS side FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)
@@ -326,14 +325,14 @@ def u04(spark, d):
     return co.ordered_distinct(events(spark, d), ["event_type", "user_id"], "event_id")
 
 
-@query("W16_rank_first", "SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey)::INTEGER AS family_rank FROM part")
+@query("W16_rank_first", "SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS family_rank FROM part")
 def w16(spark, d):
-    return k.first_rank(table(spark, d, "part"), ["p_brand"], [F.desc("p_retailprice"), F.asc("p_partkey")], "family_rank").select("p_partkey", "family_rank")
+    return k.rank_first(table(spark, d, "part"), ["p_brand"], "p_retailprice", ["p_partkey"], "family_rank").select("p_partkey", "family_rank")
 
 
-@query("W17_rank_min", "SELECT p_partkey, rank() OVER (PARTITION BY p_brand ORDER BY p_size)::INTEGER AS size_rank FROM part")
+@query("W17_rank_min", "SELECT p_partkey, rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS size_rank FROM part")
 def w17(spark, d):
-    return k.first_rank(table(spark, d, "part"), ["p_brand"], [F.asc("p_size")], "size_rank", "min").select("p_partkey", "size_rank")
+    return k.rank_min(table(spark, d, "part"), ["p_brand"], "p_size", "size_rank", descending=False).select("p_partkey", "size_rank")
 
 
 @query("K01_latest_measurement", "SELECT * FROM events ORDER BY event_id DESC LIMIT 1")

@@ -87,7 +87,7 @@ def label_correlation(df: DataFrame, cols: list[str], label: str) -> DataFrame:
 def average_ranks(tall: DataFrame, keys: list[str], value: str, series: Series | None = None) -> DataFrame:
     """Average rank of each distinct value per key. Ties are folded before any ordering."""
     counts = tall.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    s = series or Series(keys, [value], cell=value_cell(F.col(value), 1024))
+    s = series or Series(keys, [value], cell=value_cell(F.col(value)))
     ranked = s.frame(counts).running_sum("_below", F.col("_n"), inclusive=False).rows()
     return ranked.select(*keys, value, (F.col("_below") + (F.col("_n") + 1) / 2).alias("rank"))
 

@@ -27,8 +27,15 @@ def duplicate_keys(sides: dict[str, DataFrame], keys: list[str]) -> DataFrame:
     return out
 
 
-def lookup(df: DataFrame, key: str, table: DataFrame, value: str, default: str) -> DataFrame:
-    """Dictionary lookup: `value` of the matching row, else the default. Keys of `table` are unique."""
+def lookup(df: DataFrame, key: str, table: DataFrame | dict[str, str], value: str, default: str) -> DataFrame:
+    """Dictionary lookup: `value` of the matching key, else the default.
+
+    A Python dictionary becomes a literal map, so no join is needed; a table (unique keys) is
+    left-joined and Spark decides on broadcast by its size.
+    """
+    if isinstance(table, dict):
+        pairs = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+        return df.withColumn(value, F.coalesce(F.try_element_at(pairs, F.col(key)), F.lit(default)))
     found = table.select(F.col(key), F.col(value))
     return df.join(found, key, "left").withColumn(value, F.coalesce(F.col(value), F.lit(default)))
 
@@ -96,18 +103,34 @@ def uncovered_minutes(positive_minutes: DataFrame, intervals: DataFrame, start:
     return positive_minutes.select("minute").distinct().join(covered, "minute", "left_anti")
 
 
+def merged_windows(windows: DataFrame, start: str, end: str) -> DataFrame:
+    """Union of closed windows as disjoint ones (`start`, `end`)."""
+    from tidewatch.operators.series import Series
+
+    fr = Series([], [start, end]).frame(windows.select(start, end))
+    fr = fr.running_max("_reach", F.col(end), inclusive=False)
+    fr = fr.running_sum("_island", F.when(F.col(start) <= F.col("_reach"), 0).otherwise(1))
+    return fr.rows().groupBy("_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
+
+
 def guard_split(rows: DataFrame, ts: str, held_out: DataFrame, start: str, end: str, guard_minutes: int, normal: Column, scenario: str, ident: str) -> DataFrame:
-    """Split `evaluation`: held-out scenarios plus normal rows within the guard of one.
-    All other rows are `train`. Guard windows are merged per slot, so rows are not repeated."""
+    """Split `evaluation`: held-out scenarios plus normal rows within the guard of one; all
+    other rows are `train`.
+
+    Rows are read once. Guard windows are merged, hence disjoint and at least twice the guard
+    long, so a time slot of that length meets at most two of them.
+    """
     g = F.expr(f"INTERVAL {int(guard_minutes)} MINUTES")
-    windows = held_out.select((F.col(start) - g).alias("_gs"), (F.col(end) + g).alias("_ge"))
-    names = held_out.select(F.col(ident).alias(scenario)).distinct()
-    in_names = rows.join(names, scenario, "left_semi").withColumn("split", F.lit("evaluation"))
-    rest = rows.join(names, scenario, "left_anti")
-    near = interval_join(rest.filter(normal), windows, ts, "_gs", "_ge", how="left_semi").withColumn("split", F.lit("evaluation"))
-    far = interval_join(rest.filter(normal), windows, ts, "_gs", "_ge", how="left_anti").withColumn("split", F.lit("train"))
-    other = rest.filter(~normal).withColumn("split", F.lit("train"))
-    return in_names.select(*rows.columns, "split").unionByName(near).unionByName(far).unionByName(other.select(*rows.columns, "split"))
+    width = max(int(guard_minutes) * 120, 60)
+    windows = merged_windows(held_out.select((F.col(start) - g).alias("_gs"), (F.col(end) + g).alias("_ge")), "_gs", "_ge")
+    slot = lambda c: F.floor(_epoch(F.col(c)) / width)
+    slots = windows.withColumn("_slot", F.explode(F.sequence(slot("_gs"), slot("_ge"))))
+    slots = slots.groupBy("_slot").agg(F.collect_list(F.struct("_gs", "_ge")).alias("_w"))
+    names = held_out.select(F.col(ident).alias(scenario)).distinct().withColumn("_held", F.lit(True))
+    out = rows.withColumn("_slot", slot(ts)).join(slots, "_slot", "left").join(names, scenario, "left")
+    near = F.coalesce(F.exists("_w", lambda w: F.col(ts).between(w["_gs"], w["_ge"])), F.lit(False))
+    split = F.when(F.col("_held") | (normal & near), "evaluation").otherwise("train")
+    return out.select(*rows.columns, split.alias("split"))
 
 
 def aligned_differences(left: DataFrame, right: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:

@@ -88,7 +88,7 @@ def _score_steps(df: DataFrame, group: list[str], y: str, p: str) -> DataFrame:
 
     folded = df.groupBy(*group, F.col(p).cast("double").alias("_s")).agg(
         F.count(F.when(F.col(y) == 1, 1)).alias("_pos"), F.count(F.when(F.col(y) == 0, 1)).alias("_neg"))
-    fr = Series(group, ["_s"], cell=value_cell(F.col("_s"), 1024)).frame(folded)
+    fr = Series(group, ["_s"], cell=value_cell(F.col("_s"))).frame(folded)
     return fr.running_sum("_neg_below", F.col("_neg"), inclusive=False).running_sum("_pos_below", F.col("_pos"), inclusive=False).rows()
 
 

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators.quantiles import exact_quantiles, unpivot
@@ -132,32 +132,32 @@ def sample_stability(a: DataFrame, b: DataFrame, cols: list[str]) -> DataFrame:
     return both.withColumns({"constant_a": ca, "constant_b": cb, "constant_both": ca & cb})
 
 
-def drift(base: DataFrame, other: DataFrame, cols: list[str], zero_std_as_zero: bool = False) -> DataFrame:
-    """Mean and median shift in base standard deviations and the share outside the base range.
+def drift(base: DataFrame, others: dict[str, DataFrame], cols: list[str], zero_std_as_zero: bool = False) -> DataFrame:
+    """Mean and median shift of each sample in base standard deviations and the share of its
+    values outside the base range. All samples share the same few passes.
 
     A constant base feature has no scale: its shift is null, or 0 with `zero_std_as_zero`.
     """
-    def med(df):
-        tall = unpivot(df, [], cols)
-        return exact_quantiles(tall, ["feature"], "value", {"median": 0.5}, few_groups=True)
-
-    b = feature_moments(base, cols).join(med(base), "feature")
-    b = b.select("feature", *[F.col(c).alias(f"base_{c}") for c in ("mean", "std", "min", "max", "median")])
-    o = feature_moments(other, cols).join(med(other), "feature")
-    o = o.select("feature", *[F.col(c).alias(f"other_{c}") for c in ("mean", "std", "min", "max", "median")])
-    tall = unpivot(other, [], cols)
+    parts = [base.select(F.lit("").alias("sample"), *cols), *[df.select(F.lit(n).alias("sample"), *cols) for n, df in others.items()]]
+    rows = reduce(DataFrame.unionByName, parts)
+    on = ["sample", "feature"]
+    tall = unpivot(rows, ["sample"], cols)
+    med = exact_quantiles(tall, on, "value", {"median": 0.5}, few_groups=True)
+    stats = feature_moments(rows, cols, ["sample"]).join(med, on)
+    side = lambda tag, df: df.select(*on, *[F.col(c).alias(f"{tag}_{c}") for c in ("mean", "std", "min", "max", "median")])
+    b = side("base", stats.filter("sample = ''")).drop("sample")
+    o = side("other", stats.filter("sample <> ''"))
     # base ranges: one row per feature
     limits = F.broadcast(b.select("feature", "base_min", "base_max"))
-    outside = tall.join(limits, "feature").groupBy("feature").agg(
-        (F.avg(F.when(F.col("value") < F.col("base_min"), 1.0).otherwise(0.0)) * 100).alias("below_pct"),
-        (F.avg(F.when(F.col("value") > F.col("base_max"), 1.0).otherwise(0.0)) * 100).alias("above_pct"),
-    )
+    v, lo, hi = F.col("value"), F.col("base_min"), F.col("base_max")
+    outside = tall.filter("sample <> ''").join(limits, "feature").groupBy(*on).agg(
+        (F.avg(F.when(v < lo, 1.0).otherwise(0.0)) * 100).alias("below_pct"), (F.avg(F.when(v > hi, 1.0).otherwise(0.0)) * 100).alias("above_pct"))
 
     def shift(c):
         z = F.try_divide(F.abs(F.col(f"other_{c}") - F.col(f"base_{c}")), F.col("base_std"))
         return F.when(F.col("base_std") == 0, F.lit(0.0) if zero_std_as_zero else None).otherwise(z)
 
-    out = b.join(o, "feature").join(outside, "feature")
+    out = o.join(b, "feature").join(outside, on)
     out = out.withColumns({"mean_shift": shift("mean"), "median_shift": shift("median")})
     return out.withColumns({
         "shift_flag": F.coalesce(F.col("mean_shift") >= 2, F.lit(False)),
@@ -165,23 +165,13 @@ def drift(base: DataFrame, other: DataFrame, cols: list[str], zero_std_as_zero:
     })
 
 
-def drift_priority(drifts: dict[str, DataFrame]) -> DataFrame:
-    """Largest shift of each feature over several comparisons, range share and overall rank."""
-    parts = None
-    for tag, df in drifts.items():
-        one = df.select(
-            "feature", F.col("mean_shift").alias(f"mean_{tag}"), F.col("median_shift").alias(f"median_{tag}"),
-            (F.col("below_pct") + F.col("above_pct")).alias(f"out_{tag}"),
-        )
-        parts = one if parts is None else parts.join(one, "feature")
-    shifts = [F.col(f"{s}_{t}") for t in drifts for s in ("mean", "median")]
-    outs = [F.col(f"out_{t}") for t in drifts]
-    best = F.greatest(*shifts) if len(shifts) > 1 else shifts[0]
-    out = F.greatest(*outs) if len(outs) > 1 else outs[0]
-    from tidewatch.operators.topk import first_rank
-
-    scored = parts.select("feature", best.alias("max_shift"), out.alias("max_outside_pct"))
-    return first_rank(scored, [], [F.desc("max_shift"), F.desc("max_outside_pct"), F.asc("feature")], "priority_rank")
+def drift_priority(drifts: DataFrame) -> DataFrame:
+    """Largest shift and outside share of each feature over all samples, and the overall rank.
+    One row per feature goes in, so the rank is a small sort."""
+    scored = drifts.groupBy("feature").agg(
+        F.max(F.greatest("mean_shift", "median_shift")).alias("max_shift"), F.max(F.col("below_pct") + F.col("above_pct")).alias("max_outside_pct"))
+    order = Window.orderBy(F.desc("max_shift"), F.desc("max_outside_pct"), F.asc("feature"))
+    return scored.withColumn("priority_rank", F.row_number().over(order))
 
 
 def temporal_feasibility(df: DataFrame, series: Series, cols: list[str], gap_seconds: float, window: int = 5) -> DataFrame:

@@ -28,13 +28,28 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
     return df.groupBy(*keys).agg(row).select(*keys, "_row.*")
 
 
-def first_rank(df: DataFrame, group: list[str], order: list[Column], name: str, method: str = "first") -> DataFrame:
-    """Rank inside a group: `first` numbers ties in order, `min` gives ties the lowest rank.
-
-    For metadata-sized tables (features, candidates, models).
-    """
-    w = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn(name, (F.row_number() if method == "first" else F.rank()).over(w))
+def rank_first(df: DataFrame, group: list[str], score: str, ties: list[str], name: str, descending: bool = True) -> DataFrame:
+    """Rank 1, 2, 3 … inside a group; equal scores are numbered by the tie columns. Ranks are
+    positions along a series ordered by score, so a hot group is cut by score ranges."""
+    from tidewatch.operators.quantiles import value_cell
+    from tidewatch.operators.series import Series
+
+    keyed = df.withColumn("_by", -F.col(score) if descending else F.col(score))
+    out = Series(group, ["_by", *ties], cell=value_cell(F.col("_by"))).frame(keyed).position(name).rows()
+    return out.withColumn(name, F.col(name) + 1).drop("_by")
+
+
+def rank_min(df: DataFrame, group: list[str], score: str, name: str, descending: bool = True) -> DataFrame:
+    """Rank inside a group where equal scores share the lowest rank: one more than the rows
+    with a better score, counted on distinct scores and joined back."""
+    from tidewatch.operators.quantiles import value_cell
+    from tidewatch.operators.series import Series
+
+    keyed = df.withColumn("_by", -F.col(score) if descending else F.col(score))
+    counts = keyed.groupBy(*group, "_by").agg(F.count(F.lit(1)).alias("_n"))
+    better = Series(group, ["_by"], cell=value_cell(F.col("_by"))).frame(counts).running_sum(name, F.col("_n"), inclusive=False).rows()
+    out = keyed.join(better.drop("_n"), [*group, "_by"])
+    return out.withColumn(name, F.col(name) + 1).drop("_by")
 
 
 def category_order(df: DataFrame, column: str, categories: list[str], *then: Column) -> DataFrame:

@@ -186,12 +186,10 @@ def seconds_in_minute(df: DataFrame, series: Series, ordinal: str) -> DataFrame:
     as cut at its start, so its places begin at 1 (later ones at 0).
     """
     ts = series.order[0]
-    minute = F.date_trunc("minute", F.col(ts))
     firsts = df.groupBy(*series.keys).agg(F.min(F.date_trunc("minute", ts)).alias("_first"))
-    w = Window.partitionBy(*series.keys, "minute").orderBy(ts, ordinal)
-    place = F.row_number().over(w) - 1
-    # a minute is a bounded group: the cadence limits its rows
-    out = df.withColumn("minute", minute).withColumn("place", place.cast("long"))
+    stamped = df.withColumn("minute", F.date_trunc("minute", F.col(ts)))
+    minutes = Series([*series.keys, "minute"], [ts, ordinal], cell=F.date_trunc("second", F.col(ts)))
+    out = minutes.frame(stamped).position("place").rows()
     out = out.join(firsts, series.keys) if series.keys else out.crossJoin(firsts)
     shift = F.when(F.col("minute") == F.col("_first"), 1).otherwise(0)
     rebuilt = F.expr("minute + make_dt_interval(0, 0, 0, cast(_place_s AS DECIMAL(18,6)))")

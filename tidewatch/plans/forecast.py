@@ -14,6 +14,7 @@ from tidewatch.operators.columns import leaking
 from tidewatch.operators.series import Series
 from tidewatch.operators.splits import expanding_folds, positional_split
 from tidewatch.operators.topk import top_k
+from tidewatch.sources.tables import small_table
 
 
 @dataclass(frozen=True)
@@ -46,7 +47,7 @@ def fit_horizons(df: DataFrame, features: list[str], targets: dict[int, str]) ->
 
 def coefficients_table(spark, models: dict[int, LinearModel]) -> DataFrame:
     rows = [(h, f, c) for h, m in models.items() for f, c in [*zip(m.features, m.coefficients), ("(intercept)", m.intercept)]]
-    return spark.createDataFrame(rows, "horizon INT, feature STRING, coefficient DOUBLE")
+    return small_table(spark, rows, "horizon INT, feature STRING, coefficient DOUBLE")
 
 
 def score_horizons(df: DataFrame, models: dict[int, LinearModel], prefix: str = "forecast_") -> DataFrame:

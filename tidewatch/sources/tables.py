@@ -4,6 +4,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +33,12 @@ def pin(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A driver-side catalogue as a table of known size, so Spark broadcasts it by its own check."""
+    types = T._parse_datatype_string(schema)
+    return spark.createDataFrame(pd.DataFrame(rows, columns=types.names), types)
+
+
 def read_delimited(spark: SparkSession, path, schema: T.StructType | None = None, **options) -> DataFrame:
     """Delimited scan with a given schema; types are inferred (one extra pass) only without one."""
     reader = spark.read.options(header=True, **options)
@@ -51,7 +58,7 @@ def read_parts(spark: SparkSession, paths: list[str], fmt: str = "parquet", sche
 def schema_table(df: DataFrame) -> DataFrame:
     """Column table of a DataFrame: ordinal, name and type, learned without reading rows."""
     rows = [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)]
-    return df.sparkSession.createDataFrame(rows, "ordinal INT, column_name STRING, data_type STRING")
+    return small_table(df.sparkSession, rows, "ordinal INT, column_name STRING, data_type STRING")
 
 
 def scan(
@@ -80,7 +87,7 @@ def read_manifest(spark: SparkSession, path: str, fallback: tuple[str, str] = ("
 
 def registry_table(spark: SparkSession, entries: list[tuple[str, str, str, str]]) -> DataFrame:
     """Static dataset catalogue: name, path, role, status."""
-    return spark.createDataFrame(entries, "dataset STRING, path STRING, role STRING, status STRING")
+    return small_table(spark, entries, "dataset STRING, path STRING, role STRING, status STRING")
 
 
 def inventory(df: DataFrame, name: str) -> DataFrame:
