@@ -36,11 +36,11 @@ def feats(spark, d):
 C = F.col
 
 
-def rule(name, sql, **cols):
-    """Register a row-wise rule over the feature table."""
+def rule(name, sql, cols):
+    """Register a row-wise rule over the feature table; `cols` makes its columns when run."""
     @query(name, f"WITH {FEATS} SELECT id, {sql} FROM f")
     def run(spark, d):
-        return feats(spark, d).select("id", *[v.alias(k) for k, v in cols.items()])
+        return feats(spark, d).select("id", *[v.alias(k) for k, v in cols().items()])
 
 
 NAMES = "nm AS (SELECT p_partkey AS id, replace(p_name, ' ', '_') AS name FROM part)"
@@ -73,7 +73,8 @@ def r02(spark, d):
     return counted.withColumn("side", F.lit("data")).unionByName(extra)
 
 
-rule("R03_variability", "CASE n1 WHEN 1 THEN 'Constant' WHEN 2 THEN 'Two-State' ELSE 'Variable' END AS variability", variability=ru.variability(C("n1")))
+rule("R03_variability", "CASE n1 WHEN 1 THEN 'Constant' WHEN 2 THEN 'Two-State' ELSE 'Variable' END AS variability",
+     lambda: dict(variability=ru.variability(C("n1"))))
 
 
 def _p(a, b):
@@ -91,19 +92,25 @@ REL = "CASE " + " ".join([
     "WHEN " + _p("Frequency Deviation", "'Output Power', 'Electrical Load Demand', 'Total Electrical Load Demand'") + " THEN 'Frequency vs Power/Load'",
     "WHEN 'Internal Control-Logic Output' IN (role, role_2) AND role <> role_2 THEN 'Internal Control Logic vs Process Signal'",
     "WHEN role = role_2 THEN 'Same Role' ELSE 'Different Engineering Roles' END"])
-rel = ru.role_relationship(C("role"), C("role_2"))
-rule("R04_role_relationship", f"{REL} AS relationship", relationship=rel)
-rule("R05_relationship_decision", f"CASE WHEN {REL} IN ('Same Role', 'Different Engineering Roles') THEN 'REVIEW' ELSE 'KEEP' END AS decision", decision=ru.relationship_decision(rel))
+def rel():
+    return ru.role_relationship(C("role"), C("role_2"))
+
+
+rule("R04_role_relationship", f"{REL} AS relationship",
+     lambda: dict(relationship=rel()))
+rule("R05_relationship_decision", f"CASE WHEN {REL} IN ('Same Role', 'Different Engineering Roles') THEN 'REVIEW' ELSE 'KEEP' END AS decision",
+     lambda: dict(decision=ru.relationship_decision(rel())))
 rule("R06_selection_decision", """CASE WHEN n2 = 1 AND n3 = 1 THEN 'EXCLUDE' WHEN n2 = 1 OR n3 = 1 THEN 'REVIEW' WHEN role = 'Requires Documentation' THEN 'DOCUMENT'
  WHEN role IN ('Vibration / Equipment Condition', 'Equipment Condition', 'Process Measurement', 'Status / Switch', 'Setpoint', 'Control / Assignment') THEN 'KEEP'
  WHEN role = 'Derived / Calculated' THEN 'REVIEW' WHEN role = 'Equipment / Pump Signal' THEN CASE WHEN n1 = 1 THEN 'EXCLUDE' ELSE 'KEEP' END ELSE 'REVIEW' END AS decision""",
-     decision=ru.selection_decision(C("role"), C("n2") == 1, C("n3") == 1, ru.variability(C("n1"))))
+     lambda: dict(decision=ru.selection_decision(C("role"), C("n2") == 1, C("n3") == 1, ru.variability(C("n1")))))
 STAB = """CASE WHEN abs(r1) >= 0.95 AND abs(r2) >= 0.95 THEN CASE WHEN r1 * r2 < 0 THEN 'HIGH_BUT_SIGN_CHANGED' ELSE 'STABLE_HIGH_CORRELATION' END WHEN abs(r1) >= 0.95 AND abs(r2) < 0.95 THEN 'TEST1_SPECIFIC'
  WHEN abs(r2) >= 0.95 AND abs(r1) < 0.95 THEN 'TEST2_SPECIFIC' WHEN abs(r1) >= 0.8 AND abs(r2) >= 0.8 THEN 'MODERATE_STABLE' ELSE 'UNSTABLE' END"""
 rule("R07_correlation_stability", f"{STAB} AS stability, round(abs(abs(r1) - abs(r2)), 6) AS difference, coalesce((r1 >= 0) = (r2 >= 0), false) AS same_direction",
-     stability=ru.stability_class(C("r1"), C("r2")), difference=r(F.abs(F.abs("r1") - F.abs("r2"))), same_direction=F.coalesce((C("r1") >= 0) == (C("r2") >= 0), F.lit(False)))
+     lambda: dict(stability=ru.stability_class(C("r1"), C("r2")), difference=r(F.abs(F.abs("r1") - F.abs("r2"))), same_direction=F.coalesce((C("r1") >= 0) == (C("r2") >= 0), F.lit(False))))
 rule("R08_redundancy_assessment", """CASE WHEN role = role_2 THEN CASE WHEN role IN ('Process Measurement', 'Equipment / Pump Signal', 'Equipment Condition') THEN 'REDUNDANT_CANDIDATE' ELSE 'REVIEW' END
- ELSE 'RETAIN_BOTH_REVIEW' END AS decision""", decision=ru.redundancy_assessment(C("role"), C("role_2")))
+ ELSE 'RETAIN_BOTH_REVIEW' END AS decision""",
+     lambda: dict(decision=ru.redundancy_assessment(C("role"), C("role_2"))))
 
 
 @query("R09_representatives", f"""WITH {FEATS}, e AS (SELECT role AS node FROM f WHERE {STAB} = 'STABLE_HIGH_CORRELATION' UNION ALL SELECT role_2 FROM f WHERE {STAB} = 'STABLE_HIGH_CORRELATION'),
@@ -124,21 +131,23 @@ STRENGTH = "CASE WHEN r1 IS NULL THEN 'Unavailable' WHEN abs(r1) >= 0.3 THEN 'St
 DIFF = "abs(abs(r1) - abs(r2))"
 rule("R10_label_relationship", f"""{SIGN} AS sign, {STRENGTH} AS strength, CASE WHEN r1 IS NULL OR r2 IS NULL THEN 'Single-dataset evidence' WHEN {DIFF}::DOUBLE <= 0.05::DOUBLE THEN 'Stable'
  WHEN {DIFF}::DOUBLE <= 0.1::DOUBLE THEN 'Moderately stable' ELSE 'Variable' END AS stability""",
-     sign=ru.sign_consistency(C("r1"), C("r2")), strength=ru.relationship_strength(C("r1")), stability=ru.relationship_stability(C("r1"), C("r2")))
+     lambda: dict(sign=ru.sign_consistency(C("r1"), C("r2")), strength=ru.relationship_strength(C("r1")), stability=ru.relationship_stability(C("r1"), C("r2"))))
 rule("R11_feature_assessment", f"""CASE WHEN n2 = 1 AND n3 = 1 THEN 'Constant in both' WHEN n2 = 1 THEN 'Constant only in Test1' WHEN n3 = 1 THEN 'Constant only in Test2' ELSE 'Variable' END AS constant_status,
  CASE WHEN r1 IS NULL AND r2 IS NULL THEN 'No label correlation available' WHEN r1 IS NULL OR r2 IS NULL THEN 'Single-dataset evidence' WHEN {DIFF}::DOUBLE <= 0.05::DOUBLE THEN 'Consistent magnitude' WHEN {DIFF}::DOUBLE <= 0.1::DOUBLE THEN 'Moderately consistent magnitude' ELSE 'Magnitude varies' END AS label_evidence,
  CASE WHEN n2 = 1 AND n3 = 1 THEN 'Showcase / Configuration' WHEN {STRENGTH} = 'Strong' THEN 'High-priority candidate' WHEN {STRENGTH} = 'Moderate' THEN 'Candidate for further evaluation'
  WHEN {STRENGTH} = 'Weak' AND {SIGN} = 'Consistent sign' THEN 'Potential supporting feature' WHEN {STRENGTH} = 'Very Weak' THEN 'Low observed label association' ELSE 'Requires further evaluation' END AS assessment""",
-     constant_status=ru.constant_status(C("n2") == 1, C("n3") == 1), label_evidence=ru.label_evidence(C("r1"), C("r2")),
-     assessment=ru.assessment((C("n2") == 1) & (C("n3") == 1), ru.relationship_strength(C("r1")), ru.sign_consistency(C("r1"), C("r2"))))
+     lambda: dict(constant_status=ru.constant_status(C("n2") == 1, C("n3") == 1), label_evidence=ru.label_evidence(C("r1"), C("r2")),
+     assessment=ru.assessment((C("n2") == 1) & (C("n3") == 1), ru.relationship_strength(C("r1")), ru.sign_consistency(C("r1"), C("r2")))))
 rule("R12_constant_class", """CASE WHEN n1 = 1 AND n2 = 1 AND n3 = 1 THEN 'Constant in training, Test1 and Test2' WHEN n2 > 1 AND n3 > 1 THEN 'Constant in training, variable in Test1 and Test2'
- WHEN n2 > 1 THEN 'Constant in training, variable in Test1' WHEN n3 > 1 THEN 'Constant in training, variable in Test2' ELSE 'Requires review' END AS class""", **{"class": ru.constant_class(C("n1"), C("n2"), C("n3"))})
+ WHEN n2 > 1 THEN 'Constant in training, variable in Test1' WHEN n3 > 1 THEN 'Constant in training, variable in Test2' ELSE 'Requires review' END AS class""",
+     lambda: dict(**{"class": ru.constant_class(C("n1"), C("n2"), C("n3"))}))
 rule("R13_training_decision", """CASE WHEN role IN ('Process Measurement', 'Electrical Load Demand', 'Output Power', 'Valve Position Command', 'Valve Current Position', 'Measured Flowrate', 'Converted Flowrate', 'Controller Output') THEN 'KEEP' ELSE 'REVIEW' END AS decision""",
-     decision=ru.training_decision(C("role")))
-CAT = ru.review_category(C("role"), ["Setpoint", "Status / Switch"], ["Requires Documentation"], ["Internal Control-Logic Output"])
+     lambda: dict(decision=ru.training_decision(C("role"))))
+def category():
+    return ru.review_category(C("role"), ["Setpoint", "Status / Switch"], ["Requires Documentation"], ["Internal Control-Logic Output"])
 rule("R14_review_resolution", """CASE WHEN role IN ('Setpoint', 'Status / Switch') THEN 'DOCUMENTED_ENGINEERING_SIGNAL' WHEN role = 'Requires Documentation' THEN 'REQUIRES_DOCUMENTATION' WHEN role = 'Internal Control-Logic Output' THEN 'INTERNAL_CONTROL_LOGIC' ELSE 'UNRESOLVED' END AS category,
  CASE WHEN role IN ('Setpoint', 'Status / Switch') THEN 'KEEP' WHEN role IN ('Requires Documentation', 'Internal Control-Logic Output') THEN 'REVIEW' ELSE CASE WHEN n1 = 1 THEN 'EXCLUDE' ELSE 'REVIEW' END END AS decision""",
-     category=CAT, decision=ru.resolved_decision(CAT, F.when(C("n1") == 1, "EXCLUDE").otherwise("REVIEW")))
+     lambda: dict(category=category(), decision=ru.resolved_decision(category(), F.when(C("n1") == 1, "EXCLUDE").otherwise("REVIEW"))))
 
 
 @query("R15_activity_class", f"""WITH s AS (SELECT user_id, l_floor - lag(l_floor) {U.replace('OVER (', 'OVER (')} AS dv FROM (SELECT *, floor(value / 25) AS l_floor FROM events)),

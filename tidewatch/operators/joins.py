@@ -8,8 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.operators.series import eq_null_safe
-
 
 def star_join(fact: DataFrame, dims: list[tuple[DataFrame, str, str]]) -> DataFrame:
     """Left-join dimensions in turn: (dimension, key on the left so far, key in the dimension)."""
@@ -60,12 +58,11 @@ def interval_join(
     slot = lambda c: F.floor(_epoch(F.col(c)) / width_seconds)
     left = rows.withColumn("_slot", slot(ts))
     right = intervals.withColumn("_slot", F.explode(F.sequence(slot(start), slot(end))))
-    inside = F.col(ts).between(F.col(start), F.col(end))
-    on = eq_null_safe(left, right, [*keys]) & (left["_slot"] == right["_slot"]) & inside
-    out = left.join(right, on, how)
-    if how in ("left_semi", "left_anti"):
-        return out.drop("_slot")
-    return out.drop(left["_slot"]).drop(right["_slot"]).select(*[left[c] for c in rows.columns], *[right[c] for c in intervals.columns if c not in keys])
+    right = right.withColumnsRenamed({k: f"_r_{k}" for k in [*keys, "_slot"]})
+    on = (F.col("_slot") == F.col("_r__slot")) & F.col(ts).between(F.col(start), F.col(end))
+    for k in keys:
+        on = on & (F.col(k) == F.col(f"_r_{k}"))
+    return left.join(right, on, how).drop("_slot", "_r__slot", *[f"_r_{k}" for k in keys])
 
 
 def interval_hits(rows: DataFrame, intervals: DataFrame, ident: str, ts: str, start: str, end: str, keys: list[str] = (), width_seconds: int = 3600) -> DataFrame:

@@ -131,7 +131,7 @@ def detection_rates(df: DataFrame, row: list[str], truth: str, p: str, threshold
 
 def probability_losses(df: DataFrame, group: list[str], y: str, p: str, eps: float = 1e-7) -> DataFrame:
     """Brier score and log loss with clipped probabilities."""
-    q = F.least(F.greatest(F.col(p), F.lit(eps)), F.lit(1 - eps))
+    q = F.when(F.col(p).isNotNull(), F.least(F.greatest(F.col(p), F.lit(eps)), F.lit(1 - eps)))
     loss = -F.when(F.col(y) == 1, F.ln(q)).otherwise(F.ln(1 - q))
     d = F.col(p) - F.col(y)
     return df.groupBy(*group).agg(F.avg(d * d).alias("brier"), F.avg(loss).alias("log_loss"))

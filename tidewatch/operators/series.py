@@ -34,8 +34,12 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def eq_null_safe(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[n].eqNullSafe(right[n]) for n in names], F.lit(True))
+def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join where a missing key equals a missing key. Keys of the right side are renamed
+    first, so tables that stem from one another can be joined."""
+    other = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    return left.join(other, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
 class Series:
@@ -48,14 +52,18 @@ class Series:
         small_bytes: int = SMALL_TABLE_BYTES,
     ):
         self.keys, self.order = list(keys), list(order)
-        self.cell = cell if cell is not None else F.date_trunc("hour", F.col(self.order[0]))
+        self._cell = cell
         self.target_rows, self.small_bytes = target_rows, small_bytes
         self._known: tuple[DataFrame | None] | None = None
 
+    @property
+    def cell(self) -> Column:
+        return self._cell if self._cell is not None else F.date_trunc("hour", F.col(self.order[0]))
+
     def measured(self, df: DataFrame) -> "Series":
         """This series with its hot groups looked up once, for several frames over tables
         that hold the same rows (columns may be added)."""
-        out = Series(self.keys, self.order, self.cell, self.target_rows, self.small_bytes)
+        out = Series(self.keys, self.order, self._cell, self.target_rows, self.small_bytes)
         out._known = (out._hot_cells(df),)
         return out
 
@@ -65,11 +73,8 @@ class Series:
         if cells is None:
             return Frame(self, df.withColumn(CHUNK, F.lit(0)).withColumn(HALO, F.lit(False)), None)
         at = cells.select(*self.keys, CELL, CHUNK)
-        left = df.withColumn(CELL, self.cell)
-        on = eq_null_safe(left, at, [*self.keys, CELL])
-        rows = left.join(at, on, "left").select(
-            *[left[c] for c in df.columns], F.coalesce(at[CHUNK], F.lit(0)).alias(CHUNK)
-        )
+        rows = join_on(df.withColumn(CELL, self.cell), at, [*self.keys, CELL], "left")
+        rows = rows.select(*df.columns, F.coalesce(CHUNK, F.lit(0)).alias(CHUNK))
         chunks = cells.groupBy(*self.keys, CHUNK).agg(F.min(START).alias(START), F.sum(SIZE).alias(SIZE))
         out = rows.withColumn(HALO, F.lit(False))
         if before:
@@ -108,18 +113,15 @@ class Series:
             .filter(F.col("_r") <= k)
         )
         start, size = F.col(START), F.col(SIZE)
-        edge = edge.join(chunks, eq_null_safe(edge, chunks, [*self.keys, CHUNK])).select(
-            *[edge[c] for c in rows.columns if c != CHUNK],
-            (start + size - F.col("_r") if back else start + F.col("_r") - 1).alias(POS),
-        )
+        plain = [c for c in rows.columns if c != CHUNK]
+        placed = join_on(edge, chunks, [*self.keys, CHUNK])
+        edge = placed.select(*plain, (start + size - F.col("_r") if back else start + F.col("_r") - 1).alias(POS))
         first, last = (start - k, start - 1) if back else (start + size, start + size + k - 1)
         need = (
             chunks.filter(last >= 0)
             .select(*self.keys, CHUNK, F.explode(F.sequence(F.greatest(first, F.lit(0)), last)).alias(POS))
         )
-        return edge.join(need, eq_null_safe(edge, need, [*self.keys, POS])).select(
-            *[edge[c] for c in rows.columns if c != CHUNK], need[CHUNK], F.lit(True).alias(HALO)
-        )
+        return join_on(edge, need, [*self.keys, POS]).select(*rows.columns, F.lit(True).alias(HALO))
 
 
 class Frame:
@@ -153,10 +155,7 @@ class Frame:
         if self.chunks is None:
             return self.map(lambda _: out)
         carry = self._carry(self.df.filter(F.col(CHUNK) > 0).groupBy(*keys, CHUNK).agg(F.sum(value).alias("_s")), "_s")
-        joined = out.join(carry, eq_null_safe(out, carry, [*keys, CHUNK]), "left").select(
-            *[out[c] for c in out.columns if c != name],
-            (out[name] + F.coalesce(carry["_carry"], F.lit(0))).alias(name),
-        )
+        joined = join_on(out, carry, [*keys, CHUNK], "left").withColumn(name, F.col(name) + F.coalesce("_carry", F.lit(0))).drop("_carry")
         return self.map(lambda _: joined)
 
     def running_max(self, name: str, value: Column, inclusive: bool = True) -> "Frame":
@@ -169,8 +168,7 @@ class Frame:
         earlier = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
         tops = self.df.filter(F.col(CHUNK) > 0).groupBy(*keys, CHUNK).agg(F.max(value).alias("_m"))
         carry = tops.select(*keys, CHUNK, F.max("_m").over(earlier).alias("_carry"))
-        joined = out.join(carry, eq_null_safe(out, carry, [*keys, CHUNK]), "left").select(
-            *[out[c] for c in out.columns if c != name], F.greatest(out[name], carry["_carry"]).alias(name))
+        joined = join_on(out, carry, [*keys, CHUNK], "left").withColumn(name, F.greatest(name, "_carry")).drop("_carry")
         return self.map(lambda _: joined)
 
     def _carry(self, totals: DataFrame, col: str) -> DataFrame:
@@ -183,10 +181,8 @@ class Frame:
         if self.chunks is None:
             return self.map(lambda _: local)
         chunks, keys = self.chunks, self.series.keys
-        joined = local.join(chunks, eq_null_safe(local, chunks, [*keys, CHUNK]), "left").select(
-            *[local[c] for c in local.columns if c != name],
-            (local[name] + F.coalesce(chunks[START], F.lit(0))).alias(name),
-        )
+        starts = chunks.select(*keys, CHUNK, START)
+        joined = join_on(local, starts, [*keys, CHUNK], "left").withColumn(name, F.col(name) + F.coalesce(START, F.lit(0))).drop(START)
         return self.map(lambda _: joined)
 
     def rows(self) -> DataFrame:

@@ -57,7 +57,8 @@ def score_labels(df: DataFrame, models: dict[str, object], ids: list[str], truth
 
 
 def clip(p: Column) -> Column:
-    return F.least(F.greatest(p, F.lit(EPS)), F.lit(1 - EPS))
+    # least and greatest skip nulls, so a missing probability is kept missing here
+    return F.when(p.isNotNull(), F.least(F.greatest(p, F.lit(EPS)), F.lit(1 - EPS)))
 
 
 class Calibrators:

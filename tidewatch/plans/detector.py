@@ -129,7 +129,7 @@ def fit_forest(
     order = [F.asc("_o"), *[F.asc(c) for c in ident]]
     kept = top_k(drawn, ["tree"], order, size).select("tree", "_o", *features)
 
-    def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(key[0])
         x = pdf.sort_values(["_o", *features])[features].to_numpy(dtype=float)
         return pd.DataFrame([{"tree": tree, **_grow(x, np.random.default_rng([seed, tree]), limit)}])
