@@ -94,6 +94,19 @@ def a04_folds(spark, d):
     return fold_summary(f, ["horizon"], ["mae", "rmse", "r2"])
 
 
+FOLD_SQL = f"""WITH {S.replace("t AS (SELECT * FROM s", "t AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS pos, count(*) OVER () AS n FROM s").replace("SELECT event_id, value, lag", "SELECT event_id, ts, value, lag", 1)},
+fo AS (SELECT * FROM (VALUES (1, 0.6, 0.8), (2, 0.7, 0.9), (3, 0.8, 1.0)) q(fold, a, b)),
+h AS (SELECT 2 AS horizon, pos, n, value, target_2 AS y FROM t UNION ALL SELECT 10, pos, n, value, target_10 FROM t UNION ALL SELECT 30, pos, n, value, target_30 FROM t),
+co AS (SELECT fold, horizon, regr_slope(y, value) AS m, regr_intercept(y, value) AS c FROM h, fo WHERE pos < floor(n * a::DOUBLE) GROUP BY 1, 2),
+er AS (SELECT fold, horizon, m * value + c - y AS e FROM h JOIN co USING (horizon) JOIN fo USING (fold) WHERE pos >= floor(n * a::DOUBLE) AND pos < floor(n * b::DOUBLE))
+SELECT fold, horizon, count(*) AS rows, round(avg(abs(e)), 5) AS mae, round(sqrt(avg(e * e)), 5) AS rmse FROM er GROUP BY 1, 2"""
+
+
+@query("A04_fold_errors", FOLD_SQL)
+def a04_fold_errors(spark, d):
+    return rr(fc.temporal_robustness(supervised(spark, d), one_stream(), ["value"], TARGETS), ["fold", "horizon", "rows"], ["mae", "rmse"], 5)
+
+
 # ---- detector -------------------------------------------------------------------------------------
 
 KINDS = ["value", "value__diff", "value__abs_diff", "value__std"]
@@ -199,9 +212,16 @@ def a14(spark, d):
     return _calibrated(spark, d).select("row_id", "label", "p", "sigmoid")
 
 
-@query("A15_isotonic_calibration")
+# Isotonic fit in closed form: the largest over starts i <= k of the least mean of i..j over j >= k.
+ISO = f"""WITH {PROB}, g AS (SELECT label, p, sum(y) AS s, count(*) AS n FROM prob GROUP BY 1, 2), o AS (SELECT *, row_number() OVER w AS k, sum(s) OVER w AS cs, sum(n) OVER w AS cn FROM g WINDOW w AS (PARTITION BY label ORDER BY p)),
+pr AS (SELECT a.label, a.k AS i, b.k AS j, (b.cs - a.cs + a.s) / (b.cn - a.cn + a.n) AS m FROM o a JOIN o b ON a.label = b.label AND b.k >= a.k),
+mn AS (SELECT label, i, j AS k, min(m) OVER (PARTITION BY label, i ORDER BY j DESC) AS lo FROM pr), ft AS (SELECT label, k, max(lo) AS v FROM mn GROUP BY 1, 2)
+SELECT row_id, prob.label, round(prob.p, 6) AS p, round(least(greatest(v, 1e-7), 1 - 1e-7), 6) AS isotonic FROM prob JOIN o ON prob.label = o.label AND prob.p = o.p JOIN ft ON ft.label = o.label AND ft.k = o.k"""
+
+
+@query("A15_isotonic_calibration", ISO)
 def a15(spark, d):
-    return _calibrated(spark, d).select("row_id", "label", "p", "isotonic")
+    return _calibrated(spark, d).select("row_id", "label", r("p").alias("p"), r("isotonic").alias("isotonic"))
 
 
 @query("A16_calibrated_table")

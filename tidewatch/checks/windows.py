@@ -136,7 +136,7 @@ def w14(spark, d):
     p = events(spark, d).filter(F.col("event_type") == "purchase").select(
         "event_id", F.col("ts").alias("s"), (F.col("ts") + F.expr("INTERVAL 30 MINUTES")).alias("e"))
     g = w.episode_gaps(p, "s", "e", "event_id").select("event_id", r("gap_minutes", 9).alias("gap_minutes"))
-    return g.crossJoin(g.agg(F.min("gap_minutes").alias("min_gap")))
+    return g.withColumn("min_gap", g.agg(F.min("gap_minutes")).scalar())
 
 
 @query("W15_second_in_minute", """WITH m AS (SELECT event_id, event_type, ts, date_trunc('minute', ts)::TIMESTAMP AS minute FROM events),

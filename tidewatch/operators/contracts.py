@@ -181,11 +181,11 @@ def target_consistency(tagged: DataFrame, ts: str, scenario: str, attack: str, p
     wrong = attacked.select(F.col(scenario), F.col(codes).alias("_c")).distinct().join(catalogue.select(scenario, F.col(codes).alias("_k")), scenario, "left")
     wrong = wrong.agg(F.coalesce(_sum(~F.coalesce(F.col("_c") == F.col("_k"), F.lit(False))), F.lit(0)).alias("codes_differ"))
     clean = tagged.agg(F.coalesce(_sum((F.col(attack) == 0) & F.col(scenario).isNotNull()), F.lit(0)).alias("normal_with_scenario"))
-    row = lost.crossJoin(added).crossJoin(wrong).crossJoin(clean)  # four single-row counts
+    row = clean.withColumns({"positive_minutes_lost": lost.scalar(), "minutes_added": added.scalar(), "codes_differ": wrong.scalar()})
     names = ["positive_minutes_lost", "minutes_added", "codes_differ", "normal_with_scenario"]
     if rows_per_minute is not None:
         odd = have.agg(F.coalesce(_sum(F.col("n") != rows_per_minute), F.lit(0)).alias("odd_minutes"))
-        row, names = row.crossJoin(odd), [*names, "odd_minutes"]
+        row, names = row.withColumn("odd_minutes", odd.scalar()), [*names, "odd_minutes"]
     return as_checks(row, names)
 
 
@@ -202,6 +202,6 @@ def dataset_audit(df: DataFrame, ts: str, keys: list[str], label: str, scenario:
         F.count(F.lit(1)).alias("rows"), _sum(F.col(label) == 1).alias("attack_rows"), _sum(F.col(label) == 0).alias("normal_rows"),
         F.count_distinct(scenario).alias("scenarios"), _sum(F.col(ts).isNull()).alias("missing_timestamps"),
         reduce(lambda a, b: a + b, [F.when(F.min(c) == F.max(c), 1).otherwise(0) for c in cols]).alias("constant_features"),
-    ).crossJoin(repeated_rows(df, keys).withColumnRenamed("duplicates", "duplicate_keys"))
+    ).withColumn("duplicate_keys", repeated_rows(df, keys).scalar())
     names = ["rows", "attack_rows", "normal_rows", "scenarios", "missing_timestamps", "constant_features", "duplicate_keys"]
     return one.select(F.inline(F.array(*[F.struct(F.lit(x).alias("measure"), F.col(x).cast("long").alias("value")) for x in names])))

@@ -34,8 +34,7 @@ def scenario_blocks(df: DataFrame, scenario: str, ts: str, codes: str) -> DataFr
 def distribution(df: DataFrame, cols: list[str]) -> DataFrame:
     """Rows per combination with its percentage of all rows."""
     n = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("rows"))
-    total = n.agg(F.sum("rows").alias("_all"))
-    return n.crossJoin(F.broadcast(total)).withColumn("pct", F.col("rows") * 100.0 / F.col("_all")).drop("_all")
+    return n.withColumn("pct", F.col("rows") * 100.0 / n.agg(F.sum("rows")).scalar())
 
 
 def label_matrix(df: DataFrame, codes: Column, labels: list[str]) -> DataFrame:

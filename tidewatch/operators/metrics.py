@@ -226,8 +226,7 @@ def fold_summary(folds: DataFrame, group: list[str], metrics: list[str]) -> Data
 def candidate_robustness(scores: DataFrame, name: str, sample: str, metric: str, size: str, reference: str) -> DataFrame:
     """Mean and spread of a metric over samples, deltas to a reference candidate, size reduction."""
     per = scores.groupBy(name).agg(F.avg(metric).alias("mean"), F.stddev_pop(metric).alias("std"), (F.max(metric) - F.min(metric)).alias("difference"), F.max(size).alias("size"))
-    # one row: the reference candidate
-    ref = per.filter(F.col(name) == reference).select(F.col("mean").alias("_m"), F.col("size").alias("_s"))
-    out = per.crossJoin(F.broadcast(ref))
+    ref = per.filter(F.col(name) == reference)
+    out = per.withColumns({"_m": ref.select("mean").scalar(), "_s": ref.select("size").scalar()})
     return out.select(name, "mean", "std", "difference", "size", (F.col("mean") - F.col("_m")).alias("mean_delta"),
                       ((1 - F.col("size") / F.col("_s")) * 100).alias("reduction_pct"))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators.quantiles import exact_quantiles, unpivot
-from tidewatch.operators.series import Series
+from tidewatch.operators.series import Series, with_group_value
 
 INF = float("inf")
 # fixed values: quantiles of the quality profile
@@ -76,8 +76,7 @@ def quality_profile(df: DataFrame, cols: list[str]) -> DataFrame:
 def value_counts(df: DataFrame, cols: list[str], group: list[str] = ()) -> DataFrame:
     """Frequency and share of each value per feature."""
     tall = unpivot(df, list(group), cols).groupBy(*group, "feature", "value").agg(F.count(F.lit(1)).alias("rows"))
-    total = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_all"))
-    out = tall.join(total, list(group)) if group else tall.crossJoin(total)
+    out = with_group_value(tall, df, list(group), F.count(F.lit(1)), "_all")
     return out.withColumn("share", F.col("rows") / F.col("_all")).drop("_all")
 
 
@@ -103,7 +102,7 @@ def table_health(df: DataFrame, series: Series) -> DataFrame:
         F.sum("_n").alias("rows"), F.sum(nulls * F.col("_n")).cast("long").alias("null_cells"),
         F.sum(F.col("_n") - 1).alias("duplicate_rows"),
     )
-    return counts.crossJoin(backward_steps(df, series))
+    return counts.withColumn("backward_steps", backward_steps(df, series).scalar()).withColumn("monotonic", F.col("backward_steps") == 0)
 
 
 def backward_steps(df: DataFrame, series: Series) -> DataFrame:
@@ -111,8 +110,7 @@ def backward_steps(df: DataFrame, series: Series) -> DataFrame:
     ts = series.order[-1]
     fr = series.frame(df.select(*series.keys, *series.order), before=1)
     fr = fr.with_columns({"_back": (F.lag(ts).over(fr.window()) > F.col(ts)).cast("int")})
-    out = fr.rows().agg(F.coalesce(F.sum("_back"), F.lit(0)).cast("long").alias("backward_steps"))
-    return out.withColumn("monotonic", F.col("backward_steps") == 0)
+    return fr.rows().agg(F.coalesce(F.sum("_back"), F.lit(0)).cast("long").alias("backward_steps"))
 
 
 def duplicate_groups(df: DataFrame, cols: list[str]) -> DataFrame:

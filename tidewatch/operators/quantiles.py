@@ -30,8 +30,10 @@ def _refined(src: DataFrame, keys: list[str], few_groups: bool) -> DataFrame:
     group's range, so neither heavy tails nor a narrow range crowd into one cell. Both parts
     grow with the value, hence their pairs are ordered and at most as many as both together."""
     span = src.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    small = F.broadcast(span) if few_groups or not keys else span
-    out = src.join(small, keys) if keys else src.crossJoin(small)
+    if keys:
+        out = src.join(F.broadcast(span) if few_groups else span, keys)
+    else:
+        out = src.withColumns({c: span.select(c).scalar() for c in ("_lo", "_hi")})
     part = F.floor(F.coalesce(F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0)) * (1 << 18)).cast("long")
     return out.withColumn("_cell", F.struct(value_cell(F.col("_v")).alias("a"), part.alias("b"))).drop("_lo", "_hi")
 

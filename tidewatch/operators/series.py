@@ -42,6 +42,13 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
     return left.join(other, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def with_group_value(df: DataFrame, source: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
+    """Add an aggregate of the row's group: a join on the keys, or a scalar subquery without keys."""
+    if not keys:
+        return df.withColumn(name, source.agg(value).scalar())
+    return join_on(df, source.groupBy(*keys).agg(value.alias(name)), list(keys), "left")
+
+
 class Series:
     def __init__(
         self,

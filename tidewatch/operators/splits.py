@@ -16,6 +16,36 @@ def positional_split(df: DataFrame, series: Series, fraction: float, names=("tra
     return p.withColumn("split", F.when(F.col("_p") < F.floor(F.col("_n") * F.lit(fraction)), names[0]).otherwise(names[1])).drop("_p", "_n")
 
 
+class Cuts:
+    """Order keys of the rows at given fractions of one long series.
+
+    Found once; a split is then a filter on the order columns, which reaches the scan, instead
+    of a window that every training pass would repeat.
+    """
+
+    def __init__(self, df: DataFrame, series: Series, fractions: list[float]):
+        self.order = series.order
+        p = positions(df.select(*series.order), series, "_p", "_n")
+        wanted = F.array(*[F.struct(F.lit(float(f)).alias("f"), F.floor(F.col("_n") * F.lit(f)).alias("at")) for f in fractions])
+        hit = p.select(*series.order, F.explode(F.filter(wanted, lambda w: w["at"] == F.col("_p"))).alias("_w"))
+        self.keys = {r["f"]: [r[c] for c in self.order] for r in hit.select(*self.order, "_w.f").collect()}
+
+    def before(self, fraction: float) -> Column:
+        """Rows ahead of the cut; all rows for a fraction of 1."""
+        key = self.keys.get(float(fraction))
+        if key is None:
+            return F.lit(True)
+        out, tie = F.lit(False), F.lit(True)
+        for c, v in zip(self.order, key):
+            out = out | (tie & (F.col(c) < F.lit(v)))
+            tie = tie & (F.col(c) == F.lit(v))
+        # the leading bound alone can be pushed to the scan
+        return (F.col(self.order[0]) <= F.lit(key[0])) & out
+
+    def between(self, low: float, high: float) -> Column:
+        return ~self.before(low) & self.before(high)
+
+
 # fixed values: expanding folds (train up to, test up to), as fractions of the rows
 FOLDS = [(0.6, 0.8), (0.7, 0.9), (0.8, 1.0)]
 
@@ -37,8 +67,7 @@ def elapsed_split(df: DataFrame, ts: str, shares=(0.6, 0.8), names=("train", "va
     total = F.timestamp_diff("MICROSECOND", F.col("_a"), F.col("_b"))
     since = F.timestamp_diff("MICROSECOND", F.col("_a"), F.col(ts))
     label = F.when(since < total * F.lit(shares[0]), names[0]).when(since < total * F.lit(shares[1]), names[1]).otherwise(names[2])
-    # the span is one row
-    return df.crossJoin(F.broadcast(span)).withColumn("split", label).drop("_a", "_b")
+    return df.withColumns({c: span.select(c).scalar() for c in ("_a", "_b")}).withColumn("split", label).drop("_a", "_b")
 
 
 def crossing_groups(df: DataFrame, group: str, split: str = "split") -> DataFrame:
@@ -68,7 +97,7 @@ def holdout_by_scenario(df: DataFrame, ts: str, scenario: str, normal: Column, h
     held = F.coalesce(F.col(scenario).isin(held_out), F.lit(False))
     span = df.filter(held).agg(F.min(ts).alias("_a"), F.max(ts).alias("_b"))
     inside = normal & F.col(ts).between(F.col("_a"), F.col("_b"))
-    out = df.crossJoin(F.broadcast(span))
+    out = df.withColumns({c: span.select(c).scalar() for c in ("_a", "_b")})
     return out.withColumn("split", F.when(held | F.coalesce(inside, F.lit(False)), "evaluation").otherwise("train")).drop("_a", "_b")
 
 

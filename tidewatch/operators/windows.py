@@ -6,7 +6,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.operators.series import Frame, Series
+from tidewatch.operators.series import Frame, Series, with_group_value
 
 
 def seconds_between(earlier: Column, later: Column) -> Column:
@@ -186,11 +186,10 @@ def seconds_in_minute(df: DataFrame, series: Series, ordinal: str) -> DataFrame:
     as cut at its start, so its places begin at 1 (later ones at 0).
     """
     ts = series.order[0]
-    firsts = df.groupBy(*series.keys).agg(F.min(F.date_trunc("minute", ts)).alias("_first"))
     stamped = df.withColumn("minute", F.date_trunc("minute", F.col(ts)))
     minutes = Series([*series.keys, "minute"], [ts, ordinal], cell=F.date_trunc("second", F.col(ts)))
     out = minutes.frame(stamped).position("place").rows()
-    out = out.join(firsts, series.keys) if series.keys else out.crossJoin(firsts)
+    out = with_group_value(out, df, series.keys, F.min(F.date_trunc("minute", ts)), "_first")
     shift = F.when(F.col("minute") == F.col("_first"), 1).otherwise(0)
     rebuilt = F.expr("minute + make_dt_interval(0, 0, 0, cast(_place_s AS DECIMAL(18,6)))")
     return out.withColumn("_place_s", F.col("place") + shift).withColumn("second_ts", rebuilt).drop("_first", "_place_s")
@@ -275,13 +274,10 @@ def positions(df: DataFrame, series: Series, name: str = "position", total: str
     out = series.frame(df).position(name).rows()
     if total is None:
         return out
-    counts = df.groupBy(*series.keys).agg(F.count(F.lit(1)).alias(total))
-    # one row when the series has no key
-    return out.join(counts, series.keys) if series.keys else out.crossJoin(counts)
+    return with_group_value(out, df, series.keys, F.count(F.lit(1)), total)
 
 
 def rebase(df: DataFrame, keys: list[str], ts: str, start: Column, name: str = "rebased_ts") -> DataFrame:
     """Move each series so that its first row falls on `start`."""
-    first = df.groupBy(*keys).agg(F.min(ts).alias("_first"))
-    out = df.join(first, keys) if keys else df.crossJoin(first)
+    out = with_group_value(df, df, keys, F.min(ts), "_first")
     return out.withColumn(name, start + (F.col(ts) - F.col("_first"))).drop("_first")

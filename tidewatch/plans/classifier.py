@@ -1,6 +1,8 @@
 """Multi-label classifier: scaling, one-vs-rest fits, calibration and its honest validation."""
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -87,14 +89,20 @@ class Calibrators:
         return out
 
     def apply(self, df: DataFrame) -> DataFrame:
-        """Columns `sigmoid` and `isotonic` next to the raw score; null where no calibrator is."""
-        parts = None
-        for x in self.labels:
-            one = self.isotonic[x].setFeaturesCol("p").setPredictionCol("_iso").transform(df.filter(F.col("label") == x))
-            parts = one if parts is None else parts.unionByName(one)
-        rest = df.filter(~F.col("label").isin(self.labels) if self.labels else F.lit(True)).withColumn("_iso", F.lit(None).cast("double"))
-        parts = rest if parts is None else parts.unionByName(rest)
-        return parts.withColumns({"sigmoid": self.sigmoid_column(), "isotonic": clip(F.col("_iso"))}).drop("_iso")
+        """Columns `sigmoid` and `isotonic` next to the raw score; null where no calibrator is.
+        One pass for all labels: isotonic steps are interpolated per Arrow batch."""
+        steps = {x: (m.boundaries.toArray(), m.predictions.toArray()) for x, m in self.isotonic.items()}
+
+        @F.pandas_udf("double")
+        def isotonic(label: pd.Series, p: pd.Series) -> pd.Series:
+            out = pd.Series(np.nan, index=p.index)
+            for x, at in label.groupby(label).groups.items():
+                if x in steps:
+                    out.loc[at] = np.interp(p.loc[at], *steps[x])
+            return out
+
+        raw = F.nanvl(isotonic(F.col("label"), F.col("p")), F.lit(None).cast("double"))
+        return df.withColumns({"sigmoid": self.sigmoid_column(), "_iso": raw}).withColumn("isotonic", clip(F.col("_iso"))).drop("_iso")
 
 
 def calibration_metrics(df: DataFrame, group: list[str] = ("label",)) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidewatch.operators import metrics
 from tidewatch.operators.columns import leaking
 from tidewatch.operators.series import Series
-from tidewatch.operators.splits import expanding_folds, positional_split
+from tidewatch.operators.splits import FOLDS, Cuts
 from tidewatch.operators.topk import top_k
 from tidewatch.sources.tables import small_table
 
@@ -42,7 +42,10 @@ def fit_linear(df: DataFrame, features: list[str], target: str) -> LinearModel:
 
 
 def fit_horizons(df: DataFrame, features: list[str], targets: dict[int, str]) -> dict[int, LinearModel]:
-    return {h: fit_linear(df, features, t) for h, t in targets.items()}
+    rows = df.select(*dict.fromkeys([*features, *targets.values()])).persist()
+    models = {h: fit_linear(rows, features, t) for h, t in targets.items()}
+    rows.unpersist()
+    return models
 
 
 def coefficients_table(spark, models: dict[int, LinearModel]) -> DataFrame:
@@ -74,12 +77,11 @@ def regressors(trees: int = 200, iterations: int = 300, seed: int = 42) -> dict[
 
 def benchmark(df: DataFrame, series: Series, feature_sets: dict[str, list[str]], targets: list[str], models: dict[str, object], fraction: float = 0.8) -> DataFrame:
     """Error metrics of every feature set, target and model on a chronological hold-out."""
-    split = positional_split(df, series, fraction)
-    out = None
+    cuts, out = Cuts(df, series, [fraction]), None
     for set_name, feats in feature_sets.items():
         for target in targets:
-            train = _assemble(split.filter("split = 'train'"), feats, target).persist()
-            test = _assemble(split.filter("split = 'test'"), feats, target)
+            train = _assemble(df.filter(cuts.before(fraction)), feats, target).persist()
+            test = _assemble(df.filter(~cuts.before(fraction)), feats, target)
             for name, est in models.items():
                 scored = est.fit(train).transform(test)
                 m = metrics.regression_errors(scored, [], "label", "prediction")
@@ -104,12 +106,10 @@ def leakage_safe_comparison(df: DataFrame, series: Series, features: list[str],
 
 def temporal_robustness(df: DataFrame, series: Series, features: list[str], targets: dict[int, str]) -> DataFrame:
     """Linear model per expanding fold and horizon: metrics per fold."""
-    folds = expanding_folds(df, series)
-    out = None
-    for fold in (1, 2, 3):
-        part = folds.filter(F.col("fold") == fold)
-        models = fit_horizons(part.filter("role = 'train'"), features, targets)
-        tall = forecast_errors(score_horizons(part.filter("role = 'test'"), models), targets, "value")
-        one = metrics.regression_errors(tall, ["horizon"], "actual", "forecast").withColumn("fold", F.lit(fold))
+    cuts, out = Cuts(df, series, sorted({f for fold in FOLDS for f in fold})), None
+    for i, (a, b) in enumerate(FOLDS, 1):
+        models = fit_horizons(df.filter(cuts.before(a)), features, targets)
+        tall = forecast_errors(score_horizons(df.filter(cuts.between(a, b)), models), targets, "value")
+        one = metrics.regression_errors(tall, ["horizon"], "actual", "forecast").withColumn("fold", F.lit(i))
         out = one if out is None else out.unionByName(one)
     return out
