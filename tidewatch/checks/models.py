@@ -242,3 +242,29 @@ def a17e(spark, d):
     s = sp.half_guard_split(episodes(spark, d), one_stream(), "ts", "scenario", C("scenario").isNotNull()).select("event_id", "split")
     x = e.join(s, "event_id").select("event_id", "split", F.lit("error").alias("label"), "y", (C("value") / (C("value") + 20)).alias("p"))
     return cl.validate_calibration(x, "split", ["error"])
+
+
+# ---- the published scoring case: 119 features, three linear models -----------------------------------
+
+WIDE = 56  # lags of two tags: 2 x 57 columns, 4 calendar features and a constant make 119
+
+
+def wide_rows(spark, d):
+    e = events(spark, d).select("user_id", "ts", "event_id", "value", F.get_json_object("props", "$.k").cast("double").alias("k"))
+    x = w.calendar(w.row_lags(e, by_user(), ["value", "k"], range(1, WIDE + 1)), "ts").withColumn("one", F.lit(1.0))
+    feats = ["value", "k", *[f"{c}_lag_{i}" for c in ("value", "k") for i in range(1, WIDE + 1)], "hour", "minute", "day_of_week", "day_of_month", "one"]
+    return x.fillna(0.0, feats), feats
+
+
+def wide_models(feats):
+    return {h: fc.LinearModel(tuple(feats), tuple([1.0 / h] * len(feats)), float(h)) for h in (2, 10, 30)}
+
+
+WIDE_U = f"OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN {WIDE} PRECEDING AND CURRENT ROW)"
+
+
+@query("A06_scoring_119_features", f"""WITH x AS (SELECT event_id, sum(value) {WIDE_U} + sum(CAST(json_extract(props, '$.k') AS DOUBLE)) {WIDE_U} + hour(ts) + minute(ts) + isodow(ts) - 1 + day(ts) + 1 AS s FROM events)
+SELECT event_id, {", ".join(f"round(s / {h} + {h}, 4) AS forecast_{h}" for h in (2, 10, 30))} FROM x""")
+def a06_wide(spark, d):
+    x, feats = wide_rows(spark, d)
+    return fc.score_horizons(x, wide_models(feats)).select("event_id", *[r(f"forecast_{h}", 4).alias(f"forecast_{h}") for h in (2, 10, 30)])
