@@ -47,6 +47,21 @@ def adapted_stream(spark, d, slices=3, files=None):
     return ad.adapt_stream(parsed(rp.payload_stream(spark, path, files)), NAMES, 3600.0)
 
 
+@query("S09_stream_source", "SELECT event_id, user_id, ts, event_type, value FROM events")
+def s09(spark, d):
+    return rp.run_to_table(event_stream(spark, d)).select("event_id", "user_id", "ts", "event_type", "value")
+
+
+@query("S10_replay_in_order", "SELECT user_id, count(*) AS messages, 0::BIGINT AS out_of_order FROM events GROUP BY 1")
+def s10(spark, d):
+    out = os.path.join(shared_dir(spark), "received")
+    rp.run_batches(sliced_events(spark, d, 4, 3), lambda b, i: b.select("user_id", "ts", "event_id").withColumn("batch", F.lit(i)).write.mode("overwrite").parquet(f"{out}/part={i}"))
+    got = spark.read.parquet(out)
+    fr = by_user().frame(got, before=1)
+    fr = fr.with_columns({"late": (F.lag("batch").over(fr.window()) > C("batch")).cast("int")})
+    return fr.rows().groupBy("user_id").agg(F.count(F.lit(1)).alias("messages"), F.coalesce(F.sum("late"), F.lit(0)).cast("long").alias("out_of_order"))
+
+
 ADAPT = f"WITH {MSG} SELECT source, step, status, failure, top_lag_10, now AS mean FROM st"
 
 
@@ -71,6 +86,12 @@ def t02(spark, d):
     return x.select("source", "step", F.coalesce("failure", F.lit("none")).alias("failure"))
 
 
+@query("T03_cadence_breaks", f"WITH {MSG} SELECT source, count(*) FILTER (failure = 'cadence') AS cadence_breaks, count(*) FILTER (status = 'READY') AS ready FROM st GROUP BY 1")
+def t03(spark, d):
+    x = ad.adapt_batch(parsed(messages(spark, d)), NAMES, 3600.0)
+    return x.groupBy("source").agg(F.count(F.when(C("failure") == "cadence", 1)).alias("cadence_breaks"), F.count(F.when(C("status") == "READY", 1)).alias("ready"))
+
+
 WINDOWED = f"""SELECT event_id, round(value - lag(value) {U}, 6) + 0 AS diff, round(value - 2 * lag(value) {U} + lag(value, 2) {U}, 6) + 0 AS diff2, round(CASE WHEN count(*) OVER w = 5 THEN avg(value) OVER w END, 6) AS mean,
 round(CASE WHEN count(*) OVER w = 5 THEN stddev_samp(value) OVER w END, 6) AS std, round(CASE WHEN count(*) OVER w = 5 THEN value - avg(value) OVER w END, 6) + 0 AS deviation
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"""

@@ -35,6 +35,14 @@ def s02(spark, d):
     return a.unionByName(b)
 
 
+@query("S03_schema_scan", " UNION ALL ".join(f"SELECT {i} AS ordinal, '{c}' AS column_name, '{y}' AS data_type, count({c}) AS present FROM events" for i, (c, y) in enumerate(
+    [("event_id", "bigint"), ("ts", "timestamp_ntz"), ("user_id", "bigint"), ("event_type", "string"), ("value", "double"), ("props", "string")])))
+def s03(spark, d):
+    e = events(spark, d)
+    present = e.agg(*[F.count(c).alias(c) for c in e.columns]).select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), C(c).alias("present")) for c in e.columns])))
+    return t.schema_table(e).join(present, "column_name")
+
+
 @query("S04_pruned_scan", "SELECT l_returnflag, count(*) AS rows, round(sum(l_tax), 4) AS tax FROM lineitem GROUP BY 1")
 def s04(spark, d):
     return t.scan(table(spark, d, "lineitem"), ["l_returnflag", "l_tax"]).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("rows"), r(F.sum("l_tax"), 4).alias("tax"))

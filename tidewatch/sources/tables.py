@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,12 +18,11 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below the session's checkpoint folder, or a local one when none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        # Single-machine sessions such as tests; a cluster names a shared folder.
-        return tempfile.mkdtemp(prefix="tidewatch-")
-    import uuid
-
-    return f"{base.rstrip('/')}/tidewatch-{uuid.uuid4().hex}"
+    if base:
+        return f"{base.rstrip('/')}/tidewatch-{uuid.uuid4().hex}"
+    if not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    return tempfile.mkdtemp(prefix="tidewatch-")
 
 
 def pin(df: DataFrame) -> DataFrame:
