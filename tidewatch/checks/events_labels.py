@@ -196,11 +196,12 @@ def k14(spark, d):
     return scores(spark, d).filter((C("attack") == 0) & (C("top") >= 0.9)).select("event_id", "lab", r("top").alias("top"))
 
 
-@query("G50_scenario_diagnostics", f"""WITH {SCORES}, n AS (SELECT scenario_id, lab, count(*) AS n FROM am WHERE attack = 1 GROUP BY 1, 2), t AS (SELECT *, sum(n) OVER (PARTITION BY scenario_id) AS s, row_number() OVER (PARTITION BY scenario_id ORDER BY n DESC, lab) AS k FROM n)
-SELECT scenario_id, s::BIGINT AS rows, lab AS top_label, round(n / s, 6) AS top_share FROM t WHERE k = 1""")
+@query("G50_scenario_diagnostics", f"""WITH {SCORES}, n AS (SELECT scenario_id, lab, count(*) AS n, min(event_id) AS f FROM am WHERE attack = 1 GROUP BY 1, 2), t AS (SELECT *, sum(n) OVER (PARTITION BY scenario_id) AS s, row_number() OVER (PARTITION BY scenario_id ORDER BY n DESC, f) AS k FROM n),
+q AS (SELECT scenario_id, round(avg(top), 6) AS mean_max_score, round(max(top), 6) AS max_score, round(quantile_cont(top, 0.5), 6) AS median_max_score FROM am WHERE attack = 1 GROUP BY 1)
+SELECT scenario_id, s::BIGINT AS rows, lab AS top_label, round(n / s, 6) AS top_share, mean_max_score, max_score, median_max_score FROM t JOIN q USING (scenario_id) WHERE k = 1""")
 def g50(spark, d):
-    x = lb.top_label_per_scenario(scores(spark, d).filter("attack = 1"), "scenario_id", "lab")
-    return x.withColumn("top_share", r("top_share"))
+    x = lb.top_label_per_scenario(scores(spark, d).filter("attack = 1"), "scenario_id", "lab", "top", "event_id")
+    return x.withColumns({c: r(c) for c in ("top_share", "mean_max_score", "max_score", "median_max_score")})
 
 
 @query("K09_top_labels", f"""WITH {SCORES}, m AS (SELECT scenario_id, codes, label, round(avg(p), 6) AS p FROM (SELECT scenario_id, codes, 'pa' AS label, pa AS p FROM sc WHERE attack = 1 UNION ALL SELECT scenario_id, codes, 'pb', pb FROM sc WHERE attack = 1

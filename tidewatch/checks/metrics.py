@@ -128,10 +128,16 @@ def scored(spark, d):
                     F.get_json_object("props", "$.k").cast("double").alias("k"))
 
 
-@query("G41_score_summary", f"""WITH {SCORED} SELECT dataset, count(score) AS rows, round(min(score), 4) AS min, round(max(score), 4) AS max, round(avg(score), 4) AS mean, round(stddev_pop(score), 4) AS std,
+@query("G41_score_summary", f"""WITH {SCORED} SELECT dataset, count(score) AS rows, round(min(score), 4) AS min, round(max(score), 4) AS max, round(avg(score), 4) AS mean, round(stddev_pop(score), 4) AS std, count(*) FILTER (score < 0) AS below_zero, round(100.0 * count(*) FILTER (score < 0) / count(*), 6) AS below_zero_pct,
 {", ".join(f"round(quantile_cont(score, {q}), 4) AS {n}" for n, q in m.SCORE_QUANTILES.items())} FROM sc GROUP BY 1""")
 def g41(spark, d):
-    return rr(m.score_summary(scored(spark, d), ["dataset"], "score"), ["dataset", "rows"], ["min", "max", "mean", "std", *m.SCORE_QUANTILES], 4)
+    return rr(m.score_summary(scored(spark, d), ["dataset"], "score"), ["dataset", "rows", "below_zero"], ["min", "max", "mean", "std", "below_zero_pct", *m.SCORE_QUANTILES], 4)
+
+
+@query("G42_score_summary_by_label", f"""WITH {SCORED} SELECT dataset, y, count(score) AS rows, round(avg(score - 30), 4) + 0 AS mean, count(*) FILTER (score < 30) AS below_zero, {", ".join(f"round(quantile_cont(score - 30, {q}), 4) + 0 AS {n}" for n, q in m.SCORE_QUANTILES.items())} FROM sc GROUP BY 1, 2""")
+def g42s(spark, d):
+    x = scored(spark, d).withColumn("score", F.col("score") - 30)
+    return rr(m.score_summary(x, ["dataset", "y"], "score"), ["dataset", "y", "rows", "below_zero"], ["mean", *m.SCORE_QUANTILES], 4)
 
 
 @query("G42_class_separation", f"""WITH {SCORED} SELECT dataset, round(avg(score) FILTER (y = 0), 6) AS mean_normal, round(avg(score) FILTER (y = 1), 6) AS mean_anomaly,
@@ -144,9 +150,9 @@ EG = "CASE WHEN y = 1 AND h = 1 THEN 'TP' WHEN y = 1 THEN 'FN' WHEN h = 1 THEN '
 
 
 @query("G43_error_groups", f"""WITH {SCORED} SELECT dataset, {EG} AS error_group, count(*) AS rows, round(min(score), 6) AS min_score, round(avg(score), 6) AS mean_score, round(max(score), 6) AS max_score,
-round(avg(k), 6) AS mean_k FROM sc GROUP BY 1, 2""")
+round(stddev_pop(score), 6) AS std_score, round(quantile_cont(score, 0.5), 6) AS median_score, round(avg(k), 6) AS mean_k FROM sc GROUP BY 1, 2""")
 def g43(spark, d):
-    return rr(m.error_group_summary(scored(spark, d), ["dataset"], "y", "h", "score", ["k"]), ["dataset", "error_group", "rows"], ["min_score", "mean_score", "max_score", "mean_k"])
+    return rr(m.error_group_summary(scored(spark, d), ["dataset"], "y", "h", "score", ["k"]), ["dataset", "error_group", "rows"], ["min_score", "mean_score", "max_score", "std_score", "median_score", "mean_k"])
 
 
 def _diff(f):
@@ -234,12 +240,12 @@ def g48(spark, d):
 
 
 @query("G49_candidate_robustness", """WITH s AS (SELECT l_returnflag AS candidate, l_linestatus AS sample, avg(l_discount) AS metric, max(l_linenumber) + CASE l_returnflag WHEN 'A' THEN 3 ELSE 0 END AS size FROM lineitem GROUP BY 1, 2),
-p AS (SELECT candidate, avg(metric) AS mean, stddev_pop(metric) AS std, max(metric) - min(metric) AS difference, max(size)::INTEGER AS size FROM s GROUP BY 1)
-SELECT candidate, round(mean, 9) AS mean, round(std, 9) AS std, round(difference, 9) AS difference, size, round(mean - (SELECT mean FROM p WHERE candidate = 'A'), 9) + 0 AS mean_delta,
+p AS (SELECT candidate, avg(metric) AS mean, stddev_pop(metric) AS std, max(metric) - min(metric) AS difference, max(size)::INTEGER AS size, max(metric) FILTER (sample = 'O') AS o FROM s GROUP BY 1)
+SELECT candidate, round(o, 9) AS "O", round(o - (SELECT o FROM p WHERE candidate = 'A'), 9) + 0 AS "O_delta", round(mean, 9) AS mean, round(std, 9) AS std, round(difference, 9) AS difference, size, round(mean - (SELECT mean FROM p WHERE candidate = 'A'), 9) + 0 AS mean_delta,
 round((1 - size / (SELECT size FROM p WHERE candidate = 'A')) * 100, 6) AS reduction_pct FROM p""")
 def g49(spark, d):
     li = table(spark, d, "lineitem")
     s = li.groupBy(F.col("l_returnflag").alias("candidate"), F.col("l_linestatus").alias("sample")).agg(F.avg("l_discount").alias("metric"), F.max("l_linenumber").alias("size"))
     s = s.withColumn("size", F.col("size") + F.when(F.col("candidate") == "A", 3).otherwise(0))
-    x = m.candidate_robustness(s, "candidate", "sample", "metric", "size", "A")
-    return x.select("candidate", "size", *[r(c, 9).alias(c) for c in ("mean", "std", "difference", "mean_delta")], r("reduction_pct").alias("reduction_pct"))
+    x = m.candidate_robustness(s, "candidate", "sample", ["O", "F"], "metric", "size", "A")
+    return x.select("candidate", "size", *[r(c, 9).alias(c) for c in ("mean", "std", "difference", "mean_delta", "O", "O_delta")], r("reduction_pct").alias("reduction_pct"))

@@ -38,7 +38,7 @@ def pick(df, *rounded, keep=(), places=4):
 @query("G01_column_profile", f"""WITH {TALL} SELECT feature, count(*) AS rows, count(DISTINCT value) AS distinct_values, count(value) AS valid,
 0::BIGINT AS missing, 0::BIGINT AS infinite, count(*) FILTER (value = 0) AS zeros, round(min(value), 4) AS min, round(max(value), 4) AS max,
 round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS std, round(quantile_cont(value, 0.5), 4) AS median,
-stddev_samp(value) = 0 AS zero_variance, stddev_samp(value) < 1e-8 AS near_zero_variance, max(value) - min(value) > 1000 AS wide_range FROM tall GROUP BY 1""")
+stddev_samp(value) = 0 AS zero_variance, stddev_samp(value) > 0 AND stddev_samp(value) < 1e-8 AS near_zero_variance, max(value) - min(value) > 1000 AS wide_range FROM tall GROUP BY 1""")
 def g01(spark, d):
     x = p.column_profile(measures(spark, d), STEADY)
     return pick(x, "min", "max", "mean", "std", "median", keep=["feature", "rows", "distinct_values", "valid", "missing", "infinite", "zeros",
@@ -102,7 +102,7 @@ def g09(spark, d):
 
 def _side(tag, cond):
     return f"""{tag} AS (SELECT feature, count(DISTINCT value) AS distinct_values, min(value) AS mn, max(value) AS mx, avg(value) AS mean,
-stddev_samp(value) AS std, quantile_cont(value, 0.5) AS median FROM tall WHERE {cond} GROUP BY 1)"""
+stddev_samp(value) AS std, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.05) AS q05, quantile_cont(value, 0.95) AS q95, quantile_cont(value, 0.99) AS q99 FROM tall WHERE {cond} GROUP BY 1)"""
 
 
 @query("G10_sample_stability", f"""WITH {TALL}, {_side('a', A)}, {_side('b', B)} SELECT feature, a.distinct_values AS distinct_values_a, b.distinct_values AS distinct_values_b,
@@ -115,27 +115,30 @@ def g10(spark, d):
 
 SHIFTS = f"""{TALL}, {_side('a', A)}, {_side('b', B)}, o AS (SELECT feature, 100 * avg((value < mn)::INT) AS below_pct, 100 * avg((value > mx)::INT) AS above_pct
 FROM tall JOIN a USING (feature) WHERE {B} GROUP BY 1),
-s AS (SELECT feature, abs(b.mean - a.mean) / nullif(a.std, 0) AS mean_shift, abs(b.median - a.median) / nullif(a.std, 0) AS median_shift, below_pct, above_pct
+s AS (SELECT feature, (b.mean - a.mean) / nullif(a.std, 0) AS mean_shift, (b.median - a.median) / nullif(a.std, 0) AS median_shift, below_pct, above_pct, a.q05 AS base_q05, b.q95 AS other_q95, b.q99 AS other_q99
 FROM a JOIN b USING (feature) JOIN o USING (feature))"""
 
 
-@query("G11_drift", f"""WITH {SHIFTS} SELECT feature, round(mean_shift, 6) AS mean_shift, round(median_shift, 6) AS median_shift,
-round(below_pct, 6) AS below_pct, round(above_pct, 6) AS above_pct, coalesce(mean_shift >= 2, false) AS shift_flag, below_pct + above_pct > 1 AS range_flag FROM s""")
+@query("G11_drift", f"""WITH {SHIFTS} SELECT feature, round(mean_shift, 6) + 0 AS mean_shift, round(median_shift, 6) + 0 AS median_shift, round(base_q05, 4) AS base_q05, round(other_q95, 4) AS other_q95, round(other_q99, 4) AS other_q99,
+round(below_pct, 6) AS below_pct, round(above_pct, 6) AS above_pct, coalesce(abs(mean_shift) >= 2, false) AS shift_flag, below_pct + above_pct > 1 AS range_flag FROM s""")
 def g11(spark, d):
     x = p.drift(sample_a(spark, d), {"b": sample_b(spark, d)}, STEADY)
-    return pick(x, "mean_shift", "median_shift", "below_pct", "above_pct", keep=["feature", "shift_flag", "range_flag"], places=6)
+    x = x.withColumns({c: r(c, 4) for c in ("base_q05", "other_q95", "other_q99")})
+    return pick(x, "mean_shift", "median_shift", "below_pct", "above_pct", keep=["feature", "shift_flag", "range_flag", "base_q05", "other_q95", "other_q99"], places=6)
+
+
+def _shifts(x):
+    return ", ".join(f"coalesce(abs({x}.{q} - a.{q}) / nullif(a.std, 0), 0)" for q in ("mean", "median", "q05", "q95"))
 
 
 @query("G12_drift_priority", f"""WITH {SHIFTS}, {_side('c', "l_returnflag = 'R'")},
-t AS (SELECT s.feature, greatest(coalesce(s.mean_shift, 0), coalesce(s.median_shift, 0), coalesce(abs(c.mean - a.mean) / nullif(a.std, 0), 0),
-  coalesce(abs(c.median - a.median) / nullif(a.std, 0), 0)) AS max_shift,
- greatest(below_pct + above_pct, (SELECT 100 * avg((value < a.mn OR value > a.mx)::INT) FROM tall WHERE tall.feature = s.feature AND l_returnflag = 'R')) AS o
- FROM s JOIN a USING (feature) JOIN c USING (feature))
-SELECT feature, round(max_shift, 6) AS max_shift, round(o, 6) AS max_outside_pct, row_number() OVER (ORDER BY max_shift DESC, o DESC, feature)::INTEGER AS priority_rank FROM t""")
+t AS (SELECT s.feature, greatest({_shifts('b')}, {_shifts('c')}) AS sp, greatest(below_pct + above_pct, (SELECT 100 * avg((value < a.mn OR value > a.mx)::INT) FROM tall WHERE tall.feature = s.feature AND l_returnflag = 'R')) AS rp
+ FROM s JOIN a USING (feature) JOIN b USING (feature) JOIN c USING (feature))
+SELECT feature, round(sp, 6) AS shift_priority, round(rp, 6) AS range_priority, row_number() OVER (ORDER BY rp DESC, sp DESC, feature)::INTEGER AS shift_rank FROM t""")
 def g12(spark, d):
     others = {"b": sample_b(spark, d), "r": measures(spark, d).filter("l_returnflag = 'R'")}
     x = p.drift(sample_a(spark, d), others, STEADY, zero_std_as_zero=True)
-    return pick(p.drift_priority(x), "max_shift", "max_outside_pct", keep=["feature", "priority_rank"], places=6)
+    return pick(p.drift_priority(x), "shift_priority", "range_priority", keep=["feature", "shift_rank"], places=6)
 
 
 def corr_sql(a, b):
@@ -178,10 +181,11 @@ AVG_RANK = "(rank() OVER (PARTITION BY feature ORDER BY {x}) + (count(*) OVER (P
  SELECT 'l_quantity' AS feature, l_quantity AS value, l_extendedprice AS l_extendedprice_s FROM m UNION ALL SELECT 'l_discount', l_discount, l_extendedprice FROM m
  UNION ALL SELECT 'l_tax', l_tax, l_extendedprice FROM m)),
 k AS (SELECT feature, value, score, {AVG_RANK.format(x='value')} AS rx, {AVG_RANK.format(x='score')} AS ry FROM s)
-SELECT feature, count(*) AS rows, round(corr(value, score), 6) + 0 AS pearson_r, round(corr(rx, ry), 6) + 0 AS spearman_r FROM k GROUP BY 1""")
+SELECT feature, count(*) AS rows, round(corr(value, score), 6) + 0 AS pearson_r, round(corr(rx, ry), 6) + 0 AS spearman_r,
+CASE WHEN corr(value, score) < 0 THEN 'lower_score_with_higher_feature' ELSE 'higher_score_with_higher_feature' END AS score_direction FROM k GROUP BY 1 UNION ALL SELECT 'steady', count(*), NULL, NULL, 'undefined' FROM lineitem""")
 def g15(spark, d):
     x = c.score_association(measures(spark, d), ["l_quantity", "l_discount", "l_tax", "steady"], "l_extendedprice")
-    return pick(x, "pearson_r", "spearman_r", keep=["feature", "rows"], places=6)
+    return pick(x, "pearson_r", "spearman_r", keep=["feature", "rows", "score_direction"], places=6)
 
 
 @query("G15_association_p_values")
@@ -190,11 +194,12 @@ def g15_p(spark, d):
     return x.select("feature", "pearson_p", "spearman_p")
 
 
-@query("G16_family_summary", """SELECT p_brand AS family, count(*) AS features, round(avg(p_retailprice), 4) AS mean, round(max(p_retailprice), 4) AS max,
-round(quantile_cont(p_retailprice, 0.5), 4) AS median FROM part GROUP BY 1""")
+@query("G16_family_summary", """SELECT p_brand AS family, count(*) AS features, round(avg(p_retailprice), 4) AS mean_price, round(max(p_retailprice), 4) AS max_price,
+round(quantile_cont(p_retailprice, 0.5), 4) AS median_price, round(avg(p_size), 4) AS mean_size, round(max(p_size)::DOUBLE, 4) AS max_size, round(quantile_cont(p_size, 0.5), 4) AS median_size FROM part GROUP BY 1""")
 def g16(spark, d):
-    x = p.family_summary(table(spark, d, "part").withColumnRenamed("p_brand", "family"), "family", "p_retailprice")
-    return pick(x, "mean", "max", "median", keep=["family", "features"])
+    pt = table(spark, d, "part").select(F.col("p_brand").alias("family"), F.col("p_retailprice").alias("price"), F.col("p_size").cast("double").alias("size"))
+    x = p.family_summary(pt, "family", ["price", "size"])
+    return pick(x, *[f"{s}_{v}" for v in ("price", "size") for s in ("mean", "max", "median")], keep=["family", "features"])
 
 
 DUP = ["l_quantity", "l_tax", "quantity_copy", "l_discount", "tax_copy"]
@@ -282,11 +287,11 @@ q AS (SELECT *, sum(brk) OVER (PARTITION BY feature ORDER BY hour) AS s FROM g),
 f AS (SELECT feature, v - lag(v) OVER (PARTITION BY feature, s ORDER BY hour) AS df,
  CASE WHEN count(v) OVER w = 5 THEN stddev_samp(v) OVER w END AS sd FROM q WINDOW w AS (PARTITION BY feature, s ORDER BY hour ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))
 SELECT feature, count(df) AS steps, round(avg((df <> 0)::INT), 6) AS change_rate, round(avg(abs(df)), 6) AS mean_abs_change, round(max(abs(df)), 6) AS max_abs_change,
-round(stddev_samp(df), 6) AS std_of_diff, round(avg(sd), 6) AS mean_rolling_std, round(quantile_cont(abs(df), 0.5), 6) AS median_abs_change, round(quantile_cont(abs(df), 0.95), 6) AS p95_abs_change
-FROM f GROUP BY 1""")
+round(stddev_samp(df), 6) AS std_of_diff, round(avg(sd), 6) AS mean_rolling_std, round(quantile_cont(abs(df), 0.5), 6) AS median_abs_change, round(quantile_cont(abs(df), 0.95), 6) AS p95_abs_change,
+round(max(sd), 6) AS max_rolling_std, round(quantile_cont(sd, 0.5), 6) AS median_rolling_std, round(quantile_cont(sd, 0.95), 6) AS p95_rolling_std FROM f GROUP BY 1""")
 def g55(spark, d):
     x = p.temporal_feasibility(tags_hourly(spark, d), Series([], ["hour"]), TAGS, GAPH)
-    return pick(x, "change_rate", "mean_abs_change", "max_abs_change", "std_of_diff", "mean_rolling_std", "median_abs_change", "p95_abs_change", keep=["feature", "steps"], places=6)
+    return pick(x, "change_rate", "mean_abs_change", "max_abs_change", "std_of_diff", "mean_rolling_std", "median_abs_change", "p95_abs_change", "max_rolling_std", "median_rolling_std", "p95_rolling_std", keep=["feature", "steps"], places=6)
 
 
 @query("G56_column_groups", """WITH c AS (SELECT p_type || '_' || replace(p_name, ' ', '_') || p_size AS n FROM part)

@@ -177,12 +177,12 @@ def w20(spark, d):
 @query("W21_extreme_changes", f"""WITH {TAGS_HOURLY}, tall AS (
 {" UNION ALL ".join(f"SELECT '{t}' AS feature, hour, {t} AS current, lag({t}) OVER (ORDER BY hour) AS previous, epoch_us(hour) - lag(epoch_us(hour)) OVER (ORDER BY hour) AS dt FROM tags" for t in TAGS)}),
 k AS (SELECT feature, hour, round(previous, 6) AS previous, round(current, 6) AS current,
- round(abs(current - previous), 6) AS abs_change, row_number() OVER (PARTITION BY feature ORDER BY abs(current - previous) DESC, hour) AS change_rank
+ round(current - previous, 6) + 0 AS change, round(abs(current - previous), 6) AS abs_change, row_number() OVER (PARTITION BY feature ORDER BY abs(current - previous) DESC, hour) AS change_rank
  FROM tall WHERE dt <= 3600000000 AND previous IS NOT NULL AND current IS NOT NULL)
 SELECT * REPLACE (change_rank::INTEGER AS change_rank) FROM k WHERE change_rank <= 20""")
 def w21(spark, d):
     x = w.extreme_changes(tags_hourly(spark, d), Series([], ["hour"]), TAGS, 3600.0, 20)
-    return x.select("feature", "hour", r("previous").alias("previous"), r("current").alias("current"), r("abs_change").alias("abs_change"), "change_rank")
+    return x.select("feature", "hour", r("previous").alias("previous"), r("current").alias("current"), r("change").alias("change"), r("abs_change").alias("abs_change"), "change_rank")
 
 
 @query("W22_interval_check", f"""WITH g AS (SELECT user_id, epoch_us(ts) - lag(epoch_us(ts)) {U} AS dt FROM events)

@@ -128,13 +128,14 @@ def add_p_value(df: DataFrame, r: str, n: str, name: str) -> DataFrame:
 
     @F.pandas_udf("double")
     def p(rs: pd.Series, ns: pd.Series) -> pd.Series:
-        return pd.Series([_t_two_sided(a, b) for a, b in zip(rs, ns)], dtype=float)
+        return pd.Series([_t_two_sided(float(a), float(b)) for a, b in zip(rs.fillna(np.nan), ns)], dtype=float)
 
     return df.withColumn(name, F.nanvl(p(F.col(r), F.col(n).cast("double")), F.lit(None).cast("double")))
 
 
 def score_association(df: DataFrame, cols: list[str], score: str) -> DataFrame:
-    """Pearson and Spearman of each feature with a score; constant features are left out.
+    """Pearson and Spearman of each feature with a score and the direction of the relation;
+    both are null for a constant feature.
 
     Spearman is Pearson on average ranks: ranks come from value counts, so no sort spans a
     feature's rows, and the moments use the folded (feature, value, score) counts.
@@ -148,7 +149,8 @@ def score_association(df: DataFrame, cols: list[str], score: str) -> DataFrame:
     spearman = ranked.groupBy("feature").agg(
         _pearson(F.count("_rx"), F.covar_pop("_rx", "_ry"), F.var_pop("_rx"), F.var_pop("_ry")).alias("spearman_r")
     )
-    out = pearson.filter(F.col("pearson_r").isNotNull()).join(spearman, "feature")
+    way = F.when(F.col("pearson_r") < 0, "lower_score_with_higher_feature").when(F.col("pearson_r") > 0, "higher_score_with_higher_feature")
+    out = pearson.join(spearman, "feature", "left").withColumn("score_direction", F.coalesce(way, F.lit("undefined")))
     out = add_p_value(out, "pearson_r", "rows", "pearson_p")
     return add_p_value(out, "spearman_r", "rows", "spearman_p")
 

@@ -81,9 +81,13 @@ def holdout_eligible(inc: DataFrame, scenario: str) -> DataFrame:
     return inc.groupBy(scenario).agg(F.min("scenarios").alias("rarest"), F.count(F.lit(1)).alias("codes")).filter("rarest >= 2")
 
 
-def top_label_per_scenario(df: DataFrame, scenario: str, top: str) -> DataFrame:
-    """Most frequent top-1 label of each scenario and its share."""
-    n = df.groupBy(scenario, top).agg(F.count(F.lit(1)).alias("n"))
-    # ties go to the smaller label
-    return n.groupBy(scenario).agg(F.sum("n").alias("rows"), F.min_by(top, F.struct(-F.col("n"), F.col(top))).alias("top_label"), F.max("n").alias("_m")).withColumn(
-        "top_share", F.col("_m") / F.col("rows")).drop("_m")
+def top_label_per_scenario(df: DataFrame, scenario: str, top: str, score: str, order: str) -> DataFrame:
+    """Most frequent top-1 label of each scenario, its share, and mean, median and maximum of
+    the rows' highest scores. Of equally frequent labels the one seen first wins."""
+    from tidewatch.operators.quantiles import exact_quantiles
+
+    n = df.groupBy(scenario, top).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("_first"), F.sum(score).alias("_sum"), F.max(score).alias("_max"))
+    out = n.groupBy(scenario).agg(
+        F.sum("n").alias("rows"), F.min_by(top, F.struct(-F.col("n"), F.col("_first"))).alias("top_label"), (F.max("n") / F.sum("n")).alias("top_share"),
+        (F.sum("_sum") / F.sum("n")).alias("mean_max_score"), F.max("_max").alias("max_score"))
+    return out.join(exact_quantiles(df, [scenario], score, {"median_max_score": 0.5}), scenario, "left")

@@ -76,9 +76,11 @@ def threshold_counts(df: DataFrame, group: list[str], y: str, p: str, thresholds
 
 
 def best_threshold(sweep: DataFrame, group: list[str], metric: str = "f1") -> DataFrame:
-    """Threshold of the best metric per group; the first one in ascending order wins a tie."""
+    """Threshold of the best metric per group; the first one in ascending order wins a tie and
+    a metric of 0 is no improvement (null threshold)."""
     best = F.struct(F.col(metric), -F.col("threshold"))
-    return sweep.groupBy(*group).agg(F.max_by("threshold", best).alias("best_threshold"), F.max(metric).alias(f"best_{metric}"))
+    good = F.when(F.col(metric) > 0, F.col("threshold"))
+    return sweep.groupBy(*group).agg(F.max_by(good, best).alias("best_threshold"), F.max(metric).alias(f"best_{metric}"))
 
 
 def _score_steps(df: DataFrame, group: list[str], y: str, p: str) -> DataFrame:
@@ -150,14 +152,18 @@ def reliability(df: DataFrame, group: list[str], y: str, p: str, bins: int = 10,
     return out.withColumn("gap", F.abs(F.col("mean_score") - F.col("observed_rate")))
 
 
-SCORE_QUANTILES = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
+# fixed values: quantiles of a score summary
+SCORE_QUANTILES = {"p01": 0.01, "p05": 0.05, "p10": 0.10, "p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.90, "p95": 0.95, "p99": 0.99}
 
 
 def score_summary(df: DataFrame, group: list[str], score: str, ddof: int = 0) -> DataFrame:
     from tidewatch.operators.quantiles import exact_quantiles
 
     std = F.stddev_pop(score) if ddof == 0 else F.stddev_samp(score)
-    m = df.groupBy(*group).agg(F.count(score).alias("rows"), F.min(score).alias("min"), F.max(score).alias("max"), F.avg(score).alias("mean"), std.alias("std"))
+    below = F.count(F.when(F.col(score) < 0, 1))
+    m = df.groupBy(*group).agg(
+        F.count(score).alias("rows"), F.min(score).alias("min"), F.max(score).alias("max"), F.avg(score).alias("mean"), std.alias("std"),
+        below.alias("below_zero"), (ratio(below, F.count(score)) * 100).alias("below_zero_pct"))
     return m.join(exact_quantiles(df, group, score, SCORE_QUANTILES), group)
 
 
@@ -174,10 +180,18 @@ def error_group(y: str, p: str) -> Column:
 
 
 def error_group_summary(df: DataFrame, group: list[str], y: str, p: str, score: str, features: list[str]) -> DataFrame:
-    """Score statistics and feature means per TN / FP / FN / TP."""
-    return df.groupBy(*group, error_group(y, p).alias("error_group")).agg(
+    """Score statistics and feature means per TN / FP / FN / TP; an empty group counts 0."""
+    from tidewatch.operators.quantiles import exact_quantiles
+
+    on = [*group, "error_group"]
+    src = df.withColumn("error_group", error_group(y, p))
+    m = src.groupBy(*on).agg(
         F.count(F.lit(1)).alias("rows"), F.min(score).alias("min_score"), F.avg(score).alias("mean_score"), F.max(score).alias("max_score"),
-        *[F.avg(f).alias(f"mean_{f}") for f in features])
+        F.stddev_pop(score).alias("std_score"), *[F.avg(f).alias(f"mean_{f}") for f in features])
+    m = m.join(exact_quantiles(src, on, score, {"median_score": 0.5}), on, "left")
+    four = F.explode(F.array(*[F.lit(x) for x in ("TN", "FP", "FN", "TP")])).alias("error_group")
+    every = df.select(*group).distinct().select(*group, four) if group else df.limit(1).select(four)
+    return every.join(m, on, "left").withColumn("rows", F.coalesce("rows", F.lit(0)).cast("long"))
 
 
 def error_feature_differences(df: DataFrame, group: list[str], y: str, p: str, features: list[str]) -> DataFrame:
@@ -223,10 +237,13 @@ def fold_summary(folds: DataFrame, group: list[str], metrics: list[str]) -> Data
     return folds.groupBy(*group).agg(*[f(m).alias(f"{m}_{n}") for m in metrics for n, f in (("mean", F.avg), ("std", F.stddev_pop), ("min", F.min))])
 
 
-def candidate_robustness(scores: DataFrame, name: str, sample: str, metric: str, size: str, reference: str) -> DataFrame:
-    """Mean and spread of a metric over samples, deltas to a reference candidate, size reduction."""
-    per = scores.groupBy(name).agg(F.avg(metric).alias("mean"), F.stddev_pop(metric).alias("std"), (F.max(metric) - F.min(metric)).alias("difference"), F.max(size).alias("size"))
+def candidate_robustness(scores: DataFrame, name: str, sample: str, samples: list[str], metric: str, size: str, reference: str, others: list[str] = ()) -> DataFrame:
+    """Mean and spread of a metric over the samples, its value and delta to a reference
+    candidate per sample, means of further metrics and the size reduction."""
+    value = lambda s: F.max(F.when(F.col(sample) == s, F.col(metric)))
+    per = scores.groupBy(name).agg(
+        F.avg(metric).alias("mean"), F.stddev_pop(metric).alias("std"), (F.max(metric) - F.min(metric)).alias("difference"), F.max(size).alias("size"),
+        *[value(s).alias(s) for s in samples], *[F.avg(o).alias(f"mean_{o}") for o in others])
     ref = per.filter(F.col(name) == reference)
-    out = per.withColumns({"_m": ref.select("mean").scalar(), "_s": ref.select("size").scalar()})
-    return out.select(name, "mean", "std", "difference", "size", (F.col("mean") - F.col("_m")).alias("mean_delta"),
-                      ((1 - F.col("size") / F.col("_s")) * 100).alias("reduction_pct"))
+    deltas = {f"{c}_delta": F.col(c) - ref.select(c).scalar() for c in ("mean", *samples)}
+    return per.withColumns({**deltas, "reduction_pct": (1 - F.col("size") / ref.select("size").scalar()) * 100})

@@ -58,7 +58,7 @@ def column_profile(df: DataFrame, cols: list[str], group: list[str] = ()) -> Dat
         feature_moments(df, cols, group)
         .join(distinct_values(df, cols, group), on, "left").join(med, on, "left")
         .withColumn("zero_variance", F.coalesce(F.col("std") == 0, F.lit(False)))
-        .withColumn("near_zero_variance", F.coalesce(F.col("std") < 1e-8, F.lit(False)))
+        .withColumn("near_zero_variance", F.coalesce((F.col("std") > 0) & (F.col("std") < 1e-8), F.lit(False)))
         .withColumn("wide_range", F.coalesce(F.col("max") - F.col("min") > 1000, F.lit(False)))
     )
 
@@ -130,19 +130,24 @@ def sample_stability(a: DataFrame, b: DataFrame, cols: list[str]) -> DataFrame:
     return both.withColumns({"constant_a": ca, "constant_b": cb, "constant_both": ca & cb})
 
 
+# fixed values: quantiles whose shift counts for the priority, and those a drift table lists
+PRIORITY_QUANTILES = ["q05", "median", "q95"]
+
+
 def drift(base: DataFrame, others: dict[str, DataFrame], cols: list[str], zero_std_as_zero: bool = False) -> DataFrame:
-    """Mean and median shift of each sample in base standard deviations and the share of its
-    values outside the base range. All samples share the same few passes.
+    """Signed shift of mean, median, q05 and q95 of each sample in base standard deviations,
+    the share of its values outside the base range, and the quantiles of both sides. All
+    samples share the same few passes.
 
-    A constant base feature has no scale: its shift is null, or 0 with `zero_std_as_zero`.
+    A constant base feature has no scale: its shifts are null, or 0 with `zero_std_as_zero`.
     """
     parts = [base.select(F.lit("").alias("sample"), *cols), *[df.select(F.lit(n).alias("sample"), *cols) for n, df in others.items()]]
     rows = reduce(DataFrame.unionByName, parts)
     on = ["sample", "feature"]
     tall = unpivot(rows, ["sample"], cols)
-    med = exact_quantiles(tall, on, "value", {"median": 0.5}, few_groups=True)
-    stats = feature_moments(rows, cols, ["sample"]).join(med, on)
-    side = lambda tag, df: df.select(*on, *[F.col(c).alias(f"{tag}_{c}") for c in ("mean", "std", "min", "max", "median")])
+    stats = feature_moments(rows, cols, ["sample"]).join(exact_quantiles(tall, on, "value", QUALITY_QUANTILES, few_groups=True), on)
+    kept = ["mean", "std", "min", "max", *QUALITY_QUANTILES]
+    side = lambda tag, df: df.select(*on, *[F.col(c).alias(f"{tag}_{c}") for c in kept])
     b = side("base", stats.filter("sample = ''")).drop("sample")
     o = side("other", stats.filter("sample <> ''"))
     # base ranges: one row per feature
@@ -152,24 +157,24 @@ def drift(base: DataFrame, others: dict[str, DataFrame], cols: list[str], zero_s
         (F.avg(F.when(v < lo, 1.0).otherwise(0.0)) * 100).alias("below_pct"), (F.avg(F.when(v > hi, 1.0).otherwise(0.0)) * 100).alias("above_pct"))
 
     def shift(c):
-        z = F.try_divide(F.abs(F.col(f"other_{c}") - F.col(f"base_{c}")), F.col("base_std"))
-        return F.when(F.col("base_std") == 0, F.lit(0.0) if zero_std_as_zero else None).otherwise(z)
+        z = F.try_divide(F.col(f"other_{c}") - F.col(f"base_{c}"), F.col("base_std"))
+        return F.when(F.col("base_std") > 0, z).otherwise(F.lit(0.0) if zero_std_as_zero else None)
 
     out = o.join(b, "feature").join(outside, on)
-    out = out.withColumns({"mean_shift": shift("mean"), "median_shift": shift("median")})
+    out = out.withColumns({f"{c}_shift": shift(c) for c in ("mean", *PRIORITY_QUANTILES)})
     return out.withColumns({
-        "shift_flag": F.coalesce(F.col("mean_shift") >= 2, F.lit(False)),
+        "shift_flag": F.coalesce(F.abs("mean_shift") >= 2, F.lit(False)),
         "range_flag": (F.col("below_pct") + F.col("above_pct")) > 1,
     })
 
 
 def drift_priority(drifts: DataFrame) -> DataFrame:
-    """Largest shift and outside share of each feature over all samples, and the overall rank.
-    One row per feature goes in, so the rank is a small sort."""
-    scored = drifts.groupBy("feature").agg(
-        F.max(F.greatest("mean_shift", "median_shift")).alias("max_shift"), F.max(F.col("below_pct") + F.col("above_pct")).alias("max_outside_pct"))
-    order = Window.orderBy(F.desc("max_shift"), F.desc("max_outside_pct"), F.asc("feature"))
-    return scored.withColumn("priority_rank", F.row_number().over(order))
+    """Largest absolute shift and largest outside share of each feature over all samples;
+    ranked by the outside share, then the shift. One row per feature goes into the rank."""
+    shift = F.greatest(*[F.abs(f"{c}_shift") for c in ("mean", *PRIORITY_QUANTILES)])
+    scored = drifts.groupBy("feature").agg(F.max(shift).alias("shift_priority"), F.max(F.col("below_pct") + F.col("above_pct")).alias("range_priority"))
+    order = Window.orderBy(F.desc("range_priority"), F.desc("shift_priority"), F.asc("feature"))
+    return scored.withColumn("shift_rank", F.row_number().over(order))
 
 
 def temporal_feasibility(df: DataFrame, series: Series, cols: list[str], gap_seconds: float, window: int = 5) -> DataFrame:
@@ -182,18 +187,22 @@ def temporal_feasibility(df: DataFrame, series: Series, cols: list[str], gap_sec
     ])))
     d = F.abs(F.col("diff"))
     stats = tall.groupBy("feature").agg(
-        F.count("diff").alias("steps"), F.avg(F.when(F.col("diff") != 0, 1.0).when(F.col("diff") == 0, 0.0)).alias("change_rate"),
+        F.count("diff").alias("steps"), F.coalesce(F.avg(F.when(F.col("diff") != 0, 1.0).when(F.col("diff") == 0, 0.0)), F.lit(0.0)).alias("change_rate"),
         F.avg(d).alias("mean_abs_change"), F.max(d).alias("max_abs_change"), F.stddev_samp("diff").alias("std_of_diff"),
-        F.avg("std").alias("mean_rolling_std"),
+        F.avg("std").alias("mean_rolling_std"), F.max("std").alias("max_rolling_std"),
     )
     q = exact_quantiles(tall.withColumn("_a", d), ["feature"], "_a", {"median_abs_change": 0.5, "p95_abs_change": 0.95}, few_groups=True)
-    return stats.join(q, "feature", "left")
+    qs = exact_quantiles(tall, ["feature"], "std", {"median_rolling_std": 0.5, "p95_rolling_std": 0.95}, few_groups=True)
+    return stats.join(q, "feature", "left").join(qs, "feature", "left")
 
 
-def family_summary(df: DataFrame, family: str, value: str) -> DataFrame:
-    """Count, mean, median and maximum of a statistic per feature family."""
-    base = df.groupBy(family).agg(F.count(F.lit(1)).alias("features"), F.avg(value).alias("mean"), F.max(value).alias("max"))
-    return base.join(exact_quantiles(df, [family], value, {"median": 0.5}), family, "left")
+def family_summary(df: DataFrame, family: str, values: list[str]) -> DataFrame:
+    """Count, mean, median and maximum of each statistic per feature family."""
+    aggs = [a for v in values for a in (F.avg(v).alias(f"mean_{v}"), F.max(v).alias(f"max_{v}"))]
+    out = df.groupBy(family).agg(F.count(F.lit(1)).alias("features"), *aggs)
+    for v in values:
+        out = out.join(exact_quantiles(df, [family], v, {f"median_{v}": 0.5}), family, "left")
+    return out
 
 
 def column_groups(names: DataFrame, name: str) -> DataFrame:

@@ -252,7 +252,7 @@ def extreme_changes(df: DataFrame, series: Series, cols: list[str], gap_seconds:
         F.struct(F.lit(c).alias("feature"), F.col(f"_p_{c}").alias("previous"), F.col(c).alias("current")) for c in cols
     ])
     tall = fr.rows().select(*series.keys, *series.order, F.inline(pairs)).filter(F.col("previous").isNotNull())
-    tall = tall.withColumn("abs_change", F.abs(F.col("current") - F.col("previous")))
+    tall = tall.withColumns({"change": F.col("current") - F.col("previous"), "abs_change": F.abs(F.col("current") - F.col("previous"))})
     from tidewatch.operators.topk import top_k
 
     return top_k(tall, ["feature"], [F.desc("abs_change"), *[F.asc(c) for c in [*series.order, *series.keys]]], k, "change_rank")
