@@ -20,7 +20,6 @@ def table(spark, rows):
 
 
 GOOD = [message(i, 2 * i) for i in range(25)]
-AFTER = [message(100 + i, 0) for i in range(0)]
 
 
 def later(start_step, start_minute, n):
@@ -47,7 +46,7 @@ def by_hand(rows):
     for ts, _, step, feats in rows:
         t = pd.to_datetime(ts, errors="coerce")
         if pd.isna(t):
-            last, n, kind = None, 0, "timestamp"
+            last, n, kind = None, 0, "invalid_timestamp"
         elif last is not None and t <= last:
             n, kind = 0, "timestamp_order"
         else:
@@ -56,7 +55,7 @@ def by_hand(rows):
             if not ok:
                 kind = "cadence"
             elif feats is None:
-                kind = "features_type"
+                kind = "malformed_features"
             elif not {"a", "b"} <= set(feats):
                 kind = "missing_raw"
             elif any(v in ("true", "false") for v in (feats["a"], feats["b"])):
@@ -123,3 +122,12 @@ def test_chunks_without_carried_rows_differ(spark):
     alone = w.temporal_features(df.filter("id >= 30"), s, ["v"])
     whole = w.temporal_features(df, s, ["v"]).filter("id >= 30")
     assert not j.equivalence(whole, alone, ["id"], {"v__std": 1e-9}).first().equivalent
+
+
+def test_malformed_message_forgets_the_time(spark):
+    from tidewatch.sources import messages as ms
+
+    good = [f'{{"timestamp": "2024-01-01 00:{2 * i:02d}:00", "source": "s", "step": {i}, "features": {{"a": 1, "b": true}}}}' for i in range(2)]
+    df = spark.createDataFrame([(x,) for x in [*good, "no json at all"]], "payload STRING")
+    got = ad.adapt_batch(ad.parse(ms.decode(df), NAMES), NAMES)
+    assert sorted((r.source or "", r.failure) for r in got.collect()) == [("", "malformed_message"), ("s", "invalid_values"), ("s", "invalid_values")]

@@ -197,13 +197,13 @@ def g45(spark, d):
 
 
 @query("G46_forecast_accuracy", f"""WITH {FORE}, p AS (SELECT *, abs(e / nullif(actual, 0)) * 100 AS pct FROM f) SELECT horizon, count(*) AS rows, round(avg(abs(e)), 5) AS mae, round(avg(pct), 5) AS mape, round(avg(e), 5) + 0 AS mean_error,
-round(max(abs(e)), 5) AS max_abs_error, round(stddev_pop(e), 5) AS std_error, round(100 * avg((pct <= 5)::INT), 5) AS within_5_pct, round(100 * avg((pct <= 10)::INT), 5) AS within_10_pct FROM p GROUP BY 1""")
+round(max(abs(e)), 5) AS max_abs_error, round(stddev_pop(e), 5) AS std_error, round(100 * avg((abs(e) <= 0.05::DOUBLE * abs(actual))::INT), 5) AS within_5_pct, round(100 * avg((abs(e) <= 0.1::DOUBLE * abs(actual))::INT), 5) AS within_10_pct FROM p GROUP BY 1""")
 def g46(spark, d):
     return rr(m.forecast_accuracy(forecasts(spark, d), ["horizon"], "actual", "forecast"), ["horizon", "rows"],
               ["mae", "mape", "mean_error", "max_abs_error", "std_error", "within_5_pct", "within_10_pct"], 5)
 
 
-BIN = "CASE WHEN ramp <= 2 THEN '<= 2' WHEN ramp <= 5 THEN '(2, 5]' WHEN ramp <= 10 THEN '(5, 10]' WHEN ramp <= 20 THEN '(10, 20]' WHEN ramp <= 50 THEN '(20, 50]' WHEN ramp > 50 THEN '> 50' END"
+BIN = "CASE WHEN ramp <= 2 THEN '0-2 MW' WHEN ramp <= 5 THEN '2-5 MW' WHEN ramp <= 10 THEN '5-10 MW' WHEN ramp <= 20 THEN '10-20 MW' WHEN ramp <= 50 THEN '20-50 MW' WHEN ramp > 50 THEN '>50 MW' END"
 
 
 @query("G47_ramp_errors", f"WITH {FORE} SELECT horizon, {BIN} AS bin, count(*) AS rows, round(avg(abs(e)), 6) AS mean_error, round(max(abs(e)), 6) AS max_error FROM f GROUP BY 1, 2")

@@ -9,7 +9,7 @@ from tidewatch.checks.common import MEASURES, TAGS, TAGS_HOURLY, by_user, events
 from tidewatch.checks.metrics import PROB, SCORED, probabilities, scored
 from tidewatch.checks.registry import query
 from tidewatch.checks.windows import LEADS, U
-from tidewatch.functions import names as n, times as tm
+from tidewatch.functions import families as fam, names as n, times as tm
 from tidewatch.operators import columns as co, contracts as ct, correlate as c, joins as j, metrics as m, profile as p, topk as k, windows as w
 from tidewatch.operators.series import Series
 from tidewatch.sources import messages as ms, sinks, tables as t
@@ -378,10 +378,13 @@ def k07(spark, d):
     return k.top_k(_models(spark, d), ["target"], [F.asc("rmse"), F.asc("mae"), F.asc("model")], 1)
 
 
-@query("K08_closest_candidate", "SELECT p_brand, round(abs(avg(p_retailprice) - 1900), 4) AS diff, round(stddev_pop(p_retailprice), 4) AS std, count(*) AS n FROM part GROUP BY 1 ORDER BY diff, std, n LIMIT 1")
+@query("K08_closest_candidate", """WITH p AS (SELECT p_brand AS candidate, round(avg(p_retailprice), 4) AS price, round(stddev_pop(p_retailprice), 4) AS std, count(*) AS n FROM part GROUP BY 1),
+x AS (SELECT *, CASE WHEN candidate = 'Brand#2' THEN 0.0 ELSE round(abs(price - (SELECT price FROM p WHERE candidate = 'Brand#2')), 4) END AS diff FROM p), y AS (SELECT * FROM x WHERE candidate <> 'Brand#2')
+SELECT candidate, price, std, n, diff, rank() OVER (ORDER BY diff)::INTEGER AS closeness_rank, CASE WHEN row_number() OVER (ORDER BY diff, std, n, candidate) = 1 THEN 'SELECTED_COMPACT_REFERENCE' ELSE 'NOT_SELECTED' END AS selection_status FROM y
+UNION ALL SELECT candidate, price, std, n, 0.0, 0, 'FULL_REFERENCE' FROM x WHERE candidate = 'Brand#2'""")
 def k08(spark, d):
-    x = table(spark, d, "part").groupBy("p_brand").agg(r(F.abs(F.avg("p_retailprice") - 1900), 4).alias("diff"), r(F.stddev_pop("p_retailprice"), 4).alias("std"), F.count(F.lit(1)).alias("n"))
-    return k.latest(x, [F.asc("diff"), F.asc("std"), F.asc("n")])
+    x = table(spark, d, "part").groupBy(C("p_brand").alias("candidate")).agg(r(F.avg("p_retailprice"), 4).alias("price"), r(F.stddev_pop("p_retailprice"), 4).alias("std"), F.count(F.lit(1)).alias("n"))
+    return k.closest_to_reference(x, "candidate", "Brand#2", "price", ["std", "n"]).withColumn("diff", r("abs_difference", 4)).drop("abs_difference")
 
 
 @query("K11_best_calibrator", f"""WITH {PROB}, x AS (SELECT label, 'raw' AS method, y, p FROM prob UNION ALL SELECT label, 'half', y, 0.25 + p / 2 FROM prob), l AS (SELECT label, method, round(avg((p - y) ** 2), 6) AS brier,
@@ -417,7 +420,12 @@ def g52(spark, d):
 
 @query("G53_tag_families", f"WITH {TAGS_HOURLY} SELECT hour, round(list_avg([click, view]), 6) AS pair_mean, round(list_sum([error, purchase, signup]), 6) AS family_sum FROM tags")
 def g53(spark, d):
-    return tags_hourly(spark, d).select("hour", r(tm.family_mean(["click", "view"])).alias("pair_mean"), r(tm.family_sum(["error", "purchase", "signup"])).alias("family_sum"))
+    return tags_hourly(spark, d).select("hour", r(fam.family_mean(["click", "view"])).alias("pair_mean"), r(fam.family_sum(["error", "purchase", "signup"])).alias("family_sum"))
+
+
+@query("G53_map_families", "WITH mg AS (SELECT user_id, date_trunc('hour', ts)::TIMESTAMP AS hour, event_type, max(value) AS v FROM events GROUP BY 1, 2, 3) SELECT user_id, hour, round(sum(v) FILTER (event_type IN ('view', 'error', 'purchase') AND v BETWEEN 1 AND 100), 6) AS family_sum FROM mg GROUP BY 1, 2")
+def g53m(spark, d):
+    return _messages(spark, d).select("user_id", "hour", r(fam.map_family_sum(C("f"), "(?i)^(VIEW|err.*|pur.*)$")).alias("family_sum"))
 
 
 @query("G54_interval_histogram", f"WITH {TAGS_HOURLY}, h AS (SELECT (epoch_us(hour) - lag(epoch_us(hour)) OVER (ORDER BY hour)) / 1e6 AS s FROM tags WHERE view IS NOT NULL) SELECT s AS interval_s, CASE WHEN s % 3600 = 0 THEN (s::BIGINT // 3600) || ' hour(s)' END AS text, count(*) AS rows FROM h WHERE s IS NOT NULL GROUP BY 1, 2")

@@ -130,7 +130,7 @@ def w13(spark, d):
 
 
 @query("W14_episode_gaps", """WITH p AS (SELECT event_id, ts AS s, ts + INTERVAL 30 MINUTE AS e FROM events WHERE event_type = 'purchase'),
-g AS (SELECT event_id, round((epoch_us(s) - lag(epoch_us(e)) OVER (ORDER BY s, event_id)) / 6e7, 9) + 0 AS gap_minutes FROM p)
+g AS (SELECT event_id, round((epoch_us(s) - lag(epoch_us(e)) OVER (ORDER BY s, event_id)) / 6e7 - 1, 9) + 0 AS gap_minutes FROM p)
 SELECT event_id, gap_minutes, (SELECT min(gap_minutes) FROM g) AS min_gap FROM g""")
 def w14(spark, d):
     p = events(spark, d).filter(F.col("event_type") == "purchase").select(
@@ -142,7 +142,7 @@ def w14(spark, d):
 @query("W15_second_in_minute", """WITH m AS (SELECT event_id, event_type, ts, date_trunc('minute', ts)::TIMESTAMP AS minute FROM events),
 p AS (SELECT *, row_number() OVER (PARTITION BY event_type, minute ORDER BY ts, event_id) - 1 AS place,
              min(minute) OVER (PARTITION BY event_type) AS first_minute FROM m)
-SELECT event_id, place, minute + to_seconds(place + CASE WHEN minute = first_minute THEN 1 ELSE 0 END) AS second_ts FROM p""")
+SELECT event_id, place, minute + to_seconds(place + CASE WHEN minute = first_minute AND place < 60 THEN 1 ELSE 0 END) AS second_ts FROM p""")
 def w15(spark, d):
     e = events(spark, d).select("event_id", "event_type", "ts")
     return w.seconds_in_minute(e, Series(["event_type"], ["ts"]), "event_id").select("event_id", "place", "second_ts")

@@ -22,15 +22,3 @@ def duration_text(seconds: Column) -> Column:
         .when(s % 60 == 0, F.concat((s / 60).cast("long").cast("string"), F.lit(" minute(s)")))
         .otherwise(F.concat(s.cast("string"), F.lit(" second(s)")))
     )
-
-
-def family_mean(cols: list[str]) -> Column:
-    """Mean of the present values of a tag family in a row."""
-    vals = F.array_compact(F.array(*[F.col(c) for c in cols]))
-    total = F.aggregate(vals, F.lit(0.0), lambda a, v: a + v)
-    return F.when(F.size(vals) > 0, total / F.when(F.size(vals) > 0, F.size(vals)))
-
-
-def family_sum(cols: list[str]) -> Column:
-    vals = F.array_compact(F.array(*[F.col(c) for c in cols]))
-    return F.when(F.size(vals) > 0, F.aggregate(vals, F.lit(0.0), lambda a, v: a + v))

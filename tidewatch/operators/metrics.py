@@ -211,21 +211,20 @@ def forecast_accuracy(df: DataFrame, group: list[str], actual: str, forecast: st
     pct = F.when(a != 0, F.abs(e / F.when(a != 0, a)) * 100)
     extra = df.groupBy(*group).agg(
         F.avg(pct).alias("mape"), F.avg(e).alias("mean_error"), F.max(F.abs(e)).alias("max_abs_error"), F.stddev_pop(e).alias("std_error"),
-        (F.avg(F.when(pct <= 5, 1.0).when(pct > 5, 0.0)) * 100).alias("within_5_pct"), (F.avg(F.when(pct <= 10, 1.0).when(pct > 10, 0.0)) * 100).alias("within_10_pct"))
+        *[(F.avg(F.when(F.abs(e) <= F.abs(a) * (n / 100), 1.0).otherwise(0.0)) * 100).alias(f"within_{n}_pct") for n in (5, 10)])
     return regression_errors(df, group, actual, forecast).join(extra, group)
 
 
-# fixed values: upper bounds of the ramp ranges, closed on the right
-RAMP_BOUNDS = [2, 5, 10, 20, 50]
+# fixed values: ramp ranges (closed on the right) by upper bound; the last has none
+RAMP_RANGES = {"0-2 MW": 2, "2-5 MW": 5, "5-10 MW": 10, "10-20 MW": 20, "20-50 MW": 50, ">50 MW": None}
 
 
-def right_closed_bin(v: Column, bounds: list[float] = RAMP_BOUNDS) -> Column:
-    """Label of the range (lo, hi] a value falls into."""
-    out = None
-    for lo, hi in zip([None, *bounds], bounds):
-        label = f"<= {hi}" if lo is None else f"({lo}, {hi}]"
-        out = F.when(v <= hi, label) if out is None else out.when(v <= hi, label)
-    return F.when(v.isNotNull(), out.otherwise(f"> {bounds[-1]}"))
+def right_closed_bin(v: Column, ranges: dict[str, float | None] = RAMP_RANGES) -> Column:
+    """Name of the range (lo, hi] a value falls into; null for a missing value."""
+    from tidewatch.functions.rules import choose
+
+    last = next(name for name, hi in ranges.items() if hi is None)
+    return F.when(v.isNotNull(), choose([(v <= hi, name) for name, hi in ranges.items() if hi is not None], last))
 
 
 def errors_by_bin(df: DataFrame, group: list[str], bin_of: Column, error: str) -> DataFrame:

@@ -57,6 +57,21 @@ def category_order(df: DataFrame, column: str, categories: list[str], *then: Col
     return df.orderBy(F.when(rank == 0, len(categories) + 1).otherwise(rank), *then)
 
 
+def closest_to_reference(df: DataFrame, name: str, reference: str, metric: str, then: list[str]) -> DataFrame:
+    """Candidates by their distance to the reference in one metric: distance, rank (ties share
+    the lowest) and status; the next columns decide between equal distances. One row per
+    candidate."""
+    ref = df.filter(F.col(name) == reference).select(metric).scalar()
+    is_ref = F.col(name) == reference
+    out = df.withColumn("abs_difference", F.when(is_ref, F.lit(0.0)).otherwise(F.abs(F.col(metric) - ref)))
+    best = out.filter(~is_ref).agg(F.min_by(name, F.struct("abs_difference", *then, name))).scalar()
+    others = Window.partitionBy(is_ref).orderBy("abs_difference")
+    return out.withColumns({
+        "closeness_rank": F.when(is_ref, 0).otherwise(F.rank().over(others)),
+        "selection_status": F.when(is_ref, "FULL_REFERENCE").when(F.col(name) == best, "SELECTED_COMPACT_REFERENCE").otherwise("NOT_SELECTED"),
+    })
+
+
 def evenly_spaced(df: DataFrame, series, k: int) -> DataFrame:
     """At most k rows at evenly spaced positions (first and last included) of an ordered table."""
     from tidewatch.operators.windows import positions

@@ -172,10 +172,11 @@ def continuity(df: DataFrame, group: list[str], bucket: str, step_seconds: int)
 
 
 def episode_gaps(episodes: DataFrame, start: str, end: str, ident: str, keys: list[str] = ()) -> DataFrame:
-    """Minutes from the end of the previous episode to the start of this one."""
+    """Whole minutes between the last minute of the previous episode and the first of this one
+    (consecutive minutes have gap 0, overlapping ones a negative gap)."""
     s = Series(list(keys), [start, ident])
     fr = s.frame(episodes.select(*keys, start, end, ident), before=1)
-    gap = seconds_between(F.lag(end).over(fr.window()), F.col(start)) / 60
+    gap = seconds_between(F.lag(end).over(fr.window()), F.col(start)) / 60 - 1
     return fr.with_columns({"gap_minutes": gap}).rows()
 
 
@@ -190,7 +191,7 @@ def seconds_in_minute(df: DataFrame, series: Series, ordinal: str) -> DataFrame:
     minutes = Series([*series.keys, "minute"], [ts, ordinal], cell=F.date_trunc("second", F.col(ts)))
     out = minutes.frame(stamped).position("place").rows()
     out = with_group_value(out, df, series.keys, F.min(F.date_trunc("minute", ts)), "_first")
-    shift = F.when(F.col("minute") == F.col("_first"), 1).otherwise(0)
+    shift = F.when((F.col("minute") == F.col("_first")) & (F.col("place") < 60), 1).otherwise(0)
     rebuilt = F.expr("minute + make_dt_interval(0, 0, 0, cast(_place_s AS DECIMAL(18,6)))")
     return out.withColumn("_place_s", F.col("place") + shift).withColumn("second_ts", rebuilt).drop("_first", "_place_s")
 

@@ -1,6 +1,8 @@
 """Runtime adapter: one message in, one status out, with a bounded history per source.
 
-A message is checked in a fixed order and the first failure wins. Every failure clears the
+A message is checked in a fixed order and the first failure wins: malformed message, invalid
+timestamp, timestamp order, cadence, source, malformed features, missing values, values that
+are no numbers, values that are not finite. Every failure clears the
 history. A late or repeated timestamp keeps the last accepted time; a cadence break and all
 later failures advance it; an unreadable timestamp forgets it. The batch form states the same
 rules as windows, the stream form as keyed state.
@@ -27,7 +29,7 @@ def parse(messages: DataFrame, names: list[str], source: str | None = None) -> D
     codes = message_violations(F.col("features"), names, allow_extra=True)
     failure = (
         F.when(F.lit(source is not None) & ~F.coalesce(F.col("source") == (source or ""), F.lit(False)), "source")
-        .when(F.col("features").isNull(), "features_type")
+        .when(F.col("features").isNull(), "malformed_features")
         .when(F.array_contains(codes, "missing_keys"), "missing_raw")
         .when(F.exists(F.array(*[F.element_at("features", n) for n in names]), lambda v: v.try_cast("double").isNull()), "invalid_values")
     )
@@ -36,6 +38,8 @@ def parse(messages: DataFrame, names: list[str], source: str | None = None) -> D
     for v in values:
         finite = finite & ~F.isnan(v) & (F.abs(v) != float("inf"))
     failure = F.coalesce(failure, F.when(~F.coalesce(finite, F.lit(False)), "non_finite"))
+    if "corrupt" in messages.columns:
+        failure = F.when(F.col("corrupt"), "malformed_message").otherwise(failure)
     out = messages.withColumns({"ts": F.try_to_timestamp(F.col("timestamp")).cast("timestamp_ntz"), "content_failure": failure})
     return out.withColumns({n: F.when(F.col("content_failure").isNull(), v) for n, v in zip(names, values)}).select(
         "source", "step", "ts", "content_failure", *names)
@@ -55,7 +59,7 @@ def adapt_batch(parsed: DataFrame, names: list[str], cadence_seconds: float = 12
     last = by_era.frame(era).running_max("_last", F.col("ts"), inclusive=False).rows()
     dt = seconds_between(F.col("_last"), F.col("ts"))
     failure = (
-        F.when(F.col("ts").isNull(), "timestamp").when(dt <= 0, "timestamp_order").when(dt != cadence_seconds, "cadence")
+        F.when(F.col("content_failure") == "malformed_message", "malformed_message").when(F.col("ts").isNull(), "invalid_timestamp").when(dt <= 0, "timestamp_order").when(dt != cadence_seconds, "cadence")
         .otherwise(F.col("content_failure"))
     )
     run = streaks(last.withColumn("failure", failure), order, F.col("failure").isNull(), "_run")
@@ -86,7 +90,8 @@ class _Adapter(StatefulProcessor):
             us = None if row.us is None or row.us != row.us else int(row.us)
             failure = None
             if us is None:
-                failure, last = "timestamp", None
+                malformed = isinstance(row.content_failure, str) and row.content_failure == "malformed_message"
+                failure, last = "malformed_message" if malformed else "invalid_timestamp", None
             elif last is not None and us <= last:
                 failure = "timestamp_order"
             else:
