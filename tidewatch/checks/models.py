@@ -188,8 +188,8 @@ def _classified(spark, d, balanced):
     x = _labelled(spark, d)
     train = x.filter("split = 'train'").persist()
     models = cl.fit_labels(train, LABELS, balanced, iterations=50)
-    out = cl.score_labels(x.filter("split <> 'train'"), models, ["event_id", "split"], LABELS)
-    return out
+    train.unpersist()
+    return cl.score_labels(x.filter("split <> 'train'"), models, ["event_id", "split"], LABELS)
 
 
 @query("A12_balanced_classifiers")

@@ -263,7 +263,7 @@ def j13(spark, d):
 e AS (SELECT feature_1 AS a, feature_2 AS b FROM c UNION SELECT feature_2, feature_1 FROM c),
 reach AS (SELECT a, a AS b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
 g AS (SELECT a AS feature, min(b) AS component FROM reach GROUP BY 1), s AS (SELECT component, count(*) AS group_size FROM g GROUP BY 1)
-SELECT dense_rank() OVER (ORDER BY group_size DESC, component)::INTEGER AS group_no, group_size, feature FROM g JOIN s USING (component)""")
+SELECT dense_rank() OVER (ORDER BY group_size DESC, component) AS group_no, group_size, feature FROM g JOIN s USING (component)""")
 def a18(spark, d):
     hp = c.high_pairs(c.pearson_pairs(_priced(spark, d), PAIR_VIEW), 0.9)
     return c.ordered_groups(c.connected_groups(hp.select("feature_1", "feature_2")))

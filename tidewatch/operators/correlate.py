@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators.quantiles import unpivot, value_cell
 from tidewatch.operators.series import Series
+from tidewatch.operators.topk import rank_first
 
 NATIVE_COLUMNS = 8
 
@@ -245,5 +246,5 @@ def connected_groups(edges: DataFrame, a: str = "feature_1", b: str = "feature_2
 def ordered_groups(groups: DataFrame) -> DataFrame:
     """Components of at least two nodes, numbered by size (large first) then name."""
     size = groups.groupBy("component").agg(F.count(F.lit(1)).alias("group_size")).filter("group_size >= 2")
-    numbered = size.withColumn("group_no", F.row_number().over(Window.orderBy(F.desc("group_size"), F.asc("component"))))
+    numbered = rank_first(size, [], "group_size", ["component"], "group_no")
     return groups.join(numbered, "component").select("group_no", "group_size", F.col("node").alias("feature"))

@@ -30,7 +30,9 @@ SMALL_TABLE_BYTES = 64 << 20
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """Optimizer's size estimate of a DataFrame; huge when it has no statistics."""
+    """Optimizer's size estimate of a DataFrame; huge when it has no statistics or none to ask."""
+    if not hasattr(df, "_jdf"):
+        return 1 << 62
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 

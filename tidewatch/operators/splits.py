@@ -27,7 +27,10 @@ class Cuts:
         self.order = series.order
         p = positions(df.select(*series.order), series, "_p", "_n")
         wanted = F.array(*[F.struct(F.lit(float(f)).alias("f"), F.floor(F.col("_n") * F.lit(f)).alias("at")) for f in fractions])
-        hit = p.select(*series.order, F.explode(F.filter(wanted, lambda w: w["at"] == F.col("_p"))).alias("_w"))
+        types = dict(df.dtypes)
+        self.types = [types[c] for c in series.order]
+        # as text: a typed literal made from it does not depend on the session's time zone
+        hit = p.select(*[F.col(c).cast("string").alias(c) for c in series.order], F.explode(F.filter(wanted, lambda w: w["at"] == F.col("_p"))).alias("_w"))
         self.keys = {r["f"]: [r[c] for c in self.order] for r in hit.select(*self.order, "_w.f").collect()}
 
     def before(self, fraction: float) -> Column:
@@ -36,11 +39,12 @@ class Cuts:
         if key is None:
             return F.lit(True)
         out, tie = F.lit(False), F.lit(True)
-        for c, v in zip(self.order, key):
-            out = out | (tie & (F.col(c) < F.lit(v)))
-            tie = tie & (F.col(c) == F.lit(v))
+        at = [F.lit(v).cast(t) for v, t in zip(key, self.types)]
+        for c, v in zip(self.order, at):
+            out = out | (tie & (F.col(c) < v))
+            tie = tie & (F.col(c) == v)
         # the leading bound alone can be pushed to the scan
-        return (F.col(self.order[0]) <= F.lit(key[0])) & out
+        return (F.col(self.order[0]) <= at[0]) & out
 
     def between(self, low: float, high: float) -> Column:
         return ~self.before(low) & self.before(high)

@@ -16,9 +16,11 @@ def replay(df: DataFrame, path: str, ts: str, key: str, slices: int, files: int
     The time span is cut into `slices`, written one after the other. Rows of one key share a
     file within a slice, so a trigger that ends between files keeps each key in order.
     """
-    span = df.agg(F.min(ts).alias("a"), F.max(ts).alias("b")).first()
-    total = F.timestamp_diff("MICROSECOND", F.lit(span["a"]), F.lit(span["b"])) + 1
-    part = F.floor(F.timestamp_diff("MICROSECOND", F.lit(span["a"]), F.col(ts)) * slices / total)
+    kind = dict(df.dtypes)[ts]
+    span = df.agg(F.min(ts).cast("string").alias("a"), F.max(ts).cast("string").alias("b")).first()
+    first, last = (F.lit(span[x]).cast(kind) for x in ("a", "b"))
+    total = F.timestamp_diff("MICROSECOND", first, last) + 1
+    part = F.floor(F.timestamp_diff("MICROSECOND", first, F.col(ts)) * slices / total)
     marked = df.withColumn("_slice", part)
     for i in range(slices):
         marked.filter(F.col("_slice") == i).repartition(files, key).select("payload").write.mode("append").text(path)
@@ -37,9 +39,20 @@ def table_stream(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(root)
 
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """Keyed state needs the RocksDB store; choose it unless the session already has."""
+    if "RocksDB" not in spark.conf.get(PROVIDER, ""):
+        spark.conf.set(PROVIDER, ROCKSDB)
+
+
 def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Process all available input into a table and read it back."""
     spark, base = stream.sparkSession, shared_dir(stream.sparkSession)
+    use_rocksdb(spark)
     out = os.path.join(base, "out")
     q = (stream.writeStream.outputMode(mode).format("parquet").option("path", out)
          .option("checkpointLocation", os.path.join(base, "progress")).trigger(availableNow=True).start())
@@ -50,6 +63,7 @@ def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
 def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], mode: str = "append") -> None:
     """Process all available input with a function per micro-batch."""
     base = shared_dir(stream.sparkSession)
+    use_rocksdb(stream.sparkSession)
     q = (stream.writeStream.outputMode(mode).foreachBatch(handle)
          .option("checkpointLocation", os.path.join(base, "progress")).trigger(availableNow=True).start())
     q.awaitTermination()
