@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators.quantiles import exact_quantiles, unpivot
 from tidewatch.operators.series import Series, with_group_value
+from tidewatch.sources.tables import pin
 
 INF = float("inf")
 # fixed values: quantiles of the quality profile
@@ -146,6 +147,8 @@ def drift(base: DataFrame, others: dict[str, DataFrame], cols: list[str], zero_s
     on = ["sample", "feature"]
     tall = unpivot(rows, ["sample"], cols)
     stats = feature_moments(rows, cols, ["sample"]).join(exact_quantiles(tall, on, "value", QUALITY_QUANTILES, few_groups=True), on)
+    # one row per sample and feature, used three times: kept, so the readings are not read again
+    stats = pin(stats)
     kept = ["mean", "std", "min", "max", *QUALITY_QUANTILES]
     side = lambda tag, df: df.select(*on, *[F.col(c).alias(f"{tag}_{c}") for c in kept])
     b = side("base", stats.filter("sample = ''")).drop("sample")
