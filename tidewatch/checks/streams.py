@@ -20,7 +20,7 @@ NAMES = ["top", "mean"]
 
 # Messages: one per event type and hour with two features; an hour without events is a gap,
 # a mean above 60 arrives as Infinity and one below 3 as a boolean.
-MSG = """h AS (SELECT event_type AS source, date_trunc('hour', ts)::TIMESTAMP AS ts, round(max(value), 2) AS top, round(avg(value), 2) AS mean FROM events GROUP BY 1, 2),
+MSG = """h AS (SELECT event_type AS source, date_trunc('hour', ts)::TIMESTAMP AS ts, round(max(value), 6) AS top, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2),
 m AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY ts) AS step, lag(ts) OVER (PARTITION BY source ORDER BY ts) AS prev FROM h),
 f AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(prev) <> 3600000000 THEN 'cadence' WHEN mean < 3 THEN 'invalid_values' WHEN mean > 60 THEN 'non_finite' END AS failure FROM m),
 g AS (SELECT *, sum((failure IS NOT NULL)::INT) OVER (PARTITION BY source ORDER BY step) AS seg FROM f),
@@ -30,7 +30,7 @@ st AS (SELECT *, CASE WHEN failure IS NOT NULL THEN 'INVALID_INPUT' WHEN run >=
 
 
 def messages(spark, d):
-    h = events(spark, d).groupBy(C("event_type").alias("source"), F.date_trunc("hour", "ts").alias("ts")).agg(r(F.max("value"), 2).alias("top"), r(F.avg("value"), 2).alias("mean"))
+    h = events(spark, d).groupBy(C("event_type").alias("source"), F.date_trunc("hour", "ts").alias("ts")).agg(r(F.max("value")).alias("top"), r(F.avg("value")).alias("mean"))
     h = w.positions(h, w.Series(["source"], ["ts"]), "step").withColumn("step", C("step") + 1)
     text = F.when(C("mean") > 60, "Infinity").when(C("mean") < 3, "true").otherwise(C("mean").cast("string"))
     body = F.struct(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), "source", "step", F.create_map(F.lit("top"), C("top").cast("string"), F.lit("mean"), text).alias("features"))
