@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import exact_dedup, sharding, simhash, url_filter
+from tidewatch.llm import exact_dedup, language, sharding, simhash, url_filter
 from tidewatch.llm.registry import query
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -52,3 +52,11 @@ BAD_HOST_WORDS = ["spam", "ads", "track", "casino", "bets", "pills", "adult"]
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge_urls(pages, URL_RULES, BAD_HOST_WORDS).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op10_language")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learned = language.fit(docs.where(~language.held_out(F.col("doc_id"))))
+    found = language.identify(docs.select("doc_id", "text"), learned)
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
