@@ -90,7 +90,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int =
     cut, into pieces of that length and a last one of the rest. `row_id` numbers the rows as read, so repeated ids stay apart.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    schema = rows.select("row_id", "doc_id").schema.add("piece", "int").add("start", "long").add("length", "long").add("ids_crc32", "long")
+    schema = rows.select("row_id", "doc_id").schema.add("piece", "integer").add("start", "long").add("length", "long").add("ids_crc32", "long")
     if with_ids:
         schema = schema.add("ids", "binary")
     last = int(end_id).to_bytes(4, "little")
