@@ -196,7 +196,7 @@ def packed(pieces: DataFrame, capacity: int = 2048, by: list[str] | None = None)
         by_length[length] = {k: np.array([getattr(r, k) for r in own], np.int64) for k in ("rank", "count", "first", "offset")}
     ranked = number_rows(pieces.drop("sequence_id", "offset"), by, group=["length"], name="__rank_of_length", cells=64)
     plain = pieces.drop("sequence_id", "offset")
-    schema = plain.schema.add("sequence_id", "long").add("offset", "long")
+    columns, schema = plain.columns, plain.schema.add("sequence_id", "long").add("offset", "long")
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -208,7 +208,7 @@ def packed(pieces: DataFrame, capacity: int = 2048, by: list[str] | None = None)
                 since = ranks[rows] - run["rank"][at]
                 sequence[rows] = run["first"][at] + since // run["count"][at]
                 offset[rows] = run["offset"][at] + since % run["count"][at] * length
-            yield b[plain.columns].assign(sequence_id=sequence, offset=offset)
+            yield b[columns].assign(sequence_id=sequence, offset=offset)
 
     return ranked.mapInPandas(place, schema)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import exact_dedup, language, packing, sharding, simhash, url_filter
+from tidewatch.llm import exact_dedup, language, mixing, packing, sharding, simhash, url_filter
 from tidewatch.llm.registry import query
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -67,6 +67,66 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(pages, URL_RULES, BAD_HOST_WORDS).select("page_id", "host", "path", "rule", "verdict")
 
 
+#: Shares of tokens to reach, by source, language and form.
+MIX_TARGETS = {
+    "source": {f"src{i}": 0.05 for i in range(20)},
+    "lang": {"en": 0.60, "de": 0.15, "fr": 0.15, "es": 0.10},
+    "topic": {"prose": 0.87, "marked": 0.09, "table": 0.033, "other": 0.007},
+}
+MIX_SEED = 11
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """Documents with topic, tokens, weight, probability and kept."""
+    docs = docs.withColumn("topic", mixing.form_topic(F.col("text"))).withColumn("tokens", mixing.token_count(F.col("text")))
+    return mixing.mixture(docs, MIX_TARGETS, tokens="tokens", seed=MIX_SEED)
+
+
+def _mix_sql() -> str:
+    """The raking as a recursion over the table of cells, each round scaling by source, language and form."""
+    cats, held = [], []
+    for c, targets in MIX_TARGETS.items():
+        listed = ", ".join(f"'{v}'" for v in targets if v != "other")
+        cats.append(f"CASE WHEN {c} IN ({listed}) THEN {c} ELSE 'other' END AS k_{c}")
+        rest = targets.get("other", max(0.0, 1 - sum(targets.values())))
+        share = " ".join(f"WHEN '{v}' THEN {s}" for v, s in targets.items() if v != "other")
+        held.append(f"h_{c} AS (SELECT k_{c}, t / sum(t) OVER () AS t_{c} FROM (SELECT k_{c}, CASE k_{c} {share} ELSE {rest} END::DOUBLE AS t "
+                    f"FROM own WHERE w > 0 GROUP BY k_{c}))")
+    keys = [f"k_{c}" for c in MIX_TARGETS]
+    step = "SELECT it + 1 AS it, {k}, {t}, own, w FROM r WHERE it < 300".format(k=", ".join(keys), t=", ".join(f"t_{c}" for c in MIX_TARGETS))
+    for c in MIX_TARGETS:
+        step = (f"SELECT it, {', '.join(keys)}, {', '.join(f't_{x}' for x in MIX_TARGETS)}, own, "
+                f"coalesce(w * t_{c} / nullif(sum(w) OVER (PARTITION BY k_{c}), 0), 0) AS w FROM ({step})")
+    n = "length(coalesce(text, ''))"
+    without = lambda chars: f"({n} - length(translate(coalesce(text, ''), '{chars}', '')))"
+    return f"""
+WITH RECURSIVE base AS (
+  SELECT doc_id, source, lang, CASE WHEN {n} = 0 THEN 'note' WHEN {without('|')} * 40 >= {n} THEN 'table'
+      WHEN {without('!#$%&*')} * 20 >= {n} THEN 'marked' WHEN ({n} - length(replace(coalesce(text, ''), chr(10), ''))) * 60 >= {n} THEN 'list'
+      WHEN {n} < 400 THEN 'note' ELSE 'prose' END AS topic, trim(regexp_replace(coalesce(text, ''), '[ \t\n\r]+', ' ', 'g'), ' ') AS bare
+  FROM documents),
+d AS (SELECT doc_id, source, lang, topic, CASE WHEN bare = '' THEN 0 ELSE length(bare) - length(replace(bare, ' ', '')) + 1 END AS tokens,
+  {', '.join(cats)} FROM base),
+own AS (SELECT {', '.join(keys)}, sum(tokens) / sum(sum(tokens)) OVER () AS w FROM d GROUP BY {', '.join(keys)}),
+{', '.join(held)},
+r(it, {', '.join(keys)}, {', '.join(f't_{c}' for c in MIX_TARGETS)}, own, w) AS (
+  SELECT 0, {', '.join(f'own.{k}' for k in keys)}, {', '.join(f't_{c}' for c in MIX_TARGETS)}, w, w::DOUBLE
+  FROM own {' '.join(f'JOIN h_{c} USING (k_{c})' for c in MIX_TARGETS)}
+  UNION ALL {step}),
+raked AS (SELECT {', '.join(keys)}, w / own AS weight, w / own / max(w / own) OVER () AS p FROM r WHERE it = 300 AND own > 0)
+SELECT doc_id, source, lang, topic, tokens::BIGINT AS tokens, round(coalesce(weight, 0), 6) AS weight, round(coalesce(p, 0), 6) AS probability,
+  ('0x' || substr(md5('{MIX_SEED}:' || doc_id), 1, 8))::BIGINT / 4294967296.0 < coalesce(p, 0) AS kept
+FROM d LEFT JOIN raked USING ({', '.join(keys)})
+"""
+
+
+@query("op8_mixing", _mix_sql())
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixed(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "source", "lang", "topic", "tokens", F.round("weight", 6).alias("weight"),
+                        F.round("probability", 6).alias("probability"), "kept")
+
+
 @query("op10_language")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
