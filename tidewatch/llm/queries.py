@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import exact_dedup, language, mixing, packing, sharding, simhash, url_filter
+from tidewatch.llm import exact_dedup, language, mixing, multi_index, packing, sharding, simhash, url_filter
 from tidewatch.llm.registry import query
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -67,11 +67,17 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(pages, URL_RULES, BAD_HOST_WORDS).select("page_id", "host", "path", "rule", "verdict")
 
 
+@query("op7_multi_index")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return multi_index.nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
+
+
 #: Shares of tokens to reach, by source, language and form.
 MIX_TARGETS = {
     "source": {f"src{i}": 0.05 for i in range(20)},
     "lang": {"en": 0.60, "de": 0.15, "fr": 0.15, "es": 0.10},
-    "topic": {"prose": 0.87, "marked": 0.09, "table": 0.033, "other": 0.007},
+    "topic": {"prose": 0.91, "marked": 0.055, "table": 0.03, "other": 0.005},
 }
 MIX_SEED = 11
 
