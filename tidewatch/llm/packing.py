@@ -17,7 +17,7 @@ from tidewatch.llm.numbering import number_rows
 from tidewatch.sources.tables import pin
 
 #: Runs of letters or signs whose ids a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 250_000
 #: Texts looked through for new runs at a time, and new runs encoded in one string.
 TOGETHER, JOINED = 64, 500
 #: What is known to come apart into runs of letters, single digits and runs of signs, each encoded by itself.
