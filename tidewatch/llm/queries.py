@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import exact_dedup, language, mixing, multi_index, packing, sharding, simhash, url_filter
+from tidewatch.llm import exact_dedup, language, line_dedup, mixing, multi_index, packing, sharding, simhash, url_filter
 from tidewatch.llm.registry import query
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -133,6 +133,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.round("probability", 6).alias("probability"), "kept")
 
 
+@query("op9_line_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.similar_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "line", "class_doc_id", "class_line", "links", "removed")
+
+
 @query("op10_language")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
