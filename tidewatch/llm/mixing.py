@@ -13,8 +13,7 @@ OTHER = "other"
 
 def token_count(text: Column) -> Column:
     """Words of a text, parted by space, tab and line ends; 0 for null."""
-    bare = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), "[ \t\n\r]+", " "))
-    return F.when(bare == "", F.lit(0)).otherwise(F.length(bare) - F.length(F.translate(bare, " ", "")) + 1).cast("long")
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit("[^ \t\n\r]+")).cast("long")
 
 
 def form_topic(text: Column) -> Column:
@@ -26,11 +25,14 @@ def form_topic(text: Column) -> Column:
     t = F.coalesce(text, F.lit(""))
     n = F.length(t)
 
-    def without(chars: str) -> Column:
-        return F.length(F.translate(t, chars, ""))
+    def count(chars: str) -> Column:  # of signs of one byte each
+        bare = t
+        for c in chars:
+            bare = F.replace(bare, F.lit(c), F.lit(""))
+        return F.octet_length(t) - F.octet_length(bare)
 
-    return (F.when(n == 0, "note").when((n - without("|")) * 40 >= n, "table").when((n - without("!#$%&*")) * 20 >= n, "marked")
-            .when((n - without("\n")) * 60 >= n, "list").when(n < 400, "note").otherwise("prose"))
+    return (F.when(n == 0, "note").when(count("|") * 40 >= n, "table").when(count("!#$%&*") * 20 >= n, "marked")
+            .when(count("\n") * 60 >= n, "list").when(n < 400, "note").otherwise("prose"))
 
 
 def rake(tokens: np.ndarray, targets: list[np.ndarray], rounds: int = 500, tolerance: float = 1e-10) -> np.ndarray:

@@ -109,9 +109,10 @@ def _mix_sql() -> str:
 WITH RECURSIVE base AS (
   SELECT doc_id, source, lang, CASE WHEN {n} = 0 THEN 'note' WHEN {without('|')} * 40 >= {n} THEN 'table'
       WHEN {without('!#$%&*')} * 20 >= {n} THEN 'marked' WHEN ({n} - length(replace(coalesce(text, ''), chr(10), ''))) * 60 >= {n} THEN 'list'
-      WHEN {n} < 400 THEN 'note' ELSE 'prose' END AS topic, trim(regexp_replace(coalesce(text, ''), '[ \t\n\r]+', ' ', 'g'), ' ') AS bare
+      WHEN {n} < 400 THEN 'note' ELSE 'prose' END AS topic,
+      len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\r]+')) AS tokens
   FROM documents),
-d AS (SELECT doc_id, source, lang, topic, CASE WHEN bare = '' THEN 0 ELSE length(bare) - length(replace(bare, ' ', '')) + 1 END AS tokens,
+d AS (SELECT doc_id, source, lang, topic, tokens,
   {', '.join(cats)} FROM base),
 own AS (SELECT {', '.join(keys)}, sum(tokens) / sum(sum(tokens)) OVER () AS w FROM d GROUP BY {', '.join(keys)}),
 {', '.join(held)},
