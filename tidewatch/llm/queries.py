@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import exact_dedup, language, line_dedup, mixing, multi_index, packing, sharding, simhash, url_filter
+from tidewatch.llm import exact_dedup, language, line_dedup, mixing, multi_index, packing, page_text, sharding, simhash, url_filter
 from tidewatch.llm.registry import query
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -24,6 +24,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"), "row_number", "position")
 
 
+@query("op2_page_text")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return page_text.extract(pages.select("page_id", "url", "html"), page_text.fit(pages)).select("page_id", "url", "text", "n_chars")
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
