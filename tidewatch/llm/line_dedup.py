@@ -122,7 +122,8 @@ def _shared(n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
 
 def line_rows(docs: DataFrame, counts: np.ndarray, id_col: str, text_col: str, settings: Settings) -> DataFrame:
     """A row for each line of enough words: `row_id, doc_id, line, n, k1, k2`, its bit map, and its prefix of rare words."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    # ids pass Python as text: with nulls among them pandas would make them floats
+    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
     schema = rows.select("row_id", "doc_id").schema.add("line", "integer").add("n", "integer").add("k1", "long").add("k2", "long").add(
         "bits", "long").add("prefix", T.ArrayType(T.LongType()))
     shared = rows.sparkSession.sparkContext.broadcast(counts)  # 2 ** counters bytes
@@ -141,6 +142,8 @@ def line_rows(docs: DataFrame, counts: np.ndarray, id_col: str, text_col: str, s
                 ends = np.cumsum([d.count(b"\n") + 1 for d in data])
                 at = np.searchsorted(ends, lines[start], "right")
                 long = np.flatnonzero(n >= settings.words)
+                if not len(long):
+                    continue
                 reach = n - np.ceil(settings.similarity * n - 1e-9).astype(np.int64) + 1
                 place = np.arange(len(lines)) - np.repeat(start, n)
                 packed = ((hashes >> np.uint64(32)) << np.uint64(16) | np.minimum(place, 65535).astype(np.uint64)).view(np.int64)
@@ -153,7 +156,7 @@ def line_rows(docs: DataFrame, counts: np.ndarray, id_col: str, text_col: str, s
                                  bits=bits[long].view(np.int64),
                                  prefix=[packed[i:k] for i, k in zip(upto[start[long]].tolist(), upto[(start + n)[long]].tolist())])
 
-    return rows.mapInPandas(take, schema)
+    return rows.mapInPandas(take, schema).withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))
 
 
 def _chunks(batches: Iterator[pd.DataFrame], key: str, rows: int) -> Iterator[pd.DataFrame]:
@@ -222,8 +225,7 @@ def _verified(rows: pd.DataFrame, counts: np.ndarray, similarity: float) -> pd.D
     n, side = meta >> 32, meta & 0xFFFF
     links, later = np.zeros(len(rows), np.int64), np.zeros(len(rows), bool)
     rank = np.empty(len(rows), np.int64)
-    nulls = rows["doc_id"].isna().to_numpy()
-    rank[np.lexsort((rows["line"], rows["row_id"], rows["doc_id"].where(~nulls, 0), ~nulls))] = np.arange(len(rows))
+    rank[np.lexsort((rows["line"], rows["row_id"], rows["id"], rows["named"]))] = np.arange(len(rows))
     _, group = np.unique(key, return_inverse=True)
     # the words of a group in its order of rarity, kept where two rows have them
     rarity = counts[(hashes >> np.uint64(64 - int(np.log2(len(counts))))).astype(np.int64)]
@@ -353,7 +355,8 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     members = pin(posts.repartition("key").sortWithinPartitions("key").mapInPandas(partners, "key long, meta long, k1 long"))
     asked = members.select(F.col("k1").alias("m1")).distinct()
-    needed = pin(classes.join(asked, F.col("k1") == F.col("m1")).select("k1", "k2", "first.doc_id", "first.row_id", "first.line"))
+    needed = pin(classes.join(asked, F.col("k1") == F.col("m1")).select(
+        "k1", "k2", F.col("first.doc_id").isNotNull().alias("named"), F.coalesce("first.doc_id", F.lit(0)).alias("id"), "first.row_id", "first.line"))
     texts = _bodies(docs, needed, text_col, settings).withColumnRenamed("k1", "t1")
     full = members.join(texts, F.col("k1") == F.col("t1")).drop("t1")
     shared = docs.sparkSession.sparkContext.broadcast(counts)

@@ -89,7 +89,8 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int =
     A document is its text's ids, then `end_id`; null and empty texts are `end_id` alone. Only documents longer than `capacity` are
     cut, into pieces of that length and a last one of the rest. `row_id` numbers the rows as read, so repeated ids stay apart.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    # ids pass Python as text: with nulls among them pandas would make them floats
+    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
     schema = rows.select("row_id", "doc_id").schema.add("piece", "integer").add("start", "long").add("length", "long").add("ids_crc32", "long")
     if with_ids:
         schema = schema.add("ids", "binary")
@@ -111,7 +112,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int =
             out = b[["row_id", "doc_id"]].iloc[owner].reset_index(drop=True).assign(piece=piece, start=start, length=length, ids_crc32=crc)
             yield out.assign(ids=kept) if with_ids else out
 
-    return rows.mapInPandas(cut, schema)
+    return rows.mapInPandas(cut, schema).withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))
 
 
 @dataclass
@@ -194,23 +195,24 @@ def packed(pieces: DataFrame, capacity: int = 2048, by: list[str] | None = None)
     for length in counts:
         own = [r for r in runs if r.length == length]
         by_length[length] = {k: np.array([getattr(r, k) for r in own], np.int64) for k in ("rank", "count", "first", "offset")}
-    ranked = number_rows(pieces.drop("sequence_id", "offset"), by, group=["length"], name="__rank_of_length", cells=64)
     plain = pieces.drop("sequence_id", "offset")
-    columns, schema = plain.columns, plain.schema.add("sequence_id", "long").add("offset", "long")
+    ranked = number_rows(plain, by, group=["length"], name="__rank_of_length", cells=64)
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            sequence, offset = np.zeros(len(b), np.int64), np.zeros(len(b), np.int64)
-            lengths, ranks = b["length"].to_numpy(), b["__rank_of_length"].to_numpy()
+    @F.pandas_udf("sequence_id long, offset long")
+    def place(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for length_of, rank_of in batches:
+            lengths, ranks = length_of.to_numpy(), rank_of.to_numpy()
+            sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
             for length in np.unique(lengths):
                 rows, run = np.flatnonzero(lengths == length), by_length[int(length)]
                 at = np.searchsorted(run["rank"], ranks[rows], "right") - 1
                 since = ranks[rows] - run["rank"][at]
                 sequence[rows] = run["first"][at] + since // run["count"][at]
                 offset[rows] = run["offset"][at] + since % run["count"][at] * length
-            yield b[columns].assign(sequence_id=sequence, offset=offset)
+            yield pd.DataFrame({"sequence_id": sequence, "offset": offset})
 
-    return ranked.mapInPandas(place, schema)
+    placed = ranked.withColumn("__at", place("length", "__rank_of_length"))
+    return placed.select(*[F.col(c) for c in plain.columns], "__at.sequence_id", "__at.offset")
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

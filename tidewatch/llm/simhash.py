@@ -42,15 +42,16 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """`row_id, doc_id, fp` for every row; fp holds the 64 bits as a signed long, row_id numbers the rows as read."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    schema = rows.select("row_id", "doc_id").schema.add("fp", "long")
+    # ids pass Python as text: with nulls among them pandas would make them floats
+    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
 
     def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fps = np.array([fingerprint(t, words) for t in b["text"]], dtype=np.uint64)
             yield b[["row_id", "doc_id"]].assign(fp=fps.view(np.int64))
 
-    return rows.mapInPandas(prints, schema)
+    found = rows.mapInPandas(prints, "row_id long, doc_id string, fp long")
+    return found.withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
@@ -206,7 +207,8 @@ def linked_fingerprints(prints: DataFrame, errors: int = 3, node_rows: int = NOD
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, errors: int = 3,
                 node_rows: int = NODE_ROWS) -> DataFrame:
-    """`row_id, doc_id, fp, component_id` for every row: the least doc_id reachable over links of at most `errors` differing bits.
+    """`row_id, doc_id, fp, root, component_id` for every row: the component's least fingerprint, and the least doc_id reachable over
+    links of at most `errors` differing bits.
 
     Texts with equal fingerprints are linked, those without words (empty, null) among themselves as well. Rows with repeated ids
     keep one row each; null ids take part but are never a component's id unless it has no other. An empty table gives no rows.
@@ -217,13 +219,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rooted = firsts.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     rooted = pin(rooted)
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id")).select(F.col("root").alias("r"), "component_id")
-    known = rooted.join(least, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id")
-    return prints.join(known, F.col("fp") == F.col("f")).select("row_id", "doc_id", "fp", "component_id")
+    known = rooted.join(least, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "root", "component_id")
+    return prints.join(known, F.col("fp") == F.col("f")).select("row_id", "doc_id", "fp", "root", "component_id")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, errors: int = 3) -> DataFrame:
     """One row of each component stays, with its columns as they were: the one with the least id, of repeats the first read."""
     groups = pin(near_groups(docs, id_col, text_col, words, errors))
-    stays = groups.groupBy("component_id").agg(F.min_by("row_id", F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_id")).alias("stay"))
+    stays = groups.groupBy("root").agg(F.min_by("row_id", F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_id")).alias("stay"))
     gone = groups.select(F.col("row_id").alias("__row")).join(stays.select(F.col("stay").alias("__row")), "__row", "left_anti")
     return docs.withColumn("__row", F.monotonically_increasing_id()).join(gone, "__row", "left_anti").drop("__row")
