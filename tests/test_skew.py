@@ -24,11 +24,11 @@ def rows(spark):
 
 
 def plain(**kw):
-    return Series(["k"], ["ts", "id"], small_bytes=1 << 40, **kw)
+    return Series(["k"], ["ts", "id"], target_rows=1 << 40, **kw)
 
 
 def hot(target, **kw):
-    return Series(["k"], ["ts", "id"], target_rows=target, small_bytes=0, **kw)
+    return Series(["k"], ["ts", "id"], target_rows=target, **kw)
 
 
 def same(a, b, keys=("id",)):
@@ -62,7 +62,7 @@ def test_chunks_equal_whole_series(rows, name, target):
 def test_islands_and_single_series(rows):
     label = rows.withColumn("label", F.col("hit").cast("int"))
     same(w.islands(label, hot(25), "label"), w.islands(label, plain(), "label"), ("k", "segment"))
-    whole, cut = Series([], ["ts", "id"], small_bytes=1 << 40), Series([], ["ts", "id"], target_rows=30, small_bytes=0)
+    whole, cut = Series([], ["ts", "id"]), Series([], ["ts", "id"], target_rows=30)
     same(w.positions(rows, cut, "p"), w.positions(rows, whole, "p"))
     same(w.streaks(rows, cut, F.col("hit")), w.streaks(rows, whole, F.col("hit")))
     same(topk.evenly_spaced(rows, cut, 100), topk.evenly_spaced(rows, whole, 100))
@@ -79,8 +79,8 @@ def test_measured_series_is_reused(rows):
 
 
 def test_order_by_value_is_cut_too(rows):
-    cut = Series(["k"], ["v", "id"], cell=value_cell(F.col("v"), 8), target_rows=20, small_bytes=0)
-    whole = Series(["k"], ["v", "id"], small_bytes=1 << 40, cell=value_cell(F.col("v")))
+    cut = Series(["k"], ["v", "id"], cell=value_cell(F.col("v"), 8), target_rows=20)
+    whole = Series(["k"], ["v", "id"], cell=value_cell(F.col("v")))
     same(w.positions(rows, cut, "p"), w.positions(rows, whole, "p"))
 
 
@@ -90,7 +90,7 @@ def test_ranking_with_hot_label(rows, monkeypatch):
     import tidewatch.operators.series as series
 
     init = series.Series.__init__
-    monkeypatch.setattr(series.Series, "__init__", lambda self, *a, **k: init(self, *a, **{**k, "target_rows": 9, "small_bytes": 0}))
+    monkeypatch.setattr(series.Series, "__init__", lambda self, *a, **k: init(self, *a, **{**k, "target_rows": 9}))
     got = metrics.ranking(df, ["label"], "y", "p").first()
     assert got.roc_auc == pytest.approx(want.roc_auc) and got.average_precision == pytest.approx(want.average_precision)
 
@@ -100,3 +100,21 @@ def test_no_look_ahead(rows):
     cut = rows.filter(F.col("ts") < F.lit("2024-03-04").cast("timestamp_ntz"))
     full = w.temporal_features(rows, plain(), ["v"], 3600).filter(F.col("ts") < F.lit("2024-03-04").cast("timestamp_ntz"))
     same(w.temporal_features(cut, plain(), ["v"], 3600), full)
+
+
+@pytest.mark.parametrize("target", [20, 70])
+def test_one_second_holds_a_whole_series(rows, target):
+    """All rows of a series in one cell: the cell itself is cut, by the order key."""
+    burst = rows.withColumn("ts", F.when(F.col("k") == 0, F.lit("2024-03-01 00:00:00").cast("timestamp_ntz")).otherwise(F.col("ts")))
+    cut = Series(["k"], ["ts", "id"], target_rows=target)
+    sizes = [r["count"] for r in cut.frame(burst).df.filter(F.col("k") == 0).groupBy(CHUNK).count().collect()]
+    assert len(sizes) > 3 and max(sizes) <= 3 * target
+    same(w.positions(burst, cut, "p"), w.positions(burst, plain(), "p"))
+    same(w.streaks(burst, cut, F.col("hit")), w.streaks(burst, plain(), F.col("hit")))
+    same(w.row_lags(burst, cut, ["v"], [1, 5]), w.row_lags(burst, plain(), ["v"], [1, 5]))
+
+
+def test_equal_order_values_in_one_cell(rows):
+    flat = rows.withColumn("v", F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.lit(1.0)))
+    cut = Series([], ["v", "id"], cell=value_cell(F.coalesce(F.col("v"), F.lit(0.0)), 8), target_rows=50)
+    same(w.positions(flat, cut, "p"), w.positions(flat, Series([], ["v", "id"], cell=F.lit(0)), "p"))

@@ -9,10 +9,7 @@ from tidewatch.operators import correlate as c, metrics as m, profile as p
 from tidewatch.operators import quantiles as q
 
 
-@pytest.mark.parametrize("big", [False, True])
-def test_quantiles_equal_numpy(spark, monkeypatch, big):
-    if big:
-        monkeypatch.setattr(q, "SMALL_TABLE_BYTES", 0)
+def test_quantiles_equal_numpy(spark):
     rng = np.random.default_rng(1)
     parts = {"wide": rng.lognormal(0, 8, 500) * rng.choice([-1, 1], 500), "narrow": 1e6 + rng.random(400) * 1e-3, "ties": rng.integers(0, 3, 300) * 1.0, "one": np.array([4.5])}
     pdf = pd.concat([pd.DataFrame({"g": k, "v": v}) for k, v in parts.items()])
@@ -114,3 +111,24 @@ def test_quality_counts_nan_and_infinite(spark):
     df = spark.createDataFrame([(1.0,), (None,), (float("inf"),), (float("-inf"),), (0.0,)], "v DOUBLE")
     r = p.feature_moments(df, ["v"]).first()
     assert (r.rows, r.valid, r.missing, r.infinite, r.zeros) == (5, 2, 1, 2, 1)
+
+
+def test_missing_numbers_count_alike_for_any_number_of_columns(spark):
+    """NaN and infinities are no values: a pair has the same rows and r among 8 columns, among 9, and by itself."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(50, 9))
+    x[3, 0], x[7, 0], x[9, 1] = np.nan, np.inf, -np.inf
+    df = spark.createDataFrame(pd.DataFrame(x, columns=[f"c{i}" for i in range(9)]))
+    found = [{(r.feature_1, r.feature_2): (r.pair_rows, r.correlation) for r in rows.collect()}
+             for rows in (c.pearson_pairs(df, df.columns), c.pearson_pairs(df, df.columns[:8]), c.pearson_of(df, [("c0", "c1"), ("c0", "c2")]))]
+    fine = np.isfinite(x[:, 0]) & np.isfinite(x[:, 2])
+    want = np.corrcoef(x[fine, 0], x[fine, 2])[0, 1]
+    assert all(f["c0", "c2"] == (48, pytest.approx(want)) and f["c0", "c1"][0] == 47 for f in found)
+    assert all(found[0][k] == (v[0], pytest.approx(v[1])) for k, v in found[1].items())
+
+
+def test_partial_products_do_not_grow_with_the_splits(spark):
+    df = spark.range(4000).selectExpr("id", "rand(1) AS a", "rand(2) AS b").repartition(900)
+    assert c.pearson_pairs(df, ["a", "b"]).rdd.getNumPartitions() < 900
+    text = c.pearson_pairs(df, ["a", "b"])._jdf.queryExecution().executedPlan().toString()
+    assert "Coalesce" in text

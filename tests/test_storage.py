@@ -51,9 +51,44 @@ def test_inventory_flags_bad_cells(spark):
 
 def test_partitioned_write_spreads_a_hot_partition(spark, tmp_path):
     df = spark.range(2000).select(F.when(F.col("id") % 10 < 9, "hot").otherwise("cold").alias("p"), "id")
-    # small shuffle partitions are merged by default; a large table keeps them apart
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    # the size a writer shall have, made small: a hot value is then many writers' work
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "2k")
     sinks.write_partitioned(df, str(tmp_path / "out"), ["p"])
-    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
     assert len(list((tmp_path / "out" / "p=hot").glob("*.parquet"))) > 1
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2000
+
+
+def test_latest_rows_go_on_after_a_restart(spark, tmp_path):
+    from tidewatch.streaming.scoring import LatestRows
+
+    make = lambda rows: spark.createDataFrame(rows, "user LONG, ts LONG, v STRING")
+    keep = lambda: LatestRows(str(tmp_path / "latest"), ["user"], ["ts"])
+    keep().handle(make([(1, 1, "a"), (2, 1, "b")]), 0)
+    keep().handle(make([(1, 2, "c")]), 1)
+    keep().handle(make([(1, 2, "c")]), 1)  # the batch is repeated
+    want = [(1, 2, "c"), (2, 1, "b")]
+    assert sorted(tuple(r) for r in keep().read(spark, make([]).schema).collect()) == want
+    (tmp_path / "latest" / "snapshot_2").mkdir()  # a batch that ended before its snapshot was whole
+    assert sorted(tuple(r) for r in keep().read(spark, make([]).schema).collect()) == want
+    keep().handle(make([(3, 1, "d")]), 2)
+    assert sorted(tuple(r) for r in keep().read(spark, make([]).schema).collect()) == [*want, (3, 1, "d")]
+
+
+def test_a_batch_appended_twice_is_there_once(spark, tmp_path):
+    for batch in (0, 1, 1):
+        sinks.append(spark.range(3), str(tmp_path / "rows"), batch)
+    assert spark.read.parquet(str(tmp_path / "rows")).count() == 6
+
+
+def test_shared_folders_are_removed(spark):
+    import os
+
+    path = t.shared_dir(spark)
+    spark.range(2).write.parquet(f"{path}/x")
+    local = path.removeprefix("file://")
+    held, t._MADE[:] = t._MADE[:-1], t._MADE[-1:]
+    assert os.path.exists(local)
+    t.remove_shared_dirs()
+    t._MADE[:] = held
+    assert not os.path.exists(local)

@@ -79,7 +79,7 @@ def test_adapter_with_hot_source(spark):
     rows = [x for case in CASES.values() for x in [(t, "hot", 1000 * k + s, f) for k, (t, _, s, f) in enumerate(case)]]
     rows = sorted(rows, key=lambda r: r[2])
     parsed = ad.parse(table(spark, rows), NAMES)
-    cut = ad.adapt_batch(parsed, NAMES, target_rows=5, small_bytes=0, cell=F.floor(F.col("step") / 10))
+    cut = ad.adapt_batch(parsed, NAMES, target_rows=5, cell=F.floor(F.col("step") / 10))
     got = [(r.step, r.status, r.failure) for r in cut.orderBy("step").collect()]
     assert [x[1:] for x in got] == [x[1:] for x in by_hand(rows)] and len(got) == len(rows)
 

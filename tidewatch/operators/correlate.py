@@ -13,7 +13,14 @@ from tidewatch.operators.quantiles import unpivot, value_cell
 from tidewatch.operators.series import Series
 from tidewatch.operators.topk import rank_first
 
-NATIVE_COLUMNS = 8
+#: Partial sums per core that a block product hands on, whatever the number of input splits.
+PARTIALS_PER_CORE = 4
+
+
+def finite(c: str) -> Column:
+    """The number, or null where it is NaN or infinite."""
+    v = F.col(c).cast("double")
+    return F.when(F.abs(v) < float("inf"), v)
 
 
 def _pearson(n: Column, cov: Column, va: Column, vb: Column) -> Column:
@@ -25,7 +32,7 @@ def pearson_of(df: DataFrame, pairs: list[tuple[str, str]], group: list[str] = (
     """Pearson r of given column pairs over rows where both are present: one aggregate pass."""
     group, aggs = list(group), []
     for i, (a, b) in enumerate(pairs):
-        x, y = F.col(a).cast("double"), F.col(b).cast("double")
+        x, y = finite(a), finite(b)
         both = x.isNotNull() & y.isNotNull()
         x, y = F.when(both, x), F.when(both, y)
         aggs.append(F.struct(
@@ -37,14 +44,11 @@ def pearson_of(df: DataFrame, pairs: list[tuple[str, str]], group: list[str] = (
 
 
 def pearson_pairs(df: DataFrame, cols: list[str]) -> DataFrame:
-    """All pairs i < j. Few columns: native aggregates. Many: blockwise products per Arrow batch."""
-    if len(cols) <= NATIVE_COLUMNS:
-        return pearson_of(df, [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]])
-    return _pairs_by_blocks(df, cols)
+    """All pairs i < j, by block products per Arrow batch; NaN and infinities count as missing.
 
-
-def _pairs_by_blocks(df: DataFrame, cols: list[str]) -> DataFrame:
-    wide = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    A task hands on one partial sum per pair, so input splits are first read by a bounded number of tasks, without a shuffle.
+    """
+    wide = df.select(*[finite(c).alias(c) for c in cols])
     # one value per column: centre of the data, so that products keep their precision
     centre = np.array(wide.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in cols]).first(), dtype=float)
     f = len(cols)
@@ -63,7 +67,8 @@ def _pairs_by_blocks(df: DataFrame, cols: list[str]) -> DataFrame:
         yield pd.DataFrame({"i": iu, "j": ju, "n": n, "sx": sx, "sy": sy, "sxx": sxx, "syy": syy, "sxy": sxy})
 
     schema = "i INT, j INT, n DOUBLE, sx DOUBLE, sy DOUBLE, sxx DOUBLE, syy DOUBLE, sxy DOUBLE"
-    sums = wide.mapInPandas(blocks, schema).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    tasks = PARTIALS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism
+    sums = wide.coalesce(tasks).mapInPandas(blocks, schema).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
     n = F.col("n")
     va, vb = F.col("sxx") - F.col("sx") ** 2 / n, F.col("syy") - F.col("sy") ** 2 / n
     cov = F.col("sxy") - F.col("sx") * F.col("sy") / n

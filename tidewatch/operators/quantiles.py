@@ -4,8 +4,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.operators.series import SMALL_TABLE_BYTES, estimated_bytes
-
 CELLS_PER_OCTAVE = 1 << 15
 
 
@@ -26,7 +24,7 @@ def unpivot(df: DataFrame, ids: list[str], cols: list[str], name: str = "feature
 
 
 def _refined(src: DataFrame, keys: list[str], few_groups: bool) -> DataFrame:
-    """Cells of a large table: steps per power of two and, inside them, equal parts of the
+    """Cells of all rows: steps per power of two and, inside them, equal parts of the
     group's range, so neither heavy tails nor a narrow range crowd into one cell. Both parts
     grow with the value, hence their pairs are ordered and at most as many as both together."""
     span = src.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
@@ -50,7 +48,7 @@ def exact_quantiles(
     then be broadcast.
     """
     src = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    src = src.withColumn("_cell", F.struct(value_cell(F.col("_v")).alias("a"), F.lit(0).cast("long").alias("b"))) if estimated_bytes(src) <= SMALL_TABLE_BYTES else _refined(src, keys, few_groups)
+    src = _refined(src, keys, few_groups)
     per_key = Window.partitionBy(*keys)
     before = per_key.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     hist = (

@@ -7,12 +7,14 @@ first looks for series above `target_rows` and cuts only those into time chunks:
   the order column. The count is a map-side combined aggregate over two narrow columns.
 * chunks: consecutive cells of a hot series are grouped by their running row count, so a
   burst gets more chunks than a quiet month.
+* parts: a cell that alone is above the target (all rows in one second, say) is cut by the
+  whole order key, at bounds taken from a range partitioning of its rows.
 * halo: a window that looks k rows back needs the last k rows before its chunk. They are
   fetched by exact row position, hence short or empty neighbours are handled too.
 * carry: running sums and positions add the totals of the earlier chunks.
 
-When no series is above the target (the usual case) the frame is the input itself and the
-plan is the plain one: one exchange on the key and one sort.
+The counts are taken at every table size. When no series is above the target (the usual case)
+the frame is the input itself and the plan is the plain one: one exchange on the key and one sort.
 """
 from __future__ import annotations
 
@@ -24,17 +26,7 @@ from pyspark.sql import functions as F
 from tidewatch.sources.tables import pin
 
 CHUNK, HALO, CELL, START, SIZE, POS = "_chunk", "_halo", "_cell", "_start", "_size", "_pos"
-
-# A table below this estimate cannot hold a group too large for one task.
-SMALL_TABLE_BYTES = 64 << 20
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Optimizer's size estimate of a DataFrame; huge when it has no statistics or none to ask."""
-    if not hasattr(df, "_jdf"):
-        return 1 << 62
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
+PART, BOUNDS = "_part", "_bounds"
 
 def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join where a missing key equals a missing key. Keys of the right side are renamed
@@ -58,12 +50,11 @@ class Series:
         order: list[str],
         cell: Column | None = None,
         target_rows: int = 2_000_000,
-        small_bytes: int = SMALL_TABLE_BYTES,
     ):
         self.keys, self.order = list(keys), list(order)
         self._cell = cell
-        self.target_rows, self.small_bytes = target_rows, small_bytes
-        self._known: tuple[DataFrame | None] | None = None
+        self.target_rows = target_rows
+        self._known: tuple[DataFrame | None, DataFrame | None] | None = None
 
     @property
     def cell(self) -> Column:
@@ -72,17 +63,17 @@ class Series:
     def measured(self, df: DataFrame) -> "Series":
         """This series with its hot groups looked up once, for several frames over tables
         that hold the same rows (columns may be added)."""
-        out = Series(self.keys, self.order, self._cell, self.target_rows, self.small_bytes)
-        out._known = (out._hot_cells(df),)
+        out = Series(self.keys, self.order, self._cell, self.target_rows)
+        out._known = out._hot_cells(df)
         return out
 
     def frame(self, df: DataFrame, before: int = 0, after: int = 0) -> "Frame":
         """Open a frame whose windows may look `before` rows back and `after` rows ahead."""
-        cells = self._known[0] if self._known else self._hot_cells(df)
+        cells, bounds = self._known or self._hot_cells(df)
         if cells is None:
             return Frame(self, df.withColumn(CHUNK, F.lit(0)).withColumn(HALO, F.lit(False)), None)
-        at = cells.select(*self.keys, CELL, CHUNK)
-        rows = join_on(df.withColumn(CELL, self.cell), at, [*self.keys, CELL], "left")
+        at = cells.select(*self.keys, CELL, PART, CHUNK)
+        rows = join_on(self._in_parts(df.withColumn(CELL, self.cell), bounds), at, [*self.keys, CELL, PART], "left")
         rows = rows.select(*df.columns, F.coalesce(CHUNK, F.lit(0)).alias(CHUNK))
         chunks = cells.groupBy(*self.keys, CHUNK).agg(F.min(START).alias(START), F.sum(SIZE).alias(SIZE))
         out = rows.withColumn(HALO, F.lit(False))
@@ -92,24 +83,41 @@ class Series:
             out = out.unionByName(self._halo(rows, chunks, after, back=False))
         return Frame(self, out, chunks)
 
-    def _hot_cells(self, df: DataFrame) -> DataFrame | None:
-        if estimated_bytes(df) <= self.small_bytes:
-            return None
+    def _hot_cells(self, df: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+        """Cells of series above the target with their chunks, and the bounds that cut single cells above it; None where none are."""
         per_key = Window.partitionBy(*self.keys)
-        so_far = per_key.orderBy(CELL).rowsBetween(Window.unboundedPreceding, -1)
-        cells = (
-            df.groupBy(*self.keys, self.cell.alias(CELL))
-            .agg(F.count(F.lit(1)).alias(SIZE))
-            .withColumn(START, F.coalesce(F.sum(SIZE).over(so_far), F.lit(0)))
-            .withColumn("_all", F.sum(SIZE).over(per_key))
-            .filter(F.col("_all") > self.target_rows)
-            .withColumn(CHUNK, (F.floor(F.col(START) / F.lit(self.target_rows)) + 1).cast("int"))
-            .drop("_all")
-        )
+        so_far = per_key.orderBy(CELL, PART).rowsBetween(Window.unboundedPreceding, -1)
+        sizes = df.groupBy(*self.keys, self.cell.alias(CELL)).agg(F.count(F.lit(1)).alias(SIZE))
         # Small: hot groups only. Written once, so every use agrees on it and Spark knows its
         # size when it chooses between broadcast and shuffle for the join with the rows.
-        cells = pin(cells)
-        return None if cells.isEmpty() else cells
+        hot = pin(sizes.withColumn("_all", F.sum(SIZE).over(per_key)).filter(F.col("_all") > self.target_rows).drop("_all"))
+        if hot.isEmpty():
+            return None, None
+        bounds, parted = None, hot.withColumn(PART, F.lit(0))
+        heavy = hot.filter(F.col(SIZE) > self.target_rows)
+        most = heavy.agg(F.sum(SIZE)).first()[0]
+        if most:
+            bounds = self._bounds(df, heavy, int(2 * most // self.target_rows) + 2)
+            rows = join_on(df.withColumn(CELL, self.cell), heavy.drop(SIZE), [*self.keys, CELL])
+            parts = self._in_parts(rows, bounds).groupBy(*self.keys, CELL, PART).agg(F.count(F.lit(1)).alias(SIZE))
+            parted = hot.filter(F.col(SIZE) <= self.target_rows).withColumn(PART, F.lit(0)).unionByName(parts)
+        cells = parted.withColumn(START, F.coalesce(F.sum(SIZE).over(so_far), F.lit(0)))
+        return pin(cells.withColumn(CHUNK, (F.floor(F.col(START) / F.lit(self.target_rows)) + 1).cast("int"))), bounds
+
+    def _bounds(self, df: DataFrame, heavy: DataFrame, parts: int) -> DataFrame:
+        """Order keys at which heavy cells are cut, about `parts` in all: the first ones of a range partitioning of their rows."""
+        rows = join_on(df.withColumn(CELL, self.cell), heavy.select(*self.keys, CELL), [*self.keys, CELL])
+        rows = rows.select(*self.keys, CELL, F.struct(*self.order).alias("_o")).repartitionByRange(parts, *self.keys, CELL, "_o")
+        firsts = rows.groupBy(*self.keys, CELL, F.spark_partition_id().alias("_p")).agg(F.min("_o").alias("_o"))
+        return pin(firsts.groupBy(*self.keys, CELL).agg(F.sort_array(F.collect_list("_o")).alias(BOUNDS)))
+
+    def _in_parts(self, df: DataFrame, bounds: DataFrame | None) -> DataFrame:
+        """Rows with the part of their cell: how many of the cell's bounds do not lie behind them."""
+        if bounds is None:
+            return df.withColumn(PART, F.lit(0))
+        own = F.struct(*self.order)
+        part = F.size(F.filter(BOUNDS, lambda b: b <= own))
+        return join_on(df, bounds, [*self.keys, CELL], "left").withColumn(PART, F.when(F.col(BOUNDS).isNull(), 0).otherwise(part)).drop(BOUNDS)
 
     def _halo(self, rows: DataFrame, chunks: DataFrame, k: int, back: bool) -> DataFrame:
         """Copies of the k rows next to each chunk of a hot series, labelled with that chunk."""

@@ -101,19 +101,32 @@ class IsolationForest:
         }).drop("score_samples")
 
 
+def _draws(trees: int, rate: float) -> list[float]:
+    """Chances that a row is drawn by at most 0, 1, 2, ... of the trees, each of which draws it at `rate`."""
+    if rate >= 1:
+        return [0.0] * trees
+    chance, total, out = (1 - rate) ** trees, 0.0, []
+    for k in range(trees):
+        total += chance
+        out.append(min(total, 1.0))
+        chance *= (trees - k) / (k + 1) * rate / (1 - rate)
+    return out
+
+
 def tree_samples(df: DataFrame, features: list[str], ident: list[str], trees: int, sample: int, rows: int, seed: int) -> DataFrame:
     """(tree, order, features): a random sample per tree, decided by hashes of the row id, so a
-    retried task draws the same rows. Large tables: a row enters at most one tree, and all but a
-    sliver is filtered in the scan. Small ones: every tree draws from all rows."""
+    retried task draws the same rows. One law at every size: each tree draws each row at the same
+    rate. How many trees a row goes to is read off the binomial law by one hash, which trees by
+    another; rows that none draws are filtered before anything is multiplied."""
     base = df.dropna(subset=features).select(*ident, *[F.col(f).cast("double").alias(f) for f in features])
-    spare = 1.5
-    rate = spare * sample * trees / max(rows, 1)
-    if rate < 1:
-        few = base.filter(_unit_hash(*ident, F.lit(seed)) < rate)
-        drawn = few.withColumn("tree", F.pmod(F.xxhash64(*ident, F.lit(seed + 1)), F.lit(trees)).cast("int"))
-    else:
-        per_tree = min(1.0, spare * sample / max(rows, 1))
-        drawn = base.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).filter(_unit_hash(*ident, "tree", F.lit(seed)) < per_tree)
+    rate = min(1.0, 1.5 * sample / max(rows, 1))
+    upto = F.array(*[F.lit(c) for c in _draws(trees, rate)])
+    many = F.size(F.filter(upto, lambda c: c <= _unit_hash(*ident, F.lit(seed))))
+    strides = [k for k in range(1, trees + 1) if np.gcd(k, trees) == 1]
+    first, stride = F.pmod(F.xxhash64(*ident, F.lit(seed + 1)), F.lit(trees)), F.pmod(F.xxhash64(*ident, F.lit(seed + 3)), F.lit(len(strides)))
+    step = F.get(F.array(*[F.lit(k) for k in strides]), stride.cast("int"))
+    drawn = base.withColumn("_many", many).filter(F.col("_many") > 0).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_many") - 1)))
+    drawn = drawn.withColumn("tree", F.pmod(first + F.col("_k") * step, F.lit(trees)).cast("int")).drop("_many", "_k")
     return drawn.withColumn("_o", F.xxhash64(*ident, "tree", F.lit(seed + 2)))
 
 

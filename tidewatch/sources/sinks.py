@@ -10,8 +10,9 @@ def content_id(*cols: str) -> Column:
     return F.sha2(F.to_json(F.struct(*cols)), 256)
 
 
-def append(df: DataFrame, path: str, partition_by: list[str] = ()) -> None:
-    df.write.mode("append").partitionBy(*partition_by).parquet(path)
+def append(df: DataFrame, path: str, batch_id: int, partition_by: list[str] = ()) -> None:
+    """Add a batch in a folder of its own: a batch that is run again replaces its rows."""
+    df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{path}/batch={batch_id}")
 
 
 def measurement_rows(df: DataFrame, ts: str, source: str, parameter: str, value: str, quality: Column) -> DataFrame:
@@ -38,10 +39,9 @@ def alarm_rows(df: DataFrame, keys: list[str], level: str, action: Column, score
 
 
 def write_partitioned(df: DataFrame, path: str, by: list[str]) -> None:
-    """Replace a result table, partitioned by series or date. Rows are spread by the partition
-    columns and a hash of the row, so a hot partition is written by many tasks."""
-    spread = (F.abs(F.xxhash64(*df.columns)) % 16).alias("_s")
-    df.withColumn("_s", spread).repartition(*by, "_s").drop("_s").write.mode("overwrite").partitionBy(*by).parquet(path)
+    """Replace a result table, partitioned by series or date. Rows are gathered by the partition columns, and a value that holds
+    much is parted by size at run time, so each gets as many writers as it needs."""
+    df.hint("rebalance", *by).write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
 def snapshot(df: DataFrame, keys: list[str], order: list[str], path: str) -> None:

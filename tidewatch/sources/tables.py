@@ -1,6 +1,7 @@
 """Table scans: delimited files, directories with provenance, column and row pruning."""
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -16,13 +17,35 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below the session's checkpoint folder, or a local one when none is set."""
+    """A fresh folder below the session's `spark.checkpoint.dir`; it is removed when the program ends.
+
+    A cluster has to name that folder. A local session that names none gets one of its own.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return f"{base.rstrip('/')}/tidewatch-{uuid.uuid4().hex}"
-    if not spark.conf.get("spark.master", "local").startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="tidewatch-")
+    if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        base = tempfile.mkdtemp(prefix="tidewatch-")
+        spark.conf.set("spark.checkpoint.dir", base)
+        _MADE.append((spark, base))
+    path = f"{base.rstrip('/')}/tidewatch-{uuid.uuid4().hex}"
+    _MADE.append((spark, path))
+    return path
+
+
+_MADE: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def remove_shared_dirs() -> None:
+    """Delete the folders made so far, as far as their sessions still run."""
+    while _MADE:
+        spark, path = _MADE.pop()
+        try:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        except Exception:  # noqa: BLE001  the session has ended: its folder stays
+            continue
 
 
 def pin(df: DataFrame) -> DataFrame:

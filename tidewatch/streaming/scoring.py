@@ -1,7 +1,7 @@
 """Micro-batch sinks: score, append measurements and predictions, keep latest rows."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.plans.forecast import LinearModel, score_horizons
@@ -27,23 +27,34 @@ def score_and_store(models: dict[int, LinearModel], keys: list[str], ts: str, so
 
 
 class LatestRows:
-    """Newest row per key over all batches: the last snapshot is merged with the batch.
+    """Newest row per key over all batches: the snapshot before the batch is merged with it.
 
-    A snapshot per batch id is kept and never overwritten in place, so readers see a whole
-    table and a repeated batch writes the same one again.
+    A snapshot per batch id is written to a folder of its own and counts once it is whole. The one
+    to build on is looked up in the folder, as the last whole one of an earlier batch: a restarted
+    query goes on where it was, and a repeated batch writes the same snapshot again.
     """
 
     def __init__(self, path: str, keys: list[str], order: list[str]):
-        self.path, self.keys, self.order, self.current = path, keys, order, None
+        self.path, self.keys, self.order = path, keys, order
+
+    def _snapshots(self, spark: SparkSession) -> list[int]:
+        jvm = spark._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not fs.exists(folder):
+            return []
+        names = [f.getPath().getName() for f in fs.listStatus(folder)]
+        return sorted(int(n.removeprefix("snapshot_")) for n in names
+                      if n.startswith("snapshot_") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS")))
 
     def handle(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         merged = latest_per_key(batch, self.keys, self.order)
-        if self.current is not None:
-            old = batch.sparkSession.read.schema(batch.schema).parquet(self.current)
+        earlier = [i for i in self._snapshots(spark) if i < batch_id]
+        if earlier:
+            old = spark.read.schema(batch.schema).parquet(f"{self.path}/snapshot_{earlier[-1]}")
             merged = latest_per_key(old.unionByName(merged), self.keys, self.order)
-        target = f"{self.path}/snapshot_{batch_id}"
-        merged.write.mode("overwrite").parquet(target)
-        self.current = target
+        merged.write.mode("overwrite").parquet(f"{self.path}/snapshot_{batch_id}")
 
-    def read(self, spark, schema) -> DataFrame:
-        return spark.read.schema(schema).parquet(self.current)
+    def read(self, spark: SparkSession, schema) -> DataFrame:
+        return spark.read.schema(schema).parquet(f"{self.path}/snapshot_{self._snapshots(spark)[-1]}")
