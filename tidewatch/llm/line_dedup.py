@@ -174,20 +174,24 @@ def _chunks(batches: Iterator[pd.DataFrame], key: str, rows: int) -> Iterator[pd
         yield pd.concat(held, ignore_index=True)
 
 
-def _pairs(group: np.ndarray, n: np.ndarray, similarity: float, most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row pairs i < j of one group whose lengths may match, for rows sorted by group and length, in pieces of about `most`."""
+def _pairs(group: np.ndarray, n: np.ndarray, upto: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs i < j of one group with n[j] <= upto[i], for rows sorted by group and n, in pieces of about `most`."""
     place = group.astype(np.int64) * (1 << 32) + n
-    upto = np.searchsorted(place, group.astype(np.int64) * (1 << 32) + np.floor(n / similarity + 1e-9).astype(np.int64), "right")
-    count = np.maximum(upto - np.arange(len(n)) - 1, 0)
+    last = np.searchsorted(place, group.astype(np.int64) * (1 << 32) + upto, "right")
+    count = np.maximum(last - np.arange(len(n)) - 1, 0)
     total, first = np.cumsum(count), 0
     while first < len(n):
-        last = max(int(np.searchsorted(total, (total[first - 1] if first else 0) + most)), first + 1)
-        c = count[first:last]
+        stop = max(int(np.searchsorted(total, (total[first - 1] if first else 0) + most)), first + 1)
+        c = count[first:stop]
         i = np.repeat(np.arange(first, first + len(c)), c)
-        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
         if len(i):
-            yield i, j
-        first = last
+            yield i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
+        first = stop
+
+
+def _longest(n: np.ndarray, similarity: float) -> np.ndarray:
+    """The most words that a set can have to match one of n."""
+    return np.floor(n / similarity + 1e-9).astype(np.int64)
 
 
 def _sides_fit(key: np.ndarray, side: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -196,22 +200,32 @@ def _sides_fit(key: np.ndarray, side: np.ndarray, i: np.ndarray, j: np.ndarray)
     return (lo == hi) | (side[i] != side[j])
 
 
+#: A posting is two numbers beside its key: 40 bits of the class and its word count; and its map, place and side.
+ID_BITS, AT_BITS = 40, 17
+
+
 def _with_partner(rows: pd.DataFrame, similarity: float) -> pd.DataFrame:
     """The rows that have a possible partner in their group, by length, position and bit map."""
-    meta = rows["meta"].to_numpy()
-    key, n, at, side = rows["key"].to_numpy(), meta >> 32, (meta >> 16) & 0xFFFF, meta & 0xFFFF
-    order = np.lexsort((n, key))
-    key, n, at, side, bits = key[order], n[order], at[order], side[order], rows["bits"].to_numpy().view(np.uint64)[order]
+    key, a, b = (rows[c].to_numpy() for c in ("key", "a", "b"))
     group = np.cumsum(np.r_[0, key[1:] != key[:-1]])
+    alone = np.bincount(group)[group] == 1
+    key, a, b, group = key[~alone], a[~alone], b[~alone], group[~alone]
+    n = a & ((1 << 64 - ID_BITS) - 1)
+    order = np.argsort(group.astype(np.int64) << 32 | n, kind="stable")
+    key, a, b, group, n = key[order], a[order], b[order], group[order], n[order]
+    at, side, bits = (b >> 1) & ((1 << AT_BITS) - 1), b & 1, (b >> (AT_BITS + 1)).view(np.uint64) << np.uint64(AT_BITS + 1)
+    rest = n - at  # words from the place on: no fewer must be shared
     found = np.zeros(len(n), bool)
-    for i, j in _pairs(group, n, similarity):
-        need = _shared(n[i], n[j], similarity)
-        fits = (1 + np.minimum(n[i] - at[i] - 1, n[j] - at[j] - 1) >= need) & _sides_fit(key, side, i, j)
-        i, j, need = i[fits], j[fits], need[fits]
-        near = np.bitwise_count(bits[i] ^ bits[j]) <= n[i] + n[j] - 2 * need
-        found[i[near]] = True
-        found[j[near]] = True
-    return rows.iloc[order[found]][["key", "meta", "k1"]]
+    # as the shorter of a pair, a row can share `rest` words at most, which bounds the longer one's length
+    upto = np.minimum(_longest(n, similarity), np.floor(rest * (1 + similarity) / similarity + 1e-6).astype(np.int64) - n)
+    for i, j in _pairs(group, n, upto):
+        both = n[i] + n[j]
+        near = np.flatnonzero(np.bitwise_count(bits[i] ^ bits[j]) <= both * ((1 - similarity) / (1 + similarity)) + 1e-6)
+        i, j = i[near], j[near]
+        fits = (np.minimum(rest[i], rest[j]) >= _shared(n[i], n[j], similarity)) & _sides_fit(key, side, i, j)
+        found[i[fits]] = True
+        found[j[fits]] = True
+    return pd.DataFrame({"key": key[found], "id": (a[found] >> (64 - ID_BITS)) & ((1 << ID_BITS) - 1), "side": side[found]})
 
 
 def _verified(rows: pd.DataFrame, counts: np.ndarray, similarity: float) -> pd.DataFrame:
@@ -221,11 +235,10 @@ def _verified(rows: pd.DataFrame, counts: np.ndarray, similarity: float) -> pd.D
     strings' common bits, whose lowest is the first common word.
     """
     hashes, lines = _ordered(*words_of(b"\n".join(x.encode("utf-8", "surrogatepass") for x in rows["body"])), counts)
-    key, meta = rows["key"].to_numpy(), rows["meta"].to_numpy()
-    n, side = meta >> 32, meta & 0xFFFF
+    key, side, n = rows["key"].to_numpy(), rows["side"].to_numpy(), np.bincount(lines, minlength=len(rows))
     links, later = np.zeros(len(rows), np.int64), np.zeros(len(rows), bool)
     rank = np.empty(len(rows), np.int64)
-    rank[np.lexsort((rows["line"], rows["row_id"], rows["id"], rows["named"]))] = np.arange(len(rows))
+    rank[np.lexsort((rows["line"], rows["row_id"], rows["doc"], rows["named"]))] = np.arange(len(rows))
     _, group = np.unique(key, return_inverse=True)
     # the words of a group in its order of rarity, kept where two rows have them
     rarity = counts[(hashes >> np.uint64(64 - int(np.log2(len(counts))))).astype(np.int64)]
@@ -256,7 +269,7 @@ def _verified(rows: pd.DataFrame, counts: np.ndarray, similarity: float) -> pd.D
         words = np.flatnonzero(slot[r] >= 0)
         bits = np.zeros((len(rows_of), w), np.uint64)
         np.bitwise_or.at(bits, (slot[r[words]], local[words] // 64), np.uint64(1) << (local[words] % 64).astype(np.uint64))
-        for i, j in _pairs(group[rows_of], n[rows_of], similarity, most=max(1024, (1 << 21) // int(w))):
+        for i, j in _pairs(group[rows_of], n[rows_of], _longest(n[rows_of], similarity), most=max(1024, (1 << 21) // int(w))):
             a, b = rows_of[i], rows_of[j]
             both = bits[i] & bits[j]
             near = (np.bitwise_count(both).sum(axis=1, dtype=np.int64) >= _shared(n[a], n[b], similarity)) & _sides_fit(key, side, a, b)
@@ -342,23 +355,26 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     often = pin(posts.groupBy(word.alias("word")).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > settings.group)
                 .select("word", F.least(F.lit(65000), F.ceil(F.col("c") / F.lit(settings.group))).cast("int").alias("parts")))
     posts = posts.withColumn("w", word).join(often, F.col("w") == F.col("word"), "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    posts = posts.withColumn("side", F.pmod("k1", "parts").cast("int"))
-    met = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.least(x, F.col("side")).cast("long") * 65536 + F.greatest(x, F.col("side")))
+    side = F.pmod("k1", "parts").cast("int")
+    met = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.least(x, side).cast("long") * 65536 + F.greatest(x, side))
     posts = posts.withColumn("met", F.explode(met))
     key = F.shiftleft("w", 32) + F.col("met")
-    meta = F.shiftleft(F.col("n").cast("long"), 32) + F.shiftleft(F.col("p").bitwiseAND(F.lit(65535)), 16) + F.col("side")
-    posts = posts.select(key.alias("key"), meta.alias("meta"), "k1", "bits")
+    own = F.col("k1").bitwiseAND(F.lit((1 << ID_BITS) - 1))
+    place = F.least(F.col("p").bitwiseAND(F.lit(65535)), F.lit((1 << AT_BITS) - 1))
+    above = F.when(F.floor(F.col("met") / 65536) == side, 0).otherwise(1)
+    high = F.col("bits").bitwiseAND(F.lit(-1 << (AT_BITS + 1)))
+    posts = posts.select(key.alias("key"), (F.shiftleft(own, 64 - ID_BITS) + F.col("n")).alias("a"), (high + place * 2 + above).alias("b"))
 
     def partners(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in _chunks(batches, "key", 1 << 18):
             yield _with_partner(rows, settings.similarity)
 
-    members = pin(posts.repartition("key").sortWithinPartitions("key").mapInPandas(partners, "key long, meta long, k1 long"))
-    asked = members.select(F.col("k1").alias("m1")).distinct()
-    needed = pin(classes.join(asked, F.col("k1") == F.col("m1")).select(
-        "k1", "k2", F.col("first.doc_id").isNotNull().alias("named"), F.coalesce("first.doc_id", F.lit(0)).alias("id"), "first.row_id", "first.line"))
-    texts = _bodies(docs, needed, text_col, settings).withColumnRenamed("k1", "t1")
-    full = members.join(texts, F.col("k1") == F.col("t1")).drop("t1")
+    members = pin(posts.repartition("key").sortWithinPartitions("key").mapInPandas(partners, "key long, id long, side int"))
+    asked = members.select(F.col("id").alias("asked")).distinct()
+    needed = pin(classes.withColumn("id40", own).join(asked, F.col("id40") == F.col("asked")).select(
+        "k1", "k2", "id40", F.col("first.doc_id").isNotNull().alias("named"), F.coalesce("first.doc_id", F.lit(0)).alias("doc"), "first.row_id", "first.line"))
+    texts = _bodies(docs, needed, text_col, settings)
+    full = members.join(texts, F.col("id") == F.col("id40")).drop("id", "id40")
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
