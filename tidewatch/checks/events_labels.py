@@ -57,7 +57,7 @@ def j07(spark, d):
 
 @query("J07_interval_hits", f"""WITH {CAT} SELECT scenario_id, start_ts, end_ts, (SELECT count(*) FROM events e WHERE e.ts BETWEEN start_ts AND end_ts) AS rows FROM cat""")
 def j07_hits(spark, d):
-    return j.interval_hits(events(spark, d).select("event_id", "ts"), catalogue(spark, d), "scenario_id", "ts", "start_ts", "end_ts", width_seconds=600)
+    return j.interval_hits(events(spark, d).select("event_id", "ts"), catalogue(spark, d), "scenario_id", "ts", "start_ts", "end_ts")
 
 
 @query("J08_interval_vs_minutes", f"""WITH {CAT}, {POS}, m AS (SELECT scenario_id, unnest(generate_series(date_trunc('minute', start_ts), date_trunc('minute', end_ts - INTERVAL 1 SECOND), INTERVAL 1 MINUTE))::TIMESTAMP AS minute FROM cat)
@@ -206,12 +206,12 @@ def g50(spark, d):
 
 @query("K09_top_labels", f"""WITH {SCORES}, m AS (SELECT scenario_id, codes, label, round(avg(p), 6) AS p FROM (SELECT scenario_id, codes, 'pa' AS label, pa AS p FROM sc WHERE attack = 1 UNION ALL SELECT scenario_id, codes, 'pb', pb FROM sc WHERE attack = 1
  UNION ALL SELECT scenario_id, codes, 'pc', pc FROM sc WHERE attack = 1) GROUP BY 1, 2, 3), k AS (SELECT *, row_number() OVER (PARTITION BY scenario_id ORDER BY p DESC, label)::INTEGER AS place FROM m)
-SELECT scenario_id, label, p, place, (label = 'pa' AND codes LIKE '%AP01%') OR (label = 'pb' AND codes LIKE '%AP02%') OR (label = 'pc' AND codes LIKE '%AP03%') AS hit FROM k WHERE place <= 2""")
+SELECT scenario_id, label, p, place, (label = 'pa' AND codes LIKE '%AP01%') OR (label = 'pb' AND codes LIKE '%AP02%') OR (label = 'pc' AND codes LIKE '%AP03%') AS hit FROM k WHERE place <= 3""")
 def k09(spark, d):
     t = scores(spark, d).filter("attack = 1").unpivot(["scenario_id", "codes"], SC, "label", "p")
     m = t.groupBy("scenario_id", "codes", "label").agg(r(F.avg("p")).alias("p"))
     code = F.when(C("label") == "pa", "AP01").when(C("label") == "pb", "AP02").otherwise("AP03")
-    return top_k(m, ["scenario_id"], [F.desc("p"), F.asc("label")], 2, "place").select("scenario_id", "label", "p", "place", F.contains("codes", code).alias("hit"))
+    return top_k(m, ["scenario_id"], [F.desc("p"), F.asc("label")], 3, "place").select("scenario_id", "label", "p", "place", F.contains("codes", code).alias("hit"))
 
 
 # ---- splits ------------------------------------------------------------------------------

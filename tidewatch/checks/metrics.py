@@ -76,14 +76,22 @@ def g34(spark, d):
 
 
 SWEEP = [0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
-SWEEP_SQL = f"""{PROB}, t AS (SELECT unnest({SWEEP}::DOUBLE[]) AS threshold), x AS (SELECT label, threshold, y, (p >= threshold)::INT AS h FROM prob, t),
+# fixed values: the two sweeps of classifier diagnostics
+SWEEP_9 = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
+SWEEP_17 = [0.000001, 0.000005, 0.00001, 0.00002, 0.00005, 0.0001, 0.0002, 0.0005, 0.001, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.5]
+
+
+def sweep_sql(thresholds):
+    return f"""{PROB}, t AS (SELECT unnest({thresholds}::DOUBLE[]) AS threshold), x AS (SELECT label, threshold, y, (p >= threshold)::INT AS h FROM prob, t),
 c AS (SELECT label, threshold, {CONF} FROM x GROUP BY 1, 2), s AS (SELECT *, {PRF} FROM c)"""
 
 
-@query("G35_threshold_sweep", f"WITH {SWEEP_SQL} " + MULTI_SQL.format(g="threshold,") + " GROUP BY threshold")
-def g35(spark, d):
-    c = m.threshold_counts(probabilities(spark, d), ["label"], "y", "p", SWEEP)
-    return rr(m.multilabel_summary(c, ["threshold"]), ["threshold"], MULTI)
+SWEEP_SQL = sweep_sql(SWEEP)
+for _name, _thresholds in (("G35_threshold_sweep", SWEEP), ("G35_threshold_sweep_9", SWEEP_9), ("G35_threshold_sweep_17", SWEEP_17)):
+    @query(_name, f"WITH {sweep_sql(_thresholds)} " + MULTI_SQL.format(g="threshold,") + " GROUP BY threshold")
+    def g35(spark, d, thresholds=_thresholds):
+        c = m.threshold_counts(probabilities(spark, d), ["label"], "y", "p", thresholds)
+        return rr(m.multilabel_summary(c, ["threshold"]), ["threshold"], MULTI)
 
 
 @query("G36_best_threshold", f"WITH {SWEEP_SQL}, b AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY f1 DESC, threshold) AS k FROM s) SELECT label, threshold AS best_threshold, round(f1, 6) AS best_f1 FROM b WHERE k = 1")

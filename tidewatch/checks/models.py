@@ -38,7 +38,7 @@ def a01_all(spark, d):
 
 
 def _grid(spark, d, names):
-    models = {k: v for k, v in fc.regressors(trees=20, iterations=10).items() if k in names}
+    models = {k: v for k, v in fc.regressors(trees=200, iterations=10).items() if k in names}
     return fc.benchmark(supervised(spark, d), one_stream(), {"lags": FEATS[:5]}, ["target_2"], models)
 
 
@@ -54,7 +54,7 @@ def a03(spark, d):
 
 @query("A04_benchmark_grid")
 def a04(spark, d):
-    models = {"LinearRegression": fc.regressors()["LinearRegression"], "RandomForest": fc.regressors(trees=10)["RandomForest"]}
+    models = {"LinearRegression": fc.regressors()["LinearRegression"], "RandomForest": fc.regressors(trees=200)["RandomForest"]}
     b = fc.benchmark(supervised(spark, d), one_stream(), {"lags": FEATS[:5], "calendar": FEATS}, ["target_2", "target_30"], models)
     return fc.best_per_target(b)
 
@@ -134,14 +134,18 @@ def a07(spark, d):
 @query("A08_forest_scores")
 def a08(spark, d):
     train, tests = _samples(spark, d)
-    return dt.fit_forest(train, KINDS, ["event_id"]).predict(tests["test1"]).select("event_id", "decision_score", "anomaly_score", "prediction", "status")
+    forest, both = dt.fit_forest(train, KINDS, ["event_id"]), None
+    for name, rows in tests.items():
+        one = forest.predict(rows).select(F.lit(name).alias("sample"), "event_id", "decision_score", "anomaly_score", "prediction", "status")
+        both = one if both is None else both.unionByName(one)
+    return both
 
 
 @query("A09_family_ablation")
 def a09(spark, d):
     train, tests = _samples(spark, d)
     subsets = {"original": KINDS[:1], "plus_diff": KINDS[:2], "plus_abs_diff": [KINDS[0], KINDS[2]], "plus_std": [KINDS[0], KINDS[3]], "all": KINDS}
-    return dt.compare_subsets(train, tests, subsets, ["event_id"], "label", trees=50)
+    return dt.compare_subsets(train, tests, subsets, ["event_id"], "label")
 
 
 def _associations(spark, d):
@@ -157,14 +161,13 @@ def _associations(spark, d):
 @query("A19_reduced_candidates")
 def a19(spark, d):
     originals = small_table(spark, [("value",), ("k",)], "feature STRING")
-    recipe = {"A": (0, 1, 1), "B": (0, 2, 2), "D": (1, 1, 1)}
-    return dt.reduced_candidates(_associations(spark, d), originals, "family", ["abs_spearman_r", "abs_pearson_r"], ["diff", "abs_diff", "std"], recipe)
+    return dt.reduced_candidates(_associations(spark, d), originals, "family", ["abs_spearman_r", "abs_pearson_r"], ["diff", "abs_diff", "std"])
 
 
 @query("A10_candidate_evaluation")
 def a10(spark, d):
     train, tests = _samples(spark, d)
-    return dt.compare_subsets(train, tests, {"A": [KINDS[0], KINDS[2]], "C": [KINDS[0], KINDS[2], KINDS[3]], "E": KINDS}, ["event_id"], "label", trees=50)
+    return dt.compare_subsets(train, tests, {"A": [KINDS[0], KINDS[2]], "C": [KINDS[0], KINDS[2], KINDS[3]], "E": KINDS}, ["event_id"], "label")
 
 
 # ---- classifier ----------------------------------------------------------------------------------
@@ -187,7 +190,7 @@ def _labelled(spark, d):
 def _classified(spark, d, balanced):
     x = _labelled(spark, d)
     train = x.filter("split = 'train'").persist()
-    models = cl.fit_labels(train, LABELS, balanced, iterations=50)
+    models = cl.fit_labels(train, LABELS, balanced, iterations=1000)
     train.unpersist()
     return cl.score_labels(x.filter("split <> 'train'"), models, ["event_id", "split"], LABELS)
 

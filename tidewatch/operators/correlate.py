@@ -107,9 +107,11 @@ def _t_two_sided(r: float, n: float) -> float:
     dof = n - 2
     x = 1 - r * r  # = dof / (dof + t^2)
     a, b = dof / 2, 0.5
-    front = math.exp(a * math.log(x) + b * math.log1p(-x) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)) if r else 1.0
     if r == 0:
         return 1.0
+    # log of gamma(a + 1/2) / gamma(a): for long samples by its series, where the difference of two large logarithms would cancel
+    ratio = math.lgamma(a + b) - math.lgamma(a) if a < 1e3 else 0.5 * math.log(a) - 1 / (8 * a) + 1 / (192 * a**3)
+    front = math.exp(a * math.log1p(-r * r) + 2 * b * math.log(abs(r)) + ratio - math.lgamma(b))
 
     def fraction(p, q, z):
         c, d = 1.0, 1 - (p + q) * z / (p + 1)

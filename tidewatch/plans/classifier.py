@@ -76,7 +76,7 @@ class Calibrators:
             part = folded.filter(F.col("label") == x)
             v = vectors(part.select("p", F.col("y").cast("double").alias("y"), "_w"), ["p"])
             reg = 1.0 / sum(counts[x])
-            self.sigmoid[x] = LogisticRegression(featuresCol="_x", labelCol="y", weightCol="_w", maxIter=200, regParam=reg, standardization=False).fit(v)
+            self.sigmoid[x] = LogisticRegression(featuresCol="_x", labelCol="y", weightCol="_w", maxIter=1000, regParam=reg, standardization=False).fit(v)
             means = part.groupBy("p").agg((F.sum(F.col("y") * F.col("_w")) / F.sum("_w")).alias("y"), F.sum("_w").alias("_w"))
             self.isotonic[x] = IsotonicRegression(featuresCol="p", labelCol="y", weightCol="_w").fit(means)
         folded.unpersist()
