@@ -21,7 +21,7 @@ class Settings:
     counters: int = 22         # word counts are kept in 2 ** counters cells
     group: int = 20_000        # lines compared in one group
     marks: int = 25            # lines to verify are looked up in 2 ** marks bits first
-    at_once: int = 4 << 20     # bytes of text taken apart at a time
+    at_once: int = 1 << 20     # bytes of text taken apart at a time
 
 
 _ODD, _BLOCK = 0x9E3779B97F4A7C15, 4096
@@ -174,7 +174,7 @@ def _chunks(batches: Iterator[pd.DataFrame], key: str, rows: int) -> Iterator[pd
         yield pd.concat(held, ignore_index=True)
 
 
-def _pairs(group: np.ndarray, n: np.ndarray, upto: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _pairs(group: np.ndarray, n: np.ndarray, upto: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row pairs i < j of one group with n[j] <= upto[i], for rows sorted by group and n, in pieces of about `most`."""
     place = group.astype(np.int64) * (1 << 32) + n
     last = np.searchsorted(place, group.astype(np.int64) * (1 << 32) + upto, "right")
@@ -269,7 +269,7 @@ def _verified(rows: pd.DataFrame, counts: np.ndarray, similarity: float) -> pd.D
         words = np.flatnonzero(slot[r] >= 0)
         bits = np.zeros((len(rows_of), w), np.uint64)
         np.bitwise_or.at(bits, (slot[r[words]], local[words] // 64), np.uint64(1) << (local[words] % 64).astype(np.uint64))
-        for i, j in _pairs(group[rows_of], n[rows_of], _longest(n[rows_of], similarity), most=max(1024, (1 << 21) // int(w))):
+        for i, j in _pairs(group[rows_of], n[rows_of], _longest(n[rows_of], similarity), most=max(1024, (1 << 19) // int(w))):
             a, b = rows_of[i], rows_of[j]
             both = bits[i] & bits[j]
             near = (np.bitwise_count(both).sum(axis=1, dtype=np.int64) >= _shared(n[a], n[b], similarity)) & _sides_fit(key, side, a, b)
@@ -366,7 +366,7 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     posts = posts.select(key.alias("key"), (F.shiftleft(own, 64 - ID_BITS) + F.col("n")).alias("a"), (high + place * 2 + above).alias("b"))
 
     def partners(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in _chunks(batches, "key", 1 << 18):
+        for rows in _chunks(batches, "key", 1 << 17):
             yield _with_partner(rows, settings.similarity)
 
     members = pin(posts.repartition("key").sortWithinPartitions("key").mapInPandas(partners, "key long, id long, side int"))
@@ -378,7 +378,7 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in _chunks(batches, "key", 1 << 15):
+        for rows in _chunks(batches, "key", 1 << 14):
             yield _verified(rows, shared.value, settings.similarity)
 
     linked = full.repartition("key").sortWithinPartitions("key").mapInPandas(verify, "k1 long, k2 long, links long, later boolean")
