@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from tidewatch.operators.series import Series
 from tidewatch.operators.windows import intervals
+from tidewatch.sources.tables import surplus_copies
 
 INF = float("inf")
 
@@ -43,8 +44,7 @@ def not_numeric(df: DataFrame, cols: list[str]) -> int:
 
 def repeated_rows(df: DataFrame, cols: list[str]) -> DataFrame:
     """One row: surplus copies of equal values."""
-    n = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
-    return n.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("duplicates"))
+    return surplus_copies(df, cols)
 
 
 def series_contract(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators.quantiles import exact_quantiles, unpivot
 from tidewatch.operators.series import Series, with_group_value
-from tidewatch.sources.tables import pin
+from tidewatch.sources.tables import pin, surplus_copies
 
 INF = float("inf")
 # fixed values: quantiles of the quality profile
@@ -98,11 +98,8 @@ def kind_counts(distinct: DataFrame) -> DataFrame:
 def table_health(df: DataFrame, series: Series) -> DataFrame:
     """Rows, null cells, duplicate rows and rows that step back in time (ties allowed)."""
     nulls = reduce(lambda a, b: a + b, [F.col(c).isNull().cast("int") for c in df.columns])
-    copies = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
-    counts = copies.agg(
-        F.sum("_n").alias("rows"), F.sum(nulls * F.col("_n")).cast("long").alias("null_cells"),
-        F.sum(F.col("_n") - 1).alias("duplicate_rows"),
-    )
+    counts = df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(nulls), F.lit(0)).cast("long").alias("null_cells"))
+    counts = counts.withColumn("duplicate_rows", surplus_copies(df, df.columns).scalar())
     return counts.withColumn("backward_steps", backward_steps(df, series).scalar()).withColumn("monotonic", F.col("backward_steps") == 0)
 
 

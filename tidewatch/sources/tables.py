@@ -113,27 +113,37 @@ def registry_table(spark: SparkSession, entries: list[tuple[str, str, str, str]]
     return small_table(spark, entries, "dataset STRING, path STRING, role STRING, status STRING")
 
 
+def surplus_copies(df: DataFrame, cols: list[str], name: str = "duplicates") -> DataFrame:
+    """One row: how many rows repeat an earlier row's values.
+
+    Rows are first counted by a 128-bit hash of their values, so narrow rows are shuffled; only rows whose hash repeats are then
+    grouped by the values themselves. Copies are combined before the shuffle both times.
+    """
+    # the hash passes over nulls: their places are hashed too
+    values = [F.concat_ws("", *[F.col(c).isNull().cast("int").cast("string") for c in cols]), *cols]
+    own = df.select(*cols, F.xxhash64(*values).alias("_h1"), F.xxhash64(F.lit(1), *values).alias("_h2"))
+    again = own.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    again = pin(again.select(F.col("_h1").alias("_r1"), F.col("_h2").alias("_r2")))
+    groups = own.join(again, (F.col("_h1") == F.col("_r1")) & (F.col("_h2") == F.col("_r2"))).groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
+    return groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias(name))
+
+
 def inventory(df: DataFrame, name: str) -> DataFrame:
     """One inventory row: rows, columns, missing, NaN, infinite, duplicate rows, verdict."""
     floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
 
-    # Copies of one row are folded map-side, so a much repeated row stays cheap.
-    grouped = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
-    n = F.col("_copies")
-
-    def weighted(conds):
+    def total(conds):
         acc = F.lit(0)
         for c in conds:
             acc = acc + c.cast("int")
-        return F.coalesce(F.sum(acc * n), F.lit(0)).cast("long")
-
-    out = grouped.agg(
-        F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("rows"),
-        weighted([F.col(c).isNull() for c in df.columns]).alias("missing"),
-        weighted([F.coalesce(F.isnan(c), F.lit(False)) for c in floats]).alias("nan_values"),
-        weighted([F.coalesce(F.abs(F.col(c)) == F.lit(float("inf")), F.lit(False)) for c in floats]).alias("infinite"),
-        F.coalesce(F.sum(n - 1), F.lit(0)).cast("long").alias("duplicates"),
-    )
+        return F.coalesce(F.sum(acc), F.lit(0)).cast("long")
+
+    out = df.agg(
+        F.count(F.lit(1)).alias("rows"),
+        total([F.col(c).isNull() for c in df.columns]).alias("missing"),
+        total([F.coalesce(F.isnan(c), F.lit(False)) for c in floats]).alias("nan_values"),
+        total([F.coalesce(F.abs(F.col(c)) == F.lit(float("inf")), F.lit(False)) for c in floats]).alias("infinite"),
+    ).withColumn("duplicates", surplus_copies(df, df.columns).scalar())
     bad = F.col("missing") + F.col("nan_values") + F.col("infinite") + F.col("duplicates")
     return out.select(
         F.lit(name).alias("dataset"), "rows", F.lit(len(df.columns)).alias("columns"),
