@@ -159,18 +159,28 @@ def line_rows(docs: DataFrame, counts: np.ndarray, id_col: str, text_col: str, s
     return rows.mapInPandas(take, schema).withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))
 
 
-def _chunks(batches: Iterator[pd.DataFrame], key: str, rows: int) -> Iterator[pd.DataFrame]:
-    """Rows that come sorted by `key`, in frames of about `rows` rows that part no group."""
+def _chunks(batches: Iterator[pd.DataFrame], key: str, rows: int, text: str | None = None, size: int = 0) -> Iterator[pd.DataFrame]:
+    """Rows that come sorted by `key`, in frames that part no group: of about `rows` rows, and about `size` characters of `text`."""
     held: list[pd.DataFrame] = []
+    count = weight = 0
     for b in batches:
-        held.append(b)
-        if sum(map(len, held)) >= rows:
-            all_rows = pd.concat(held, ignore_index=True)
-            open_ = (all_rows[key] == all_rows[key].iloc[-1]).to_numpy()
+        cuts = [*range(0, len(b), rows), len(b)]
+        if text is not None:
+            cuts = sorted({*cuts, *(np.flatnonzero(np.diff(b[text].str.len().cumsum().to_numpy() // size)) + 1).tolist()})
+        for lo, hi in zip(cuts, cuts[1:]):
+            part = b.iloc[lo:hi]
+            held.append(part)
+            count += len(part)
+            weight += int(part[text].str.len().sum()) if text is not None else 0
+            if count < rows and (text is None or weight < size):
+                continue
+            together = pd.concat(held, ignore_index=True)
+            open_ = (together[key] == together[key].iloc[-1]).to_numpy()
             if not open_.all():
-                yield all_rows[~open_]
-            held = [all_rows[open_]]
-    if held and sum(map(len, held)):
+                yield together[~open_].reset_index(drop=True)
+            held = [together[open_]]
+            count, weight = int(open_.sum()), int(held[0][text].str.len().sum()) if text is not None else 0
+    if held and count:
         yield pd.concat(held, ignore_index=True)
 
 
@@ -378,7 +388,7 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in _chunks(batches, "key", 1 << 14):
+        for rows in _chunks(batches, "key", 1 << 14, "body", settings.at_once):
             yield _verified(rows, shared.value, settings.similarity)
 
     linked = full.repartition("key").sortWithinPartitions("key").mapInPandas(verify, "k1 long, k2 long, links long, later boolean")
