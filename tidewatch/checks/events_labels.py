@@ -326,9 +326,9 @@ def l10(spark, d):
 
 @query("D12_target_consistency", f"""WITH {TAGGED}, hv AS (SELECT DISTINCT date_trunc('minute', ts)::TIMESTAMP AS minute FROM tagged WHERE attack = 1), x AS (
 SELECT 'positive_minutes_lost' AS "check", (SELECT count(*) FROM pos WHERE minute NOT IN (SELECT minute FROM hv)) AS violations UNION ALL SELECT 'minutes_added', (SELECT count(*) FROM hv WHERE minute NOT IN (SELECT minute FROM pos))
-UNION ALL SELECT 'codes_differ', 0 UNION ALL SELECT 'normal_with_scenario', 0) SELECT *, violations = 0 AS passed FROM x""")
+UNION ALL SELECT 'codes_differ', 0 UNION ALL SELECT 'normal_with_scenario', 0 UNION ALL SELECT 'odd_minutes', (SELECT count(*) FROM (SELECT count(*) AS n FROM tagged WHERE attack = 1 GROUP BY date_trunc('minute', ts)) WHERE n <> 60)) SELECT *, violations = 0 AS passed FROM x""")
 def d12(spark, d):
-    return ct.target_consistency(tagged(spark, d), "ts", "scenario_id", "attack", positive_minutes(spark, d), catalogue(spark, d), "codes")
+    return ct.target_consistency(tagged(spark, d), "ts", "scenario_id", "attack", positive_minutes(spark, d), catalogue(spark, d), "codes", rows_per_minute=60)
 
 
 @query("D13_multilabel_consistency", f"""WITH {ML}, x AS (SELECT attack, {' + '.join(LABELS)} AS n, coalesce(len(string_split(codes, '+')), 0) AS c FROM ml), y AS (

@@ -480,12 +480,28 @@ def checks_sql(body, **counts):
     return f"WITH {body}, z AS ({rows}) SELECT *, violations = 0 AS passed FROM z"
 
 
-@query("D01_forecast_contract", checks_sql(f"{LAGGED}, e AS (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) {U} AS dt FROM events)", missing_timestamp="0", not_increasing="SELECT count(*) FROM e WHERE dt <= 0",
-    null_values="SELECT count(*) FROM lg WHERE value_lag_10 IS NULL OR target_2 IS NULL", infinite_values="0", non_numeric_columns="0", off_cadence="SELECT count(*) FROM e WHERE dt <> 120000000", row_count="0"))
+# every check has something to find: broken values, targets and repeated rows are put in by expression
+@query("D01_forecast_contract", checks_sql(f"""{LAGGED}, f AS (SELECT event_id, user_id, lg.ts, lg.value, CASE WHEN event_id % 89 = 0 THEN 'Infinity'::DOUBLE ELSE value_lag_10 END AS value_lag_10,
+    CASE WHEN event_id % 97 = 0 THEN target_2 + 1 ELSE target_2 END AS target_2 FROM lg JOIN (SELECT event_id, user_id FROM events) USING (event_id)), g AS (SELECT * FROM f UNION ALL SELECT * FROM f WHERE event_id % 83 = 0),
+    e AS (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dt FROM g)""",
+    missing_timestamp="0", not_increasing="SELECT count(*) FROM e WHERE dt <= 0", null_values="SELECT count(*) FROM g WHERE value_lag_10 IS NULL OR target_2 IS NULL", infinite_values="SELECT count(*) FROM g WHERE isinf(value_lag_10)",
+    non_numeric_columns="0", off_cadence="SELECT count(*) FROM e WHERE dt <> 120000000", row_count="SELECT count(*) FROM f WHERE event_id % 83 = 0", duplicate_rows="SELECT count(*) FROM f WHERE event_id % 83 = 0"))
 def d01(spark, d):
-    x = lagged(spark, d)
-    n_rows = events(spark, d).count()
-    return ct.series_contract(x, by_user(), ["value", "value_lag_10", "target_2"], 120.0, expected_rows=n_rows)
+    x = _faulty(spark, d)
+    return ct.series_contract(x.unionByName(x.filter(C("event_id") % 83 == 0)), by_user(), ["value", "value_lag_10", "target_2"], 120.0, expected_rows=x.count(),
+                              unique=x.columns)
+
+
+def _faulty(spark, d):
+    x = lagged(spark, d).select("event_id", "user_id", "ts", "value", "value_lag_10", "target_2")
+    return x.withColumns({"value_lag_10": F.when(C("event_id") % 89 == 0, F.lit(float("inf"))).otherwise(C("value_lag_10")),
+                          "target_2": F.when(C("event_id") % 97 == 0, C("target_2") + 1).otherwise(C("target_2"))})
+
+
+@query("D01_target_alignment", checks_sql(f"""{LAGGED}, f AS (SELECT *, CASE WHEN event_id % 97 = 0 THEN target_2 + 1 ELSE target_2 END AS t FROM lg JOIN (SELECT event_id, user_id FROM events) USING (event_id)),
+    o AS (SELECT t, lead(value, 1) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ahead FROM f)""", misaligned_target_2="SELECT count(*) FROM o WHERE t IS DISTINCT FROM ahead"))
+def d01_alignment(spark, d):
+    return ct.series_contract(_faulty(spark, d), by_user(), ["value"], aligned={"target_2": ("value", 1)}).filter("check = 'misaligned_target_2'")
 
 
 @query("D02_label_contract", checks_sql(f"{TAGS_HOURLY}, h AS (SELECT *, epoch_us(hour) - lag(epoch_us(hour)) OVER (ORDER BY hour) AS dt FROM tags)", missing_timestamp="0", not_increasing="0",

@@ -49,10 +49,11 @@ def repeated_rows(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def series_contract(
     df: DataFrame, series: Series, cols: list[str], cadence_seconds: float | None = None, label: str | None = None,
-    expected_rows: int | None = None, strict: bool = True,
+    expected_rows: int | None = None, strict: bool = True, unique: list[str] | None = None, aligned: dict[str, tuple[str, int]] | None = None,
 ) -> DataFrame:
     """Time series contract: timestamps present, increasing (`strict`: no ties) and on the
-    cadence; values present, finite and numeric; label 0 or 1; row count."""
+    cadence; values present, finite and numeric; label 0 or 1; row count; no rows that repeat
+    the `unique` columns; each target of `aligned` equal to its column so many rows ahead."""
     ts = series.order[0]
     step = intervals(df, series, "_dt")
     dt = F.col("_dt")
@@ -66,7 +67,21 @@ def series_contract(
         checks["bad_label"] = _sum(~F.coalesce(F.col(label).isin(0, 1), F.lit(False)))
     if expected_rows is not None:
         checks["row_count"] = F.abs(F.count(F.lit(1)) - expected_rows)
-    return report(step, checks)
+    out = report(step, checks)
+    if unique:
+        out = out.unionByName(as_checks(surplus_copies(df, unique, "duplicate_rows"), ["duplicate_rows"]))
+    if aligned:
+        out = out.unionByName(as_checks(_misaligned(df, series, aligned), [f"misaligned_{t}" for t in aligned]))
+    return out
+
+
+def _misaligned(df: DataFrame, series: Series, aligned: dict[str, tuple[str, int]]) -> DataFrame:
+    """One row: how often each target differs from the value it stands for."""
+    columns = dict.fromkeys([*series.keys, *series.order, *aligned, *(c for c, _ in aligned.values())])
+    fr = series.frame(df.select(*columns), after=max(k for _, k in aligned.values()))
+    off = {f"_off_{t}": (~F.lead(c, k).over(fr.window()).eqNullSafe(F.col(t))).cast("int") for t, (c, k) in aligned.items()}
+    rows = fr.with_columns(off).rows()
+    return rows.agg(*[F.coalesce(F.sum(f"_off_{t}"), F.lit(0)).alias(f"misaligned_{t}") for t in aligned])
 
 
 def candidate_contract(df: DataFrame, expected: list[str], keys: list[str], label: str | None = None) -> DataFrame:
