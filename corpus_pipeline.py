@@ -36,8 +36,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn so that tokens come in the target shares by source, language and form."""
-    return queries.mixed(docs).where("kept").select(*docs.columns)
+    """Documents drawn so that tokens come in the target shares by source, language and form.
+
+    Documents of a source or language without a target, or null, take part: together they keep their share of the tokens.
+    """
+    return queries.mixed(docs, keep_unlisted=True).where("kept").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -62,3 +62,19 @@ def test_odd_documents(spark, odd_docs):
         docs = stage(spark, docs, SF).cache()
         assert docs.columns == odd_docs.columns and docs.count() <= size
     assert pipeline.STAGES[-1][1](spark, docs, SF).count() >= docs.count()
+
+
+def test_unlisted_sources_and_languages_are_mixed(spark):
+    docs = spark.range(8_000).selectExpr("id AS doc_id", "concat(repeat('some words of prose here ', 20), id) AS text",
+                                         "CASE id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'it' ELSE 'en' END AS lang",
+                                         "CASE id DIV 4 % 4 WHEN 0 THEN NULL WHEN 1 THEN 'new' ELSE concat('src', id DIV 16 % 20) END AS source")
+    kept = {(r.lang, r.source): r["count"] for r in pipeline.mix_sources(spark, docs, SF).groupBy("lang", "source").count().collect()}
+    assert all(kept.get((lang, source), 0) > 0 for lang in (None, "it", "en") for source in (None, "new", "src2"))
+    n = sum(kept.values())
+    for at in (0, 1):
+        assert abs(sum(k for v, k in kept.items() if v[at] in (None, "it", "new")) / n - 0.5) < 0.05
+    # nothing listed on an axis: the rest is drawn alike, whether or not one listed document is there
+    none = docs.selectExpr("doc_id", "text", "CAST(NULL AS string) AS lang", "'new' AS source")
+    one = none.selectExpr("doc_id", "text", "if(doc_id = 5, 'en', lang) AS lang", "if(doc_id = 5, 'src1', source) AS source")
+    assert pipeline.mix_sources(spark, none, SF).count() == 8_000
+    assert pipeline.mix_sources(spark, one, SF).count() > 7_900

@@ -60,23 +60,19 @@ def rake(tokens: np.ndarray, targets: list[np.ndarray], rounds: int = 500, toler
 
 
 def mixture(docs: DataFrame, targets: Mapping[str, Mapping[str, float]], tokens: str = "tokens", id_col: str = "doc_id", least: float = 0.0,
-            seed: int = 0) -> DataFrame:
+            seed: int = 0, keep_unlisted: bool = False) -> DataFrame:
     """Adds `weight, probability, kept` to every row; existing columns of these names are replaced.
 
     `targets` names the columns to rake by and the share of tokens that each value shall have; values without a target, and null,
-    count together as `other`, whose share is its own entry or what the rest leave. The token counts of all rows are summed by the
-    targets' values - a table whose size the targets bound - and raked (`rake`). A cell's weight is its raked share over its own;
+    count together as `other`, whose share is its own entry or what the rest leave. With `keep_unlisted`, an `other` without an entry
+    to which the rest leave nothing has the share that it has in the rows, and the targets part what remains; without, such rows have
+    weight 0. The token counts of all rows are summed by the targets' values - a table whose size the targets bound - and raked (`rake`). A cell's weight is its raked share over its own;
     probabilities are the weights over the greatest weight, so no document is taken twice, but at least `least`. A document is
     kept when a hash of its id, between 0 and 1, lies below its probability: the same draw in every run. Rows that repeat an id
     are drawn alike. Rows without tokens have the weight of their cell, or 0 where the cell has none.
     """
     names = list(targets)
     values = {c: [*(v for v in sorted(targets[c]) if v != OTHER), OTHER] for c in names}
-    shares = []
-    for c in names:
-        rest = max(0.0, 1 - sum(s for v, s in targets[c].items() if v != OTHER))
-        share = np.array([targets[c].get(v, rest if v == OTHER else 0.0) for v in values[c]])
-        shares.append(share / share.sum())
     cell = F.lit(0)
     for c in names:
         place = F.lit(len(values[c]) - 1)
@@ -89,6 +85,17 @@ def mixture(docs: DataFrame, targets: Mapping[str, Mapping[str, float]], tokens:
     table = np.zeros(int(np.prod(shape)))
     for r in sums:
         table[r["__cell"]] = r["n"] or 0
+    shares = []
+    for axis, c in enumerate(names):
+        rest = max(0.0, 1 - sum(s for v, s in targets[c].items() if v != OTHER))
+        share = np.array([targets[c].get(v, rest if v == OTHER else 0.0) for v in values[c]])
+        share = share / share.sum()
+        if keep_unlisted and OTHER not in targets[c] and rest < 1e-9:
+            own = table.reshape(shape).sum(axis=tuple(a for a in range(len(shape)) if a != axis)) / max(table.sum(), 1)
+            listed = np.where(own[:-1] > 0, share[:-1], 0.0)  # values without tokens would hand part of their share to the unlisted ones
+            if own[-1] > 0:
+                share = np.r_[listed / (listed.sum() or 1.0) * (1 - own[-1]), own[-1]]
+        shares.append(share)
     raked = rake(table.reshape(shape), shares).ravel()
     own = table / max(table.sum(), 1)
     weight = np.divide(raked, own, out=np.zeros_like(raked), where=own > 0)

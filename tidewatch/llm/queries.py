@@ -88,10 +88,10 @@ MIX_TARGETS = {
 MIX_SEED = 11
 
 
-def mixed(docs: DataFrame) -> DataFrame:
-    """Documents with topic, tokens, weight, probability and kept."""
+def mixed(docs: DataFrame, keep_unlisted: bool = False) -> DataFrame:
+    """Documents with topic, tokens, weight, probability and kept; `keep_unlisted` as in `mixing.mixture`."""
     docs = docs.withColumn("topic", mixing.form_topic(F.col("text"))).withColumn("tokens", mixing.token_count(F.col("text")))
-    return mixing.mixture(docs, MIX_TARGETS, tokens="tokens", seed=MIX_SEED)
+    return mixing.mixture(docs, MIX_TARGETS, tokens="tokens", seed=MIX_SEED, keep_unlisted=keep_unlisted)
 
 
 def _mix_sql() -> str:
