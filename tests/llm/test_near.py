@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tidewatch.llm import components, line_dedup, simhash
+from tidewatch.llm import components, line_dedup, queries, simhash
 
 SF = "/root/testdata/sf0.001"
 FOLD = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -133,3 +133,18 @@ def test_odd_lines(odd_docs, no_docs):
 def test_prefix_is_long_enough():
     for n in range(5, 80):
         assert n - ceil(0.8 * n - 1e-9) + 1 >= n - line_dedup._shared(np.array([n]), np.array([n]), 0.8)[0] + 1
+
+
+@pytest.mark.parametrize("group", [20_000, 2])
+def test_query_takes_lines_of_few_words(spark, tmp_path, group):
+    """Sets of 1 to 4 words: equal ones are one class, and one of four words is linked to those of five that hold it."""
+    texts = ["Home\nread more\nread more here\na b c d", "HOME\nmore read\n\n  \nBE!! SCUM!! BE!! SCUM!! BE!! SCUM!!", "a b c d e\nx a b c d\nb c d",
+             "be!! scum!!\nhome home\nq a b c d e\nread more here now", None, "a b c\nonce only"]
+    texts += [f"d c b a z{i}\na b c y{i}\nw{i}\na b c d z{i} zz{i}" for i in range(12)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = lines_by_hand(docs.collect(), least=1)
+    shown = lambda found: sorted((r.doc_id, r.line, r.class_doc_id, r.class_line, r.links, r.removed) for r in found.collect())
+    assert shown(line_dedup.similar_lines(docs, settings=line_dedup.Settings(words=1, group=group))) == want
+    assert shown(queries.op9(spark, str(tmp_path))) == want
+    assert len(want) > 60 and {(1, 0), (1, 1), (3, 1), (2, 0), (6, 0)} <= {w[:2] for w in want if w[5]}

@@ -147,6 +147,8 @@ def line_rows(docs: DataFrame, counts: np.ndarray, id_col: str, text_col: str, s
                 reach = n - np.ceil(settings.similarity * n - 1e-9).astype(np.int64) + 1
                 place = np.arange(len(lines)) - np.repeat(start, n)
                 packed = ((hashes >> np.uint64(32)) << np.uint64(16) | np.minimum(place, 65535).astype(np.uint64)).view(np.int64)
+                # a set that only its equals match needs no postings: up to 3 words at 0.8
+                reach[(np.ceil(settings.similarity * n - 1e-9) == n) & (_longest(n, settings.similarity) == n)] = 0
                 # a word counted once, in all texts, has no line to share
                 useful = (place < np.repeat(reach, n)) & (shared.value[(hashes >> np.uint64(64 - settings.counters)).astype(np.int64)] > 1)
                 upto = np.r_[0, np.cumsum(useful)]

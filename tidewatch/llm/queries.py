@@ -142,7 +142,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_line_dedup")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.similar_lines(table(spark, sf_dir, "documents"))
+    found = line_dedup.similar_lines(table(spark, sf_dir, "documents"), settings=line_dedup.Settings(words=1))
     return found.select("doc_id", "line", "class_doc_id", "class_line", "links", "removed")
 
 
