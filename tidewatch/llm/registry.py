@@ -21,6 +21,6 @@ def query(name: str, sql: str | None = None):
 
 def load() -> tuple[dict, dict]:
     """All queries of the subpackage and their SQL."""
-    from tidewatch.llm import queries  # noqa: F401
+    from tidewatch.llm import audit_queries, queries  # noqa: F401
 
     return dict(QUERIES), dict(SQL)
