@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import divergence
+from tidewatch.llm import divergence, fingerprint
 from tidewatch.llm.queries import LOWER, UPPER, table
 from tidewatch.llm.registry import query
 
@@ -34,3 +34,41 @@ WHERE part = 'pair' OR rank <= 50
 @query("op12_divergence", SQL12)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def _mark_sql(text: str) -> str:
+    """The fingerprint of a text column: SHA-256 over leaves, paragraphs, sections and the whole."""
+    lines = f"list_transform(list_filter(regexp_extract_all({text}, '{fingerprint.SECTION}'), lambda x: x <> ''), lambda x: string_split(x, chr(10)))"
+    leaves = f"list_transform({lines}, lambda s: list_transform(s, lambda p: list_transform(regexp_extract_all(p, '{fingerprint.LEAF}'), lambda w: sha256('l' || w))))"
+    return f"list_transform([{leaves}], lambda t: {_ROOT} || ':' || {_BODY})[1]"
+
+
+_ROOT = """sha256('r' || array_to_string(list_transform(t, lambda s: sha256('s' || array_to_string(
+    list_transform(s, lambda p: sha256('p' || array_to_string(p, ''))), ''))), ''))"""
+_BODY = """translate(array_to_string(list_transform(t, lambda s: array_to_string(list_transform(s, lambda p: array_to_string(
+    list_transform(p, lambda h: to_base64(unhex(substr(h, 1, 6)))), '')), '.')), ';'), '+/', '-_')"""
+
+
+def _near_sql(a: str, b: str) -> str:
+    leaves = "list_distinct(regexp_extract_all(substr({}, 66), '[A-Za-z0-9_-]{{4}}'))"
+    x, y = leaves.format(a), leaves.format(b)
+    return (f"CASE WHEN left({a}, 64) = left({b}, 64) THEN 1.0::DOUBLE WHEN len({x}) + len({y}) = 0 THEN 0.0::DOUBLE "
+            f"ELSE 2.0::DOUBLE * len(list_intersect({x}, {y}))::DOUBLE / (len({x}) + len({y}))::DOUBLE END")
+
+
+SQL13 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
+near AS (SELECT *, coalesce(lead(text) OVER w, first_value(text) OVER w) AS next_text FROM d WINDOW w AS (ORDER BY doc_id DESC)),
+edits AS (SELECT doc_id, text, n, next_text, left(text, n - n // 2) || left(next_text, n // 2) AS edited FROM near),
+marks AS (SELECT doc_id, n, sha256(edited) AS edited_sha256, {_mark_sql('text')} AS fingerprint, {_mark_sql('edited')} AS edited_fingerprint,
+    {_mark_sql('next_text')} AS next_fingerprint FROM edits)
+SELECT doc_id, n::BIGINT AS n_chars, edited_sha256, fingerprint, edited_fingerprint,
+    {_near_sql('fingerprint', 'edited_fingerprint')} AS near_edited, {_near_sql('fingerprint', 'next_fingerprint')} AS near_next
+FROM marks
+"""
+
+
+@query("op13_fingerprint", SQL13)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprint.edit_check(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
