@@ -4,10 +4,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import divergence, fingerprint
+from tidewatch.llm import collocation, divergence, fingerprint
 from tidewatch.llm.queries import LOWER, UPPER, table
 from tidewatch.llm.registry import query
 
+SQL11 = rf"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS words FROM documents),
+grams AS (SELECT lang, k, words[i:i + k - 1] AS words FROM (
+    SELECT lang, k, words, unnest(range(1, len(words) - k + 2)) AS i FROM pieces, (SELECT unnest(range(1, 6)) AS k) WHERE len(words) >= k)),
+total AS (SELECT lang, count(*) AS n FROM grams WHERE k = 1 GROUP BY lang),
+often AS (SELECT lang, k, words, count(*) AS n FROM grams GROUP BY lang, k, words HAVING count(*) >= 100),
+parts AS (SELECT lang, words[i:i + j - 1] AS words, n FROM (SELECT lang, words, k, n, j, unnest(range(1, k - j + 2)) AS i
+    FROM often, (SELECT unnest(range(2, 5)) AS j) WHERE j < k)),
+around AS (SELECT lang, words, max(n) AS most FROM parts GROUP BY lang, words),
+kept AS (SELECT o.lang, o.k, o.words, o.n AS a FROM often o LEFT JOIN around x ON o.lang = x.lang AND o.words = x.words
+    WHERE o.k > 1 AND (x.most IS NULL OR 100 * x.most < 100 * o.n)),
+cuts AS (SELECT lang, k, words, a, c, words[1:c] AS head, words[c + 1:k] AS rest FROM (SELECT *, unnest(range(1, k)) AS c FROM kept)),
+scored AS (SELECT cuts.lang, array_to_string(cuts.words, ' ') AS phrase, a, c, p.n AS l, q.n AS r, total.n AS n,
+    (1000::HUGEINT * a * total.n) // (p.n::HUGEINT * q.n) AS score
+    FROM cuts JOIN total USING (lang) JOIN often p ON p.lang = cuts.lang AND p.words = head JOIN often q ON q.lang = cuts.lang AND q.words = rest),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best) WHERE rank <= 2000
+"""
+
+
+@query("op11_collocations", SQL11)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(table(spark, sf_dir, "documents"))
+
+
 SQL12 = rf"""
 WITH docs AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
     regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
