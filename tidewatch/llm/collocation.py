@@ -152,11 +152,11 @@ def _frequent_filter(pairs: DataFrame) -> np.ndarray:
 
 
 def _head(gram: Column) -> Column:
-    return F.regexp_extract(gram, r"^(.*) [^ ]*$", 1)
+    return F.substr(gram, F.lit(1), F.char_length(gram) - F.char_length(F.substring_index(gram, " ", -1)) - 1)
 
 
 def _rest(gram: Column) -> Column:
-    return F.regexp_extract(gram, r"^[^ ]* (.*)$", 1)
+    return F.substr(gram, F.instr(gram, " ") + 1)
 
 
 def _size(gram: Column) -> Column:
@@ -185,6 +185,7 @@ def word_graph(grams: DataFrame) -> DataFrame:
 def compact_paths(grams: DataFrame, nodes: DataFrame) -> DataFrame:
     """`lang, head, part, n, words`: edges joined through unary nodes, all of one count n; `words` spells PATH_EDGES edges at most.
 
+    Edges on both sides of a unary node have its count, so `grams` and `nodes` may be those of a least count.
     Each edge behind a unary node points to the edge before it; pointers are doubled until all name the first edge of their path. Unary
     nodes form no circles, since pieces have a beginning.
     """
@@ -236,10 +237,11 @@ def frequent_phrases(docs: DataFrame, least: int = 100) -> tuple[DataFrame, Data
     bits = _frequent_filter(counted.where(F.col("pair").isNotNull()))
     grams = pin(rows.mapInArrow(_grams(bits), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     nodes = pin(word_graph(grams))
-    paths = pin(compact_paths(grams, nodes))
+    # what occurs less often only adds to the flow into shorter phrases, from the nodes as they are
+    paths = pin(compact_paths(grams.where(F.col("n") >= least), nodes.where(F.col("n") >= least)))
     ends = grams.where(_size(F.col("gram")) < ORDER)
     inner = _along(paths, ORDER - 1, F.when(F.col("part") > 0, 0).otherwise(1))
-    shorter = pin(inner.unionAll(nodes.where(~F.col("unary")).select("lang", "node", "n")))
+    shorter = pin(inner.unionAll(nodes.where(~F.col("unary") | (F.col("n") < least)).select("lang", "node", "n")))
     found = [counted.where(F.col("word").isNotNull()).select("lang", F.col("word").alias("phrase"), "n"), _along(paths, ORDER, F.lit(0)), shorter]
     for size in range(ORDER - 2, 1, -1):
         found.append(_flow(found[-1], ends, size))
