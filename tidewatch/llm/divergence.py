@@ -146,14 +146,14 @@ def source_divergence(docs: DataFrame, least_docs: int = 30, top: int = 50) -> D
     nothing has pairs of value 0; an empty table gives no rows. Other columns are not read. Kept counts are dealt into shards of
     terms of about `SHARD_CELLS` cells, so that no source, language or term meets one task; a shard gives one row per pair.
     """
-    counts = pin(term_counts(docs))
-    kept = counts.where(F.col("term").isNotNull()).groupBy(F.col("lang").alias("k_lang"), F.col("term").alias("k_term")).agg(
-        F.sum("n").alias("in_lang"), F.sum("d").alias("in_docs")).where(F.col("in_docs") >= least_docs).drop("in_docs")
-    cells = pin(counts.join(kept, (F.col("lang") == F.col("k_lang")) & (F.col("term") == F.col("k_term"))).select("lang", "source", "term", "n", "in_lang"))
+    of_term = Window.partitionBy("lang", "term")
+    counts = term_counts(docs).select("lang", "source", "term", "n", F.sum("n").over(of_term).alias("in_lang"), F.sum("d").over(of_term).alias("in_docs"),
+                                      (F.row_number().over(of_term.orderBy("source")) == 1).cast("long").alias("first"))
+    counts = pin(counts.where(F.col("term").isNull() | (F.col("in_docs") >= least_docs)).drop("in_docs"))
+    cells = counts.where(F.col("term").isNotNull())
     shards = 1 + cells.count() // SHARD_CELLS
     one = cells.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    # a kept term's count in the language repeats with each of its sources: kept terms are counted anew
-    whole = kept.groupBy(F.col("k_lang").alias("v_lang")).agg(F.sum("in_lang").alias("lang_total"), F.count(F.lit(1)).alias("terms"))
+    whole = cells.groupBy(F.col("lang").alias("v_lang")).agg(F.sum("n").alias("lang_total"), F.sum("first").alias("terms"))
     groups = counts.where(F.col("term").isNull()).select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"))
     groups = groups.join(one, (F.col("lang") == F.col("g_lang")) & (F.col("source") == F.col("g_source")), "left").join(
         whole, F.col("g_lang") == F.col("v_lang"), "left")
