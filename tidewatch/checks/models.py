@@ -37,9 +37,12 @@ def a01_all(spark, d):
     return fc.coefficients_table(spark, fc.fit_horizons(supervised(spark, d), FEATS, TARGETS))
 
 
+SETS = {"lags": FEATS[:5], "calendar": FEATS}
+
+
 def _grid(spark, d, names):
-    models = {k: v for k, v in fc.regressors(trees=200, iterations=10).items() if k in names}
-    return fc.benchmark(supervised(spark, d), one_stream(), {"lags": FEATS[:5]}, ["target_2"], models)
+    models = {k: v for k, v in fc.regressors().items() if k in names}
+    return fc.benchmark(supervised(spark, d), one_stream(), SETS, list(TARGETS.values()), models)
 
 
 @query("A02_random_forest")
@@ -54,15 +57,13 @@ def a03(spark, d):
 
 @query("A04_benchmark_grid")
 def a04(spark, d):
-    models = {"LinearRegression": fc.regressors()["LinearRegression"], "RandomForest": fc.regressors(trees=200)["RandomForest"]}
-    b = fc.benchmark(supervised(spark, d), one_stream(), {"lags": FEATS[:5], "calendar": FEATS}, ["target_2", "target_30"], models)
-    return fc.best_per_target(b)
+    return fc.best_per_target(_grid(spark, d, list(fc.regressors())))
 
 
 @query("A05_leakage_safe_comparison")
 def a05(spark, d):
     x = supervised(spark, d).withColumn("net power output", C("target_2") * 0.9 + C("value") * 0.1)
-    return fc.leakage_safe_comparison(x, one_stream(), [*FEATS[:5], "net power output"], ["target_2"], {"LinearRegression": fc.regressors()["LinearRegression"]})
+    return fc.leakage_safe_comparison(x, one_stream(), [*FEATS[:5], "net power output"], list(TARGETS.values()), fc.regressors())
 
 
 PREDS = f"{S}, f AS (" + " UNION ALL ".join(f"SELECT {h} AS horizon, event_id, value, {t} AS target, value * (SELECT regr_slope({t}, value) FROM t) + (SELECT regr_intercept({t}, value) FROM t) AS forecast FROM t" for h, t in TARGETS.items()) + ")"
