@@ -15,7 +15,7 @@ from tidewatch.sources.tables import pin
 #: What stands between terms: ASCII other than letters. All beyond ASCII belongs to terms.
 BREAKS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: Bytes of text worked off at a time, and partial counts a task holds before it passes them on.
-SLICE_BYTES, HELD_ROWS = 4 << 20, 1_000_000
+SLICE_BYTES, HELD_ROWS = 4 << 20, 500_000
 #: Probabilities are counted in parts of SCALE; each term counts SMOOTH times more than it occurs.
 SCALE, SMOOTH = 1_000_000_000, 5
 #: Cells (source, term) in a shard, about.
