@@ -190,9 +190,7 @@ def _labelled(spark, d):
 
 def _classified(spark, d, balanced):
     x = _labelled(spark, d)
-    train = x.filter("split = 'train'").persist()
-    models = cl.fit_labels(train, LABELS, balanced, iterations=1000)
-    train.unpersist()
+    models = cl.fit_labels(x.filter("split = 'train'"), LABELS, balanced, iterations=1000)
     return cl.score_labels(x.filter("split <> 'train'"), models, ["event_id", "split"], LABELS)
 
 
@@ -211,9 +209,18 @@ def _calibrated(spark, d):
     return cl.Calibrators(p, ["quality", "toxic"]).apply(p)
 
 
-@query("A14_sigmoid_calibration")
+# Newton steps from zero; the penalty is half the squared slope.
+NEWTON = f"""{PROB}, fold AS (SELECT label, p, sum(y) AS s, count(*) AS n FROM prob GROUP BY 1, 2),
+nt(it, label, a, b) AS (SELECT 0, label, 0::DOUBLE, 0::DOUBLE FROM (SELECT DISTINCT label FROM fold) UNION ALL
+SELECT it + 1, label, a - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) FROM (
+SELECT it, label, a, b, sum(n * q - s) AS g0, sum((n * q - s) * p) + b AS g1, sum(n * q * (1 - q)) AS h00, sum(n * q * (1 - q) * p) AS h01, sum(n * q * (1 - q) * p * p) + 1 AS h11
+FROM (SELECT it, label, a, b, p, s, n, 1 / (1 + exp(-(a + b * p))) AS q FROM nt JOIN fold USING (label) WHERE it < 30) GROUP BY it, label, a, b)),
+sig AS (SELECT row_id, label, y, p, least(greatest(1 / (1 + exp(-(a + b * p))), 1e-7), 1 - 1e-7) AS sigmoid FROM prob JOIN nt USING (label) WHERE it = 30)"""
+
+
+@query("A14_sigmoid_calibration", f"WITH RECURSIVE {NEWTON} SELECT row_id, label, round(p, 6) AS p, round(sigmoid, 6) AS sigmoid FROM sig")
 def a14(spark, d):
-    return _calibrated(spark, d).select("row_id", "label", "p", "sigmoid")
+    return _calibrated(spark, d).select("row_id", "label", r("p").alias("p"), r("sigmoid").alias("sigmoid"))
 
 
 # Isotonic fit in closed form: the largest over starts i <= k of the least mean of i..j over j >= k.
@@ -228,10 +235,17 @@ def a15(spark, d):
     return _calibrated(spark, d).select("row_id", "label", r("p").alias("p"), r("isotonic").alias("isotonic"))
 
 
-@query("A16_calibrated_table")
+CHOSEN = f"""WITH RECURSIVE {NEWTON}, iso AS ({ISO.replace(PROB + ", ", "").replace("round(prob.p, 6) AS p, round(least(greatest(v, 1e-7), 1 - 1e-7), 6)", "least(greatest(v, 1e-7), 1 - 1e-7)")}),
+tall AS (SELECT row_id, label, y, 'sigmoid' AS method, sigmoid AS q FROM sig UNION ALL SELECT row_id, label, y, 'isotonic', isotonic FROM iso JOIN prob USING (row_id, label)),
+loss AS (SELECT label, method, avg((q - y) ** 2) AS brier, avg(-(y * ln(q) + (1 - y) * ln(1 - q))) AS log_loss FROM tall GROUP BY 1, 2),
+best AS (SELECT label, method FROM loss QUALIFY row_number() OVER (PARTITION BY label ORDER BY brier, log_loss, method) = 1)
+SELECT row_id, label, y, round(q, 6) AS calibrated FROM tall JOIN best USING (label, method)"""
+
+
+@query("A16_calibrated_table", CHOSEN)
 def a16(spark, d):
     x = _calibrated(spark, d)
-    return cl.calibrated_table(x, cl.choose_method(cl.calibration_metrics(x))).select("row_id", "label", "y", "calibrated")
+    return cl.calibrated_table(x, cl.choose_method(cl.calibration_metrics(x))).select("row_id", "label", "y", r("calibrated").alias("calibrated"))
 
 
 @query("A17_positional_validation")
@@ -248,6 +262,11 @@ def a17e(spark, d):
     return cl.validate_calibration(x, "split", ["error"])
 
 
+@query("A17_final_validation")
+def a17f(spark, d):
+    return cl.final_validation(_classified(spark, d, True), "split", LABELS)
+
+
 # ---- the published scoring case: 119 features, three linear models -----------------------------------
 
 WIDE = 56  # lags of two tags: 2 x 57 columns, 4 calendar features and a constant make 119
@@ -272,3 +291,4 @@ SELECT event_id, {", ".join(f"round(s / {h} + {h}, 4) AS forecast_{h}" for h in
 def a06_wide(spark, d):
     x, feats = wide_rows(spark, d)
     return fc.score_horizons(x, wide_models(feats)).select("event_id", *[r(f"forecast_{h}", 4).alias(f"forecast_{h}") for h in (2, 10, 30)])
+

@@ -3,15 +3,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators import metrics
 from tidewatch.operators.topk import top_k
+from tidewatch.plans import logistic as lg
+from tidewatch.plans import pooling as po
+from tidewatch.sources.tables import pin
 
 EPS = 1e-7
 
@@ -30,32 +30,19 @@ def vectors(df: DataFrame, cols: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=cols, outputCol="_x").transform(df)
 
 
-def fit_labels(df: DataFrame, labels: list[str], balanced: bool, iterations: int = 100, c: float = 1.0) -> dict[str, object]:
-    """One logistic regression per label on `_x`. `balanced` weighs both classes equally.
+def fit_labels(df: DataFrame, labels: list[str], balanced: bool, iterations: int = 100, c: float = 1.0, tolerance: float = 1e-8) -> lg.Logistic:
+    """A logistic regression of each label on `_x`, all in the same passes (see `logistic.fit`).
 
-    The ridge term 1 / (C * rows) equals an inverse strength C on the summed loss. Labels with
-    one class are left out.
+    `balanced` weighs both classes equally, `c` is the inverse strength on the summed loss. Labels with one class are left out.
     """
-    counts = df.agg(F.count(F.lit(1)).alias("_n"), *[F.sum(x).alias(x) for x in labels]).first()
-    n, models = counts["_n"], {}
-    for x in labels:
-        pos = counts[x] or 0
-        if pos in (0, n):
-            continue
-        w = F.when(F.col(x) == 1, F.lit(n / (2.0 * pos))).otherwise(F.lit(n / (2.0 * (n - pos)))) if balanced else F.lit(1.0)
-        est = LogisticRegression(featuresCol="_x", labelCol=x, weightCol="_w", maxIter=iterations, regParam=1.0 / (c * n), standardization=False)
-        models[x] = est.fit(df.withColumn("_w", w))
-    return models
-
-
-def score_labels(df: DataFrame, models: dict[str, object], ids: list[str], truth: list[str]) -> DataFrame:
+    return lg.fit(df, "_x", labels, balanced, iterations, c, tolerance)
+
+
+def score_labels(df: DataFrame, models: lg.Logistic, ids: list[str], truth: list[str]) -> DataFrame:
     """Tall (ids, label, y, p): every metric is then a group by label."""
-    out = df
-    for i, (x, m) in enumerate(models.items()):
-        m = m.copy().setPredictionCol(f"_k{i}").setRawPredictionCol(f"_r{i}").setProbabilityCol(f"_p{i}")
-        out = m.transform(out).withColumn(f"_q{i}", vector_to_array(F.col(f"_p{i}"))[1]).drop(f"_k{i}", f"_r{i}", f"_p{i}")
-    items = [F.struct(F.lit(x).alias("label"), F.col(x).cast("int").alias("y"), F.col(f"_q{i}").alias("p")) for i, x in enumerate(models)]
-    return out.select(*ids, F.inline(F.array(*items)))
+    found = df.withColumn("_p", models.probabilities(F.col("_x")))
+    items = [F.struct(F.lit(x).alias("label"), F.col(x).cast("int").alias("y"), F.col("_p")[i].alias("p")) for i, x in enumerate(models.labels)]
+    return found.select(*ids, F.inline(F.array(*items)))
 
 
 def clip(p: Column) -> Column:
@@ -64,34 +51,32 @@ def clip(p: Column) -> Column:
 
 
 class Calibrators:
-    """Sigmoid and isotonic calibration per label, fitted on folded (score, y) counts."""
+    """Sigmoid and isotonic calibration of all labels, fitted on (label, score) sums in the same passes."""
 
     def __init__(self, fit_rows: DataFrame, labels: list[str]):
-        folded = fit_rows.groupBy("label", "p", "y").agg(F.count(F.lit(1)).cast("double").alias("_w")).persist()
-        counts = {r["label"]: (r["pos"], r["neg"]) for r in folded.filter(F.col("label").isin(labels)).groupBy("label").agg(
-            F.sum(F.when(F.col("y") == 1, F.col("_w")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y") == 0, F.col("_w")).otherwise(0)).alias("neg")).collect()}
-        self.labels = [x for x in labels if min(counts.get(x, (0, 0))) > 0]
-        self.sigmoid, self.isotonic = {}, {}
-        for x in self.labels:
-            part = folded.filter(F.col("label") == x)
-            v = vectors(part.select("p", F.col("y").cast("double").alias("y"), "_w"), ["p"])
-            reg = 1.0 / sum(counts[x])
-            self.sigmoid[x] = LogisticRegression(featuresCol="_x", labelCol="y", weightCol="_w", maxIter=1000, regParam=reg, standardization=False).fit(v)
-            means = part.groupBy("p").agg((F.sum(F.col("y") * F.col("_w")) / F.sum("_w")).alias("y"), F.sum("_w").alias("_w"))
-            self.isotonic[x] = IsotonicRegression(featuresCol="p", labelCol="y", weightCol="_w").fit(means)
-        folded.unpersist()
+        known = fit_rows.filter(F.col("label").isin(labels) & F.col("p").isNotNull() & F.col("y").isNotNull())
+        folded = pin(known.groupBy("label", "p").agg(F.sum(F.col("y").cast("double")).alias("total"), F.count(F.lit(1)).cast("double").alias("weight")))
+        counts = {r["label"]: (r["pos"], r["n"]) for r in folded.groupBy("label").agg(F.sum("total").alias("pos"), F.sum("weight").alias("n")).collect()}
+        self.labels = [x for x in labels if x in counts and 0 < counts[x][0] < counts[x][1]]
+        both = folded.filter(F.col("label").isin(self.labels))
+        self.sigmoid = po.sigmoids(both, self.labels) if self.labels else {}
+        self.isotonic = {}
+        if self.labels:
+            blocks = po.isotonic_blocks(both).orderBy("label", "low").toPandas()
+            for x, part in blocks.groupby("label"):
+                self.isotonic[x] = (part[["low", "high"]].to_numpy().ravel(), np.repeat((part["total"] / part["weight"]).to_numpy(), 2))
 
     def sigmoid_column(self, p: str = "p") -> Column:
         out = F.lit(None).cast("double")
-        for x, m in self.sigmoid.items():
-            z = F.lit(float(m.intercept)) + F.lit(float(m.coefficients[0])) * F.col(p)
+        for x, (a, b) in self.sigmoid.items():
+            z = F.lit(a) + F.lit(b) * F.col(p)
             out = F.when(F.col("label") == x, clip(1 / (1 + F.exp(-z)))).otherwise(out)
         return out
 
     def apply(self, df: DataFrame) -> DataFrame:
         """Columns `sigmoid` and `isotonic` next to the raw score; null where no calibrator is.
         One pass for all labels: isotonic steps are interpolated per Arrow batch."""
-        steps = {x: (m.boundaries.toArray(), m.predictions.toArray()) for x, m in self.isotonic.items()}
+        steps = self.isotonic
 
         @F.pandas_udf("double")
         def isotonic(label: pd.Series, p: pd.Series) -> pd.Series:
@@ -130,3 +115,14 @@ def validate_calibration(df: DataFrame, split: str, labels: list[str], fit="fit"
     """Calibrators fitted on one part of the rows and measured on another."""
     cal = Calibrators(df.filter(F.col(split) == fit), labels)
     return calibration_metrics(cal.apply(df.filter(F.col(split) == test)))
+
+
+def final_validation(df: DataFrame, split: str, labels: list[str], fit="validation", test="test") -> DataFrame:
+    """Raw, sigmoid and isotonic scores of the rows that neither the classifier nor a calibrator has seen, with their class counts.
+
+    Scores are clipped before calibrators are fitted and applied; labels without a calibrator are measured by their raw scores only.
+    """
+    rows = pin(df.withColumn("p", clip(F.col("p"))))
+    seen, unseen = rows.filter(F.col(split) == fit), rows.filter(F.col(split) == test)
+    counts = unseen.groupBy("label").agg(F.sum("y").cast("long").alias("positives"), F.sum(1 - F.col("y")).cast("long").alias("negatives"))
+    return calibration_metrics(Calibrators(seen, labels).apply(unseen)).join(counts, "label")
