@@ -10,7 +10,7 @@ from tidewatch.checks.windows import U
 from tidewatch.operators import columns as co, correlate as c, splits as sp, windows as w
 from tidewatch.operators.series import Series
 from tidewatch.plans import classifier as cl, detector as dt, forecast as fc
-from tidewatch.sources.tables import small_table, table
+from tidewatch.sources.tables import pin, small_table, table
 
 C = F.col
 TARGETS = {2: "target_2", 10: "target_10", 30: "target_30"}
@@ -119,10 +119,15 @@ def _temporal(spark, d):
     return x.select("event_id", "ts", "label", *KINDS)
 
 
-def _samples(spark, d):
-    x = _temporal(spark, d)
+def _split(x):
+    """Days 1 to 15 train, 16 to 21 and the rest test. The features are stored once."""
     day = F.dayofmonth("ts")
-    return x.filter(day < 16), {"test1": x.filter((day >= 16) & (day < 22)), "test2": x.filter(day >= 22)}
+    return pin(x.withColumn("sample", F.when(day < 16, "train").when(day < 22, "test1").otherwise("test2")))
+
+
+def _samples(spark, d):
+    x = _split(_temporal(spark, d))
+    return x.filter("sample = 'train'"), {n: x.filter(C("sample") == n) for n in ("test1", "test2")}
 
 
 @query("A07_forest_fit")
@@ -144,31 +149,45 @@ def a08(spark, d):
 
 @query("A09_family_ablation")
 def a09(spark, d):
-    train, tests = _samples(spark, d)
     subsets = {"original": KINDS[:1], "plus_diff": KINDS[:2], "plus_abs_diff": [KINDS[0], KINDS[2]], "plus_std": [KINDS[0], KINDS[3]], "all": KINDS}
-    return dt.compare_subsets(train, tests, subsets, ["event_id"], "label")
+    return dt.compare_subsets(_split(_temporal(spark, d)), "sample", "train", subsets, ["event_id"], "label")
 
 
-def _associations(spark, d):
-    """Families of event-type tags: association of each derived feature with a score."""
-    e = events(spark, d).select("user_id", "ts", "event_id", "value", F.get_json_object("props", "$.k").cast("double").alias("k"))
-    x = w.temporal_features(e, by_user(), ["value", "k"], kinds=("diff", "abs_diff", "std"))
-    feats = co.matching(x, suffixes=("__diff", "__abs_diff", "__std"))
-    a = c.score_association(x, feats, "value")
+DERIVED = ("diff", "abs_diff", "std")
+
+
+def _two_signals(spark, d):
+    e = events(spark, d).select("user_id", "ts", "event_id", "value", F.get_json_object("props", "$.k").cast("double").alias("k"), (C("event_type") == "error").cast("int").alias("label"))
+    return w.temporal_features(e, by_user(), ["value", "k"], kinds=DERIVED)
+
+
+def _associations(x):
+    """Families of derived features: association of each feature with a score."""
+    a = c.score_association(x, co.matching(x, suffixes=("__diff", "__abs_diff", "__std")), "value")
     fam = F.regexp_extract("feature", r"__(.*)$", 1)
     return a.select("feature", fam.alias("family"), r(F.abs("spearman_r"), 9).alias("abs_spearman_r"), r(F.abs("pearson_r"), 9).alias("abs_pearson_r"))
 
 
+def _candidates(spark, x, recipe):
+    originals = small_table(spark, [("value",), ("k",)], "feature STRING")
+    return dt.reduced_candidates(_associations(x), originals, "family", ["abs_spearman_r", "abs_pearson_r"], list(DERIVED), recipe)
+
+
 @query("A19_reduced_candidates")
 def a19(spark, d):
-    originals = small_table(spark, [("value",), ("k",)], "feature STRING")
-    return dt.reduced_candidates(_associations(spark, d), originals, "family", ["abs_spearman_r", "abs_pearson_r"], ["diff", "abs_diff", "std"])
+    return _candidates(spark, _two_signals(spark, d), dt.CANDIDATES)
 
 
 @query("A10_candidate_evaluation")
 def a10(spark, d):
-    train, tests = _samples(spark, d)
-    return dt.compare_subsets(train, tests, {"A": [KINDS[0], KINDS[2]], "C": [KINDS[0], KINDS[2], KINDS[3]], "E": KINDS}, ["event_id"], "label")
+    """The manifests of A19 and the originals alone. The events have few signals, so a tenth of the usual
+    number of features per family is taken."""
+    x = _split(_two_signals(spark, d))
+    subsets = {"original": ["value", "k"]}
+    # one row per candidate and feature
+    for m in _candidates(spark, x, {n: tuple(k // 10 for k in v) for n, v in dt.CANDIDATES.items()}).orderBy("candidate", "feature").collect():
+        subsets.setdefault(m.candidate, []).append(m.feature)
+    return dt.compare_subsets(x, "sample", "train", subsets, ["event_id"], "label")
 
 
 # ---- classifier ----------------------------------------------------------------------------------

@@ -3,18 +3,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.operators import metrics
 from tidewatch.operators.quantiles import exact_quantiles
 from tidewatch.operators.topk import top_k
+from tidewatch.sources.tables import pinned, small_table
 
-TREE_SCHEMA = "tree INT, feature ARRAY<INT>, threshold ARRAY<DOUBLE>, left ARRAY<INT>, right ARRAY<INT>, path ARRAY<DOUBLE>"
+TREE_SCHEMA = "subset STRING, tree INT, feature ARRAY<INT>, threshold ARRAY<DOUBLE>, left ARRAY<INT>, right ARRAY<INT>, path ARRAY<DOUBLE>"
 _U = float(1 << 53)
 
 
@@ -60,6 +62,21 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> dict[str, list
     return nodes
 
 
+def _path_scores(x: np.ndarray, trees: list[tuple[np.ndarray, ...]], norm: float) -> np.ndarray:
+    """Minus two to the minus mean path length over its expectation, for each row."""
+    total = np.zeros(len(x))
+    for feature, threshold, left, right, path in trees:
+        at = np.zeros(len(x), dtype=np.int64)
+        live = np.flatnonzero(feature[at] >= 0)
+        while len(live):
+            node = at[live]
+            down = np.where(x[live, feature[node]] <= threshold[node], left[node], right[node])
+            at[live] = down
+            live = live[feature[down] >= 0]
+        total += path[at]
+    return -np.power(2.0, -total / len(trees) / norm)
+
+
 @dataclass
 class IsolationForest:
     features: list[str]
@@ -75,18 +92,7 @@ class IsolationForest:
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                x = pdf[feats].to_numpy(dtype=float)
-                total = np.zeros(len(x))
-                for feature, threshold, left, right, path in trees:
-                    at = np.zeros(len(x), dtype=np.int64)
-                    live = np.flatnonzero(feature[at] >= 0)
-                    while len(live):
-                        node = at[live]
-                        down = np.where(x[live, feature[node]] <= threshold[node], left[node], right[node])
-                        at[live] = down
-                        live = live[feature[down] >= 0]
-                    total += path[at]
-                yield pdf.assign(**{name: -np.power(2.0, -total / len(trees) / norm)})
+                yield pdf.assign(**{name: _path_scores(pdf[feats].to_numpy(dtype=float), trees, norm)})
 
         return df.mapInPandas(run, schema)
 
@@ -113,63 +119,140 @@ def _draws(trees: int, rate: float) -> list[float]:
     return out
 
 
-def tree_samples(df: DataFrame, features: list[str], ident: list[str], trees: int, sample: int, rows: int, seed: int) -> DataFrame:
-    """(tree, order, features): a random sample per tree, decided by hashes of the row id, so a
-    retried task draws the same rows. One law at every size: each tree draws each row at the same
-    rate. How many trees a row goes to is read off the binomial law by one hash, which trees by
-    another; rows that none draws are filtered before anything is multiplied."""
-    base = df.dropna(subset=features).select(*ident, *[F.col(f).cast("double").alias(f) for f in features])
-    rate = min(1.0, 1.5 * sample / max(rows, 1))
-    upto = F.array(*[F.lit(c) for c in _draws(trees, rate)])
-    many = F.size(F.filter(upto, lambda c: c <= _unit_hash(*ident, F.lit(seed))))
+def _defined(cols: list[str]) -> Column:
+    """All of the columns hold a number."""
+    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in cols])
+
+
+def forest_samples(
+    df: DataFrame, subsets: dict[str, list[str]], ident: list[str], trees: int, sample: int, rows: dict[str, int], seed: int
+) -> DataFrame:
+    """(subset, tree, order, features): a random sample per forest and tree, decided by hashes of
+    the row id, so a retried task draws the same rows. One law at every size: each tree draws each
+    row at the same rate. How many trees of a forest a row goes to is read off the binomial law by
+    one hash, which trees by another; all forests draw in one pass, and rows that none draws are
+    filtered before anything is multiplied."""
+    feats = list(dict.fromkeys(c for cols in subsets.values() for c in cols))
+    base = df.select(*ident, *[F.col(c).cast("double").alias(c) for c in feats])
+    many = {}
+    for i, (name, cols) in enumerate(subsets.items()):
+        rate = min(1.0, 1.5 * min(sample, rows[name]) / max(rows[name], 1))
+        upto = F.array(*[F.lit(c) for c in _draws(trees, rate)])
+        times = F.size(F.filter(upto, lambda c: c <= _unit_hash(*ident, F.lit(seed))))
+        many[f"_many{i}"] = F.when(_defined(cols), times).otherwise(0)
+    drawn = base.withColumns(many).filter(reduce(lambda a, b: a | b, [F.col(c) > 0 for c in many]))
     strides = [k for k in range(1, trees + 1) if np.gcd(k, trees) == 1]
     first, stride = F.pmod(F.xxhash64(*ident, F.lit(seed + 1)), F.lit(trees)), F.pmod(F.xxhash64(*ident, F.lit(seed + 3)), F.lit(len(strides)))
-    step = F.get(F.array(*[F.lit(k) for k in strides]), stride.cast("int"))
-    drawn = base.withColumn("_many", many).filter(F.col("_many") > 0).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_many") - 1)))
-    drawn = drawn.withColumn("tree", F.pmod(first + F.col("_k") * step, F.lit(trees)).cast("int")).drop("_many", "_k")
+    drawn = drawn.withColumns({"_first": first, "_step": F.get(F.array(*[F.lit(k) for k in strides]), stride.cast("int"))})
+
+    def marks(name: str, times: Column) -> Column:
+        tree = lambda k: F.pmod(F.col("_first") + k * F.col("_step"), F.lit(trees)).cast("int")
+        return F.when(times > 0, F.transform(F.sequence(F.lit(0), times - 1), lambda k: F.struct(F.lit(name).alias("subset"), tree(k).alias("tree"))))
+
+    every = F.array(*[marks(n, F.col(c)) for n, c in zip(subsets, many)])
+    drawn = drawn.select(*ident, *feats, F.inline(F.flatten(F.array_compact(every))))
     return drawn.withColumn("_o", F.xxhash64(*ident, "tree", F.lit(seed + 2)))
 
 
+def tree_samples(df: DataFrame, features: list[str], ident: list[str], trees: int, sample: int, rows: int, seed: int) -> DataFrame:
+    """(tree, order, features): the samples of one forest."""
+    return forest_samples(df, {"": features}, ident, trees, sample, {"": rows}, seed).drop("subset")
+
+
+def score_forests(df: DataFrame, forests: dict[str, IsolationForest], keep: list[str]) -> DataFrame:
+    """(keep, subset, score_samples) of all forests in one pass; a row that lacks a feature of a
+    forest has no score from it. Rows leave narrow, once per forest."""
+    parts = [(n, f.features, f.trees, float(_average_path(np.array([f.sample]))[0])) for n, f in forests.items()]
+    feats = list(dict.fromkeys(c for _, cols, _, _ in parts for c in cols))
+    plain = df.select(*keep, *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(feats)])
+    schema = T.StructType([*df.select(*keep).schema.fields, T.StructField("subset", T.StringType()), T.StructField("score_samples", T.DoubleType())])
+    at = {c: i for i, c in enumerate(feats)}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x = pdf[[f"_x{i}" for i in range(len(feats))]].to_numpy(dtype=float)
+            for name, cols, trees, norm in parts:
+                own = x[:, [at[c] for c in cols]]
+                whole = ~np.isnan(own).any(axis=1)
+                yield pdf.loc[whole, keep].assign(subset=name, score_samples=_path_scores(own[whole], trees, norm))
+
+    return plain.mapInPandas(run, schema)
+
+
+def grow_forests(df: DataFrame, subsets: dict[str, list[str]], ident: list[str], trees: int = 200, sample: int = 256, seed: int = 42) -> dict[str, IsolationForest]:
+    """One forest per feature subset, without offsets. The table is read twice, whatever the number
+    of subsets: usable rows of all subsets are counted together and all samples drawn together; the
+    trees of all forests grow in one stage, one bounded sample per task group."""
+    names = list(subsets)
+    counts = df.agg(*[F.count(F.when(_defined(subsets[n]), 1)).alias(f"_n{i}") for i, n in enumerate(names)]).first()
+    rows = dict(zip(names, counts))
+    empty = [n for n in names if not rows[n]]
+    if empty:
+        raise ValueError(f"no row with all features of {empty}")
+    drawn = forest_samples(df, subsets, ident, trees, sample, rows, seed)
+    order = [F.asc("_o"), *[F.asc(c) for c in ident]]
+    # samples are small but growing is work: a fixed number of tasks, which is not merged by size
+    tasks = min(len(names) * trees, 4 * df.sparkSession.sparkContext.defaultParallelism)
+    drawn = drawn.repartition(tasks, "subset", "tree")
+    kept = top_k(drawn, ["subset", "tree"], order, sample).drop(*ident)
+    limit = {n: int(np.ceil(np.log2(max(min(sample, rows[n]), 2)))) for n in names}
+
+    def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        name, tree = str(key[0]), int(key[1])
+        x = pdf.sort_values(["_o", *subsets[name]])[subsets[name]].to_numpy(dtype=float)
+        return pd.DataFrame([{"subset": name, "tree": tree, **_grow(x, np.random.default_rng([seed, tree]), limit[name])}])
+
+    grown = kept.groupBy("subset", "tree").applyInPandas(build, TREE_SCHEMA).collect()
+    out = {n: IsolationForest(list(subsets[n]), [], min(sample, rows[n])) for n in names}
+    for t in sorted(grown, key=lambda t: t.tree):
+        out[t.subset].trees.append((np.array(t.feature), np.array(t.threshold), np.array(t.left), np.array(t.right), np.array(t.path)))
+    return out
+
+
+def _set_offsets(forests: dict[str, IsolationForest], scores: DataFrame, contamination: float) -> None:
+    """Offsets at the contamination quantile of stored training scores, for all forests at once."""
+    for row in exact_quantiles(scores, ["subset"], "score_samples", {"q": contamination}, few_groups=True).collect():
+        forests[row.subset].offset = float(row.q)
+
+
 def fit_forest(
     df: DataFrame, features: list[str], ident: list[str], trees: int = 200, sample: int = 256, contamination: float | None = 0.05, seed: int = 42
 ) -> IsolationForest:
     """Trees grow in parallel, one bounded sample per task group; the offset is the
-    contamination quantile of the training scores."""
-    rows = df.dropna(subset=features).count()
-    size = min(sample, rows)
-    limit = int(np.ceil(np.log2(max(size, 2))))
-    drawn = tree_samples(df, features, ident, trees, size, rows, seed)
-    order = [F.asc("_o"), *[F.asc(c) for c in ident]]
-    kept = top_k(drawn, ["tree"], order, size).select("tree", "_o", *features)
-
-    def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = int(key[0])
-        x = pdf.sort_values(["_o", *features])[features].to_numpy(dtype=float)
-        return pd.DataFrame([{"tree": tree, **_grow(x, np.random.default_rng([seed, tree]), limit)}])
-
-    grown = kept.groupBy("tree").applyInPandas(build, TREE_SCHEMA).orderBy("tree").collect()
-    forest = IsolationForest(
-        list(features),
-        [(np.array(t.feature), np.array(t.threshold), np.array(t.left), np.array(t.right), np.array(t.path)) for t in grown], size)
+    contamination quantile of the training scores, which are computed once and stored for it."""
+    forests = grow_forests(df, {"": features}, ident, trees, sample, seed)
     if contamination is not None:
-        scores = forest.score(df.dropna(subset=features).select(*[F.col(f).cast("double").alias(f) for f in features]))
-        q = exact_quantiles(scores, [], "score_samples", {"q": contamination})
-        forest.offset = float(q.first()["q"])
-    return forest
+        with pinned(score_forests(df, forests, [])) as scores:
+            _set_offsets(forests, scores, contamination)
+    return forests[""]
 
 
 def compare_subsets(
-    train: DataFrame, tests: dict[str, DataFrame], subsets: dict[str, list[str]], ident: list[str], label: str, trees: int = 200, seed: int = 42
+    rows: DataFrame, sample: str, train: str, subsets: dict[str, list[str]], ident: list[str], label: str,
+    trees: int = 200, size: int = 256, contamination: float = 0.05, seed: int = 42
 ) -> DataFrame:
-    """Fit one forest per feature subset and report confusion scores on each test set."""
-    out = None
-    for name, feats in subsets.items():
-        forest = fit_forest(train, feats, ident, trees, seed=seed)
-        for test_name, test in tests.items():
-            c = metrics.confusion(forest.predict(test.select(*ident, label, *feats)), [], label, "prediction")
-            one = c.select(F.lit(name).alias("subset"), F.lit(len(feats)).alias("features"), F.lit(test_name).alias("sample"), "tn", "fp", "fn", "tp", "precision", "recall", "f1", "accuracy")
-            out = one if out is None else out.unionByName(one)
-    return out
+    """One forest per feature subset, grown on the rows whose `sample` column says `train`, and its
+    confusion scores on each of the other samples.
+
+    The rows are read three times (usable rows, samples, scores), whatever the number of subsets and
+    samples; they should be stored, not computed. Scores of all forests on all rows are one narrow
+    stored table, from which the offsets and then all confusion counts are taken. Test rows
+    without a label count nowhere, rows without a sample are left out; a subset without a test row that has
+    all its features has no line for that test.
+    """
+    forests = grow_forests(rows.filter(F.col(sample) == train), subsets, ident, trees, size, seed)
+    used = rows.filter(F.col(sample).isNotNull()).select(
+        F.col(sample).alias("sample"), F.coalesce(F.col(label).cast("int"), F.lit(-1)).alias("actual"),
+        *dict.fromkeys(c for cols in subsets.values() for c in cols))
+    with pinned(score_forests(used, forests, ["sample", "actual"])) as scores:
+        _set_offsets(forests, scores.filter(F.col("sample") == train), contamination)
+        cuts = F.create_map(*[F.lit(v) for n, f in forests.items() for v in (n, f.offset)])
+        called = scores.filter((F.col("sample") != train) & (F.col("actual") >= 0)).withColumn("prediction", F.when(F.col("score_samples") < cuts[F.col("subset")], 1).otherwise(0))
+        counts = metrics.confusion(called, ["subset", "sample"], "actual", "prediction").collect()
+    # one row per subset and sample
+    lines = [(c.subset, len(subsets[c.subset]), c.sample, c.tn, c.fp, c.fn, c.tp, c.precision, c.recall, c.f1, c.accuracy) for c in counts]
+    schema = "subset STRING, features INT, sample STRING, tn LONG, fp LONG, fn LONG, tp LONG, precision DOUBLE, recall DOUBLE, f1 DOUBLE, accuracy DOUBLE"
+    return small_table(rows.sparkSession, lines, schema)
 
 
 # fixed values: features taken per family (difference, absolute difference, rolling deviation)

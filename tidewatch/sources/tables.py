@@ -5,6 +5,8 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,6 +58,19 @@ def pin(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def pinned(df: DataFrame) -> Iterator[DataFrame]:
+    """`pin` for the length of a block whose results leave it collected or written: the folder is deleted at its end."""
+    spark = df.sparkSession
+    path = os.path.join(shared_dir(spark), "pinned")
+    try:
+        df.write.mode("overwrite").parquet(path)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(os.path.dirname(path))
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A driver-side catalogue as a table of known size, so Spark broadcasts it by its own check."""
     types = T._parse_datatype_string(schema)
