@@ -132,3 +132,32 @@ def test_partial_products_do_not_grow_with_the_splits(spark):
     assert c.pearson_pairs(df, ["a", "b"]).rdd.getNumPartitions() < 900
     text = c.pearson_pairs(df, ["a", "b"])._jdf.queryExecution().executedPlan().toString()
     assert "Coalesce" in text
+
+
+def test_spearman_of_ties_nulls_and_hot_values_equals_scipy_free_ranks(spark):
+    rng = np.random.default_rng(5)
+    n = 1500
+    score = np.round(rng.normal(0, 1, n), 1)
+    score[rng.random(n) < 0.33] = 0.0
+    pdf = pd.DataFrame({"s": score, "tied": rng.integers(0, 4, n) + (score > 0.5), "free": rng.normal(0, 1, n) - score, "flat": 2.0, "none": np.nan})
+    data = pdf.astype(object)
+    data.loc[rng.random(n) < 0.2, "tied"] = None
+    data.loc[rng.random(n) < 0.1, "free"] = None
+    data.loc[rng.random(n) < 0.05, "s"] = None
+    data["none"] = None
+    df = spark.createDataFrame(data.values.tolist(), "s DOUBLE, tied INT, free DOUBLE, flat DOUBLE, none DOUBLE").repartition(7)
+    got = {r["feature"]: r["spearman_r"] for r in c.spearman_of(df, ["tied", "free", "flat", "none"], "s").collect()}
+    for f in ("tied", "free"):
+        both = data[["s", f]].dropna().astype(float)
+        assert abs(got[f] - both["s"].rank().corr(both[f].rank())) < 1e-12
+    assert got["flat"] is None and got.get("none") is None
+    whole = {r["feature"]: r for r in c.score_association(df, ["tied", "none"], "s").collect()}
+    assert abs(whole["tied"]["spearman_r"] - got["tied"]) < 1e-12
+    assert whole["none"]["rows"] == 0 and whole["none"]["spearman_r"] is None
+
+
+def test_spearman_joins_rows_once(spark):
+    df = spark.range(500).selectExpr("cast(id % 37 as double) AS s", "cast(id % 11 as double) AS a", "cast(id % 5 as double) AS b", "cast(id % 3 as double) AS c")
+    plan = c.spearman_of(df, ["a", "b", "c"], "s")._jdf.queryExecution().optimizedPlan().toString()
+    # the rows themselves are folded in stored tables: what is left joins two lines per feature
+    assert plan.count("Join ") == 1 and "Range" not in plan

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.operators.quantiles import unpivot, value_cell
+from tidewatch.operators.quantiles import value_cell
 from tidewatch.operators.series import Series
 from tidewatch.operators.topk import rank_first
 
@@ -90,12 +90,11 @@ def label_correlation(df: DataFrame, cols: list[str], label: str) -> DataFrame:
     return out.select(F.col("feature_1").alias("feature"), "correlation", F.abs("correlation").alias("abs_correlation"))
 
 
-def average_ranks(tall: DataFrame, keys: list[str], value: str, series: Series | None = None) -> DataFrame:
-    """Average rank of each distinct value per key. Ties are folded before any ordering."""
-    counts = tall.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+def average_ranks(counts: DataFrame, keys: list[str], value: str, n: str, series: Series | None = None) -> DataFrame:
+    """Add the average rank of each distinct value per key to a table of (keys, value, how often): ties are folded before any ordering."""
     s = series or Series(keys, [value], cell=value_cell(F.col(value)))
-    ranked = s.frame(counts).running_sum("_below", F.col("_n"), inclusive=False).rows()
-    return ranked.select(*keys, value, (F.col("_below") + (F.col("_n") + 1) / 2).alias("rank"))
+    ranked = s.frame(counts).running_sum("_below", F.col(n), inclusive=False).rows()
+    return ranked.select(*counts.columns, (F.col("_below") + (F.col(n) + 1) / 2).alias("rank"))
 
 
 def _t_two_sided(r: float, n: float) -> float:
@@ -141,22 +140,45 @@ def add_p_value(df: DataFrame, r: str, n: str, name: str) -> DataFrame:
     return df.withColumn(name, F.nanvl(p(F.col(r), F.col(n).cast("double")), F.lit(None).cast("double")))
 
 
-def score_association(df: DataFrame, cols: list[str], score: str) -> DataFrame:
-    """Pearson and Spearman of each feature with a score and the direction of the relation;
-    both are null for a constant feature.
+def spearman_of(df: DataFrame, cols: list[str], score: str) -> DataFrame:
+    """(feature, spearman_r) of each column with one score over rows where both are present; null where either is constant.
 
-    Spearman is Pearson on average ranks: ranks come from value counts, so no sort spans a
-    feature's rows, and the moments use the folded (feature, value, score) counts.
+    It is Pearson on average ranks. All rows of a value share its rank, so the sum of rank products
+    needs, for a value, only the sum of its rows' score ranks: rows are folded into counts per
+    (feature, score), whose ranks return to the rows by one join on the score that carries the ranks
+    for all features, and then into counts and sums per (feature, value). Both folded tables are
+    stored, as the look-up of hot features reads them before the ranking does. No row is multiplied
+    before a join, and no value, however frequent, is shuffled more than once per task.
     """
+    from tidewatch.sources.tables import pin
+
+    at = range(len(cols))
+    rows = df.filter(F.col(score).isNotNull()).select(F.col(score).cast("double").alias("_score"), *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(cols)])
+    per_score = rows.groupBy("_score").agg(*[F.count(f"_x{i}").alias(f"_n{i}") for i in at])
+    folded = per_score.select("_score", F.inline(F.array(*[F.struct(F.lit(i).alias("_f"), F.col(f"_n{i}").alias("_n")) for i in at]))).filter("_n > 0")
+    scores = average_ranks(pin(folded), ["_f"], "_score", "_n")
+    wide = scores.groupBy("_score").agg(*[F.max(F.when(F.col("_f") == i, F.col("rank"))).alias(f"_r{i}") for i in at])
+    placed = rows.join(wide, "_score").select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("_f"), F.col(f"_x{i}").alias("_x"), F.col(f"_r{i}").alias("_ry")) for i in at]))).filter(F.col("_x").isNotNull())
+    values = average_ranks(pin(placed.groupBy("_f", "_x").agg(F.count(F.lit(1)).alias("_n"), F.sum("_ry").alias("_ry"))), ["_f"], "_x", "_n")
+
+    n, rank = F.col("_n").cast("double"), F.col("rank")
+    x = values.groupBy("_f").agg(
+        F.count(F.lit(1)).alias("_kx"), F.sum(n).alias("_all"), F.sum(n * rank * rank).alias("_xx"), F.sum(rank * F.col("_ry")).alias("_xy"))
+    y = scores.groupBy("_f").agg(F.count(F.lit(1)).alias("_ky"), F.sum(n * rank * rank).alias("_yy"))
+    # the mean of any ranks with ties is (n + 1) / 2
+    mean = F.col("_all") * ((F.col("_all") + 1) / 2) ** 2
+    r = F.try_divide(F.col("_xy") - mean, F.sqrt(F.col("_xx") - mean) * F.sqrt(F.col("_yy") - mean))
+    r = F.when((F.col("_kx") > 1) & (F.col("_ky") > 1), F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0)))
+    names = F.array(*[F.lit(c) for c in cols])
+    return x.join(y, "_f").select(names[F.col("_f")].alias("feature"), r.alias("spearman_r"))
+
+
+def score_association(df: DataFrame, cols: list[str], score: str) -> DataFrame:
+    """Pearson and Spearman of each feature with a score and the direction of the relation;
+    both are null for a constant feature."""
     pearson = pearson_of(df, [(c, score) for c in cols]).select(F.col("feature_1").alias("feature"), F.col("pair_rows").alias("rows"), F.col("correlation").alias("pearson_r"))
-    scored = df.filter(F.col(score).isNotNull()).withColumn("_score", F.col(score).cast("double"))
-    tall = unpivot(scored, ["_score"], cols).filter(F.col("value").isNotNull())
-    rx = average_ranks(tall, ["feature"], "value").withColumnRenamed("rank", "_rx")
-    ry = average_ranks(tall, ["feature"], "_score").withColumnRenamed("rank", "_ry")
-    ranked = tall.join(rx, ["feature", "value"]).join(ry, ["feature", "_score"])
-    spearman = ranked.groupBy("feature").agg(
-        _pearson(F.count("_rx"), F.covar_pop("_rx", "_ry"), F.var_pop("_rx"), F.var_pop("_ry")).alias("spearman_r")
-    )
+    spearman = spearman_of(df, cols, score)
     way = F.when(F.col("pearson_r") < 0, "lower_score_with_higher_feature").when(F.col("pearson_r") > 0, "higher_score_with_higher_feature")
     out = pearson.join(spearman, "feature", "left").withColumn("score_direction", F.coalesce(way, F.lit("undefined")))
     out = add_p_value(out, "pearson_r", "rows", "pearson_p")

@@ -202,10 +202,10 @@ def grow_forests(df: DataFrame, subsets: dict[str, list[str]], ident: list[str],
         x = pdf.sort_values(["_o", *subsets[name]])[subsets[name]].to_numpy(dtype=float)
         return pd.DataFrame([{"subset": name, "tree": tree, **_grow(x, np.random.default_rng([seed, tree]), limit[name])}])
 
-    grown = kept.groupBy("subset", "tree").applyInPandas(build, TREE_SCHEMA).collect()
+    grown = kept.groupBy("subset", "tree").applyInPandas(build, TREE_SCHEMA).toArrow().sort_by("tree").combine_chunks()
     out = {n: IsolationForest(list(subsets[n]), [], min(sample, rows[n])) for n in names}
-    for t in sorted(grown, key=lambda t: t.tree):
-        out[t.subset].trees.append((np.array(t.feature), np.array(t.threshold), np.array(t.left), np.array(t.right), np.array(t.path)))
+    for i, name in enumerate(grown["subset"].to_pylist()):
+        out[name].trees.append(tuple(grown[c][i].values.to_numpy() for c in ("feature", "threshold", "left", "right", "path")))
     return out
 
 
