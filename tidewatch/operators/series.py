@@ -87,12 +87,15 @@ class Series:
         """Cells of series above the target with their chunks, and the bounds that cut single cells above it; None where none are."""
         per_key = Window.partitionBy(*self.keys)
         so_far = per_key.orderBy(CELL, PART).rowsBetween(Window.unboundedPreceding, -1)
-        sizes = df.groupBy(*self.keys, self.cell.alias(CELL)).agg(F.count(F.lit(1)).alias(SIZE))
         # Small: hot groups only. Written once, so every use agrees on it and Spark knows its
         # size when it chooses between broadcast and shuffle for the join with the rows.
-        hot = pin(sizes.withColumn("_all", F.sum(SIZE).over(per_key)).filter(F.col("_all") > self.target_rows).drop("_all"))
-        if hot.isEmpty():
+        sizes = df.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("_all"))
+        keys = pin(sizes.filter(F.col("_all") > self.target_rows))
+        if keys.isEmpty():
             return None, None
+        # cells are counted for hot groups alone, so a table without any pays one count per group
+        near = join_on(df, keys.drop("_all"), self.keys) if self.keys else df
+        hot = pin(near.groupBy(*self.keys, self.cell.alias(CELL)).agg(F.count(F.lit(1)).alias(SIZE)))
         bounds, parted = None, hot.withColumn(PART, F.lit(0))
         heavy = hot.filter(F.col(SIZE) > self.target_rows)
         most = heavy.agg(F.sum(SIZE)).first()[0]
