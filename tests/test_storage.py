@@ -75,6 +75,36 @@ def test_latest_rows_go_on_after_a_restart(spark, tmp_path):
     assert sorted(tuple(r) for r in keep().read(spark, make([]).schema).collect()) == [*want, (3, 1, "d")]
 
 
+def test_latest_rows_rewrite_touched_buckets_only(spark, tmp_path):
+    from tidewatch.operators.topk import latest_per_key
+    from tidewatch.streaming.scoring import BUCKET, LatestRows
+
+    path = tmp_path / "latest"
+    keep = lambda: LatestRows(str(path), ["user"], ["ts"], buckets=8)
+    rows = spark.range(200).selectExpr("id % 40 AS user", "id AS ts", "CAST(NULL AS STRING) AS v")
+    parts = [rows, rows.filter("user = 3").withColumn("ts", F.col("ts") + 1000), rows.filter("user IN (3, 4)").withColumn("ts", F.col("ts") + 2000), rows.limit(0)]
+    seen = rows.limit(0)
+    written = []
+    for i, part in enumerate(parts):
+        keep().handle(part, i)
+        seen = seen.unionByName(part)
+        written.append(len(list((path / "rows" / str(i)).glob(f"{BUCKET}=*"))))
+        want = sorted(tuple(r) for r in latest_per_key(seen, ["user"], ["ts"]).collect())
+        assert sorted(tuple(r) for r in keep().read(spark, rows.schema).collect()) == want
+    assert written[0] == 8 and written[1] == 1 and written[2] <= 2 and written[3] == 0
+    # a batch that ended before its commit was whole: its rows count for nothing, and it runs again
+    (path / "commits" / "4").mkdir()
+    parts[0].withColumn(BUCKET, F.lit(0)).write.partitionBy(BUCKET).parquet(str(path / "rows" / "4"))
+    assert sorted(tuple(r) for r in keep().read(spark, rows.schema).collect()) == want
+    for _ in range(2):
+        keep().handle(rows.withColumn("ts", F.col("ts") + 5000), 4)
+        assert {r.ts for r in keep().read(spark, rows.schema).collect()} == set(range(5160, 5200))
+    # the last two commits and what they name are left
+    keep().handle(rows.withColumn("ts", F.col("ts") + 6000), 5)
+    assert sorted(p.name for p in (path / "commits").iterdir() if p.is_dir()) == ["4", "5"]
+    assert sorted(p.name for p in (path / "rows").iterdir() if p.is_dir()) == ["4", "5"]
+
+
 def test_a_batch_appended_twice_is_there_once(spark, tmp_path):
     for batch in (0, 1, 1):
         sinks.append(spark.range(3), str(tmp_path / "rows"), batch)

@@ -175,3 +175,43 @@ def t10(spark, d):
     s = sliced_events(spark, d, 3, 4).select("user_id", "event_id", "ts", "value")
     rp.run_batches(s, keep.handle)
     return keep.read(spark, s.schema)
+
+
+NEWEST = "QUALIFY row_number() OVER (PARTITION BY {} ORDER BY ts DESC, event_id DESC) = 1"
+
+
+def latest_tables(spark, stream, handlers):
+    """Run a stream into latest-row tables, all from the same batches: name -> (rows of a batch, keys)."""
+    base = shared_dir(spark)
+    keep = {n: (take, sc.LatestRows(f"{base}/{n}", keys, ["ts", "event_id"])) for n, (take, keys) in handlers.items()}
+    rp.run_batches(stream, sc.several(*[lambda b, i, take=take, rows=rows: rows.handle(take(b), i) for take, rows in keep.values()]))
+    return {n: rows.read(spark, take(stream).schema) for n, (take, rows) in keep.items()}
+
+
+def latest_runtime(spark, d):
+    """Latest measurement per source and parameter, and latest forecast per source and horizon, of one stream."""
+    models = {h: fc.LinearModel(("value",), (0.5,), float(h)) for h in (2, 10, 30)}
+    measured = lambda b: b.select("user_id", "event_type", "event_id", "ts", "value")
+    horizons = lambda b: fc.score_horizons(b, models).select("user_id", "event_id", "ts", F.inline(F.array(*[
+        F.struct(F.lit(h).alias("horizon"), C(f"forecast_{h}").alias("predicted_value")) for h in models])))
+    return latest_tables(spark, sliced_events(spark, d, 3, 4), {
+        "measurements": (measured, ["user_id", "event_type"]), "predictions": (horizons, ["user_id", "horizon"])})
+
+
+@query("T10_latest_measurements", f"SELECT user_id, event_type, event_id, ts, value FROM events {NEWEST.format('user_id, event_type')}")
+def t10_measurements(spark, d):
+    return latest_runtime(spark, d)["measurements"]
+
+
+@query("T10_latest_predictions", f"""SELECT user_id, event_id, ts, h AS horizon, round(0.5 * value + h, 6) AS predicted_value
+FROM (SELECT * FROM events {NEWEST.format('user_id')}), (VALUES (2), (10), (30)) t(h)""")
+def t10_predictions(spark, d):
+    return latest_runtime(spark, d)["predictions"].withColumn("predicted_value", r("predicted_value"))
+
+
+@query("T10_latest_decisions", f"WITH {DEC} SELECT user_id, event_id, ts, streak, level FROM l JOIN events USING (event_id) {NEWEST.format('user_id')}")
+def t10_decisions(spark, d):
+    state = F.when(C("event_type") == "error", "ANOMALY").when(C("event_type") == "view", "anomaly").when(C("event_type") == "signup", "INSUFFICIENT_HISTORY").when(C("event_type") == "click", "UNAVAILABLE").otherwise("NORMAL")
+    x = ft.stream_decisions(sliced_events(spark, d, 3, 4).withColumn("state", state), "user_id", ["ts", "event_id"], "state")
+    decided = lambda b: b.select("user_id", "event_id", "ts", "streak", "level")
+    return latest_tables(spark, x, {"decisions": (decided, ["user_id"])})["decisions"]

@@ -1,12 +1,16 @@
 """Micro-batch sinks: score, append measurements and predictions, keep latest rows."""
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.plans.forecast import LinearModel, score_horizons
 from tidewatch.sources import sinks
 from tidewatch.operators.topk import latest_per_key
+from tidewatch.sources.tables import pinned, small_table
 
 
 def score_and_store(models: dict[int, LinearModel], keys: list[str], ts: str, source: str, parameter: str, value: str, measurements: str, predictions: str):
@@ -26,35 +30,90 @@ def score_and_store(models: dict[int, LinearModel], keys: list[str], ts: str, so
     return handle
 
 
+#: Column that names the folder of a bucket; the rows must have none of that name.
+BUCKET = "latest_bucket"
+
+
 class LatestRows:
-    """Newest row per key over all batches: the snapshot before the batch is merged with it.
+    """Newest row per key over all batches, in `buckets` of keys by hash: a batch writes the buckets it touches and no other.
 
-    A snapshot per batch id is written to a folder of its own and counts once it is whole. The one
-    to build on is looked up in the folder, as the last whole one of an earlier batch: a restarted
-    query goes on where it was, and a repeated batch writes the same snapshot again.
+    The rows of a batch are reduced to one per key, merged with the touched buckets and written to a
+    folder of the batch's own. A commit table then says which batch holds each bucket; it has at most
+    `buckets` rows and counts once it is whole. The one to build on is looked up in the folder, as the
+    last whole one of an earlier batch: a restarted query goes on where it was, and a repeated batch
+    writes the same again. Of rows that tie in `order`, which one stays is left open, so `order`
+    should end with an id. Buckets and commits that neither the new commit nor the one before names
+    are deleted, so that a reader of the last state is not cut off by the next batch.
     """
 
-    def __init__(self, path: str, keys: list[str], order: list[str]):
-        self.path, self.keys, self.order = path, keys, order
+    def __init__(self, path: str, keys: list[str], order: list[str], buckets: int = 64):
+        self.path, self.keys, self.order, self.buckets = path, keys, order, buckets
+
+    def _folder(self, spark: SparkSession, name: str):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
 
-    def _snapshots(self, spark: SparkSession) -> list[int]:
-        jvm = spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    def _commits(self, spark: SparkSession) -> list[int]:
+        fs, folder = self._folder(spark, "commits")
         if not fs.exists(folder):
             return []
         names = [f.getPath().getName() for f in fs.listStatus(folder)]
-        return sorted(int(n.removeprefix("snapshot_")) for n in names
-                      if n.startswith("snapshot_") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS")))
+        return sorted(int(n) for n in names if n.isdigit() and fs.exists(self._folder(spark, f"commits/{n}/_SUCCESS")[1]))
+
+    def _holders(self, spark: SparkSession, commit: int) -> dict[int, int]:
+        """Bucket to the batch that wrote it last."""
+        rows = spark.read.schema("bucket INT, batch LONG").parquet(f"{self.path}/commits/{commit}")
+        return {r.bucket: r.batch for r in rows.collect()}
+
+    def _rows(self, spark: SparkSession, holders: dict[int, int], schema: T.StructType) -> DataFrame:
+        paths = [f"{self.path}/rows/{batch}/{BUCKET}={b}" for b, batch in sorted(holders.items())]
+        return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
     def handle(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        merged = latest_per_key(batch, self.keys, self.order)
-        earlier = [i for i in self._snapshots(spark) if i < batch_id]
-        if earlier:
-            old = spark.read.schema(batch.schema).parquet(f"{self.path}/snapshot_{earlier[-1]}")
-            merged = latest_per_key(old.unionByName(merged), self.keys, self.order)
-        merged.write.mode("overwrite").parquet(f"{self.path}/snapshot_{batch_id}")
-
-    def read(self, spark: SparkSession, schema) -> DataFrame:
-        return spark.read.schema(schema).parquet(f"{self.path}/snapshot_{self._snapshots(spark)[-1]}")
+        spark, schema = batch.sparkSession, batch.schema
+        place = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int").alias(BUCKET)
+        # the stream is read once: a second reading could meet other rows
+        with pinned(latest_per_key(batch, self.keys, self.order).select(*schema.names)) as new:
+            touched = [r[0] for r in new.select(place).distinct().collect()]
+            earlier = [i for i in self._commits(spark) if i < batch_id]
+            before = self._holders(spark, earlier[-1]) if earlier else {}
+            old = self._rows(spark, {b: before[b] for b in touched if b in before}, schema)
+            both = old.unionByName(new).select("*", place).repartition(BUCKET)
+            merged = latest_per_key(both, [BUCKET, *self.keys], self.order)
+            merged.write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.path}/rows/{batch_id}")
+        after = before | {b: batch_id for b in touched}
+        small_table(spark, sorted(after.items()), "bucket INT, batch LONG").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/commits/{batch_id}")
+        self._remove(spark, batch_id, [*earlier[-1:], batch_id], {(v, b) for held in (before, after) for b, v in held.items()})
+
+    def _remove(self, spark: SparkSession, batch_id: int, commits: list[int], held: set[tuple[int, int]]) -> None:
+        """Delete older commits, and older buckets that no kept commit names."""
+        for n in self._commits(spark):
+            if n < batch_id and n not in commits:
+                fs, folder = self._folder(spark, f"commits/{n}")
+                fs.delete(folder, True)
+        fs, rows = self._folder(spark, "rows")
+        for f in fs.listStatus(rows):
+            n = int(f.getPath().getName())
+            if n >= batch_id:
+                continue
+            left = {int(x.getPath().getName().removeprefix(f"{BUCKET}=")) for x in fs.listStatus(f.getPath()) if x.isDirectory()}
+            kept = {b for b in left if (n, b) in held}
+            for b in left - kept:
+                fs.delete(self._folder(spark, f"rows/{n}/{BUCKET}={b}")[1], True)
+            if not kept:
+                fs.delete(f.getPath(), True)
+
+    def read(self, spark: SparkSession, schema: T.StructType) -> DataFrame:
+        commits = self._commits(spark)
+        return self._rows(spark, self._holders(spark, commits[-1]) if commits else {}, schema)
+
+
+def several(*handlers: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """One batch handler that gives the same rows to each: the batch is stored once, as a second reading could meet other rows."""
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        with pinned(batch) as rows:
+            for h in handlers:
+                h(rows, batch_id)
+
+    return handle
