@@ -161,3 +161,35 @@ def test_spearman_joins_rows_once(spark):
     plan = c.spearman_of(df, ["a", "b", "c"], "s")._jdf.queryExecution().optimizedPlan().toString()
     # the rows themselves are folded in stored tables: what is left joins two lines per feature
     assert plan.count("Join ") == 1 and "Range" not in plan
+
+
+def test_equal_columns_by_sums(spark):
+    rng = np.random.default_rng(3)
+    n = 400
+    base = rng.integers(0, 6, n).astype(float)
+    holes = lambda v, share: np.where(rng.random(n) < share, None, v)
+    few = holes(base, 0.5)
+    data = {"a": base, "b": base.copy(), "shuffled": rng.permutation(base), "few": few, "few_again": few.copy(), "other_holes": holes(base, 0.3),
+            "late": np.where(np.arange(n) < n - 1, base, base + 1), "zero": np.zeros(n), "minus_zero": -np.zeros(n), "nothing": np.full(n, None),
+            "left": np.where(np.arange(n) < n // 2, base, None), "right": np.where(np.arange(n) >= n // 2, base, None)}
+    names = list(data)
+    rows = [tuple(None if data[x][i] is None else float(data[x][i]) for x in names) for i in range(n)]
+    df = spark.createDataFrame(rows, ", ".join(f"{x} DOUBLE" for x in names))
+    df = df.withColumns({"whole": F.col("a").cast("int"), "text": F.col("a").cast("string"), "text_again": F.col("b").cast("string"), "nan": F.lit(float("nan")), "nan_again": F.lit(float("nan"))})
+    want = set()
+    frame = df.collect()
+    for i, x in enumerate(df.columns):
+        for y in df.columns[i + 1:]:
+            both = [(r[x], r[y]) for r in frame if r[x] is not None and r[y] is not None]
+            if both and all(p == q or (p != p and q != q) for p, q in both) and (x in ("text", "text_again")) == (y in ("text", "text_again")):
+                want.add((x, y, len(both)))
+    assert {tuple(r) for r in c.equal_columns(df, df.columns).collect()} == want and len(want) > 15
+    assert c.equal_columns(df.limit(0), df.columns).count() == 0
+    assert c.equal_columns(df, ["a"]).count() == 0
+
+
+def test_equal_columns_compares_candidates_only(spark):
+    wide = spark.range(500).select("id", *[F.xxhash64("id", F.lit(i)).alias(f"c{i}") for i in range(60)]).withColumn("copy", F.col("c7"))
+    out = c.equal_columns(wide, [f"c{i}" for i in range(60)] + ["copy"])
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("compared") < 10
+    assert [tuple(r) for r in out.collect()] == [("c7", "copy", 500)]

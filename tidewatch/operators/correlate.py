@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.operators.quantiles import value_cell
 from tidewatch.operators.series import Series
@@ -185,10 +186,55 @@ def score_association(df: DataFrame, cols: list[str], score: str) -> DataFrame:
     return add_p_value(out, "spearman_r", "rows", "spearman_p")
 
 
+def _parts_of(h: Column, parts: int) -> list[Column]:
+    """Pieces of 20 bits of a hash: their sums stay far from overflow for any table."""
+    return [F.shiftrightunsigned(h, 20 * i).bitwiseAND(F.lit((1 << 20) - 1).cast("long")) for i in range(parts)]
+
+
 def equal_columns(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Column pairs that never differ where both are present. Only pairs whose sums and
-    extremes could match are compared, all in one aggregate."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    """Column pairs that never differ where both are present: `feature_1, feature_2, compared`.
+
+    Numbers of any type are compared with each other, other columns with those of their type; -0.0
+    equals 0.0 and NaN equals NaN. Pairs without a common row are left out. A first pass sums, per
+    column, hashes of the null pattern of the rows where it is null, in no order: columns of equal
+    sums are missing in the same rows (but for a clash of 60 bits) and form a mask. A second one sums
+    hashes of values per column and mask, over the rows where both are present. Only pairs whose sums
+    agree are compared value by value, in the third. Sums and candidates reach the driver: columns
+    times masks, whatever the number of rows.
+    """
+    types = {f.name: f.dataType for f in df.schema.fields}
+    number = {c: isinstance(types[c], T.NumericType) for c in cols}
+    # adding 0.0 turns -0.0 into 0.0
+    value = {c: F.col(c).cast("double") + F.lit(0.0) if number[c] else F.col(c) for c in cols}
+    at, nothing = {c: i for i, c in enumerate(cols)}, df.sparkSession.createDataFrame([], "feature_1 STRING, feature_2 STRING, compared LONG")
+
+    pattern = F.xxhash64(*[F.col(c).isNull() for c in cols])
+    parts = _parts_of(F.col("_p"), 3)
+    sums = df.select(*cols, pattern.alias("_p")).agg(*[F.sum(F.when(F.col(c).isNull(), x)).alias(f"_m{at[c]}_{i}") for c in cols for i, x in enumerate(parts)]).first()
+    masks: dict[tuple, list[str]] = {}
+    for c in cols:
+        masks.setdefault(tuple(sums[f"_m{at[c]}_{i}"] for i in range(3)), []).append(c)
+    members = list(masks.values())
+
+    seen = [F.col(m[0]).isNotNull() for m in members]
+    hashes = {c: _parts_of(F.xxhash64(value[c]), 1)[0] for c in cols}
+    found = df.agg(
+        *[F.sum(F.when(F.col(c).isNotNull() & seen[k], hashes[c])).alias(f"_s{at[c]}_{k}") for c in cols for k in range(len(members))],
+        *[F.count(F.when(seen[j] & seen[k], 1)).alias(f"_n{j}_{k}") for j in range(len(members)) for k in range(j, len(members))],
+    ).first()
+    pairs = set()
+    for j, left in enumerate(members):
+        for k in range(j, len(members)):
+            if not found[f"_n{j}_{k}"]:
+                continue
+            kind = lambda c: "number" if number[c] else types[c].simpleString()
+            same: dict[tuple, list[str]] = {}
+            for c in members[k]:
+                same.setdefault((kind(c), found[f"_s{at[c]}_{j}"]), []).append(c)
+            pairs |= {tuple(sorted((a, b), key=at.get)) for a in left for b in same.get((kind(a), found[f"_s{at[a]}_{k}"]), []) if a != b}
+    if not pairs:
+        return nothing
+    pairs = sorted(pairs, key=lambda p: (at[p[0]], at[p[1]]))
     items = [
         F.struct(
             F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"),
