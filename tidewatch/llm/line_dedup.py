@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewatch.llm.numbering import ROW, rows_once
 from tidewatch.sources.tables import pin
 
 
@@ -95,7 +96,8 @@ def word_counts(docs: DataFrame, text_col: str, settings: Settings) -> np.ndarra
         for b in batches:  # a block's rows are added up as they come
             for k, n in zip(b["block"], b["n"]):
                 held[k] = held.get(k, 0) + np.frombuffer(n, np.uint8).astype(np.int64)
-        yield pd.DataFrame({"block": list(held), "n": [np.minimum(v, 255).astype(np.uint8).tobytes() for v in held.values()]})
+        if held:
+            yield pd.DataFrame({"block": list(held), "n": [np.minimum(v, 255).astype(np.uint8).tobytes() for v in held.values()]})
 
     parts = docs.select(F.col(text_col).alias("text")).mapInPandas(count, "block int, n binary")
     out = np.zeros((cells // _BLOCK, _BLOCK), np.uint8)
@@ -123,7 +125,7 @@ def _shared(n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
 def line_rows(docs: DataFrame, counts: np.ndarray, id_col: str, text_col: str, settings: Settings) -> DataFrame:
     """A row for each line of enough words: `row_id, doc_id, line, n, k1, k2`, its bit map, and its prefix of rare words."""
     # ids pass Python as text: with nulls among them pandas would make them floats
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(ROW).alias("row_id"), F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
     schema = rows.select("row_id", "doc_id").schema.add("line", "integer").add("n", "integer").add("k1", "long").add("k2", "long").add(
         "bits", "long").add("prefix", T.ArrayType(T.LongType()))
     shared = rows.sparkSession.sparkContext.broadcast(counts)  # 2 ** counters bytes
@@ -250,7 +252,8 @@ def _verified(rows: pd.DataFrame, counts: np.ndarray, similarity: float) -> pd.D
     key, side, n = rows["key"].to_numpy(), rows["side"].to_numpy(), np.bincount(lines, minlength=len(rows))
     links, later = np.zeros(len(rows), np.int64), np.zeros(len(rows), bool)
     rank = np.empty(len(rows), np.int64)
-    rank[np.lexsort((rows["line"], rows["row_id"], rows["doc"], rows["named"]))] = np.arange(len(rows))
+    doc = rows["doc"] if rows["doc"].dtype.kind in "iuf" else pd.factorize(rows["doc"], sort=True)[0]
+    rank[np.lexsort((rows["line"], rows["row_id"], doc, rows["named"]))] = np.arange(len(rows))
     _, group = np.unique(key, return_inverse=True)
     # the words of a group in its order of rarity, kept where two rows have them
     rarity = counts[(hashes >> np.uint64(64 - int(np.log2(len(counts))))).astype(np.int64)]
@@ -306,7 +309,8 @@ def _marks(needed: DataFrame, settings: Settings) -> np.ndarray:
         for b in batches:
             for block, at in b.groupby("block")["at"]:
                 held.setdefault(block, np.zeros(8 * _BLOCK, bool))[at.to_numpy()] = True
-        yield pd.DataFrame({"block": list(held), "n": [np.packbits(v, bitorder="little").tobytes() for v in held.values()]})
+        if held:
+            yield pd.DataFrame({"block": list(held), "n": [np.packbits(v, bitorder="little").tobytes() for v in held.values()]})
 
     place = _place(needed["row_id"], needed["line"], settings)
     spots = needed.select(F.floor(place / (8 * _BLOCK)).cast("int").alias("block"), F.pmod(place, F.lit(8 * _BLOCK)).cast("int").alias("at")).distinct()
@@ -317,16 +321,19 @@ def _marks(needed: DataFrame, settings: Settings) -> np.ndarray:
 
 
 def _place(row_id, line, settings: Settings):
-    """Where (row_id, line) is marked: the same for columns and for arrays of unsigned numbers."""
+    """Where (row_id, line) is marked: the same for columns and for arrays of unsigned numbers. Row ids of many partitions are large,
+    so they are reduced before they are multiplied."""
+    places = (1 << settings.marks) - 39
     if isinstance(row_id, np.ndarray):
-        return (row_id * np.uint64(1000003) + line) % np.uint64((1 << settings.marks) - 39)
-    return F.pmod(row_id * F.lit(1000003).cast("long") + line, F.lit((1 << settings.marks) - 39).cast("long"))
+        return (row_id % np.uint64(places) * np.uint64(1000003) + line) % np.uint64(places)
+    places = F.lit(places).cast("long")
+    return F.pmod(F.pmod(row_id, places) * F.lit(1000003).cast("long") + line, places)
 
 
 def _bodies(docs: DataFrame, needed: DataFrame, text_col: str, settings: Settings) -> DataFrame:
     """Text of the lines in `needed` (row_id, line, ...)."""
     marks = docs.sparkSession.sparkContext.broadcast(_marks(needed, settings))  # 2 ** marks bits
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(ROW).alias("row_id"), F.col(text_col).alias("text"))
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -338,13 +345,14 @@ def _bodies(docs: DataFrame, needed: DataFrame, text_col: str, settings: Setting
                 spot = _place(np.full(len(lines), row).astype(np.uint64), np.arange(len(lines), dtype=np.uint64), settings)
                 for k in np.flatnonzero(marks.value[spot >> np.uint64(3)] >> (spot & np.uint64(7)).astype(np.uint8) & 1).tolist():
                     ids.append(row), at.append(k), body.append(lines[k])
-            yield pd.DataFrame({"r": ids, "l": at, "body": body})
+            if ids:  # an empty frame has no strings, which Arrow takes amiss
+                yield pd.DataFrame({"r": ids, "l": at, "body": body})
 
     found = rows.mapInPandas(pick, "r long, l int, body string")
     return needed.join(found, (F.col("row_id") == F.col("r")) & (F.col("line") == F.col("l"))).drop("r", "l")
 
 
-def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
+def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings(), stored: bool = False) -> DataFrame:
     """A row for each line of at least `words` different words: `row_id, doc_id, line, class_doc_id, class_line, links, removed`.
 
     Lines are parted by line feeds and numbered from 0; words are parted by white space, A-Z count as a-z. Lines of the same set of
@@ -357,7 +365,13 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes meet under these words only, and only where lengths, the words' positions and 64-bit maps permit a match. A word that
     more than `group` classes start with is dealt out in pairs of parts. Only classes with a possible partner are looked at in full:
     their text is fetched again and the pairs verified within the group; what leaves a group are counts per class, not pairs.
+    Ids may be numbers or strings. `stored` as in `rows_once`.
     """
+    return _similar_lines(rows_once(docs.select(id_col, text_col), stored), id_col, text_col, settings)
+
+
+def _similar_lines(docs: DataFrame, id_col: str, text_col: str, settings: Settings) -> DataFrame:
+    none = F.lit("" if isinstance(docs.schema[id_col].dataType, T.StringType) else 0)
     counts = word_counts(docs, text_col, settings)
     lines = pin(line_rows(docs, counts, id_col, text_col, settings))
     classes = pin(lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "row_id", "line")).alias("first"), F.any_value("n").alias("n"),
@@ -384,7 +398,7 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members = pin(posts.repartition("key").sortWithinPartitions("key").mapInPandas(partners, "key long, id long, side int"))
     asked = members.select(F.col("id").alias("asked")).distinct()
     needed = pin(classes.withColumn("id40", own).join(asked, F.col("id40") == F.col("asked")).select(
-        "k1", "k2", "id40", F.col("first.doc_id").isNotNull().alias("named"), F.coalesce("first.doc_id", F.lit(0)).alias("doc"), "first.row_id", "first.line"))
+        "k1", "k2", "id40", F.col("first.doc_id").isNotNull().alias("named"), F.coalesce("first.doc_id", none).alias("doc"), "first.row_id", "first.line"))
     texts = _bodies(docs, needed, text_col, settings)
     full = members.join(texts, F.col("id") == F.col("id40")).drop("id", "id40")
     shared = docs.sparkSession.sparkContext.broadcast(counts)
@@ -404,11 +418,14 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                       (~leads | F.col("later")).alias("removed"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """All documents, with their columns as they were, without the lines that `similar_lines` removes; null texts stay null."""
-    gone = similar_lines(docs, id_col, text_col, settings).where("removed").groupBy("row_id").agg(F.collect_set("line").alias("__gone"))
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    both = numbered.join(gone.withColumnRenamed("row_id", "__r"), F.col("__row") == F.col("__r"), "left")
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings(), stored: bool = False) -> DataFrame:
+    """All documents, with their columns as they were, without the lines that `similar_lines` removes; null texts stay null.
+
+    Columns named `__row`, `__r` or `__gone` would be lost.
+    """
+    numbered = rows_once(docs, stored)
+    gone = _similar_lines(numbered, id_col, text_col, settings).where("removed").groupBy("row_id").agg(F.collect_set("line").alias("__gone"))
+    both = numbered.join(gone.withColumnRenamed("row_id", "__r"), F.col(ROW) == F.col("__r"), "left")
     kept = F.filter(F.split(text_col, "\n"), lambda _, i: ~F.array_contains("__gone", i))
     cleaned = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     return both.withColumn(text_col, cleaned).select(*docs.columns)

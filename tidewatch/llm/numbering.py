@@ -5,6 +5,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewatch.sources.tables import pin
+
+#: Column of row numbers as `rows_once` adds it; an input column of this name is replaced.
+ROW = "__row"
+
+
+def rows_once(docs: DataFrame, stored: bool) -> DataFrame:
+    """The rows with a number `ROW` each that every later reading finds again.
+
+    Computed rows (a join, a group, a lost executor's second run) may come in another order and in other partitions each time they
+    are asked for, so they are written with their numbers once. `stored` says that the rows are a scan of files, at most filtered
+    and projected, that is split alike each time: their numbers are then taken as they are read, and nothing is written.
+    """
+    numbered = docs.withColumn(ROW, F.monotonically_increasing_id())
+    return numbered if stored else pin(numbered)
+
+
 #: Hash cells a group is cut into; the table of cell counts has at most this many rows per group.
 CELLS = 4096
 

@@ -59,7 +59,7 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 @query("op5_exact_dedup", SQL5)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return exact_dedup.exact_groups(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return exact_dedup.exact_groups(docs, stored=True).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 #: The rules to apply, as (host/path, verdict), and words of hosts that are known to be bad.
@@ -142,7 +142,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_line_dedup")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.similar_lines(table(spark, sf_dir, "documents"), settings=line_dedup.Settings(words=1))
+    found = line_dedup.similar_lines(table(spark, sf_dir, "documents"), settings=line_dedup.Settings(words=1), stored=True)
     return found.select("doc_id", "line", "class_doc_id", "class_line", "links", "removed")
 
 

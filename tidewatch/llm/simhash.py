@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.components import connected_components
+from tidewatch.llm.numbering import ROW, rows_once
 from tidewatch.sources.tables import pin
 
 BITS, BLOCK = 64, 16
@@ -40,10 +41,11 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """`row_id, doc_id, fp` for every row; fp holds the 64 bits as a signed long, row_id numbers the rows as read."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, row_col: str | None = None) -> DataFrame:
+    """`row_id, doc_id, fp` for every row; fp holds the 64 bits as a signed long, row_id is `row_col` or numbers the rows as read."""
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
     # ids pass Python as text: with nulls among them pandas would make them floats
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(row.alias("row_id"), F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
 
     def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -213,7 +215,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts with equal fingerprints are linked, those without words (empty, null) among themselves as well. Rows with repeated ids
     keep one row each; null ids take part but are never a component's id unless it has no other. An empty table gives no rows.
     """
-    prints = pin(fingerprints(docs, id_col, text_col, words))
+    return _near_groups(fingerprints(docs, id_col, text_col, words), errors, node_rows)
+
+
+def _near_groups(found: DataFrame, errors: int, node_rows: int) -> DataFrame:
+    prints = pin(found)
     firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = connected_components(linked_fingerprints(prints, errors, node_rows))
     rooted = firsts.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
@@ -223,9 +229,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return prints.join(known, F.col("fp") == F.col("f")).select("row_id", "doc_id", "fp", "root", "component_id")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, errors: int = 3) -> DataFrame:
-    """One row of each component stays, with its columns as they were: the one with the least id, of repeats the first read."""
-    groups = pin(near_groups(docs, id_col, text_col, words, errors))
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, errors: int = 3,
+               stored: bool = False) -> DataFrame:
+    """One row of each component stays, with its columns as they were: the one with the least id, of repeats the first read.
+
+    `stored` as in `rows_once`. A column named `__row` would be lost.
+    """
+    numbered = rows_once(docs, stored)
+    groups = pin(_near_groups(fingerprints(numbered, id_col, text_col, words, ROW), errors, NODE_ROWS))
     stays = groups.groupBy("root").agg(F.min_by("row_id", F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_id")).alias("stay"))
-    gone = groups.select(F.col("row_id").alias("__row")).join(stays.select(F.col("stay").alias("__row")), "__row", "left_anti")
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(gone, "__row", "left_anti").drop("__row")
+    gone = groups.select(F.col("row_id").alias(ROW)).join(stays.select(F.col("stay").alias(ROW)), ROW, "left_anti")
+    return numbered.join(gone, ROW, "left_anti").drop(ROW)
