@@ -1,4 +1,7 @@
-"""From raw documents to training sequences: the stages, each written as Parquet and read again."""
+"""From raw documents to training sequences: the stages, each written as Parquet and read again.
+
+The stages rely on that: given computed rows that are not stored, the two that drop duplicates may drop others than meant.
+"""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,12 +30,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays, the one with the largest doc_id."""
-    return exact.exact_dedup(docs)
+    return exact.exact_dedup(docs, stored=True)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked fingerprints stays, the one with the smallest doc_id."""
-    return simhash.near_dedup(docs, words=3, errors=3)
+    return simhash.near_dedup(docs, words=3, errors=3, stored=True)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
