@@ -7,7 +7,7 @@ from tidewatch.checks.common import MEASURES, TAGS, by_user, events, one_stream,
 from tidewatch.checks.registry import query
 from tidewatch.operators import contracts as ct, joins as j, labels as lb, splits as sp
 from tidewatch.operators.series import Series
-from tidewatch.operators.topk import argmax, top_k
+from tidewatch.operators.topk import argmax, best_labels, top_k
 from tidewatch.sources.tables import table
 
 C = F.col
@@ -191,6 +191,19 @@ def k13(spark, d):
     return scores(spark, d).select("event_id", "lab", r("top").alias("top"))
 
 
+FIVE = {"p0": "pa", "p1": "pb", "p2": "pc", "p3": "round(pa * pc, 6)", "p4": "pa", "p5": "round(1 - pc, 4)", "p6": "CASE WHEN k > 50 THEN pc END"}
+
+
+@query("K13_top_five", f"""WITH {SCORES}, f AS ({" UNION ALL ".join(f"SELECT event_id, {i} AS o, '{x}' AS label, {e} AS score FROM sc" for i, (x, e) in enumerate(FIVE.items()))}),
+k AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY score DESC, o)::INTEGER AS rank FROM f WHERE score IS NOT NULL)
+SELECT event_id, rank, label, round(score, 6) AS score FROM k WHERE rank <= 5""")
+def k13_five(spark, d):
+    pa, pb, pc = (C(x) for x in SC)
+    found = {"p0": pa, "p1": pb, "p2": pc, "p3": F.round(pa * pc, 6), "p4": pa, "p5": F.round(1 - pc, 4), "p6": F.when(C("k") > 50, pc)}
+    x = scores(spark, d).select("event_id", F.inline(best_labels(found)))
+    return x.withColumn("score", r("score"))
+
+
 @query("K14_confident_normals", f"WITH {SCORES} SELECT event_id, lab, round(top, 6) AS top FROM am WHERE attack = 0 AND top >= 0.9")
 def k14(spark, d):
     return scores(spark, d).filter((C("attack") == 0) & (C("top") >= 0.9)).select("event_id", "lab", r("top").alias("top"))

@@ -6,7 +6,7 @@ from tidewatch.checks.common import MEASURES, TAGS, TAGS_HOURLY, events, r, tags
 from tidewatch.checks.registry import query
 from tidewatch.operators import correlate as c, profile as p
 from tidewatch.operators.series import Series
-from tidewatch.sources.tables import inventory, table
+from tidewatch.sources.tables import inventory, schema_table, table
 
 STEADY = [*MEASURES, "steady"]
 SPLIT = "1998-01-01"
@@ -269,6 +269,16 @@ def a18(spark, d):
     return c.ordered_groups(c.connected_groups(hp.select("feature_1", "feature_2")))
 
 
+@query("A18_independent_features", f"""WITH {PRICED}, c AS (SELECT * FROM ({pairs_sql(PAIR_VIEW, 'pr')}) WHERE abs(correlation) >= 0.9)
+SELECT f.o::INTEGER AS ordinal, f.feature FROM (VALUES {", ".join(f"({i}, '{x}')" for i, x in enumerate(PAIR_VIEW))}) f(o, feature)
+WHERE feature NOT IN (SELECT feature_1 FROM c UNION SELECT feature_2 FROM c)""")
+def a18_independent(spark, d):
+    x = _priced(spark, d)
+    hp = c.high_pairs(c.pearson_pairs(x, PAIR_VIEW), 0.9)
+    names = schema_table(x.select(*PAIR_VIEW)).select("ordinal", F.col("column_name").alias("feature"))
+    return c.independent_features(names, c.connected_groups(hp.select("feature_1", "feature_2"))).select("ordinal", "feature")
+
+
 @query("A18_components_of_customers", """WITH RECURSIVE p AS (SELECT 'c' || c_custkey AS a, 'n' || c_nationkey AS b FROM customer),
 e AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
 reach AS (SELECT a, a AS b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a) SELECT a AS node, min(b) AS component FROM reach GROUP BY 1""")

@@ -314,6 +314,27 @@ def d16(spark, d):
     return j.equivalence(a, b, ["event_id"], {"v": 1e-10}).withColumn("max_v_diff", r("max_v_diff"))
 
 
+# Two replays of the same steps: the second has another time, step, actual or forecast in some rows.
+RUNS = """ra AS (SELECT event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step, value AS actual, value * 0.5 AS forecast FROM events),
+rb AS (SELECT event_id, CASE WHEN event_id % 50 = 0 THEN ts + INTERVAL 1 SECOND WHEN event_id % 50 = 1 THEN NULL ELSE ts END AS ts, step + (event_id % 60 = 0)::INT AS step,
+ actual + CASE WHEN event_id % 70 = 0 THEN 1e-9 WHEN event_id % 70 = 1 THEN 1e-14 ELSE 0 END AS actual, forecast + CASE WHEN event_id % 80 = 0 THEN 1e-3 ELSE 0 END AS forecast FROM ra WHERE event_id % 90 <> 0)"""
+
+
+@query("D16_replay_equivalence", f"""WITH {RUNS}, f AS (SELECT ra.event_id AS a, rb.event_id AS b, ra.ts IS DISTINCT FROM rb.ts AS t, ra.step IS DISTINCT FROM rb.step AS s, abs(ra.actual - rb.actual) > 1e-12 AS x,
+ abs(ra.forecast - rb.forecast) > 1e-10 AS y FROM ra FULL JOIN rb USING (event_id))
+SELECT count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS matched_rows, count(*) FILTER (b IS NULL) AS left_only, count(*) FILTER (a IS NULL) AS right_only,
+ count(*) FILTER (b IS NOT NULL AND (t OR s OR x OR y)) AS different_rows, count(*) FILTER (b IS NOT NULL AND t) AS different_ts, count(*) FILTER (b IS NOT NULL AND s) AS different_step,
+ count(*) FILTER (b IS NOT NULL AND x) AS different_actual, count(*) FILTER (b IS NOT NULL AND y) AS different_forecast, false AS equivalent FROM f""")
+def d16_replay(spark, d):
+    a = w.positions(events(spark, d), by_user(), "step").select("event_id", "ts", (C("step") + 1).alias("step"), C("value").alias("actual"), (C("value") * 0.5).alias("forecast"))
+    i = C("event_id")
+    b = a.filter(i % 90 != 0).select(
+        "event_id", F.when(i % 50 == 0, C("ts") + F.expr("INTERVAL 1 SECOND")).when(i % 50 != 1, C("ts")).alias("ts"), (C("step") + (i % 60 == 0).cast("int")).alias("step"),
+        (C("actual") + F.when(i % 70 == 0, 1e-9).when(i % 70 == 1, 1e-14).otherwise(0.0)).alias("actual"), (C("forecast") + F.when(i % 80 == 0, 1e-3).otherwise(0.0)).alias("forecast"))
+    e = j.equivalence(a, b, ["event_id"], {"actual": 1e-12, "forecast": 1e-10}, exact=["ts", "step"])
+    return e.drop("max_actual_diff", "max_forecast_diff")
+
+
 # ---- sets, ranks and leaders ------------------------------------------------------------------
 
 
@@ -510,6 +531,25 @@ def d02(spark, d):
     return ct.series_contract(tags_hourly(spark, d), Series([], ["hour"]), ["click", "view"], 3600.0, label="label", strict=False)
 
 
+# the hourly labels with faults: a missing hour, infinite values, labels of 2, rows that repeat and hours that come twice
+FAULTY_TAGS = f"""{TAGS_HOURLY}, holed AS (SELECT CASE WHEN hour(hour) = 3 AND day(hour) = 2 THEN NULL ELSE hour END AS hour, CASE WHEN hour(hour) = 5 THEN 'Infinity'::DOUBLE ELSE click END AS click, view,
+ CASE WHEN hour(hour) = 7 THEN 2 ELSE label END AS label FROM tags),
+faulty AS (SELECT * FROM holed UNION ALL SELECT * FROM holed WHERE hour(hour) = 9 UNION ALL SELECT hour, click, -1.0, label FROM holed WHERE hour(hour) = 11), stepped AS (SELECT *, epoch_us(hour) - lag(epoch_us(hour)) OVER (ORDER BY hour NULLS FIRST) AS dt FROM faulty)"""
+
+
+@query("D02_faulty_labels", checks_sql(FAULTY_TAGS, missing_timestamp="SELECT count(*) FROM faulty WHERE hour IS NULL", not_increasing="SELECT count(*) FROM stepped WHERE dt <= 0",
+    null_values="SELECT count(*) FROM faulty WHERE click IS NULL OR view IS NULL", infinite_values="SELECT count(*) FROM faulty WHERE click = 'Infinity'::DOUBLE", non_numeric_columns="0",
+    off_cadence="SELECT count(*) FROM stepped WHERE dt <> 3600000000", bad_label="SELECT count(*) FROM faulty WHERE label NOT IN (0, 1)",
+    duplicate_rows="SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM faulty)) FROM faulty",
+    duplicate_time="SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT hour FROM faulty)) FROM faulty"))
+def d02_faulty(spark, d):
+    at = F.hour("hour")
+    x = tags_hourly(spark, d).select(F.when((at == 3) & (F.dayofmonth("hour") == 2), None).otherwise(C("hour")).alias("hour"),
+                                     F.when(at == 5, F.lit(float("inf"))).otherwise(C("click")).alias("click"), "view", F.when(at == 7, 2).otherwise(C("label")).alias("label"))
+    x = x.unionByName(x.filter(at == 9)).unionByName(x.filter(at == 11).withColumn("view", F.lit(-1.0)))
+    return ct.series_contract(x, Series([], ["hour"]), ["click", "view"], 3600.0, label="label", unique=x.columns, unique_time=True)
+
+
 @query("D03_candidate_contract", checks_sql(f"{TAGS_HOURLY}", missing_columns="1", extra_columns="2", null_keys="0", null_values="SELECT count(*) FROM tags WHERE click IS NULL OR error IS NULL OR view IS NULL", infinite_values="0", bad_label="0", duplicate_keys="0"))
 def d03(spark, d):
     return ct.candidate_contract(tags_hourly(spark, d), ["click", "error", "view", "absent"], ["hour"], "label")
@@ -555,6 +595,12 @@ def d07(spark, d):
     return _messages(spark, d).select("user_id", "hour", F.concat_ws("", F.transform(v, lambda y: F.concat(y, F.lit(";")))).alias("codes"))
 
 
+@query("D07_message_interval", f"""WITH {MSG}, iv AS (SELECT *, epoch_us(hour) - lag(epoch_us(hour)) OVER (PARTITION BY user_id ORDER BY hour) AS dt FROM mm)
+SELECT user_id, hour, CASE WHEN dt <> 3600000000 THEN 'bad_interval' END AS code FROM iv""")
+def d07_interval(spark, d):
+    return ct.interval_violations(_messages(spark, d).select("user_id", "hour"), Series(["user_id"], ["hour"]), 3600.0).select("user_id", "hour", "code")
+
+
 @query("D08_input_contract", checks_sql(f"{LAGGED}", missing_features="1", non_numeric="0", null_values="SELECT count(*) FROM lg WHERE value_lag_5 IS NULL", not_finite="0"))
 def d08(spark, d):
     return ct.input_contract(lagged(spark, d), ["value", "value_lag_5", "absent"])

@@ -49,11 +49,11 @@ def repeated_rows(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def series_contract(
     df: DataFrame, series: Series, cols: list[str], cadence_seconds: float | None = None, label: str | None = None,
-    expected_rows: int | None = None, strict: bool = True, unique: list[str] | None = None, aligned: dict[str, tuple[str, int]] | None = None,
+    expected_rows: int | None = None, strict: bool = True, unique: list[str] | None = None, aligned: dict[str, tuple[str, int]] | None = None, unique_time: bool = False,
 ) -> DataFrame:
     """Time series contract: timestamps present, increasing (`strict`: no ties) and on the
     cadence; values present, finite and numeric; label 0 or 1; row count; no rows that repeat
-    the `unique` columns; each target of `aligned` equal to its column so many rows ahead."""
+    the `unique` columns, and with `unique_time` none that repeat a time of their series; each target of `aligned` equal to its column so many rows ahead."""
     ts = series.order[0]
     step = intervals(df, series, "_dt")
     dt = F.col("_dt")
@@ -70,6 +70,8 @@ def series_contract(
     out = report(step, checks)
     if unique:
         out = out.unionByName(as_checks(surplus_copies(df, unique, "duplicate_rows"), ["duplicate_rows"]))
+    if unique_time:
+        out = out.unionByName(as_checks(surplus_copies(df, [*series.keys, ts], "duplicate_time"), ["duplicate_time"]))
     if aligned:
         out = out.unionByName(as_checks(_misaligned(df, series, aligned), [f"misaligned_{t}" for t in aligned]))
     return out
@@ -135,6 +137,11 @@ def message_violations(features: Column, expected: list[str], numbers: Column |
     return F.array_compact(F.array(*codes))
 
 
+def interval_violations(df: DataFrame, series: Series, cadence_seconds: float, code: str = "code") -> DataFrame:
+    """The rows with `bad_interval` where the time since the row before is not exactly the cadence; the first row of a series has none."""
+    return intervals(df, series, "_dt").withColumn(code, F.when(F.col("_dt") != cadence_seconds, F.lit("bad_interval"))).drop("_dt")
+
+
 def input_contract(df: DataFrame, manifest: list[str]) -> DataFrame:
     """Forecast input: features present, numeric, no null, finite."""
     present = [c for c in manifest if c in df.columns]

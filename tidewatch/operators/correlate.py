@@ -318,6 +318,12 @@ def connected_groups(edges: DataFrame, a: str = "feature_1", b: str = "feature_2
     return nodes.join(roots, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
+def independent_features(features: DataFrame, groups: DataFrame) -> DataFrame:
+    """The features of a list (`feature`, ...) that are in no group of at least two."""
+    grouped = groups.join(groups.groupBy("component").agg(F.count(F.lit(1)).alias("_n")).filter("_n >= 2"), "component")
+    return features.join(grouped.select(F.col("node").alias("feature")), "feature", "left_anti")
+
+
 def ordered_groups(groups: DataFrame) -> DataFrame:
     """Components of at least two nodes, numbered by size (large first) then name."""
     size = groups.groupBy("component").agg(F.count(F.lit(1)).alias("group_size")).filter("group_size >= 2")

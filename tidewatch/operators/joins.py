@@ -5,6 +5,8 @@ dimensions, and beyond it sort-merge with the adaptive split of skewed partition
 """
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -143,29 +145,32 @@ def guard_split(rows: DataFrame, ts: str, held_out: DataFrame, start: str, end:
     return out.select(*rows.columns, split.alias("split"))
 
 
-def aligned_differences(left: DataFrame, right: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
-    """Full join on the order key: presence of each side and absolute differences per column."""
-    a = left.select(*keys, *[F.col(c).alias(f"_a_{c}") for c in cols], F.lit(True).alias("_l"))
-    b = right.select(*keys, *[F.col(c).alias(f"_b_{c}") for c in cols], F.lit(True).alias("_r"))
+def aligned_differences(left: DataFrame, right: DataFrame, keys: list[str], cols: list[str], exact: list[str] = ()) -> DataFrame:
+    """Full join on the order key: presence of each side and absolute differences per column; of `exact` columns whether they are the same."""
+    a = left.select(*keys, *[F.col(c).alias(f"_a_{c}") for c in (*cols, *exact)], F.lit(True).alias("_l"))
+    b = right.select(*keys, *[F.col(c).alias(f"_b_{c}") for c in (*cols, *exact)], F.lit(True).alias("_r"))
     j = a.join(b, keys, "full")
     side = F.when(F.col("_r").isNull(), "left_only").when(F.col("_l").isNull(), "right_only").otherwise("both")
     diffs = []
     for c in cols:
         x, y = F.col(f"_a_{c}"), F.col(f"_b_{c}")
         diffs.append(F.when(x.isNull() & y.isNull(), F.lit(0.0)).otherwise(F.abs(x - y)).alias(f"{c}_diff"))
-    return j.select(*keys, side.alias("side"), *diffs)
+    same = [F.col(f"_a_{c}").eqNullSafe(F.col(f"_b_{c}")).alias(f"{c}_same") for c in exact]
+    return j.select(*keys, side.alias("side"), *diffs, *same)
+
 
+def equivalence(left: DataFrame, right: DataFrame, keys: list[str], tolerances: dict[str, float], exact: list[str] = ()) -> DataFrame:
+    """One row: rows on each side, rows in both, largest difference and verdict per column set.
 
-def equivalence(left: DataFrame, right: DataFrame, keys: list[str], tolerances: dict[str, float]) -> DataFrame:
-    """One row: rows on each side, rows in both, largest difference and verdict per column set."""
-    d = aligned_differences(left, right, keys, list(tolerances))
+    With `exact`, columns of any type that have to be equal, the rows that differ are counted per column as well."""
+    d = aligned_differences(left, right, keys, list(tolerances), list(exact))
     both = F.col("side") == "both"
-    bad = F.lit(False)
-    for c, tol in tolerances.items():
-        # a value present on one side only is a difference
-        bad = bad | F.coalesce(F.col(f"{c}_diff") > tol, F.lit(True))
+    # a value present on one side only is a difference
+    off = {c: ~F.col(f"{c}_same") for c in exact} | {c: F.coalesce(F.col(f"{c}_diff") > tol, F.lit(True)) for c, tol in tolerances.items()}
+    bad = reduce(lambda a, b: a | b, off.values(), F.lit(False))
     return d.agg(
         F.count(F.when(both, 1)).alias("matched_rows"), F.count(F.when(F.col("side") == "left_only", 1)).alias("left_only"),
         F.count(F.when(F.col("side") == "right_only", 1)).alias("right_only"), F.count(F.when(both & bad, 1)).alias("different_rows"),
+        *[F.count(F.when(both & off[c], 1)).alias(f"different_{c}") for c in off if exact],
         *[F.max(F.when(both, F.col(f"{c}_diff"))).alias(f"max_{c}_diff") for c in tolerances],
     ).withColumn("equivalent", (F.col("left_only") == 0) & (F.col("right_only") == 0) & (F.col("different_rows") == 0))

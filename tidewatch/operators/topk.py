@@ -86,6 +86,15 @@ def evenly_spaced(df: DataFrame, series, k: int) -> DataFrame:
     return placed.filter((n <= k) | picked).drop("_total")
 
 
+def best_labels(scores: dict[str, Column], k: int = 5) -> Column:
+    """Array of structs (rank, label, score): the k highest scores of a row, high first; ties go to the first label. A label
+    without a score (null) is left out."""
+    items = [F.struct(s.alias("score"), F.lit(-i).alias("o"), F.lit(label).alias("label")) for i, (label, s) in enumerate(scores.items())]
+    present = F.filter(F.array(*items), lambda x: x["score"].isNotNull())
+    first = F.slice(F.sort_array(present, asc=False), 1, k)
+    return F.transform(first, lambda x, i: F.struct((i + 1).cast("int").alias("rank"), x["label"].alias("label"), x["score"].alias("score")))
+
+
 def argmax(scores: dict[str, Column]) -> Column:
     """Struct (label, score) of the highest score in a row; ties go to the first label."""
     items = [
