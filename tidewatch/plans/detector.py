@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,19 +63,75 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> dict[str, list
     return nodes
 
 
-def _path_scores(x: np.ndarray, trees: list[tuple[np.ndarray, ...]], norm: float) -> np.ndarray:
-    """Minus two to the minus mean path length over its expectation, for each row."""
-    total = np.zeros(len(x))
-    for feature, threshold, left, right, path in trees:
-        at = np.zeros(len(x), dtype=np.int64)
-        live = np.flatnonzero(feature[at] >= 0)
-        while len(live):
-            node = at[live]
-            down = np.where(x[live, feature[node]] <= threshold[node], left[node], right[node])
-            at[live] = down
-            live = live[feature[down] >= 0]
-        total += path[at]
-    return -np.power(2.0, -total / len(trees) / norm)
+#: Levels of a tree that are answered for all rows together; below them each row looks up its own node.
+TOP = 4
+
+
+def _below(levels: int) -> np.ndarray:
+    """The node reached from node 1 (children of i: 2i and 2i + 1) for each pattern of answers of the nodes above it."""
+    nodes = (1 << levels) - 1
+    pattern, at = np.arange(1 << nodes), np.ones(1 << nodes, np.int64)
+    for _ in range(levels):
+        at = 2 * at + (pattern >> (nodes - at) & 1)
+    return at
+
+
+_BELOW = [_below(k) for k in range(TOP + 1)]
+
+
+class _Paths:
+    """Trees made ready for many rows: values become their rank among a feature's thresholds, and every tree is filled up to all
+    nodes of its levels, so that a row's next node follows by arithmetic. A forest on one feature is a table of steps."""
+
+    def __init__(self, trees: list[tuple[np.ndarray, ...]], features: int, norm: float):
+        self.norm, self.count = norm, len(trees)
+        self.cuts = [np.unique(np.concatenate([t[1][t[0] == f] for t in trees])) for f in range(features)]
+        never = max(map(len, self.cuts)) + 1  # above every rank: all rows go left
+        self.kind, self.trees, self.steps = np.min_scalar_type(never), [], None
+        for feature, threshold, left, right, path in trees:
+            levels = [np.zeros(1, np.int64)]
+            while (feature[levels[-1]] >= 0).any():
+                at = levels[-1]
+                ends = feature[at] < 0
+                levels.append(np.stack([np.where(ends, at, left[at]), np.where(ends, at, right[at])], axis=1).ravel())
+            inner = np.concatenate([[0], *levels[:-1]]).astype(np.int64)  # node 1 is the root
+            f, rank = feature[inner], np.full(len(inner), never, self.kind)
+            for k, cuts in enumerate(self.cuts):
+                rank[f == k] = np.searchsorted(cuts, threshold[inner][f == k])
+            self.trees.append((len(levels) - 1, np.maximum(f, 0).astype(np.int64), rank, path[levels[-1]]))
+        if features == 1:
+            self.steps = self._total(np.arange(len(self.cuts[0]) + 1)[None, :].astype(self.kind))
+
+    def _total(self, ranks: np.ndarray) -> np.ndarray:
+        """Path lengths of rows (features x rows of ranks), added tree by tree."""
+        n, flat = ranks.shape[1], ranks.ravel()
+        rows, total, place = np.arange(n), np.zeros(n), np.empty(n, np.int64)
+        mine, cut, right, answers = np.empty(n, self.kind), np.empty(n, self.kind), np.empty(n, bool), np.empty(n, np.uint16)
+        for depth, feature, rank, path in self.trees:
+            top = min(depth, TOP)
+            answers[:] = 0
+            for node in range(1, 1 << top):
+                np.greater(ranks[feature[node]], rank[node], out=right)
+                np.left_shift(answers, 1, out=answers)
+                np.bitwise_or(answers, right.view(np.uint8), out=answers)
+            at, start = _BELOW[top].take(answers), feature * n
+            for _ in range(depth - top):
+                start.take(at, out=place, mode="clip")
+                place += rows
+                flat.take(place, out=mine, mode="clip")
+                rank.take(at, out=cut, mode="clip")
+                np.greater(mine, cut, out=right)
+                at += at
+                at += right
+            at -= 1 << depth
+            total += path.take(at)
+        return total
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        """Minus two to the minus mean path length over its expectation, for each row."""
+        ranks = np.stack([np.searchsorted(c, x[:, i]).astype(self.kind) for i, c in enumerate(self.cuts)])  # NaN: behind all
+        total = self._total(ranks) if self.steps is None else self.steps[ranks[0]]
+        return -np.power(2.0, -total / self.count / self.norm)
 
 
 @dataclass
@@ -84,15 +141,18 @@ class IsolationForest:
     sample: int
     offset: float = -0.5
 
+    def paths(self) -> _Paths:
+        return _Paths(self.trees, len(self.features), float(_average_path(np.array([self.sample]))[0]))
+
     def score(self, df: DataFrame, name: str = "score_samples") -> DataFrame:
         """Score per row, low = anomalous. The forest (at most trees x 2 x sample nodes) travels
         with the task; rows are scored per Arrow batch, a tree at a time."""
-        feats, trees, norm = self.features, self.trees, float(_average_path(np.array([self.sample]))[0])
+        feats, paths = self.features, self.paths()
         schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                yield pdf.assign(**{name: _path_scores(pdf[feats].to_numpy(dtype=float), trees, norm)})
+                yield pdf.assign(**{name: paths.scores(pdf[feats].to_numpy(dtype=float))})
 
         return df.mapInPandas(run, schema)
 
@@ -134,11 +194,12 @@ def forest_samples(
     filtered before anything is multiplied."""
     feats = list(dict.fromkeys(c for cols in subsets.values() for c in cols))
     base = df.select(*ident, *[F.col(c).cast("double").alias(c) for c in feats])
+    chances = {n: _draws(trees, min(1.0, 1.5 * min(sample, rows[n]) / max(rows[n], 1))) for n in subsets}
+    # rows whose hash lies below every forest's chance of no draw go before the chances are gone through
+    base = base.withColumn("_u", _unit_hash(*ident, F.lit(seed))).filter(F.col("_u") >= min(c[0] for c in chances.values()))
     many = {}
     for i, (name, cols) in enumerate(subsets.items()):
-        rate = min(1.0, 1.5 * min(sample, rows[name]) / max(rows[name], 1))
-        upto = F.array(*[F.lit(c) for c in _draws(trees, rate)])
-        times = F.size(F.filter(upto, lambda c: c <= _unit_hash(*ident, F.lit(seed))))
+        times = F.size(F.filter(F.array(*[F.lit(c) for c in chances[name]]), lambda c: c <= F.col("_u")))
         many[f"_many{i}"] = F.when(_defined(cols), times).otherwise(0)
     drawn = base.withColumns(many).filter(reduce(lambda a, b: a | b, [F.col(c) > 0 for c in many]))
     strides = [k for k in range(1, trees + 1) if np.gcd(k, trees) == 1]
@@ -159,24 +220,36 @@ def tree_samples(df: DataFrame, features: list[str], ident: list[str], trees: in
     return forest_samples(df, {"": features}, ident, trees, sample, {"": rows}, seed).drop("subset")
 
 
+def _equal(one: list[tuple[np.ndarray, ...]], two: list[tuple[np.ndarray, ...]]) -> bool:
+    return len(one) == len(two) and all(np.array_equal(a, b) for s, t in zip(one, two) for a, b in zip(s, t))
+
+
 def score_forests(df: DataFrame, forests: dict[str, IsolationForest], keep: list[str]) -> DataFrame:
     """(keep, subset, score_samples) of all forests in one pass; a row that lacks a feature of a
     forest has no score from it. Rows leave narrow, once per forest."""
-    parts = [(n, f.features, f.trees, float(_average_path(np.array([f.sample]))[0])) for n, f in forests.items()]
-    feats = list(dict.fromkeys(c for _, cols, _, _ in parts for c in cols))
+    parts: list[tuple[list[str], IsolationForest]] = []  # equal forests are walked once
+    for n, f in forests.items():
+        same = [names for names, g in parts if f.features == g.features and f.sample == g.sample and _equal(f.trees, g.trees)]
+        if same:
+            same[0].append(n)
+        else:
+            parts.append(([n], f))
+    feats = list(dict.fromkeys(c for _, f in parts for c in f.features))
     plain = df.select(*keep, *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(feats)])
     schema = T.StructType([*df.select(*keep).schema.fields, T.StructField("subset", T.StringType()), T.StructField("score_samples", T.DoubleType())])
-    at = {c: i for i, c in enumerate(feats)}
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = pdf[[f"_x{i}" for i in range(len(feats))]].to_numpy(dtype=float)
-            for name, cols, trees, norm in parts:
-                own = x[:, [at[c] for c in cols]]
-                whole = ~np.isnan(own).any(axis=1)
-                yield pdf.loc[whole, keep].assign(subset=name, score_samples=_path_scores(own[whole], trees, norm))
-
-    return plain.mapInPandas(run, schema)
+    ready = [(names, [feats.index(c) for c in f.features], f.paths()) for names, f in parts]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[len(keep):]])
+            for names, at, paths in ready:
+                whole = ~np.isnan(x[:, at]).any(axis=1)
+                kept = batch.select(list(keep)).filter(pa.array(whole)).columns if keep else []
+                scores = pa.array(paths.scores(x[whole][:, at]))
+                for name in names:
+                    yield pa.record_batch([*kept, pa.repeat(name, len(scores)), scores], [*keep, "subset", "score_samples"])
+
+    return plain.mapInArrow(run, schema)
 
 
 def grow_forests(df: DataFrame, subsets: dict[str, list[str]], ident: list[str], trees: int = 200, sample: int = 256, seed: int = 42) -> dict[str, IsolationForest]:
