@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.plans import detector as dt
+from tidewatch.streaming import features as ft, replay as rp
 
 
 def plain_path(tree, row):
@@ -40,3 +41,33 @@ def test_rows_without_a_draw_go_before_the_trees_are_gone_through(spark):
         want |= {(name, i): k for i, v in u.items() if (k := sum(c <= v for c in chances)) and (name == "a" or i % 3)}
     assert {(r.subset, r.id): r["count"] for r in got.groupBy("subset", "id").count().collect()} == want
     assert "_u#" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.fixture(scope="module")
+def readings():
+    """Keys of every kind of neighbour: several to a bucket, new ones in later triggers, a missing one, ids that floats cannot hold."""
+    rng = np.random.default_rng(1)
+    n = 120
+    keys = [None if k == 5 else (1 << 60) + int(k) for k in rng.integers(0, 8, n)]
+    return [(k, (1 << 60) + i if i % 11 else None, i, float(rng.normal()), "ANOMALY" if rng.random() < 0.7 else "NORMAL") for i, k in enumerate(keys)]
+
+
+def test_streams_by_bucket_carry_every_key(spark, tmp_path, readings):
+    schema = "k LONG, id LONG, step LONG, v DOUBLE, state STRING"
+    for a in range(0, 120, 50):
+        spark.createDataFrame(readings[a:a + 50], schema).coalesce(1).write.mode("append").parquet(str(tmp_path))
+    read = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
+    windows = rp.run_to_table(ft.stream_temporal_features(read(), "k", ["step"], ["id", "step"], ["v"], buckets=3)).collect()
+    streaks = rp.run_to_table(ft.stream_decisions(read(), "k", ["step"], "state", buckets=3)).collect()
+    past, runs, want = {}, {}, {}
+    for k, i, step, v, state in readings:
+        own = past.setdefault(k, [])
+        own.append(v)
+        runs[k] = runs.get(k, 0) + 1 if state == "ANOMALY" else 0
+        want[step] = (k, i, own[-1] - own[-2] if len(own) > 1 else None, np.mean(own[-5:]) if len(own) > 4 else None, runs[k])
+    assert len(windows) == len(streaks) == 120
+    for r in windows:
+        k, i, diff, mean, _ = want[r.step]
+        assert (r.k, r.id) == (k, i)
+        assert all((g is None and w is None) or abs(g - w) < 1e-12 for g, w in ((r.v__diff, diff), (r.v__mean, mean)))
+    assert {r.step: (r.k, r.id, r.streak) for r in streaks} == {s: (w[0], w[1], w[4]) for s, w in want.items()}
