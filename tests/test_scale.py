@@ -3,7 +3,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.plans import detector as dt
+from tidewatch.plans import detector as dt, trees as tr
 from tidewatch.streaming import features as ft, replay as rp
 
 
@@ -71,3 +71,20 @@ def test_streams_by_bucket_carry_every_key(spark, tmp_path, readings):
         assert (r.k, r.id) == (k, i)
         assert all((g is None and w is None) or abs(g - w) < 1e-12 for g, w in ((r.v__diff, diff), (r.v__mean, mean)))
     assert {r.step: (r.k, r.id, r.streak) for r in streaks} == {s: (w[0], w[1], w[4]) for s, w in want.items()}
+
+
+@pytest.mark.parametrize("features", [1, 9])
+def test_trees_predict_what_a_walk_row_by_row_does(features):
+    rng = np.random.default_rng(features)
+    codes = rng.integers(0, 65_535, (2000, features), dtype=np.uint16, endpoint=True)
+    tree = tr.grow_whole(codes, rng.normal(size=2000), *tr.bootstrap(3, 0, 2000))
+    other = np.vstack([codes, rng.integers(0, 65_535, (500, features), dtype=np.uint16, endpoint=True), np.zeros((1, features), np.uint16)])
+    want = []
+    for row in other:
+        at = 0
+        while tree.feature[at] >= 0:
+            at = tree.left[at] + (row[tree.feature[at]] > tree.code[at])
+        want.append(tree.value[at])
+    assert np.array_equal(tree.predict(other), want) and len(tree.predict(other[:0])) == 0
+    stump = tr.Tree(np.array([-1], np.int16), np.zeros(1, np.uint16), np.zeros(1, np.int32), np.array([2.5]))
+    assert (stump.predict(other) == 2.5).all()
