@@ -10,6 +10,7 @@ from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,30 +90,34 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int =
     A document is its text's ids, then `end_id`; null and empty texts are `end_id` alone. Only documents longer than `capacity` are
     cut, into pieces of that length and a last one of the rest. `row_id` numbers the rows as read, so repeated ids stay apart.
     """
-    # ids pass Python as text: with nulls among them pandas would make them floats
+    # ids pass Python as text, whatever their type
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
     schema = rows.select("row_id", "doc_id").schema.add("piece", "integer").add("start", "long").add("length", "long").add("ids_crc32", "long")
     if with_ids:
         schema = schema.add("ids", "binary")
     last = int(end_id).to_bytes(4, "little")
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _encoders:
             _encoders[path] = _Runs(path)
         runs = _encoders[path]
         for b in batches:
             owner, piece, start, length, crc, kept = [], [], [], [], [], []
-            for i, ids in enumerate(encoded(b["text"], runs)):
+            # texts become Python strings some at a time
+            texts = (t for at in range(0, len(b), TOGETHER) for t in b["text"].slice(at, TOGETHER).to_pylist())
+            for i, ids in enumerate(encoded(texts, runs)):
                 ids += last
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at:at + 4 * capacity]
                     owner.append(i), piece.append(k), start.append(at // 4), length.append(len(part) // 4), crc.append(zlib.crc32(part))
                     if with_ids:
                         kept.append(part)
-            out = b[["row_id", "doc_id"]].iloc[owner].reset_index(drop=True).assign(piece=piece, start=start, length=length, ids_crc32=crc)
-            yield out.assign(ids=kept) if with_ids else out
+            ids_of = [pa.array(kept, pa.binary())] if with_ids else []
+            of = pa.array(owner, pa.int64())
+            yield pa.record_batch([b["row_id"].take(of), b["doc_id"].take(of), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
+                                   pa.array(length, pa.int64()), pa.array(crc, pa.int64()), *ids_of], schema.names)
 
-    return rows.mapInPandas(cut, schema).withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))
+    return rows.mapInArrow(cut, schema).withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))
 
 
 @dataclass
