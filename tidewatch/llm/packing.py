@@ -1,6 +1,7 @@
 """Packing of token pieces into sequences by minimum bin slack over the counts of lengths."""
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections import Counter
@@ -15,8 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.numbering import number_rows
-from tidewatch.sources.tables import pin
+from tidewatch.sources.tables import pin, small_batches
 
+#: Rows that Spark and a worker hand each other at a time: whole texts, so a few.
+ROWS_AT_ONCE = 512
 #: Runs of letters or signs whose ids a worker remembers.
 REMEMBERED = 250_000
 #: Texts looked through for new runs at a time, and new runs encoded in one string.
@@ -32,6 +35,8 @@ class _Runs:
     """Token ids of runs as little-endian bytes; a worker keeps one for each tokenizer."""
 
     def __init__(self, path: str):
+        # tasks are the parallel work: threads of a worker's own would each keep memory, and compete for the cores
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
@@ -222,5 +227,6 @@ def packed(pieces: DataFrame, capacity: int = 2048, by: list[str] | None = None)
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All documents as pieces in sequences of at most `capacity` tokens (see `token_pieces` and `packed`). An empty table gives no rows."""
-    pieces = pin(token_pieces(docs, path, capacity, end_id, id_col, text_col))
+    with small_batches(docs.sparkSession, ROWS_AT_ONCE):
+        pieces = pin(token_pieces(docs, path, capacity, end_id, id_col, text_col))
     return packed(pieces, capacity)

@@ -71,6 +71,24 @@ def pinned(df: DataFrame) -> Iterator[DataFrame]:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within the block, what is written passes Python workers in Arrow batches of `rows` rows at most: for rows that hold whole texts.
+
+    Both sides of the pipe keep a batch, and the memory of the largest so far. A lower limit of the session stays.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if 0 < int(before) <= rows:
+        yield
+        return
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A driver-side catalogue as a table of known size, so Spark broadcasts it by its own check."""
     types = T._parse_datatype_string(schema)
