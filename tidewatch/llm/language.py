@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -161,17 +161,46 @@ def windows_of(data: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, n
     return flat.reshape(-1, width), used, np.repeat(np.arange(len(data)), count)
 
 
-def label_texts(net: Network, data: list[bytes], settings: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Label number and pooled probability of each text: the mean over all its positions."""
-    total = np.zeros((len(net.labels), len(data)))
-    x, used, owner = windows_of(data, settings.window)
-    for i in range(0, len(x), settings.at_once):
-        part = slice(i, i + settings.at_once)
-        p = position_probabilities(net, _run(net, x[part])[0])
-        p *= np.arange(settings.window)[:, None] < used[part][None, :]
-        for label, sums in enumerate(p.sum(axis=1)):
-            total[label] += np.bincount(owner[part], sums, len(data))
-    mean = total / np.maximum(np.fromiter(map(len, data), np.int64, len(data)), 1)
+def _windows_at_once(data: Iterable[bytes], width: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The rows of `windows_of`, `most` at a time and then the rest: only those of one step are held."""
+    at = 0
+    for i, d in enumerate(data):
+        lo = 0
+        while lo < len(d):
+            if not at:
+                flat, used, owner = np.zeros(most * width, np.uint8), np.full(most, width), np.zeros(most, np.int64)
+            part = np.frombuffer(d, np.uint8, min(len(d) - lo, (most - at) * width), lo)
+            n = -(-len(part) // width)
+            flat[at * width:at * width + len(part)] = part
+            used[at + n - 1] = len(part) - (n - 1) * width
+            owner[at:at + n] = i
+            lo, at = lo + len(part), at + n
+            if at == most:
+                yield flat.reshape(-1, width), used, owner
+                at = 0
+    if at:
+        yield flat.reshape(-1, width)[:at], used[:at], owner[:at]
+
+
+def label_texts(net: Network, data: Iterable[bytes], settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Label number and pooled probability of each text: the mean over all its positions. Texts are read one after the other."""
+    sizes: list[int] = []
+    total: list[np.ndarray] = []  # of each text so far, by label
+
+    def seen() -> Iterator[bytes]:
+        for d in data:
+            sizes.append(len(d))
+            total.append(np.zeros(len(net.labels)))
+            yield d
+
+    for x, used, owner in _windows_at_once(seen(), settings.window, settings.at_once):
+        p = position_probabilities(net, _run(net, x)[0])
+        p *= np.arange(settings.window)[:, None] < used[None, :]
+        first = owner[0]
+        found = np.stack([np.bincount(owner - first, sums) for sums in p.sum(axis=1)], axis=1)
+        for i, sums in enumerate(found, first):
+            total[i] += sums
+    mean = np.array(total).reshape(len(sizes), len(net.labels)).T / np.maximum(np.array(sizes, np.int64), 1)
     return mean.argmax(axis=0), np.clip(mean.max(axis=0), 0, 1)
 
 
@@ -226,7 +255,7 @@ def identify(docs: DataFrame, net: Network | None, text_col: str = "text", setti
             known = t.notna().to_numpy()
             lang, score = np.full(len(t), UNKNOWN, object), np.zeros(len(t))
             if known.any():
-                best, p = label_texts(net, [x.encode("utf-8", "replace") for x in t[known]], settings)
+                best, p = label_texts(net, (x.encode("utf-8", "replace") for x in t[known]), settings)
                 lang[known], score[known] = np.array(net.labels, object)[best], p
             yield pd.DataFrame({"lang": lang, "score": score})
 
