@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tidewatch.llm import components, line_dedup, queries, simhash
+from tidewatch.llm import components, line_dedup, numbering, queries, simhash
 
 SF = "/root/testdata/sf0.001"
 FOLD = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -148,3 +148,34 @@ def test_query_takes_lines_of_few_words(spark, tmp_path, group):
     assert shown(line_dedup.similar_lines(docs, settings=line_dedup.Settings(words=1, group=group))) == want
     assert shown(queries.op9(spark, str(tmp_path))) == want
     assert len(want) > 60 and {(1, 0), (1, 1), (3, 1), (2, 0), (6, 0)} <= {w[:2] for w in want if w[5]}
+
+
+def test_rare_words_come_first_at_any_count(spark):
+    """Counts past 255 still differ, so frequent words stay behind less frequent ones as tables grow."""
+    words = {"once": 1, "few": 3, "some": 300, "often": 3000, "always": 40_000}
+    docs = spark.createDataFrame([(" ".join([w] * n),) for w, n in words.items()], "text string").repartition(3)
+    settings = line_dedup.Settings()
+    counts = line_dedup.word_counts(docs, "text", settings)
+    codes = [int(counts[int(line_dedup.words_of(w.encode())[0][0]) >> (64 - settings.counters)]) for w in words]
+    assert codes[:2] == [1, 3] and codes == sorted(set(codes))
+    assert (line_dedup._coded(line_dedup._VALUES) == np.arange(256)).all()
+
+
+@pytest.mark.parametrize("group", [20_000, 2])
+def test_pair_is_looked_at_under_its_first_word(spark, group):
+    """Two lines that share all their rare words are a pair in one group, not in that of each word; a repeated line posts its words once."""
+    common = [f"w{i}" for i in range(40)]
+    rows = [(0, " ".join(common)), (1, " ".join([*common, "alone"])), (2, "\n".join([" ".join(reversed(common))] * 3))]
+    docs = numbering.rows_once(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), False)
+    settings = line_dedup.Settings(group=group)
+    lines = line_dedup.line_rows(docs, line_dedup.word_counts(docs, "text", settings), "doc_id", "text", settings)
+    assert lines.count() == 5 and lines.where("length(prefix) > 0").count() == 2
+    posts = np.concatenate([line_dedup._unpacked(r.posts) for r in line_dedup.postings(lines, settings).collect()], axis=1)
+    assert len({int(k) >> 32 for k in posts[0]}) == 8
+    found = line_dedup._with_partner(posts, settings.similarity)
+    assert len({int(k) >> 32 for k in found["key"]}) == 1 and found["id"].nunique() == 2
+
+
+def test_postings_pack_and_unpack():
+    posts = np.random.default_rng(3).integers(0, 2**64 - 1, (5, 11), np.uint64, endpoint=True)
+    assert (line_dedup._unpacked(line_dedup._packed(posts[:, 2:9])) == posts[:, 2:9]).all()
