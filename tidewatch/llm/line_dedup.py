@@ -331,18 +331,29 @@ def postings(lines: DataFrame, settings: Settings) -> DataFrame:
     """The postings of all lines in arrays, dealt out in buckets by their keys: `bucket, posts`. A bucket has about `settings.bucket`."""
     spark = lines.sparkSession
     counts = posting_counts(lines, settings)
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(_VALUES[counts].sum()) // settings.bucket + 1)
+    # some to each partition, so that partitions are alike
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), int(_VALUES[counts].sum()) // settings.bucket + 1)
     shared = spark.sparkContext.broadcast(counts)  # 2 ** counters bytes
 
+    def dealt(posts: np.ndarray) -> pd.DataFrame:
+        bucket = (_mixed(posts[0], 0xD6E8FEB86659FD93) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((posts[0], bucket))
+        posts, bucket = posts[:, order], bucket[order]
+        start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        ends = np.r_[start[1:], len(bucket)]
+        return pd.DataFrame({"bucket": bucket[start], "posts": [_packed(posts[:, i:k]) for i, k in zip(start, ends)]})
+
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
         for b in batches:
             for posts in _postings(b, shared.value, settings):
-                bucket = (_mixed(posts[0], 0xD6E8FEB86659FD93) % np.uint64(buckets)).astype(np.int64)
-                order = np.lexsort((posts[0], bucket))
-                posts, bucket = posts[:, order], bucket[order]
-                start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-                ends = np.r_[start[1:], len(bucket)]
-                yield pd.DataFrame({"bucket": bucket[start], "posts": [_packed(posts[:, i:k]) for i, k in zip(start, ends)]})
+                held.append(posts)
+                size += posts.shape[1]
+                if size >= 1 << 18:
+                    yield dealt(np.concatenate(held, axis=1))
+                    held, size = [], 0
+        if size:
+            yield dealt(np.concatenate(held, axis=1))
 
     return lines.where(F.length("prefix") > 0).select("k1", "n", "bits", "more", "prefix").mapInPandas(deal, "bucket int, posts binary")
 
