@@ -75,25 +75,23 @@ def regressors(trees: int = 200, iterations: int = 300, seed: int = 42) -> dict[
     }
 
 
-def benchmark(df: DataFrame, series: Series, feature_sets: dict[str, list[str]], targets: list[str], models: dict[str, object], fraction: float = 0.8,
-              training_rows: int = tr.TRAINING_ROWS) -> DataFrame:
+def benchmark(df: DataFrame, series: Series, feature_sets: dict[str, list[str]], targets: list[str], models: dict[str, object], fraction: float = 0.8) -> DataFrame:
     """Error metrics of every feature set, target and model on a chronological hold-out.
 
-    Linear models learn from all rows before the cut; tree models from at most `training_rows` of them, all fits in one job. All
-    models are measured on all rows after it.
+    All models learn from all rows before the cut, tree models in one job, and are measured on all rows after it.
     """
     cuts, out = Cuts(df, series, [fraction]), None
     columns = list(dict.fromkeys([c for feats in feature_sets.values() for c in feats] + targets))
     train, test = df.filter(cuts.before(fraction)), df.filter(~cuts.before(fraction))
     grown = {(s, t, m): (feats, t, spec) for s, feats in feature_sets.items() for t in targets for m, spec in models.items() if isinstance(spec, (tr.Forest, tr.Boosting))}
-    fitted = tr.fit_all(df.sparkSession, columns, tr.sample_rows(train, columns, training_rows), grown) if grown else {}
     if grown:
         test = pin(test.select(*columns))
+    predicted = tr.predictions(train, test, columns, grown) if grown else {}
     for set_name, feats in feature_sets.items():
         for target in targets:
             for name, est in models.items():
-                if (set_name, target, name) in fitted:
-                    scored = tr.score(test, fitted[set_name, target, name], target)
+                if (set_name, target, name) in predicted:
+                    scored = predicted[set_name, target, name]
                 else:
                     scored = est.fit(_assemble(train, feats, target)).transform(_assemble(test, feats, target))
                 m = metrics.regression_errors(scored, [], "label", "prediction")
