@@ -82,6 +82,20 @@ def test_every_value_of_a_large_column_is_told_apart():
         tr.encode(x[:, None], [tr._borders(x, tr.Forest())])
 
 
+def test_boosted_trees_of_the_grid_learn_from_all_rows(table):
+    sets = {"a": ["group"], "b": ["group", "some", "same"]}
+    models = {"LinearRegression": fc.regressors()["LinearRegression"], "RandomForest": FOREST, "GradientBoosting": BOOSTING}
+    grid = fc.benchmark(table, BY_T, sets, ["y", "z"], models).persist()
+    got = {(r.feature_set, r.target, r.model): r for r in grid.collect()}
+    assert len(got) == 12
+    want = {k: by_hand(table, ["group", "some", "same", "y", "z"], sets[k[0]], k[1], models[k[2]]) for k in got if k[2] != "LinearRegression"}
+    for k, v in want.items():
+        assert got[k].rows == v[0] and np.allclose([got[k].mae, got[k].rmse], v[1:])
+    best = {r.target: r for r in fc.best_per_target(grid).collect()}
+    for target in ("y", "z"):
+        assert best[target].rmse == min(r.rmse for r in got.values() if r.target == target)
+
+
 def test_fits_without_rows(spark):
     """A fit that lacks training rows says nothing for forests and 0 for boosted trees; one that lacks test rows has none."""
     df = spark.range(100).selectExpr("id AS t", "double(id) AS a", "if(id < 80, null, double(id)) AS late", "if(id < 80, double(id), null) AS early")
