@@ -96,6 +96,16 @@ def test_boosted_trees_of_the_grid_learn_from_all_rows(table):
         assert best[target].rmse == min(r.rmse for r in got.values() if r.target == target)
 
 
+def test_safe_and_leaking_models_learn_from_all_rows(table):
+    sets = {"all": ["group", "some", "net power output"], "safe": ["group", "some"]}
+    models = {"RandomForest": FOREST, "GradientBoosting": BOOSTING}
+    got = {r.model: r for r in fc.leakage_safe_comparison(table, BY_T, sets["all"], ["y"], models).collect()}
+    assert got.keys() == models.keys()
+    for name, r in got.items():
+        a, b = (by_hand(table, ["group", "some", "net power output", "y"], sets[s], "y", models[name])[2] for s in ("all", "safe"))
+        assert np.allclose([r.rmse_all, r.rmse_safe, r.rmse_change], [a, b, b - a])
+
+
 def test_fits_without_rows(spark):
     """A fit that lacks training rows says nothing for forests and 0 for boosted trees; one that lacks test rows has none."""
     df = spark.range(100).selectExpr("id AS t", "double(id) AS a", "if(id < 80, null, double(id)) AS late", "if(id < 80, double(id), null) AS early")
